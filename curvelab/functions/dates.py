@@ -73,50 +73,10 @@ def season_axis_day(day: Column, plotted_year: Column, reference: Column, roll_m
     return F.when(ends_here, base + 366).otherwise(base)
 
 
-def plus_days(day: Column, n: Column | int) -> Column:
-    return F.date_add(day, n)
-
-
-def observed(day: Column) -> Column:
-    """Saturday holidays move to Friday, Sunday holidays to Monday."""
-    w = F.weekday(day)
-    return F.when(w == 5, F.date_sub(day, 1)).when(w == 6, F.date_add(day, 1)).otherwise(day)
-
-
-def nth_weekday(year: Column, month: int, weekday0: int, nth: int) -> Column:
-    first = F.make_date(year, F.lit(month), F.lit(1))
-    shift = F.pmod(F.lit(weekday0) - F.weekday(first), F.lit(7))
-    return F.date_add(first, (shift + 7 * (nth - 1)).cast("int"))
-
-
-def last_weekday(year: Column, month: int, weekday0: int) -> Column:
-    last = F.last_day(F.make_date(year, F.lit(month), F.lit(1)))
-    return F.date_sub(last, F.pmod(F.weekday(last) - F.lit(weekday0), F.lit(7)).cast("int"))
-
-
 def _div(a: Column, b: int) -> Column:
     return F.floor(a / F.lit(b)).cast("int")
 
 
-def easter(year: Column) -> Column:
-    """Gregorian Easter Sunday from the golden number, century and epact.
-
-    The lunar correction and the Sunday search follow the published tables of the
-    ecclesiastical calendar (Knuth's formulation).
-    """
-    golden = F.pmod(year, F.lit(19)) + 1
-    century = _div(year, 100) + 1
-    skipped_leaps = _div(century * 3, 4) - 12
-    moon_shift = _div(century * 8 + 5, 25) - 5
-    sunday = _div(year * 5, 4) - skipped_leaps - 10
-    epact0 = F.pmod(golden * 11 + 20 + moon_shift - skipped_leaps, F.lit(30))
-    epact = epact0 + F.when((epact0 == 24) | ((epact0 == 25) & (golden > 11)), 1).otherwise(0)
-    full0 = F.lit(44) - epact
-    full = full0 + F.when(full0 < 21, 30).otherwise(0)
-    march_day = full + 7 - F.pmod(sunday + full, F.lit(7))
-    return F.date_add(F.make_date(year, F.lit(3), F.lit(1)), (march_day - 1).cast("int"))
-
-
 def previous_weekday(day: Column) -> Column:
     w = F.weekday(day)
     return F.date_sub(day, F.when(w >= 5, w - 4).otherwise(0).cast("int"))

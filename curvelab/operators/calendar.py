@@ -20,106 +20,111 @@ def exchange_of(root: Column) -> Column:
     return out.otherwise(F.lit("NONE"))
 
 
-def holidays(years: DataFrame) -> DataFrame:
-    """Full closures per exchange group from a frame with one ``year`` per row.
+# Closure rules per exchange group on the columns of ``marked_days``.
+# A date-bound holiday on a Saturday closes the Friday before, on a Sunday the Monday
+# after; a New Year on a Saturday would close a day of the old year and is not looked up.
+CLOSURES = {
+    "NYMEX": {
+        "NEW_YEAR": "(month = 1 AND (day = 1 OR (day = 2 AND dow = 1)))",
+        "KING_DAY": "(month = 1 AND dow = 1 AND nth = 3)",
+        "PRESIDENTS_DAY": "(month = 2 AND dow = 1 AND nth = 3)",
+        "GOOD_FRIDAY": "(past_easter = -2)",
+        "MEMORIAL_DAY": "(month = 5 AND dow = 1 AND to_end < 7)",
+        "JUNETEENTH": "(month = 6 AND (day = 19 OR (day = 18 AND dow = 5) OR (day = 20 AND dow = 1)))",
+        "INDEPENDENCE_DAY": "(month = 7 AND (day = 4 OR (day = 3 AND dow = 5) OR (day = 5 AND dow = 1)))",
+        "LABOR_DAY": "(month = 9 AND dow = 1 AND nth = 1)",
+        "THANKSGIVING": "(month = 11 AND dow = 4 AND nth = 4)",
+        "CHRISTMAS": "(month = 12 AND (day = 25 OR (day = 24 AND dow = 5) OR (day = 26 AND dow = 1)))",
+    },
+    "ICE": {
+        "NEW_YEAR": "(month = 1 AND (day = 1 OR (day = 2 AND dow = 1)))",
+        "GOOD_FRIDAY": "(past_easter = -2)",
+        "EASTER_MONDAY": "(past_easter = 1)",
+        "EARLY_MAY": "(month = 5 AND dow = 1 AND nth = 1)",
+        "LATE_MAY": "(month = 5 AND dow = 1 AND to_end < 7)",
+        "AUGUST": "(month = 8 AND dow = 1 AND to_end < 7)",
+        "CHRISTMAS": "(month = 12 AND (day = 25 OR (day = 24 AND dow = 5) OR (day = 26 AND dow = 1)))",
+        "BOXING_DAY": "(month = 12 AND ((day = 26 AND dow BETWEEN 2 AND 5) OR (day = 27 AND dow IN (1, 2))))",
+    },
+}
+
+
+def easter_sundays(years: DataFrame) -> DataFrame:
+    """Gregorian Easter per ``year``: golden number, century, epact, full moon, Sunday."""
+    return (
+        years.selectExpr("year", "year % 19 + 1 AS golden", "year DIV 100 + 1 AS century")
+        .selectExpr("*", "3 * century DIV 4 - 12 AS skipped", "(8 * century + 5) DIV 25 - 5 AS moon")
+        .selectExpr("*", "5 * year DIV 4 - skipped - 10 AS sunday", "pmod(11 * golden + 20 + moon - skipped, 30) AS epact")
+        .selectExpr(
+            "year", "sunday",
+            "44 - epact - CASE WHEN epact = 24 OR (epact = 25 AND golden > 11) THEN 1 ELSE 0 END AS moon_day",
+        )
+        .selectExpr("year", "sunday", "moon_day + CASE WHEN moon_day < 21 THEN 30 ELSE 0 END AS full")
+        .selectExpr("year", "date_add(make_date(year, 3, 1), CAST(full + 6 - pmod(sunday + full, 7) AS INT)) AS easter")
+    )
 
-    A rule of year N can name a date of year N-1 (New Year on a Saturday).  A day is
-    looked up in the rules of its own year, so ``year`` is kept beside the date.
-    """
-    y = F.col("year")
-
-    def fixed(month: int, day: int) -> Column:
-        return F.make_date(y, F.lit(month), F.lit(day))
-
-    new_year = D.observed(fixed(1, 1))
-    good_friday = F.date_sub(D.easter(y), 2)
-    christmas = D.observed(fixed(12, 25))
-    boxing = D.observed(fixed(12, 26))
-    boxing = F.when(boxing == christmas, F.date_add(boxing, 1)).otherwise(boxing)
-    # Closure rules per exchange group.
-    rules = {
-        "NYMEX": {
-            "NEW_YEAR": new_year,
-            "KING_DAY": D.nth_weekday(y, 1, 0, 3),
-            "PRESIDENTS_DAY": D.nth_weekday(y, 2, 0, 3),
-            "GOOD_FRIDAY": good_friday,
-            "MEMORIAL_DAY": D.last_weekday(y, 5, 0),
-            "JUNETEENTH": D.observed(fixed(6, 19)),
-            "INDEPENDENCE_DAY": D.observed(fixed(7, 4)),
-            "LABOR_DAY": D.nth_weekday(y, 9, 0, 1),
-            "THANKSGIVING": D.nth_weekday(y, 11, 3, 4),
-            "CHRISTMAS": christmas,
-        },
-        "ICE": {
-            "NEW_YEAR": new_year,
-            "GOOD_FRIDAY": good_friday,
-            "EASTER_MONDAY": F.date_add(D.easter(y), 1),
-            "EARLY_MAY": D.nth_weekday(y, 5, 0, 1),
-            "LATE_MAY": D.last_weekday(y, 5, 0),
-            "AUGUST": D.last_weekday(y, 8, 0),
-            "CHRISTMAS": christmas,
-            "BOXING_DAY": boxing,
-        },
-    }
+
+def marked_days(days: DataFrame) -> DataFrame:
+    """Weekday, position in the month and distance from Easter per ``date``."""
+    shaped = days.selectExpr("date", "year(date) AS year")
+    return shaped.join(easter_sundays(shaped.select("year").distinct()), "year").selectExpr(
+        "date",
+        "month(date) AS month",
+        "day(date) AS day",
+        "weekday(date) + 1 AS dow",
+        "(day(date) - 1) DIV 7 + 1 AS nth",
+        "datediff(last_day(date), date) AS to_end",
+        "datediff(date, easter) AS past_easter",
+    )
+
+
+def holidays(days: DataFrame) -> DataFrame:
+    """Weekday closures (exchange, rule, date) among the given days."""
     cells = [
-        F.struct(F.lit(group).alias("exchange"), F.lit(name).alias("rule"), day.alias("holiday"))
-        for group, named in rules.items()
-        for name, day in named.items()
+        f"CASE WHEN {test} THEN struct('{group}' AS exchange, '{rule}' AS rule) END"
+        for group, rules in CLOSURES.items()
+        for rule, test in rules.items()
     ]
-    return years.select("year", F.explode(F.array(*cells)).alias("h")).select(
-        "h.exchange", "year", "h.rule", "h.holiday"
-    )
+    marked = marked_days(days).filter("dow <= 5").selectExpr("date", f"filter(array({', '.join(cells)}), c -> c IS NOT NULL) AS hit")
+    return marked.select("date", F.explode("hit").alias("h")).select("h.exchange", "h.rule", "date")
 
 
 def session_calendar(span: DataFrame, margin_days: int = 40) -> DataFrame:
-    """One row per exchange and day with session counts before and up to the day.
+    """One row per exchange and day: is it a session, and how many sessions came before.
 
     ``span`` has one row with ``first_day`` and ``last_day``.  The table grows with the
     calendar only (366 rows per year and exchange), never with the data.
     """
-    days = span.select(
-        F.explode(
-            F.sequence(
-                F.date_sub("first_day", margin_days), F.date_add("last_day", margin_days), F.expr("interval 1 day")
-            )
-        ).alias("day")
-    )
-    groups = F.array(*[F.lit(g) for g in (*dict.fromkeys(EXCHANGE.values()), "NONE")])
-    grid = days.withColumn("exchange", F.explode(groups))
-    closed = (
-        holidays(days.select(F.year("day").alias("year")).distinct())
-        .filter(F.year("holiday") == F.col("year"))
-        .select("exchange", F.col("holiday").alias("day"), F.lit(True).alias("closed"))
-        .distinct()
-    )
-    marked = grid.join(closed, ["exchange", "day"], "left").withColumn(
-        "is_session", (F.weekday("day") < 5) & F.col("closed").isNull()
+    days = span.selectExpr(
+        f"explode(sequence(date_sub(first_day, {margin_days}), date_add(last_day, {margin_days}), interval 1 day)) AS date"
     )
+    states = [
+        f"struct('{group}' AS exchange, dow <= 5 AND NOT ({' OR '.join(rules.values())}) AS is_session)"
+        for group, rules in CLOSURES.items()
+    ] + ["struct('NONE' AS exchange, dow <= 5 AS is_session)"]
+    grid = marked_days(days).selectExpr("date AS day", f"inline(array({', '.join(states)}))")
     before = Window.partitionBy("exchange").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    return marked.select(
-        "exchange",
-        "day",
-        "is_session",
+    return grid.select(
+        "exchange", "day", "is_session",
         F.coalesce(F.count_if("is_session").over(before), F.lit(0)).alias("sessions_before"),
     )
 
 
-def offset_sessions(
-    df: DataFrame, calendar: DataFrame, day: str, exchange: str, n: int, name: str
-) -> DataFrame:
-    """The n-th session after (n > 0) or before (n < 0) a day that need not be a session."""
-    here = calendar.select(
-        F.col("exchange").alias(exchange),
-        F.col("day").alias(day),
-        (F.col("sessions_before") + (F.col("is_session").cast("int") if n > 0 else F.lit(0)) + n + (1 if n < 0 else 0))
-        .alias("_target"),
-    )
-    there = calendar.filter("is_session").select(
-        F.col("exchange").alias(exchange),
-        (F.col("sessions_before") + 1).alias("_target"),
-        F.col("day").alias(name),
-    )
-    return df.join(here, [exchange, day], "left").join(there, [exchange, "_target"], "left").drop("_target")
+def offset_sessions(df: DataFrame, calendar: DataFrame, day: str, exchange: str, offsets: dict[str, int]) -> DataFrame:
+    """The n-th session after (n > 0) or before (n < 0) a day that need not be a session.
+
+    All offsets come from one pass over the calendar and one join.
+    """
+    w = Window.partitionBy("exchange").orderBy("day")
+    open_day = F.when(F.col("is_session"), F.col("day"))
+    moved = {}
+    for name, n in offsets.items():
+        reach = 2 * abs(n) + 15
+        frame = w.rowsBetween(-reach, -1) if n < 0 else w.rowsBetween(1, reach)
+        # At most ``reach`` days are collected.
+        moved[name] = F.get(F.collect_list(open_day).over(frame), F.lit(n - 1) if n > 0 else F.size(F.collect_list(open_day).over(frame)) + n)
+    table = calendar.select(F.col("exchange").alias(exchange), F.col("day").alias(day), *[c.alias(k) for k, c in moved.items()])
+    return df.join(table, [exchange, day], "left")
 
 
 def fallback_expiry(root: Column, delivery: Column) -> Column:
@@ -193,7 +198,7 @@ def contract_registry(
             {c: F.lit(None).cast("date") for c in ("last_trade", "first_notice", "first_delivery")}
         )
     else:
-        known = universe.join(
+        known = universe.select("root", "security", "delivery_month", "fallback_expiry").join(
             reference.select("security", "last_trade", "first_notice", "first_delivery"), "security", "left"
         )
     verified = F.col("last_trade").isNotNull()
@@ -208,8 +213,10 @@ def contract_registry(
         verified.alias("expiry_verified"),
         F.when(verified, "REFERENCE").otherwise("FALLBACK_UNVERIFIED").alias("expiry_source"),
     ).withColumn("exchange", exchange_of(F.col("root")))
-    blackout = offset_sessions(dated, calendar, "risk_date", "exchange", -system.blackout_sessions, "blackout_start")
-    return offset_sessions(blackout, calendar, "blackout_start", "exchange", -1, "forced_exit_session").drop("exchange")
+    n = system.blackout_sessions
+    return offset_sessions(
+        dated, calendar, "risk_date", "exchange", {"blackout_start": -n, "forced_exit_session": -n - 1}
+    ).drop("exchange")
 
 
 def merge_registries(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -232,7 +239,7 @@ def expected_latest_session(
     """
     opened = F.to_timestamp_ntz(F.concat(F.date_format("as_of", "yyyy-MM-dd"), F.lit(f" {system.session_start}:00")))
     ready = opened + F.make_dt_interval(mins=F.lit(system.bar_minutes + system.freshness_grace_minutes))
-    state = offset_sessions(observed, calendar, "as_of", "exchange", -1, "previous_session").join(
+    state = offset_sessions(observed, calendar, "as_of", "exchange", {"previous_session": -1}).join(
         calendar.select("exchange", F.col("day").alias("as_of"), "is_session"), ["exchange", "as_of"], "left"
     )
     too_early = (F.to_date("observed_at") == F.col("as_of")) & (F.col("observed_at") < ready)
@@ -270,9 +277,14 @@ def next_bar_times(
 
 def pull_chunks(ranges: DataFrame, days: int = 28) -> DataFrame:
     """Split [start_date, end_date] into chunks of at most ``days`` days."""
-    starts = F.explode(F.sequence("start_date", "end_date", F.make_dt_interval(F.lit(days))))
+    starts = F.transform(F.sequence("start_date", "end_date", F.make_dt_interval(F.lit(days))), lambda d: d.cast("date"))
     return (
         ranges.filter(F.col("start_date") <= F.col("end_date"))
-        .withColumn("chunk_start", starts.cast("date"))
+        .withColumn("chunk_start", F.explode(starts))
         .withColumn("chunk_end", F.least(F.col("end_date"), F.date_add("chunk_start", days - 1)))
     )
+
+
+def expiry_calendar(contracts: DataFrame, as_of: Column) -> DataFrame:
+    """Contracts at risk within a year of ``as_of``."""
+    return contracts.filter((F.col("risk_date") >= as_of) & (F.col("risk_date") <= F.add_months(as_of, 12)))

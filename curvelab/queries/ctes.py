@@ -49,13 +49,13 @@ trades AS (
 CBARS = """
 raw AS (
   SELECT CASE l_returnflag WHEN 'A' THEN 'HO' WHEN 'N' THEN 'CL' ELSE 'QS' END AS root,
-         CASE l_returnflag WHEN 'A' THEN 500.0 WHEN 'N' THEN 15.0 ELSE 2.0 END::DOUBLE AS scale,
+         CASE l_returnflag WHEN 'A' THEN 503.0 WHEN 'N' THEN 15.1 ELSE 1.99 END::DOUBLE AS scale,
          CASE WHEN l_linestatus = 'F' THEN 0 ELSE 1 END AS step, CAST(l_shipdate AS DATE) AS d,
          l_extendedprice AS e, l_quantity AS q FROM lineitem),
 cb0 AS (
   SELECT root, step, d,
-         round(arg_max(e / q / scale, {'q': q, 'e': e}), 4) AS open, round(avg(e / q / scale), 4) AS close,
-         sum(q) AS vol, count(*)::DOUBLE AS events, round(sum(e / scale), 2) AS value
+         round(arg_max(e / q / scale, {'q': q, 'e': e}), 10) AS open, round(avg(e / q / scale), 10) AS close,
+         sum(q) AS vol, count(*)::DOUBLE AS events, round(sum(e / scale), 6) AS value
   FROM raw GROUP BY ALL),
 cbars AS (
   SELECT *, CAST(date_trunc('quarter', d) + INTERVAL 3 MONTH + step * INTERVAL 1 MONTH AS DATE) AS delivery,
@@ -63,3 +63,108 @@ cbars AS (
          root || substr('FGHJKMNQUVXZ', month(date_trunc('quarter', d) + INTERVAL 3 MONTH + step * INTERVAL 1 MONTH), 1)
               || strftime(date_trunc('quarter', d) + INTERVAL 3 MONTH + step * INTERVAL 1 MONTH, '%y') AS security
   FROM cb0)"""
+
+
+def calendar_cte(first: str, last: str) -> str:
+    """Sessions per exchange between two date expressions, from weekday rules."""
+    return f"""
+cal_days AS (SELECT CAST(unnest(generate_series(({first})::TIMESTAMP - INTERVAL 40 DAY, ({last})::TIMESTAMP + INTERVAL 40 DAY, INTERVAL 1 DAY)) AS DATE) AS d),
+cal_e AS (SELECT y, make_date(y, (h + l - 7 * m + 114) // 31, (h + l - 7 * m + 114) % 31 + 1) AS easter FROM (
+  SELECT *, (a + 11 * h + 22 * l) // 451 AS m FROM (
+  SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS l FROM (
+  SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM (
+  SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM (SELECT DISTINCT year(d) AS y FROM cal_days)))))),
+cal_p AS (SELECT d, month(d) AS mo, day(d) AS dy, isodow(d) AS dow, (day(d) - 1) // 7 + 1 AS nth, d - easter AS past_easter
+  FROM cal_days JOIN cal_e ON year(d) = y),
+cal_h AS (
+  SELECT d, 'NYMEX' AS ex FROM cal_p WHERE (mo = 1 AND dow = 1 AND nth = 3) OR (mo = 2 AND dow = 1 AND nth = 3) OR past_easter = -2
+    OR (mo = 5 AND dow = 1 AND dy > 24) OR (mo = 9 AND dow = 1 AND nth = 1) OR (mo = 11 AND dow = 4 AND nth = 4)
+    OR (mo = 6 AND (dy = 19 OR (dy = 18 AND dow = 5) OR (dy = 20 AND dow = 1))) OR (mo = 7 AND (dy = 4 OR (dy = 3 AND dow = 5) OR (dy = 5 AND dow = 1)))
+    OR (mo = 1 AND (dy = 1 OR (dy = 2 AND dow = 1))) OR (mo = 12 AND (dy = 25 OR (dy = 24 AND dow = 5) OR (dy = 26 AND dow = 1)))
+  UNION ALL
+  SELECT d, 'ICE' FROM cal_p WHERE past_easter IN (-2, 1) OR (mo = 5 AND dow = 1 AND nth = 1) OR (mo = 5 AND dow = 1 AND dy > 24) OR (mo = 8 AND dow = 1 AND dy > 24)
+    OR (mo = 1 AND (dy = 1 OR (dy = 2 AND dow = 1))) OR (mo = 12 AND (dy = 25 OR (dy = 24 AND dow = 5) OR (dy = 26 AND dow = 1)))
+    OR (mo = 12 AND ((dy = 26 AND dow BETWEEN 2 AND 5) OR (dy = 27 AND dow IN (1, 2))))),
+sess AS (SELECT ex, d, row_number() OVER (PARTITION BY ex ORDER BY d) AS i
+  FROM cal_days, (VALUES ('NYMEX'), ('ICE')) e(ex) WHERE isodow(d) <= 5 AND (d, ex) NOT IN (SELECT (d, ex) FROM cal_h))"""
+
+
+REGISTRY = (
+    calendar_cte("(SELECT min(risk_date) FROM cbars)", "(SELECT max(risk_date) FROM cbars)")
+    + """,
+reg0 AS (SELECT DISTINCT root, security, delivery, risk_date, CASE WHEN root = 'QS' THEN 'ICE' ELSE 'NYMEX' END AS ex FROM cbars),
+reg1 AS (SELECT reg0.*, (SELECT max(i) FROM sess WHERE sess.ex = reg0.ex AND sess.d < reg0.risk_date) AS last_i FROM reg0),
+reg AS (SELECT reg1.*, b.d AS blackout, f.d AS forced FROM reg1
+  JOIN sess b ON b.ex = reg1.ex AND b.i = last_i - 2 JOIN sess f ON f.ex = reg1.ex AND f.i = last_i - 3)"""
+)
+
+# Contract economics of the three fixture roots.
+ECON = """
+econ(root, k, size, bbl, tick, cost) AS (VALUES ('HO', 42.0::DOUBLE, 42000.0::DOUBLE, 1000.0::DOUBLE, 0.0001::DOUBLE, 6.7::DOUBLE),
+  ('CL', 1.0, 1000.0, 1000.0, 0.01, 12.5), ('QS', 0.1342281879194631, 100.0, 745.0, 0.25, 27.5))"""
+
+PREPARED = f"""{CBARS}, {REGISTRY}, {ECON},
+oi AS (SELECT security, d, lag(vol * 10 + events) OVER (PARTITION BY security ORDER BY d) AS oi1,
+  lag(vol * 10 + events) OVER (PARTITION BY security ORDER BY d) - lag(vol * 10 + events, 6) OVER (PARTITION BY security ORDER BY d) AS oi5 FROM cbars),
+prep AS (SELECT c.*, year(c.delivery) * 12 + month(c.delivery) - 1 AS di, r.blackout, r.forced, k, size, bbl, tick, cost, oi1, oi5,
+  CASE WHEN events >= 3 THEN round(close * 0.999, 10) END AS bid, CASE WHEN events >= 3 THEN round(close * 1.001, 10) END AS ask,
+  row_number() OVER (PARTITION BY c.root, c.d ORDER BY c.delivery) AS grank
+  FROM cbars c JOIN reg r USING (root, security, delivery) JOIN econ USING (root) JOIN oi ON oi.security = c.security AND oi.d = c.d
+  WHERE c.d < r.blackout)"""
+
+
+def packages_cte(structures) -> str:
+    """One explicit n-way join per structure."""
+    from curvelab.config import ROOTS
+
+    barrels = {r.root: r.contract_barrels for r in ROOTS}
+    parts = []
+    for s in structures:
+        legs = list(enumerate(s.legs, start=1))
+        joins = " ".join(
+            f"JOIN prep l{i} ON l{i}.d = a.d AND l{i}.root = '{g.root}' AND l{i}.di = a.di + {g.offset}" for i, g in legs
+        )
+
+        def total(expr: str, weighted: bool = True) -> str:
+            return " + ".join(
+                "("
+                + (f"{g.sign * g.price_weight} * l{i}.k * " if weighted else "")
+                + expr.replace("@", f"l{i}").replace("#n", str(g.contracts)).replace("#s", str(g.sign))
+                + ")"
+                for i, g in legs
+            )
+
+        def least(expr: str, f: str = "least") -> str:
+            return f"{f}(" + ", ".join(expr.replace("@", f"l{i}").replace("#n", str(g.contracts)) for i, g in legs) + ")"
+
+        buy = " + ".join(
+            f"({g.sign * g.price_weight} * l{i}.k * coalesce(l{i}.{'ask' if g.sign > 0 else 'bid'}, l{i}.close))" for i, g in legs
+        )
+        sell = " + ".join(
+            f"({g.sign * g.price_weight} * l{i}.k * coalesce(l{i}.{'bid' if g.sign > 0 else 'ask'}, l{i}.close))" for i, g in legs
+        )
+        long = sum(g.contracts * barrels[g.root] for g in s.legs if g.sign > 0)
+        short = sum(g.contracts * barrels[g.root] for g in s.legs if g.sign < 0)
+        roll = " || ' | ' || ".join(f"l{i}.security" for i, _ in legs)
+        parts.append(
+            f"SELECT * EXCLUDE srank FROM (SELECT '{s.spread_id}' AS spread_id, '{s.family}' AS family, '{s.tenor_bucket}' AS tenor,"
+            f" '{s.group}' AS algebra_group, {s.tier} AS tier, a.d, {total('@.open')} AS s_open, {total('@.close')} AS s_close,"
+            f" {buy} AS s_buy, {sell} AS s_sell, {least('@.vol / #n')} AS cap, {least('@.oi1 / #n')} AS oicap,"
+            f" {total('@.cost * #n', False)} AS cost, {least('@.events')} AS events,"
+            f" {total('#s * #n * @.open * @.size', False)} AS v_open, {total('#s * #n * @.close * @.size', False)} AS v_close,"
+            f" {total('@.value / @.vol')} AS s_vwap, {least('(@.ask - @.bid) / @.tick', 'greatest')} AS ticks,"
+            f" {float(min(long, short) or max(long, short))}::DOUBLE AS barrels, {least('@.risk_date')} AS risk_date,"
+            f" {least('@.blackout')} AS blackout, {least('@.forced')} AS forced,"
+            f" a.d < {least('@.forced')} AS entry_allowed, {roll} AS roll_id, l1.close * l1.k AS leg1, l2.close * l2.k AS leg2,"
+            f" dense_rank() OVER (PARTITION BY a.d ORDER BY a.di) AS srank, {len(s.legs)} AS n_legs"
+            f" FROM prep a {joins} WHERE a.root = '{s.anchor_root}') WHERE srank = {s.anchor_rank}"
+        )
+    return "pk AS (\n" + "\nUNION ALL\n".join(parts) + ")"
+
+
+ADJUSTED = """
+ad0 AS (SELECT *, lag(s_close) OVER w AS pc, coalesce(roll_id <> lag(roll_id) OVER w, false) AS rolled FROM pk WINDOW w AS (PARTITION BY spread_id ORDER BY d)),
+ad1 AS (SELECT *, CASE WHEN rolled THEN pc - s_close ELSE 0 END AS gap, CASE WHEN NOT rolled THEN s_close - pc END AS chg FROM ad0),
+adj AS (SELECT *, s_close - coalesce(sum(gap) OVER (PARTITION BY spread_id ORDER BY d ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS x,
+  cap * barrels AS bbl, len(list_filter(generate_series(d, risk_date - INTERVAL 1 DAY, INTERVAL 1 DAY), lambda v: isodow(v) <= 5)) AS to_risk,
+  row_number() OVER (PARTITION BY spread_id ORDER BY d) AS rn FROM ad1)"""

@@ -83,7 +83,7 @@ def day_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # The roots the return flags stand for, and a price scale per root.
-ROOT_OF_FLAG = {"A": ("HO", 500.0), "N": ("CL", 15.0), "R": ("QS", 2.0)}
+ROOT_OF_FLAG = {"A": ("HO", 503.0), "N": ("CL", 15.1), "R": ("QS", 1.99)}
 
 
 def _by_flag(index: int) -> Column:
@@ -107,13 +107,13 @@ def contract_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .groupBy("root", "step", "session_date")
         .agg(
-            F.round(F.max_by(unit, F.struct("l_quantity", "l_extendedprice")), 4).alias("open"),
-            F.round(F.max(unit), 4).alias("high"),
-            F.round(F.min(unit), 4).alias("low"),
-            F.round(F.avg(unit), 4).alias("close"),
+            F.round(F.max_by(unit, F.struct("l_quantity", "l_extendedprice")), 10).alias("open"),
+            F.round(F.max(unit), 10).alias("high"),
+            F.round(F.min(unit), 10).alias("low"),
+            F.round(F.avg(unit), 10).alias("close"),
             F.sum("l_quantity").alias("volume_contracts"),
             F.count(F.lit(1)).cast("double").alias("num_events"),
-            F.round(F.sum(F.col("l_extendedprice") / F.col("_scale")), 2).alias("value"),
+            F.round(F.sum(F.col("l_extendedprice") / F.col("_scale")), 6).alias("value"),
         )
         .withColumn("delivery_month", F.add_months(quarter_end, F.col("step")))
         .withColumn(
@@ -179,3 +179,37 @@ def curve(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy(F.col("o_orderpriority").alias("series"), F.to_date("o_orderdate").alias("day"))
         .agg(F.round(F.avg("o_totalprice"), 2).alias("value"), F.count(F.lit(1)).alias("n"))
     )
+
+
+def quoted_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract bars with BID and ASK rows beside the trades of busier days."""
+    trade = contract_bars(spark, sf_dir)
+    busy = trade.filter(F.col("num_events") >= 3)
+    bid = busy.withColumns({"event_type": F.lit("BID"), "close": F.round(F.col("close") * 0.999, 10)})
+    ask = busy.withColumns({"event_type": F.lit("ASK"), "close": F.round(F.col("close") * 1.001, 10)})
+    return trade.unionByName(bid).unionByName(ask)
+
+
+def contract_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = contract_bars(spark, sf_dir)
+    return bars.select(
+        "session_date", "root", "security", "delivery_month", "close",
+        F.col("volume_contracts"), (F.col("volume_contracts") * 10 + F.col("num_events")).alias("open_interest"),
+    )
+
+
+def market(spark: SparkSession, sf_dir: str, settings=None, horizon: int = 2, quoted: bool = True):
+    """The technical pipeline prepared on the contract bars."""
+    from curvelab.config import IndicatorSettings, Settings
+    from curvelab.operators.structures import curve_structures
+    from curvelab.plans.technical import Inputs, prepare
+
+    settings = settings or Settings(indicators=IndicatorSettings.per_session(8))
+    bars = quoted_bars(spark, sf_dir) if quoted else contract_bars(spark, sf_dir)
+    universe = contract_dates(contract_bars(spark, sf_dir))
+    return prepare(
+        spark,
+        Inputs(bars, universe, universe, contract_daily(spark, sf_dir)),
+        curve_structures(horizon, ("HO", "CL", "QS")),
+        settings,
+    )
