@@ -56,6 +56,10 @@ def _or_zero(scale: Column, value: Column, numerator: Column, neutral: float) ->
     return F.when(scale > EPSILON, value).when(F.abs(numerator) <= EPSILON, F.lit(neutral))
 
 
+def signed_volume() -> Column:
+    return F.coalesce(F.signum("price_change") * F.col("paired_volume_bbl"), F.lit(0.0))
+
+
 def with_point_columns(df: DataFrame) -> DataFrame:
     """Row-local inputs of the window stages."""
     change, volume = F.col("price_change"), F.col("paired_volume_bbl")
@@ -64,7 +68,7 @@ def with_point_columns(df: DataFrame) -> DataFrame:
             "abs_change": F.abs(change),
             "amihud_impact_proxy": F.abs(change) / (volume + 1.0) * 1_000_000.0,
             "average_trade_size_bbl_proxy": S.ratio(volume, F.col("min_leg_events")),
-            "signed_volume": F.coalesce(F.signum(change) * volume, F.lit(0.0)),
+            "signed_volume": signed_volume(),
             "_log_capacity": F.log1p(S.clip(F.col("package_volume_capacity"), 0.0)),
         }
     )
@@ -72,12 +76,12 @@ def with_point_columns(df: DataFrame) -> DataFrame:
 
 def same_slot_features(
     df: DataFrame, p: IndicatorSettings, entity: str = "spread_id", ts: str = "timestamp_utc", slot: str = "bar_slot",
-    bucket: Column | None = None, block: int = 4096,
+    bucket: Column | None = None, block: int = 4096, base: DataFrame | None = None,
 ) -> DataFrame:
     """Baselines of the same bar of the day over earlier sessions."""
     n, m = p.volume_seasonality_sessions, p.same_slot_minimum
     bucket = F.date_trunc("month", F.col("session_date")) if bucket is None else bucket
-    b = blocked(df, [entity, slot], ts, bucket, halo=2 * n + 1, block=block)
+    b = blocked(df, [entity, slot], ts, bucket, halo=2 * n + 1, block=block, base=base)
     prior = b.prior(n)
 
     def baseline(name: str) -> Column:
@@ -106,7 +110,9 @@ def same_slot_features(
     return b.finish(done, "_tod_change", "_tod_volume", "_tod_impact", "_volume_error", "_tod_error", "_log_capacity")
 
 
-def session_features(df: DataFrame, entity: str = "spread_id", ts: str = "timestamp_utc") -> DataFrame:
+def session_features(
+    df: DataFrame, entity: str = "spread_id", ts: str = "timestamp_utc", base: DataFrame | None = None
+) -> DataFrame:
     """Session VWAP (bounded by one session) and the running signed volume of a roll."""
     session = (
         Window.partitionBy(entity, "session_date", "roll_id").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
@@ -115,7 +121,7 @@ def session_features(df: DataFrame, entity: str = "spread_id", ts: str = "timest
     vwap = df.withColumn(
         "session_vwap_proxy", S.ratio(weighted, F.nullif(F.sum("package_volume_capacity").over(session), F.lit(0.0)))
     )
-    return running_total(vwap, [entity, "roll_id"], ts, F.col("session_date"), {"obv_proxy": F.col("signed_volume")})
+    return running_total(vwap, [entity, "roll_id"], ts, F.col("session_date"), {"obv_proxy": signed_volume()}, base=base)
 
 
 def price_features(b: Blocked, df: DataFrame, p: IndicatorSettings) -> DataFrame:
@@ -417,23 +423,27 @@ def calendar_features(df: DataFrame, local: str = "bar_start_local") -> DataFram
 
 def open_blocks(
     df: DataFrame, p: IndicatorSettings, entity: str = "spread_id", ts: str = "timestamp_utc",
-    bucket: Column | None = None, block: int = 4096,
+    bucket: Column | None = None, block: int = 4096, base: DataFrame | None = None,
 ) -> Blocked:
     """Blocks fit for every window and smoother of this module."""
     halo = needed_halo(p)
     alphas = smoothing_alphas(p)
     size = block_for(alphas, halo, block)
     check_block(alphas, halo, size)
-    return blocked(df, entity, ts, F.col("session_date") if bucket is None else bucket, halo, size)
+    return blocked(df, entity, ts, F.col("session_date") if bucket is None else bucket, halo, size, base)
 
 
 def add_indicators(
     bars: DataFrame, p: IndicatorSettings, entity: str = "spread_id", ts: str = "timestamp_utc", block: int = 4096
 ) -> DataFrame:
-    """All indicators; unused ones are pruned from the plan by column."""
-    slotted = same_slot_features(with_point_columns(bars), p, entity, ts)
-    sessions = session_features(slotted, entity, ts)
-    b = open_blocks(sessions, p, entity, ts, block=block)
+    """All indicators; unused ones are pruned from the plan by column.
+
+    ``bars`` should be a stored table: its keys are scanned for the block numbering
+    beside the one pass over its rows.
+    """
+    slotted = same_slot_features(with_point_columns(bars), p, entity, ts, base=bars)
+    sessions = session_features(slotted, entity, ts, base=bars)
+    b = open_blocks(sessions, p, entity, ts, block=block, base=bars)
     out = price_features(b, b.frame, p)
     out = volume_features(b, out, p)
     out = structure_features(b, out, p)

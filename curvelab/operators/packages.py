@@ -193,27 +193,23 @@ def back_adjust(
     checked = packages.withColumn(
         "roll_id", F.coalesce("roll_id", F.raise_error(F.lit("roll_id must not be null")).cast("string"))
     )
-    b = blocked(checked, entity, ts, bucket, halo=1, block=block)
+    b = blocked(checked, entity, ts, bucket, halo=1, block=block, base=packages)
     previous = F.lag("spread_close").over(b.order)
     rolled = F.coalesce(F.col("roll_id") != F.lag("roll_id").over(b.order), F.lit(False))
     same_day = F.col("session_date") == F.lag("session_date").over(b.order)
-    seen = b.frame.withColumns({"_previous": previous, "roll_event": rolled, "_same_day": same_day})
-    seen = b.finish(seen)
+    seen = b.finish(b.frame.withColumns({"_previous": previous, "roll_event": rolled, "_same_day": same_day}))
     change = F.when(~F.col("roll_event"), F.col("spread_close") - F.col("_previous"))
     changes = seen.withColumns(
         {
             "price_change": change,
             "intraday_change": F.when(F.col("_same_day"), change),
             "overnight_change": F.when(~F.col("_same_day"), change),
-            "_gap": F.when(F.col("roll_event"), F.col("_previous") - F.col("spread_close")).otherwise(0.0),
         }
     )
-    summed = running_total(changes, entity, ts, bucket, {"_shift": F.col("_gap")})
-    whole = changes.groupBy(entity).agg(F.sum("_gap").alias("_all_gaps"))
-    return (
-        summed.join(whole, entity)
-        .withColumn("research_close", F.col("spread_close") + F.col("_shift") - F.col("_all_gaps"))
-        .drop("_previous", "_same_day", "_gap", "_shift", "_all_gaps")
+    gap = F.when(F.col("roll_event"), F.col("_previous") - F.col("spread_close")).otherwise(0.0)
+    summed = running_total(changes, entity, ts, bucket, {"_shift": gap}, whole={"_shift": "_all_gaps"})
+    return summed.withColumn("research_close", F.col("spread_close") + F.col("_shift") - F.col("_all_gaps")).drop(
+        "_previous", "_same_day", "_shift", "_all_gaps"
     )
 
 

@@ -1,10 +1,12 @@
-"""The technical pipeline as one lazy plan: bars to features.
+"""The technical pipeline: bars, packages, features.
 
-Every stage is a DataFrame; nothing runs until a sink or a check asks for rows.
+Stages that several later steps read are stage tables (see ``curvelab.stages``); what
+lies between two stages is one lazy plan.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,7 @@ from curvelab.operators import calendar as C
 from curvelab.operators import indicators as I
 from curvelab.operators import packages as P
 from curvelab.operators import structures as G
+from curvelab.stages import write_stage
 
 
 @dataclass(frozen=True)
@@ -27,6 +30,14 @@ class Inputs:
     daily: DataFrame | None = None
 
 
+# Gives the stage table of a label, building it where it does not exist yet.
+Store = Callable[[str, Callable[[], DataFrame]], DataFrame]
+
+
+def write_always(label: str, build: Callable[[], DataFrame]) -> DataFrame:
+    return write_stage(build(), label)
+
+
 @dataclass(frozen=True)
 class Market:
     """Prepared bars and the registries they were prepared with."""
@@ -37,17 +48,43 @@ class Market:
     legs: DataFrame
     calendar: DataFrame
     contracts: DataFrame
-    prepared: DataFrame = field(repr=False)
+    store: Store = field(repr=False)
+    _prepared: Callable[[], DataFrame] = field(repr=False)
+
+    @property
+    def prepared(self) -> DataFrame:
+        return self.store("prepared", self._prepared)
+
+    @property
+    def raw_packages(self) -> DataFrame:
+        return self.store(
+            "packages", lambda: P.build_packages(self.prepared, self.legs, self.structure_table)
+        )
+
+    @property
+    def packages(self) -> DataFrame:
+        """Back-adjusted package bars."""
+        return self.store("package-bars", lambda: P.risk_distance(P.back_adjust(self.raw_packages)))
+
+    @property
+    def features(self) -> DataFrame:
+        return self.store("features", lambda: I.add_indicators(self.packages, self.settings.indicators))
 
 
 def prepare(
-    spark: SparkSession, inputs: Inputs, structures: tuple[G.Structure, ...], settings: Settings = Settings()
+    spark: SparkSession,
+    inputs: Inputs,
+    structures: tuple[G.Structure, ...],
+    settings: Settings = Settings(),
+    store: Store = write_always,
 ) -> Market:
     span = inputs.universe.agg(
         F.min("fallback_expiry").alias("first_day"), F.max("fallback_expiry").alias("last_day")
     )
     calendar = C.session_calendar(span)
-    contracts = C.contract_registry(inputs.universe, inputs.reference, calendar, settings.system)
+    contracts = store(
+        "contracts", lambda: C.contract_registry(inputs.universe, inputs.reference, calendar, settings.system)
+    )
     roots = C.root_table(spark, settings.roots)
     return Market(
         settings,
@@ -56,13 +93,6 @@ def prepare(
         G.leg_table(spark, structures),
         calendar,
         contracts,
-        P.prepare_bars(inputs.bars, contracts, roots, inputs.daily),
+        store,
+        lambda: P.prepare_bars(inputs.bars, contracts, roots, inputs.daily),
     )
-
-
-def package_bars(market: Market) -> DataFrame:
-    return P.package_bars(market.prepared, market.legs, market.structure_table)
-
-
-def features(market: Market, bars: DataFrame | None = None) -> DataFrame:
-    return I.add_indicators(package_bars(market) if bars is None else bars, market.settings.indicators)

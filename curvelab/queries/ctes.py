@@ -55,7 +55,7 @@ raw AS (
 cb0 AS (
   SELECT root, step, d,
          round(arg_max(e / q / scale, {'q': q, 'e': e}), 10) AS open, round(avg(e / q / scale), 10) AS close,
-         sum(q) AS vol, count(*)::DOUBLE AS events, round(sum(e / scale), 6) AS value
+         sum(q) AS vol, count(*)::DOUBLE AS events, sum(e / scale) AS value
   FROM raw GROUP BY ALL),
 cbars AS (
   SELECT *, CAST(date_trunc('quarter', d) + INTERVAL 3 MONTH + step * INTERVAL 1 MONTH AS DATE) AS delivery,
@@ -107,7 +107,7 @@ PREPARED = f"""{CBARS}, {REGISTRY}, {ECON},
 oi AS (SELECT security, d, lag(vol * 10 + events) OVER (PARTITION BY security ORDER BY d) AS oi1,
   lag(vol * 10 + events) OVER (PARTITION BY security ORDER BY d) - lag(vol * 10 + events, 6) OVER (PARTITION BY security ORDER BY d) AS oi5 FROM cbars),
 prep AS (SELECT c.*, year(c.delivery) * 12 + month(c.delivery) - 1 AS di, r.blackout, r.forced, k, size, bbl, tick, cost, oi1, oi5,
-  CASE WHEN events >= 3 THEN round(close * 0.999, 10) END AS bid, CASE WHEN events >= 3 THEN round(close * 1.001, 10) END AS ask,
+  CASE WHEN events >= 3 THEN close * 0.999 END AS bid, CASE WHEN events >= 3 THEN close * 1.001 END AS ask,
   row_number() OVER (PARTITION BY c.root, c.d ORDER BY c.delivery) AS grank
   FROM cbars c JOIN reg r USING (root, security, delivery) JOIN econ USING (root) JOIN oi ON oi.security = c.security AND oi.d = c.d
   WHERE c.d < r.blackout)"""

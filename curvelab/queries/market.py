@@ -6,11 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curvelab.edge import settle, settle_sql
-from curvelab.functions import dates as D
 from curvelab.operators import calendar as C
 from curvelab.operators import packages as PK
 from curvelab.operators import structures as G
-from curvelab.plans import technical as T
 from curvelab.queries import ctes
 from curvelab.registry import query
 from curvelab.sources import views
@@ -196,7 +194,7 @@ _K = "spread_id, strftime(d, '%Y-%m-%d') AS session_date"
 def package_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All legs of a structure at one time, for structures of two and four legs."""
     m = views.market(spark, sf_dir)
-    return settle(PK.build_packages(m.prepared, m.legs, m.structure_table).select("spread_id", "session_date", "roll_id", "n_legs"))
+    return settle(m.raw_packages.select("spread_id", "session_date", "roll_id", "n_legs"))
 
 
 @query(
@@ -207,20 +205,20 @@ def package_align(spark: SparkSession, sf_dir: str) -> DataFrame:
         " s_vwap AS spread_bar_vwap, ticks AS max_leg_bid_ask_ticks, s_buy - s_sell AS quoted_width_usd_bbl, cap * barrels AS paired_volume_bbl,"
         " strftime(risk_date, '%Y-%m-%d') AS earliest_risk_date, strftime(forced, '%Y-%m-%d') AS forced_exit_session, CAST(entry_allowed AS BIGINT) AS entry_allowed FROM pk",
         "spread_id, session_date, earliest_risk_date, forced_exit_session, entry_allowed",
-        "spread_open, spread_close, package_volume_capacity, package_oi_capacity, one_way_cost_usd, min_leg_events, package_open_value_usd:4,"
-        " package_close_value_usd:4, spread_bar_vwap, max_leg_bid_ask_ticks, quoted_width_usd_bbl, paired_volume_bbl",
+        "spread_open, spread_close, package_volume_capacity, package_oi_capacity, one_way_cost_usd, min_leg_events, package_open_value_usd:3,"
+        " package_close_value_usd:3, spread_bar_vwap, max_leg_bid_ask_ticks, quoted_width_usd_bbl, paired_volume_bbl",
     ),
 )
 def package_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Package prices, quotes, capacity, cost and value from the legs."""
     m = views.market(spark, sf_dir)
-    df = PK.build_packages(m.prepared, m.legs, m.structure_table)
+    df = m.raw_packages
     return settle(df.select(
         "spread_id", "session_date", "spread_open", "spread_close", "package_volume_capacity", "package_oi_capacity",
         "one_way_cost_usd", "min_leg_events", "package_open_value_usd", "package_close_value_usd", "spread_bar_vwap",
         "max_leg_bid_ask_ticks", "quoted_width_usd_bbl", "paired_volume_bbl", "earliest_risk_date", "forced_exit_session",
         "entry_allowed",
-    ), package_open_value_usd=4, package_close_value_usd=4)
+    ), package_open_value_usd=3, package_close_value_usd=3)
 
 
 @query(
@@ -232,7 +230,7 @@ def package_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def roll_back_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Continuous close over rolls, bar change, business days to expiry."""
-    df = T.package_bars(views.market(spark, sf_dir))
+    df = views.market(spark, sf_dir).packages
     return settle(df.select("spread_id", "session_date", "roll_event", "price_change", "research_close", "sessions_to_risk_date"))
 
 
@@ -285,7 +283,7 @@ def leg_library(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latest_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leg securities at the newest time."""
     m = views.market(spark, sf_dir)
-    return settle(PK.latest_leg_securities(PK.build_packages(m.prepared, m.legs, m.structure_table)))
+    return settle(PK.latest_leg_securities(m.raw_packages))
 
 
 @query(
@@ -304,7 +302,7 @@ def structure_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     from curvelab.operators.quality import structure_coverage as coverage
 
     m = views.market(spark, sf_dir, horizon=4)
-    return settle(coverage(m.structure_table, PK.build_packages(m.prepared, m.legs, m.structure_table)).select(
+    return settle(coverage(m.structure_table, m.raw_packages).select(
         "spread_id", "family", "status", "feature_rows", "sessions", "coverage_start", "coverage_end",
         "entry_allowed_share", "median_package_capacity",
     ))

@@ -35,17 +35,22 @@ def row_index(
     order: Sequence[str | Column] | str,
     bucket: Column,
     name: str = ROW,
+    base: DataFrame | None = None,
 ) -> DataFrame:
     """1-based row number per entity without gathering an entity in one task.
 
     ``bucket`` must be monotone in the order (for example the month of the bar
     time).  Counts per (entity, bucket) are combined map-side; only that small table
     is prefix-summed per entity; the final numbering happens inside a bucket.
+
+    ``base`` is a stored table with the same rows as ``df`` before columns were
+    added.  The counts then scan its keys only and nothing upstream runs twice.
     """
     keys = _cols(entity)
     by = [order] if isinstance(order, (str, Column)) else list(order)
     bucketed = df.withColumn(_BUCKET, bucket)
-    counts = bucketed.groupBy(*keys, _BUCKET).agg(F.count(F.lit(1)).alias("_n"))
+    counted = bucketed if base is None else base.withColumn(_BUCKET, bucket)
+    counts = counted.groupBy(*keys, _BUCKET).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         *keys, _BUCKET, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(_BEFORE)
@@ -100,13 +105,14 @@ def blocked(
     bucket: Column,
     halo: int,
     block: int = 4096,
+    base: DataFrame | None = None,
 ) -> Blocked:
     """Cut every entity into blocks of ``block`` rows plus ``halo`` earlier rows.
 
     ``halo`` is the sum of look-backs along the longest chain of dependent windows.
     """
     keys = _cols(entity)
-    indexed = row_index(df, keys, order, bucket)
+    indexed = row_index(df, keys, order, bucket, base=base)
     own = F.floor((F.col(ROW) - 1) / F.lit(block))
     last = F.floor((F.col(ROW) - 1 + F.lit(halo)) / F.lit(block))
     frame = (
@@ -128,18 +134,35 @@ def running_total(
     order: Sequence[str | Column] | str,
     bucket: Column,
     totals: dict[str, Column],
+    base: DataFrame | None = None,
+    whole: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Unbounded running sums per key as a two-level prefix sum."""
+    """Unbounded running sums per key as a two-level prefix sum.
+
+    ``base`` as in ``row_index``; the summed expressions must exist on it.  ``whole``
+    asks for the complete sum of a total as one more column, from the same small table.
+    """
     keys = _cols(keys)
     by = [order] if isinstance(order, (str, Column)) else list(order)
     parts = {name: f"_part_{i}" for i, name in enumerate(totals)}
-    work = df.withColumn(_BUCKET, bucket).withColumns({parts[n]: e for n, e in totals.items()})
-    sums = work.groupBy(*keys, _BUCKET).agg(*[F.sum(p).alias(f"{p}_t") for p in parts.values()])
-    before = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+
+    def with_parts(frame: DataFrame) -> DataFrame:
+        return frame.withColumns({_BUCKET: bucket, **{parts[n]: e for n, e in totals.items()}})
+
+    work = with_parts(df)
+    summed = work if base is None else with_parts(base)
+    sums = summed.groupBy(*keys, _BUCKET).agg(*[F.sum(p).alias(f"{p}_t") for p in parts.values()])
+    per_key = Window.partitionBy(*keys).orderBy(_BUCKET)
+    before = per_key.rowsBetween(Window.unboundedPreceding, -1)
+    everything = per_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = sums.select(
         *keys,
         _BUCKET,
         *[F.coalesce(F.sum(f"{p}_t").over(before), F.lit(0.0)).alias(f"{p}_b") for p in parts.values()],
+        *[
+            F.coalesce(F.sum(f"{parts[n]}_t").over(everything), F.lit(0.0)).alias(alias)
+            for n, alias in (whole or {}).items()
+        ],
     )
     inside = Window.partitionBy(*keys, _BUCKET).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
     return (

@@ -46,22 +46,28 @@ def build(master: str | None = None, app: str = "curvelab", partitions: int = 8)
     return tune(spark)
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints: the cluster's own setting wins.
+    """Shared folder for checkpoints and stage tables: the cluster's own setting wins.
 
-    Only where nothing is set (local tests) a fresh local folder is made.
+    Only where nothing is set and Spark runs in one local process (tests) a fresh
+    temporary folder is made.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        configured = tempfile.mkdtemp(prefix="curvelab-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    spark.sparkContext.setCheckpointDir(configured)
-    return configured
+    if configured:
+        return configured
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+    if context.applicationId not in _LOCAL_DIRS:
+        _LOCAL_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="curvelab-")
+    return _LOCAL_DIRS[context.applicationId]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors, unlike a cached copy."""
-    checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
     return df.checkpoint(eager=True)

@@ -1,15 +1,29 @@
 """Views over the star-schema and event tables that give the operators their inputs.
 
-Times are cut and grouped on read; every view is one aggregation over a whole table.
+Every view is one aggregation over a whole table.  Views that stand for a bar store
+(``stored``) are written as a stage table on first use in an application, as a real
+store would be, and scanned by column afterwards.
 """
 
 from __future__ import annotations
 
+import functools
 import os
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curvelab.stages import stage
+
+
+def stored(view: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(view)
+    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return stage(spark, view.__name__, sf_dir, lambda: view(spark, sf_dir))
+
+    return read
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
@@ -22,6 +36,7 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@stored
 def hour_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars per event type: a session is a day of 24 slots."""
     hour = F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz")
@@ -41,13 +56,13 @@ def hour_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@stored
 def hour_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars in the column layout of package bars (one leg, no rolls)."""
-    from pyspark.sql import Window
-
     from curvelab.scale import blocked
 
-    b = blocked(hour_bars(spark, sf_dir), "spread_id", "timestamp_utc", F.col("session_date"), halo=1)
+    bars = hour_bars(spark, sf_dir)
+    b = blocked(bars, "spread_id", "timestamp_utc", F.col("session_date"), halo=1, base=bars)
     out = b.frame.withColumn("price_change", F.round(F.col("close") - F.lag("close").over(b.order), 4))
     return b.finish(out).select(
         "spread_id", "timestamp_utc", "session_date", "bar_slot",
@@ -67,6 +82,7 @@ def hour_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@stored
 def day_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily average unit price and quantity per brand."""
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
@@ -93,6 +109,7 @@ def _by_flag(index: int) -> Column:
     return out
 
 
+@stored
 def contract_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars of dated contracts: two deliveries per root, rolling every quarter."""
     unit = F.col("l_extendedprice") / F.col("l_quantity") / F.col("_scale")
@@ -113,7 +130,7 @@ def contract_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.round(F.avg(unit), 10).alias("close"),
             F.sum("l_quantity").alias("volume_contracts"),
             F.count(F.lit(1)).cast("double").alias("num_events"),
-            F.round(F.sum(F.col("l_extendedprice") / F.col("_scale")), 6).alias("value"),
+            F.sum(F.col("l_extendedprice") / F.col("_scale")).alias("value"),
         )
         .withColumn("delivery_month", F.add_months(quarter_end, F.col("step")))
         .withColumn(
@@ -172,6 +189,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@stored
 def curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily average order value per priority: a dated series with gaps."""
     return (
@@ -185,8 +203,8 @@ def quoted_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract bars with BID and ASK rows beside the trades of busier days."""
     trade = contract_bars(spark, sf_dir)
     busy = trade.filter(F.col("num_events") >= 3)
-    bid = busy.withColumns({"event_type": F.lit("BID"), "close": F.round(F.col("close") * 0.999, 10)})
-    ask = busy.withColumns({"event_type": F.lit("ASK"), "close": F.round(F.col("close") * 1.001, 10)})
+    bid = busy.withColumns({"event_type": F.lit("BID"), "close": F.col("close") * 0.999})
+    ask = busy.withColumns({"event_type": F.lit("ASK"), "close": F.col("close") * 1.001})
     return trade.unionByName(bid).unionByName(ask)
 
 
@@ -199,12 +217,13 @@ def contract_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def market(spark: SparkSession, sf_dir: str, settings=None, horizon: int = 2, quoted: bool = True):
-    """The technical pipeline prepared on the contract bars."""
+    """The technical pipeline prepared on the contract bars; its stages are kept per application."""
     from curvelab.config import IndicatorSettings, Settings
     from curvelab.operators.structures import curve_structures
     from curvelab.plans.technical import Inputs, prepare
 
     settings = settings or Settings(indicators=IndicatorSettings.per_session(8))
+    key = f"{sf_dir}|{settings!r}|{horizon}|{quoted}"
     bars = quoted_bars(spark, sf_dir) if quoted else contract_bars(spark, sf_dir)
     universe = contract_dates(contract_bars(spark, sf_dir))
     return prepare(
@@ -212,4 +231,5 @@ def market(spark: SparkSession, sf_dir: str, settings=None, horizon: int = 2, qu
         Inputs(bars, universe, universe, contract_daily(spark, sf_dir)),
         curve_structures(horizon, ("HO", "CL", "QS")),
         settings,
+        store=lambda label, build: stage(spark, label, key, build),
     )
