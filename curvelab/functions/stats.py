@@ -1,4 +1,4 @@
-"""Window statistics with minimum counts, and a few closed-form functions."""
+"""Window extremes with minimum counts, and a few closed-form functions."""
 
 from __future__ import annotations
 
@@ -11,64 +11,22 @@ from pyspark.sql import functions as F
 HALF_PI = math.pi / 2.0
 
 
-def enough(x: Column, w: WindowSpec, minimum: int, value: Column) -> Column:
-    """``value`` only where the frame holds at least ``minimum`` non-null inputs."""
-    return F.when(F.count(x).over(w) >= minimum, value)
-
-
-def mean(x: Column, w: WindowSpec, minimum: int) -> Column:
-    return enough(x, w, minimum, F.avg(x).over(w))
-
-
-def total(x: Column, w: WindowSpec, minimum: int) -> Column:
-    return enough(x, w, minimum, F.sum(x).over(w))
-
-
-def std(x: Column, w: WindowSpec, minimum: int) -> Column:
-    return enough(x, w, minimum, F.stddev_samp(x).over(w))
-
-
-def var(x: Column, w: WindowSpec, minimum: int) -> Column:
-    return enough(x, w, minimum, F.var_samp(x).over(w))
-
-
 def low(x: Column, w: WindowSpec, minimum: int) -> Column:
-    return enough(x, w, minimum, F.min(x).over(w))
+    return F.when(F.count(x).over(w) >= minimum, F.min(x).over(w))
 
 
 def high(x: Column, w: WindowSpec, minimum: int) -> Column:
-    return enough(x, w, minimum, F.max(x).over(w))
-
-
-def quantile(x: Column, w: WindowSpec, minimum: int, q: float) -> Column:
-    return enough(x, w, minimum, F.percentile(x, F.lit(q)).over(w))
-
-
-def median(x: Column, w: WindowSpec, minimum: int) -> Column:
-    return quantile(x, w, minimum, 0.5)
-
-
-def correlation(x: Column, y: Column, w: WindowSpec, minimum: int) -> Column:
-    both = x.isNotNull() & y.isNotNull()
-    a, b = F.when(both, x), F.when(both, y)
-    flat = (F.var_samp(a).over(w) == 0) | (F.var_samp(b).over(w) == 0)
-    return F.when((F.count(a).over(w) >= minimum) & ~flat, F.corr(a, b).over(w))
-
-
-def skew_sample(x: Column, w: WindowSpec, minimum: int) -> Column:
-    """Bias-corrected skewness from Spark's population moment."""
-    n = F.count(x).over(w).cast("double")
-    g = F.skewness(x).over(w)
-    value = g * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0))
-    return F.when((F.count(x).over(w) >= max(minimum, 3)), value)
+    return F.when(F.count(x).over(w) >= minimum, F.max(x).over(w))
 
 
-def kurtosis_sample(x: Column, w: WindowSpec, minimum: int) -> Column:
-    """Bias-corrected excess kurtosis from Spark's population moment."""
-    n = F.count(x).over(w).cast("double")
-    g = F.kurtosis(x).over(w)
-    value = (n - 1) * ((n + 1) * g + 6) / F.nullif((n - 2) * (n - 3), F.lit(0.0))
-    return F.when((F.count(x).over(w) >= max(minimum, 4)), value)
+def sorted_quantile(values: Column, q: float) -> Column:
+    """Linear quantile of a sorted array column."""
+    n = F.size(values)
+    at = (n - 1) * F.lit(q)
+    lower = F.floor(at).cast("int")
+    a = F.get(values, lower)
+    b = F.get(values, F.least(lower + 1, n - 1))
+    return F.when(n > 0, a + (b - a) * (at - lower))
 
 
 def clip(x: Column, lowest: float | None = None, highest: float | None = None) -> Column:

@@ -10,16 +10,20 @@ session sums by (entity, session), everything else by (entity, block).
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curvelab.config import IndicatorSettings
+from curvelab.functions import rolling as R
 from curvelab.functions import stats as S
 from curvelab.functions.dates import weekday
 from curvelab.operators.smoothers import block_for, check_block, rsi, smooth, smooth_nullable, span_alpha
-from curvelab.scale import Blocked, blocked, running_total
+from curvelab.scale import BLOCK, ROW, Blocked, blocked, running_total
 
 EPSILON = 1e-12
 MAD_TO_STD = 1.4826
@@ -78,25 +82,35 @@ def same_slot_features(
     df: DataFrame, p: IndicatorSettings, entity: str = "spread_id", ts: str = "timestamp_utc", slot: str = "bar_slot",
     bucket: Column | None = None, block: int = 4096, base: DataFrame | None = None,
 ) -> DataFrame:
-    """Baselines of the same bar of the day over earlier sessions."""
+    """Baselines of the same bar of the day over earlier sessions.
+
+    The window holds at most twenty values, which are collected and sorted per row.
+    """
     n, m = p.volume_seasonality_sessions, p.same_slot_minimum
     bucket = F.date_trunc("month", F.col("session_date")) if bucket is None else bucket
     b = blocked(df, [entity, slot], ts, bucket, halo=2 * n + 1, block=block, base=base)
     prior = b.prior(n)
 
-    def baseline(name: str) -> Column:
-        return S.median(F.col(name), prior, m)
+    def collected(**named: str) -> dict[str, Column]:
+        return {out: F.collect_list(column).over(prior) for out, column in named.items()}
 
-    first = b.frame.withColumns(
+    def baseline(column: str) -> Column:
+        return F.when(F.size(column) >= m, S.sorted_quantile(F.sort_array(column), 0.5))
+
+    lists = b.frame.withColumns(
+        collected(_l_cap="package_volume_capacity", _l_change="abs_change", _l_volume="_log_capacity", _l_impact="amihud_impact_proxy")
+    )
+    first = lists.withColumns(
         {
-            "expected_tod_package_volume": baseline("package_volume_capacity"),
-            "_tod_change": baseline("abs_change"),
-            "_tod_volume": baseline("_log_capacity"),
-            "_tod_impact": baseline("amihud_impact_proxy"),
+            "expected_tod_package_volume": baseline("_l_cap"),
+            "_tod_change": baseline("_l_change"),
+            "_tod_volume": baseline("_l_volume"),
+            "_tod_impact": baseline("_l_impact"),
         }
     )
     surprise = F.col("_log_capacity") - F.col("_tod_volume")
-    second = first.withColumn("_volume_error", F.abs(surprise)).withColumn("_tod_error", baseline("_volume_error"))
+    errors = first.withColumn("_volume_error", F.abs(surprise))
+    second = errors.withColumns(collected(_l_error="_volume_error")).withColumn("_tod_error", baseline("_l_error"))
     change, impact = F.col("price_change"), F.col("amihud_impact_proxy")
     change_scale, error_scale = MAD_TO_STD * F.col("_tod_change"), MAD_TO_STD * F.col("_tod_error")
     done = second.withColumns(
@@ -107,7 +121,10 @@ def same_slot_features(
             "robust_volume_surprise": _or_zero(error_scale, S.ratio(surprise, error_scale), surprise, 0.0),
         }
     )
-    return b.finish(done, "_tod_change", "_tod_volume", "_tod_impact", "_volume_error", "_tod_error", "_log_capacity")
+    return b.finish(
+        done, "_tod_change", "_tod_volume", "_tod_impact", "_volume_error", "_tod_error", "_log_capacity",
+        "_l_cap", "_l_change", "_l_volume", "_l_impact", "_l_error",
+    )
 
 
 def session_features(
@@ -124,98 +141,147 @@ def session_features(
     return running_total(vwap, [entity, "roll_id"], ts, F.col("session_date"), {"obv_proxy": signed_volume()}, base=base)
 
 
+def order_statistics(
+    bars: DataFrame, p: IndicatorSettings, halo: int, block: int, entity: str, ts: str, bucket: Column
+) -> DataFrame:
+    """Exact rolling medians and the band-width quantile, per (entity, block, row).
+
+    They depend on the continuous close alone, so only four columns travel.  Sorting a
+    window of 130 to 260 values again for every row is thirty times slower in a Spark
+    frame than the sliding structure pandas keeps, hence the grouped map.  A group is one
+    block of bounded length.
+    """
+    z, band, three = p.robust_z_window, p.bollinger_window, p.three_sessions
+    narrow = bars.select(entity, F.col(ts), bucket.alias("_by"), F.col("research_close").alias("_x"))
+    b = blocked(narrow, entity, ts, F.col("_by"), halo, block)
+
+    def slide(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(ROW)
+        x = group["_x"].reset_index(drop=True)
+        median = x.rolling(z, min_periods=three).median()
+        mad = (x - median).abs().rolling(z, min_periods=three).median()
+        middle = x.rolling(band, min_periods=three)
+        width = 4.0 * middle.std() / middle.mean().abs().replace(0.0, np.nan)
+        p20 = width.shift(1).rolling(p.ten_sessions, min_periods=p.five_sessions).quantile(0.20, interpolation="linear")
+        return pd.DataFrame(
+            {
+                entity: group[entity].to_numpy(), BLOCK: group[BLOCK].to_numpy(), ROW: group[ROW].to_numpy(),
+                "rolling_median": median, "rolling_mad": mad, "bollinger_width_p20": p20,
+            }
+        )
+
+    schema = (
+        f"{entity} string, {BLOCK} bigint, {ROW} bigint, rolling_median double, rolling_mad double,"
+        " bollinger_width_p20 double"
+    )
+    return b.frame.select(entity, BLOCK, ROW, "_x").groupBy(entity, BLOCK).applyInPandas(slide, schema)
+
+
 def price_features(b: Blocked, df: DataFrame, p: IndicatorSettings) -> DataFrame:
     """Location, band, momentum, volatility and AR(1) features of the continuous close."""
     x, change = F.col("research_close"), F.col("price_change")
-    three, five = p.three_sessions, p.five_sessions
-    w_z, w_b, w5, w1, w10 = (
-        b.trailing(p.robust_z_window), b.trailing(p.bollinger_window), b.trailing(five), b.trailing(p.one_session),
-        b.trailing(p.ten_sessions),
-    )
+    one, three, five, ten = p.one_session, p.three_sessions, p.five_sessions, p.ten_sessions
+    band = p.bollinger_window
     move = x - F.lag(x).over(b.order)
+    # The close is measured from the first close of the block, so squares stay small.
     out = df.withColumns(
         {
-            "rolling_median": S.median(x, w_z, three),
-            "bollinger_mid": S.mean(x, w_b, three),
-            "bollinger_std": S.std(x, w_b, three),
+            "_origin": F.first(x).over(b.running),
+            "_lag_x": F.lag(x).over(b.order),
+            "_gain": F.when(move > 0, move).otherwise(0.0),
+            "_loss": F.when(move < 0, -move).otherwise(0.0),
             "ema_fast": smooth(b, x, span_alpha(p.macd_fast), p.macd_fast),
             "ema_slow": smooth(b, x, span_alpha(p.macd_slow), p.macd_slow),
             "donchian_high": S.high(x, b.prior(p.donchian_window), three),
             "donchian_low": S.low(x, b.prior(p.donchian_window), three),
-            "_gain": F.when(move > 0, move).otherwise(0.0),
-            "_loss": F.when(move < 0, -move).otherwise(0.0),
-            "realized_vol_5d": S.std(change, w5, three),
-            "upside_semivol": F.sqrt(S.mean(F.when(change > 0, change * change).otherwise(0.0), w5, three)),
-            "downside_semivol": F.sqrt(S.mean(F.when(change < 0, change * change).otherwise(0.0), w5, three)),
-            "lag_close": F.lag(x).over(b.order),
-            "efficiency_ratio": S.ratio(
-                F.abs(x - F.lag(x, p.one_session).over(b.order)), S.total(F.abs(change), w1, p.one_session)
-            ),
+            "_moved": F.abs(x - F.lag(x, one).over(b.order)),
         }
     )
+    rel, lag_rel = x - F.col("_origin"), F.col("_lag_x") - F.col("_origin")
+    paired = F.when(lag_rel.isNotNull(), rel)
+    series = {
+        "x": R.Track(rel, tuple({band, ten}), 2),
+        "xp": R.Track(paired, (ten,)),
+        "lx": R.Track(lag_rel, (ten,), 2),
+        "xl": R.Track(rel * lag_rel, (ten,)),
+        "d": R.Track(change, (five,), 2),
+        "ad": R.Track(F.abs(change), (one,)),
+        "up": R.Track(F.when(change > 0, change * change).otherwise(0.0), (five,)),
+        "dn": R.Track(F.when(change < 0, change * change).otherwise(0.0), (five,)),
+    }
+    out = R.window_sums(b, out, series)
+    x_mean, lag_mean = R.mean("x", ten, five), R.mean("lx", ten, five)
+    # Means are over each input's own non-null rows; at the start of a series they differ
+    # by one row, and the origin then no longer cancels.
+    cross = R.mean("xl", ten, five) - x_mean * lag_mean + F.col("_origin") * (R.mean("xp", ten, five) - x_mean)
+    lag_var = R.mean("lx", ten, five, power=2) - lag_mean * lag_mean
     out = out.withColumns(
         {
-            "_deviation": F.abs(x - F.col("rolling_median")),
-            "bollinger_upper": F.col("bollinger_mid") + 2 * F.col("bollinger_std"),
-            "bollinger_lower": F.col("bollinger_mid") - 2 * F.col("bollinger_std"),
+            "bollinger_mid": F.col("_origin") + R.mean("x", band, three),
+            "bollinger_std": R.std("x", band, three),
+            "realized_vol_5d": R.std("d", five, three),
+            "upside_semivol": F.sqrt(S.clip(R.mean("up", five, three), 0.0)),
+            "downside_semivol": F.sqrt(S.clip(R.mean("dn", five, three), 0.0)),
+            "efficiency_ratio": S.ratio(F.col("_moved"), F.nullif(R.total("ad", one, one), F.lit(0.0))),
             "macd_line": F.col("ema_fast") - F.col("ema_slow"),
             "_avg_gain": smooth(b, F.col("_gain"), 1.0 / p.rsi_window, p.rsi_window),
             "_avg_loss": smooth(b, F.col("_loss"), 1.0 / p.rsi_window, p.rsi_window),
-            "normalized_change": S.ratio(change, F.col("realized_vol_5d")),
+            "ar1_beta": S.ratio(cross, F.nullif(lag_var, F.lit(0.0))),
         }
-    )
-    out = smooth_nullable(b, out, "abs_change", span_alpha(three), "ewma_abs_change", p.one_session)
+    ).drop(*R.tracked_columns(series), "_origin", "_lag_x", "_gain", "_loss", "_moved")
+    out = smooth_nullable(b, out, "abs_change", span_alpha(three), "ewma_abs_change", one)
     out = smooth_nullable(b, out, "macd_line", span_alpha(p.macd_signal), "macd_signal", p.macd_signal)
     out = out.withColumns(
         {
-            "rolling_mad": S.median(F.col("_deviation"), w_z, three),
+            "bollinger_upper": F.col("bollinger_mid") + 2 * F.col("bollinger_std"),
+            "bollinger_lower": F.col("bollinger_mid") - 2 * F.col("bollinger_std"),
+            "robust_z": S.ratio(x - F.col("rolling_median"), MAD_TO_STD * F.nullif(F.col("rolling_mad"), F.lit(0.0))),
+            "normalized_change": S.ratio(change, F.nullif(F.col("realized_vol_5d"), F.lit(0.0))),
             "rsi": rsi(F.col("_avg_gain"), F.col("_avg_loss")),
-            "bollinger_pct_b": S.ratio(x - F.col("bollinger_lower"), 4 * F.col("bollinger_std")),
-            "bollinger_width": S.ratio(F.col("bollinger_upper") - F.col("bollinger_lower"), F.abs("bollinger_mid")),
             "macd_histogram": F.col("macd_line") - F.col("macd_signal"),
-            "jump_score": S.ratio(F.abs(change), F.col("ewma_abs_change")),
-            "_x_mean": S.mean(x, w10, five),
-            "_lag_mean": S.mean(F.col("lag_close"), w10, five),
-            "_cross": S.mean(x * F.col("lag_close"), w10, five),
-            "_lag_sq": S.mean(F.col("lag_close") * F.col("lag_close"), w10, five),
+            "jump_score": S.ratio(F.abs(change), F.nullif(F.col("ewma_abs_change"), F.lit(0.0))),
+            "ou_half_life_bars": F.when(
+                (F.col("ar1_beta") > 0) & (F.col("ar1_beta") < 0.9999), -math.log(2.0) / F.log("ar1_beta")
+            ),
         }
     )
-    beta = S.ratio(
-        F.col("_cross") - F.col("_x_mean") * F.col("_lag_mean"), F.col("_lag_sq") - F.col("_lag_mean") * F.col("_lag_mean")
-    )
+    std4 = F.nullif(4 * F.col("bollinger_std"), F.lit(0.0))
     out = out.withColumns(
         {
-            "robust_z": S.ratio(x - F.col("rolling_median"), MAD_TO_STD * F.col("rolling_mad")),
-            "bollinger_width_p20": S.quantile(F.col("bollinger_width"), b.prior(p.ten_sessions), five, 0.20),
-            "volatility_of_volatility": S.std(F.col("bollinger_width"), w5, three),
-            "ar1_beta": beta,
+            "bollinger_pct_b": S.ratio(x - F.col("bollinger_lower"), std4),
+            "bollinger_width": S.ratio(F.col("bollinger_upper") - F.col("bollinger_lower"), F.abs("bollinger_mid")),
         }
     )
-    return out.withColumns(
-        {
-            "volatility_squeeze": F.col("bollinger_width") < F.col("bollinger_width_p20"),
-            "ou_half_life_bars": F.when(
-                (F.col("ar1_beta") > 0) & (F.col("ar1_beta") < 0.9999), -math.log(2.0) / F.log("ar1_beta")
-            ),
-        }
-    ).drop("_gain", "_loss", "_deviation", "_avg_gain", "_avg_loss", "_x_mean", "_lag_mean", "_cross", "_lag_sq")
+    width = {"bw": R.Track(F.col("bollinger_width"), (five,), 2)}
+    return (
+        R.window_sums(b, out, width)
+        .withColumns(
+            {
+                "volatility_of_volatility": R.std("bw", five, three),
+                "volatility_squeeze": F.col("bollinger_width") < F.col("bollinger_width_p20"),
+            }
+        )
+        .drop(*R.tracked_columns(width), "_avg_gain", "_avg_loss")
+    )
 
 
 def volume_features(b: Blocked, df: DataFrame, p: IndicatorSettings) -> DataFrame:
-    out = smooth_nullable(b, df, "package_volume_capacity", span_alpha(p.one_session), "_vol_fast", p.one_session)
+    one = p.one_session
+    out = smooth_nullable(b, df, "package_volume_capacity", span_alpha(one), "_vol_fast", one)
     out = smooth_nullable(b, out, "package_volume_capacity", span_alpha(p.three_sessions), "_vol_slow", p.three_sessions)
-    w1 = b.trailing(p.one_session)
+    series = {"sv": R.Track(F.col("signed_volume"), (one,)), "pv": R.Track(F.col("paired_volume_bbl"), (one,))}
+    out = R.window_sums(b, out, series)
     capacity = F.col("package_oi_capacity")
     return out.withColumns(
         {
-            "pvo": S.ratio(F.col("_vol_fast") - F.col("_vol_slow"), F.col("_vol_slow")),
+            "pvo": S.ratio(F.col("_vol_fast") - F.col("_vol_slow"), F.nullif(F.col("_vol_slow"), F.lit(0.0))),
             "signed_volume_imbalance_proxy": S.ratio(
-                S.total(F.col("signed_volume"), w1, p.one_session), S.total(F.col("paired_volume_bbl"), w1, p.one_session)
+                R.total("sv", one, one), F.nullif(R.total("pv", one, one), F.lit(0.0))
             ),
             "effort_vs_result": S.ratio(F.col("relative_volume"), F.abs("normalized_change") + 0.25),
-            "oi_migration_1d": S.ratio(capacity, F.lag(capacity, p.one_session).over(b.order)) - 1.0,
+            "oi_migration_1d": S.ratio(capacity, F.nullif(F.lag(capacity, one).over(b.order), F.lit(0.0))) - 1.0,
         }
-    ).drop("_vol_fast", "_vol_slow")
+    ).drop("_vol_fast", "_vol_slow", *R.tracked_columns(series))
 
 
 def _ordinal_pattern(a: Column, b: Column, c: Column) -> Column:
@@ -233,8 +299,7 @@ def _ordinal_pattern(a: Column, b: Column, c: Column) -> Column:
 def structure_features(b: Blocked, df: DataFrame, p: IndicatorSettings) -> DataFrame:
     """Variance ratios, persistence, entropy, jumps, leg relationship and the regime label."""
     x, change, z = F.col("research_close"), F.col("price_change"), F.col("robust_z")
-    adv, least = b.trailing(p.advanced_window), p.minimum_advanced
-    cross = b.trailing(p.crossing_window)
+    w, least, cross, three = p.advanced_window, p.minimum_advanced, p.crossing_window, p.three_sessions
     two_legs = F.col("n_legs") <= 2
     out = df.withColumns(
         {
@@ -245,51 +310,53 @@ def structure_features(b: Blocked, df: DataFrame, p: IndicatorSettings) -> DataF
             "_leg1": F.col("leg1_usd_bbl") - F.lag("leg1_usd_bbl").over(b.order),
             "_leg2": F.col("leg2_usd_bbl") - F.lag("leg2_usd_bbl").over(b.order),
             "_crossed": (z * F.lag(z).over(b.order) < 0).cast("double"),
-            "_ln_half_life": F.log("ou_half_life_bars"),
         }
-    )
-    out = out.withColumns(
+    ).withColumns(
         {
             "_pattern": _ordinal_pattern(F.col("_lag2"), F.col("_lag1"), change),
             "_leg1_lag": F.lag("_leg1").over(b.order),
             "_leg2_lag": F.lag("_leg2").over(b.order),
-            "_var": S.var(change, adv, least),
-            "_var_vr": S.var(F.col("_delta_vr"), adv, least),
-            "_var_hurst": S.var(F.col("_delta_hurst"), adv, least),
-            "zero_crossing_rate": S.mean(F.col("_crossed"), cross, p.three_sessions),
-            "half_life_stability": F.exp(-S.std(F.col("_ln_half_life"), cross, p.three_sessions) / math.log(2.0)),
-            "_rv": S.total(change * change, adv, least),
-            "_bv": math.pi / 2.0 * S.total(F.abs(change) * F.abs("_lag1"), adv, least),
-            "cusum_change_score": S.total(F.col("normalized_change"), b.trailing(p.cusum_window), p.cusum_window)
-            / math.sqrt(p.cusum_window),
         }
     )
-    shares = [
-        S.mean((F.col("_pattern") == k).cast("double"), b.trailing(p.entropy_window), p.entropy_minimum) for k in range(6)
-    ]
+    series = {
+        "d": R.Track(change, (w,), 2),
+        "vr": R.Track(F.col("_delta_vr"), (w,), 2),
+        "hu": R.Track(F.col("_delta_hurst"), (w,), 2),
+        "zc": R.Track(F.col("_crossed"), (cross,)),
+        "hl": R.Track(F.log("ou_half_life_bars"), (cross,), 2),
+        "bv": R.Track(F.abs(change) * F.abs("_lag1"), (w,)),
+        "nc": R.Track(F.col("normalized_change"), (p.cusum_window,)),
+        **{f"p{k}": R.Track((F.col("_pattern") == k).cast("double"), (p.entropy_window,)) for k in range(6)},
+        **R.pair_tracks("c", F.col("_leg1"), F.col("_leg2"), w),
+        **R.pair_tracks("f", F.col("_leg1"), F.col("_leg2_lag"), w),
+        **R.pair_tracks("g", F.col("_leg2"), F.col("_leg1_lag"), w),
+    }
+    out = R.window_sums(b, out, series)
+    shares = [R.mean(f"p{k}", p.entropy_window, p.entropy_minimum) for k in range(6)]
     out = out.withColumns({f"_p{k}": share for k, share in enumerate(shares)})
     entropy = reduce(
         lambda a, c: a + c,
         [F.when(F.col(f"_p{k}") > 0, -F.col(f"_p{k}") * F.log(f"_p{k}")).otherwise(0.0) for k in range(6)],
     )
     up, down = F.col("upside_semivol") * F.col("upside_semivol"), F.col("downside_semivol") * F.col("downside_semivol")
+    base_var = F.nullif(R.var("d", w, least), F.lit(0.0))
+    realized, bipower = R.total("d", w, least, power=2), math.pi / 2.0 * R.total("bv", w, least)
     out = out.withColumns(
         {
-            "variance_ratio_5": S.ratio(F.col("_var_vr"), p.variance_ratio_lag * F.col("_var")),
-            "variance_ratio_13": S.ratio(F.col("_var_hurst"), p.hurst_lag * F.col("_var")),
+            "variance_ratio_5": S.ratio(R.var("vr", w, least), p.variance_ratio_lag * base_var),
+            "variance_ratio_13": S.ratio(R.var("hu", w, least), p.hurst_lag * base_var),
             "hurst_exponent_proxy": S.clip(
-                0.5 * S.log_positive(S.ratio(F.col("_var_hurst"), F.col("_var"))) / math.log(p.hurst_lag), 0.0, 1.0
+                0.5 * S.log_positive(S.ratio(R.var("hu", w, least), base_var)) / math.log(p.hurst_lag), 0.0, 1.0
             ),
+            "zero_crossing_rate": R.mean("zc", cross, three),
+            "half_life_stability": F.exp(-R.std("hl", cross, three) / math.log(2.0)),
+            "cusum_change_score": R.total("nc", p.cusum_window, p.cusum_window) / math.sqrt(p.cusum_window),
             "permutation_entropy_3": entropy / math.log(6.0),
-            "leg_return_correlation": F.when(two_legs, S.correlation(F.col("_leg1"), F.col("_leg2"), adv, least)),
-            "lead_lag_score": F.when(
-                two_legs,
-                S.correlation(F.col("_leg1"), F.col("_leg2_lag"), adv, least)
-                - S.correlation(F.col("_leg2"), F.col("_leg1_lag"), adv, least),
-            ),
+            "leg_return_correlation": F.when(two_legs, R.correlation("c", w, least)),
+            "lead_lag_score": F.when(two_legs, R.correlation("f", w, least) - R.correlation("g", w, least)),
             "relationship_health_scope": F.when(two_legs, "TWO_LEG").otherwise("MULTI_LEG_DIAGNOSTIC_UNAVAILABLE"),
-            "jump_share": S.ratio(S.clip(F.col("_rv") - F.col("_bv"), 0.0), F.col("_rv")),
-            "semivariance_asymmetry": S.ratio(up - down, up + down),
+            "jump_share": S.ratio(S.clip(realized - bipower, 0.0), F.nullif(realized, F.lit(0.0))),
+            "semivariance_asymmetry": S.ratio(up - down, F.nullif(up + down, F.lit(0.0))),
         }
     )
     # A sum of five terms: null as soon as one is missing.
@@ -312,8 +379,8 @@ def structure_features(b: Blocked, df: DataFrame, p: IndicatorSettings) -> DataF
             .otherwise("MIXED"),
         )
         .drop(
-            "_delta_vr", "_delta_hurst", "_lag1", "_lag2", "_leg1", "_leg2", "_crossed", "_ln_half_life", "_pattern",
-            "_leg1_lag", "_leg2_lag", "_var", "_var_vr", "_var_hurst", "_rv", "_bv", *[f"_p{k}" for k in range(6)],
+            "_delta_vr", "_delta_hurst", "_lag1", "_lag2", "_leg1", "_leg2", "_crossed", "_pattern", "_leg1_lag",
+            "_leg2_lag", *[f"_p{k}" for k in range(6)], *R.tracked_columns(series),
         )
     )
 
@@ -321,64 +388,72 @@ def structure_features(b: Blocked, df: DataFrame, p: IndicatorSettings) -> DataF
 def risk_features(b: Blocked, df: DataFrame, p: IndicatorSettings) -> DataFrame:
     """Tail, trend, shape and path diagnostics plus the advanced risk regime."""
     x, change = F.col("research_close"), F.col("price_change")
-    one, three, five, twenty = p.one_session, p.three_sessions, p.five_sessions, p.twenty_sessions
-    w5, w20, hac = b.trailing(five), b.trailing(twenty), b.trailing(three)
+    one, three, five, ten, twenty = (
+        p.one_session, p.three_sessions, p.five_sessions, p.ten_sessions, p.twenty_sessions,
+    )
     lags = range(1, p.hac_lags + 1)
     out = df.withColumns(
         {
             **{f"_lag{k}": F.lag(change, k).over(b.order) for k in lags},
-            "_vol1": S.std(change, b.trailing(one), 8),
-            "_vol20": S.std(change, w20, p.ten_sessions),
-            "_rms": F.sqrt(S.mean(change * change, b.trailing(one), 8)),
-            "_hac_mean": S.mean(change, hac, three),
-            "_hac_second": S.mean(change * change, hac, three),
-            "_path": S.total(F.abs(change), b.trailing(five - 1), five - 1),
-            "_range": S.high(x, w5, five) - S.low(x, w5, five),
-            "return_skew_5d": S.skew_sample(change, w5, three),
-            "return_excess_kurtosis_5d": S.kurtosis_sample(change, w5, three),
-            "tail_event_rate_20d": S.mean(
-                (F.abs("tod_normalized_change") >= p.tail_event_z).cast("double"), w20, p.ten_sessions
-            ),
+            "_range": S.high(x, b.trailing(five), five) - S.low(x, b.trailing(five), five),
         }
     )
-    products = {}
-    for k in lags:
-        w, lagged = b.trailing(three - k), F.col(f"_lag{k}")
-        products[f"_gamma{k}"] = (
-            S.total(change * lagged, w, three - k)
-            - F.col("_hac_mean") * (S.total(change, w, three - k) + S.total(lagged, w, three - k))
-            + (three - k) * F.col("_hac_mean") * F.col("_hac_mean")
-        ) / three
+    tail = (F.abs("tod_normalized_change") >= p.tail_event_z).cast("double")
+    series = {
+        "d": R.Track(change, tuple({one, three, five, twenty, *[three - k for k in lags]}), 4),
+        "ad": R.Track(F.abs(change), (five - 1,)),
+        "te": R.Track(tail, (twenty,)),
+        **{f"l{k}": R.Track(F.col(f"_lag{k}"), (three - k,)) for k in lags},
+        **{f"q{k}": R.Track(change * F.col(f"_lag{k}"), (three - k,)) for k in lags},
+    }
+    out = R.window_sums(b, out, series)
     out = out.withColumns(
         {
-            **products,
-            "_rms_mean": S.mean(F.col("_rms"), w5, three),
-            "_rms_std": S.std(F.col("_rms"), w5, three),
+            "_vol1": R.std("d", one, 8),
+            "_vol20": R.std("d", twenty, ten),
+            "_rms": F.sqrt(S.clip(R.mean("d", one, 8, power=2), 0.0)),
+            "_hac_mean": R.mean("d", three, three),
+            "_hac_second": R.mean("d", three, three, power=2),
+            "_path": R.total("ad", five - 1, five - 1),
+            "return_skew_5d": R.skew("d", five, three),
+            "return_excess_kurtosis_5d": R.kurtosis("d", five, three),
+            "tail_event_rate_20d": R.mean("te", twenty, ten),
         }
     )
-    gamma0 = S.clip(F.col("_hac_second") - F.col("_hac_mean") * F.col("_hac_mean"), 0.0)
-    weighted = reduce(lambda a, c: a + c, [(1.0 - k / (p.hac_lags + 1.0)) * F.col(f"_gamma{k}") for k in lags])
-    out = out.withColumn("_long_run", gamma0 + 2.0 * weighted)
-    t_stat = F.when(
-        F.col("_long_run") > EPSILON, math.sqrt(three) * F.col("_hac_mean") / F.sqrt("_long_run")
-    ).when(F.abs("_hac_mean") <= EPSILON, 0.0)
+    m = F.col("_hac_mean")
+    gammas = [
+        (
+            R.total(f"q{k}", three - k, three - k)
+            - m * (R.total("d", three - k, three - k) + R.total(f"l{k}", three - k, three - k))
+            + (three - k) * m * m
+        )
+        / three
+        for k in lags
+    ]
+    weighted = reduce(lambda a, c: a + c, [(1.0 - k / (p.hac_lags + 1.0)) * g for k, g in zip(lags, gammas, strict=True)])
+    rms = {"rm": R.Track(F.col("_rms"), (five,), 2)}
+    out = R.window_sums(
+        b, out.withColumn("_long_run", S.clip(F.col("_hac_second") - m * m, 0.0) + 2.0 * weighted), rms
+    )
+    t_stat = F.when(F.col("_long_run") > EPSILON, math.sqrt(three) * m / F.sqrt("_long_run")).when(F.abs(m) <= EPSILON, 0.0)
     path, span = F.col("_path"), F.col("_range")
+    rms_mean, rms_std = R.mean("rm", five, three), R.std("rm", five, three)
     out = out.withColumns(
         {
-            "vol_regime_ratio_1d_20d": _or_zero(F.col("_vol20"), S.ratio(F.col("_vol1"), F.col("_vol20")), F.col("_vol1"), 1.0),
-            "realized_vol_of_vol_5d": _or_zero(
-                F.col("_rms_mean"), S.ratio(F.col("_rms_std"), F.col("_rms_mean")), F.col("_rms_std"), 0.0
+            "vol_regime_ratio_1d_20d": _or_zero(
+                F.col("_vol20"), S.ratio(F.col("_vol1"), F.nullif(F.col("_vol20"), F.lit(0.0))), F.col("_vol1"), 1.0
             ),
+            "realized_vol_of_vol_5d": _or_zero(rms_mean, S.ratio(rms_std, F.nullif(rms_mean, F.lit(0.0))), rms_std, 0.0),
             "trend_hac_t_stat_3d": S.clip(t_stat, -12.0, 12.0),
             "close_path_choppiness_5d": F.when(
                 (path > EPSILON) & (span > EPSILON),
-                S.clip(100.0 * F.log(S.ratio(path, span)) / math.log(five - 1), 0.0, 100.0),
+                S.clip(100.0 * F.log(S.ratio(path, F.nullif(span, F.lit(0.0)))) / math.log(five - 1), 0.0, 100.0),
             ).when(F.abs(path) <= EPSILON, 0.0),
         }
     )
     return with_risk_regime(out, p).drop(
-        "_vol1", "_vol20", "_rms", "_hac_mean", "_hac_second", "_path", "_range", "_rms_mean", "_rms_std", "_long_run",
-        *[f"_lag{k}" for k in lags], *products,
+        "_vol1", "_vol20", "_rms", "_hac_mean", "_hac_second", "_path", "_range", "_long_run",
+        *[f"_lag{k}" for k in lags], *R.tracked_columns(series), *R.tracked_columns(rms),
     )
 
 
@@ -423,14 +498,23 @@ def calendar_features(df: DataFrame, local: str = "bar_start_local") -> DataFram
 
 def open_blocks(
     df: DataFrame, p: IndicatorSettings, entity: str = "spread_id", ts: str = "timestamp_utc",
-    bucket: Column | None = None, block: int = 4096, base: DataFrame | None = None,
+    bucket: Column | None = None, block: int = 4096, base: DataFrame | None = None, ordered: bool = True,
 ) -> Blocked:
-    """Blocks fit for every window and smoother of this module."""
+    """Blocks fit for every window and smoother of this module.
+
+    With ``ordered`` the rolling medians are joined in; they are computed from the
+    narrow ``base`` and meet the rows on (entity, block, row).
+    """
     halo = needed_halo(p)
     alphas = smoothing_alphas(p)
     size = block_for(alphas, halo, block)
     check_block(alphas, halo, size)
-    return blocked(df, entity, ts, F.col("session_date") if bucket is None else bucket, halo, size, base)
+    by = F.col("session_date") if bucket is None else bucket
+    b = blocked(df, entity, ts, by, halo, size, base)
+    if not ordered:
+        return b
+    stats = order_statistics(df if base is None else base, p, halo, size, entity, ts, by)
+    return replace(b, frame=b.frame.join(stats, [entity, BLOCK, ROW]))
 
 
 def add_indicators(

@@ -12,11 +12,16 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvelab.config import Settings
+from curvelab.config import STRATEGIES, Settings
 from curvelab.operators import calendar as C
+from curvelab.operators import experts as X
 from curvelab.operators import indicators as I
+from curvelab.operators import ledger as L
 from curvelab.operators import packages as P
+from curvelab.operators import scorecard as SC
+from curvelab.operators import seasonal
 from curvelab.operators import structures as G
+from curvelab.operators import walkforward as W
 from curvelab.stages import write_stage
 
 
@@ -50,6 +55,7 @@ class Market:
     contracts: DataFrame
     store: Store = field(repr=False)
     _prepared: Callable[[], DataFrame] = field(repr=False)
+    _daily: Callable[[], DataFrame] | None = field(repr=False, default=None)
 
     @property
     def prepared(self) -> DataFrame:
@@ -66,9 +72,62 @@ class Market:
         """Back-adjusted package bars."""
         return self.store("package-bars", lambda: P.risk_distance(P.back_adjust(self.raw_packages)))
 
+    @property
+    def daily_packages(self) -> DataFrame:
+        """Packages of the daily settles, the history the seasonal prior is built on."""
+
+        def build() -> DataFrame:
+            if self._daily is None:
+                return self.packages
+            packed = self.store("daily-raw-packages", lambda: P.build_packages(self._daily(), self.legs, self.structure_table))
+            return P.risk_distance(P.back_adjust(packed, bucket=F.date_trunc("month", F.col("session_date"))))
+
+        return self.store("daily-packages", build)
+
+    @property
+    def seasonality(self) -> DataFrame:
+        return self.store("seasonality", lambda: seasonal.seasonality(self.daily_packages, self.settings.indicators))
+
     @property
     def features(self) -> DataFrame:
-        return self.store("features", lambda: I.add_indicators(self.packages, self.settings.indicators))
+        def build() -> DataFrame:
+            indicated = I.add_indicators(self.packages, self.settings.indicators)
+            return seasonal.attach_seasonality(indicated, self.seasonality).withColumn(
+                "session_last_slot", F.lit(self.settings.system.bars_per_session - 1)
+            )
+
+        return self.store("features", build)
+
+    @property
+    def voted(self) -> DataFrame:
+        """Features with expert votes, ensemble weights and the adaptive vote."""
+        return self.store("voted", lambda: learn(self.features, self.settings))
+
+    @property
+    def trades(self) -> DataFrame:
+        return self.store("trades", lambda: backtest(self.voted, self.structure_table, self.settings))
+
+    @property
+    def scorecard(self) -> DataFrame:
+        trials = sum(s.model_enabled for s in self.structures) * len(STRATEGIES)
+
+        def build() -> DataFrame:
+            score = SC.scorecard(self.trades, trials, self.settings.backtest)
+            return SC.complete_scorecard(score, self.structure_table, self.voted, STRATEGIES, self.settings.backtest)
+
+        return self.store("scorecard", build)
+
+
+def learn(features: DataFrame, settings: Settings) -> DataFrame:
+    return X.add_adaptive_ensemble(X.with_expert_votes(features), settings.backtest, base=features)
+
+
+def backtest(voted: DataFrame, structures: DataFrame, settings: Settings) -> DataFrame:
+    """Trades of all enabled structures with their walk-forward phase."""
+    enabled = voted.join(F.broadcast(structures.filter("model_enabled").select("spread_id")), "spread_id", "left_semi")
+    inputs = L.ledger_inputs(enabled, settings.liquidity, settings.indicators)
+    trades = write_stage(L.run_ledger(inputs), "ledger")
+    return L.finish_trades(trades, structures, W.phase_days(enabled, settings.backtest))
 
 
 def prepare(
@@ -95,4 +154,7 @@ def prepare(
         contracts,
         store,
         lambda: P.prepare_bars(inputs.bars, contracts, roots, inputs.daily),
+        None
+        if inputs.daily is None
+        else lambda: P.prepare_bars(P.daily_as_bars(inputs.daily, settings.system), contracts, roots, inputs.daily),
     )

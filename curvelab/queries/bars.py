@@ -38,7 +38,8 @@ KEYS = "spread_id, strftime(t, '%Y-%m-%d %H:%M:%S') AS timestamp_utc"
 
 
 def _priced(spark: SparkSession, sf_dir: str) -> tuple:
-    b = I.open_blocks(I.with_point_columns(views.hour_packages(spark, sf_dir)), P)
+    rows = views.hour_packages(spark, sf_dir)
+    b = I.open_blocks(I.with_point_columns(rows), P, base=rows)
     return b, I.price_features(b, b.frame, P)
 
 
@@ -59,13 +60,12 @@ def bars_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle(ingest.tumbling_bars(events, "event_type", "ts", "value", "1 hour"))
 
 
-_Z = f"""
-WITH {HBARS},
-z1 AS (SELECT *, {roll(MEDIAN, 'x', 120, 72)} AS rolling_median FROM hp),
+_Z_BODY = f"""z1 AS (SELECT *, {roll(MEDIAN, 'x', 120, 72)} AS rolling_median FROM hp),
 z2 AS (SELECT *, abs(x - rolling_median) AS dev FROM z1),
 z3 AS (SELECT *, {roll(MEDIAN, 'dev', 120, 72)} AS rolling_mad FROM z2),
 z4 AS (SELECT *, (x - rolling_median) / nullif(1.4826 * rolling_mad, 0) AS robust_z FROM z3)
 """
+_Z = f"\nWITH {HBARS},\n{_Z_BODY}"
 
 
 @query(
@@ -78,12 +78,11 @@ def robust_z(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pick(b, df, "rolling_median", "rolling_mad", "robust_z")
 
 
-_BOLL = f"""
-WITH {HBARS},
-b1 AS (SELECT *, {roll('avg($)', 'x', 72, 72)} AS mid, {roll('stddev_samp($)', 'x', 72, 72)} AS sd FROM hp),
+_BOLL_BODY = f"""b1 AS (SELECT *, {roll('avg($)', 'x', 72, 72)} AS mid, {roll('stddev_samp($)', 'x', 72, 72)} AS sd FROM hp),
 b2 AS (SELECT *, mid + 2 * sd AS up, mid - 2 * sd AS lo FROM b1),
 b3 AS (SELECT *, (x - lo) / nullif(4 * sd, 0) AS pct_b, (up - lo) / nullif(abs(mid), 0) AS width FROM b2)
 """
+_BOLL = f"\nWITH {HBARS},\n{_BOLL_BODY}"
 
 
 @query(
@@ -143,9 +142,7 @@ def ewm_sql(span: int) -> str:
     return f"{1 - a!r} * acc + {a!r} * new"
 
 
-_MACD = f"""
-WITH {HBARS},
-{scan(ewm_sql(24), 'x', 'hp', 'fast')},
+_MACD_BODY = f"""{scan(ewm_sql(24), 'x', 'hp', 'fast')},
 {scan(ewm_sql(72), 'x', 'hp', 'slow')},
 m AS (SELECT spread_id, t, CASE WHEN fast_i >= 24 THEN fast END AS ema_fast, CASE WHEN slow_i >= 72 THEN slow END AS ema_slow,
              CASE WHEN slow_i >= 72 THEN fast - slow END AS macd_line FROM fast_r JOIN slow_r USING (spread_id, t)),
@@ -153,6 +150,7 @@ m AS (SELECT spread_id, t, CASE WHEN fast_i >= 24 THEN fast END AS ema_fast, CAS
 macd AS (SELECT m.*, CASE WHEN sig_i >= 24 THEN sig END AS macd_signal, CASE WHEN sig_i >= 24 THEN macd_line - sig END AS macd_histogram
          FROM m LEFT JOIN sig_r USING (spread_id, t))
 """
+_MACD = f"\nWITH {HBARS},\n{_MACD_BODY}"
 
 
 @query(
@@ -166,15 +164,14 @@ def ema_macd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WILDER = f"{1 - 1 / 24!r} * acc + {1 / 24!r} * new"
-_RSI = f"""
-WITH {HBARS},
-g AS (SELECT spread_id, t, CASE WHEN x - lag(x) OVER ({_E}) > 0 THEN x - lag(x) OVER ({_E}) ELSE 0 END AS gain,
+_RSI_BODY = f"""g AS (SELECT spread_id, t, CASE WHEN x - lag(x) OVER ({_E}) > 0 THEN x - lag(x) OVER ({_E}) ELSE 0 END AS gain,
              CASE WHEN x - lag(x) OVER ({_E}) < 0 THEN lag(x) OVER ({_E}) - x ELSE 0 END AS loss FROM hp),
 {scan(_WILDER, 'gain', 'g', 'ag')},
 {scan(_WILDER, 'loss', 'g', 'al')},
 rsi AS (SELECT spread_id, t, CASE WHEN ag_i >= 24 THEN CASE WHEN al = 0 THEN 100 ELSE 100 - 100 / (1 + ag / al) END END AS rsi
         FROM ag_r JOIN al_r USING (spread_id, t))
 """
+_RSI = f"\nWITH {HBARS},\n{_RSI_BODY}"
 
 
 @query(
@@ -290,8 +287,9 @@ def session_vwap_obv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _slotted(spark: SparkSession, sf_dir: str) -> tuple:
-    df = I.same_slot_features(I.with_point_columns(views.hour_packages(spark, sf_dir)), P)
-    b = I.open_blocks(df, P)
+    rows = views.hour_packages(spark, sf_dir)
+    df = I.same_slot_features(I.with_point_columns(rows), P, base=rows)
+    b = I.open_blocks(df, P, base=rows)
     out = I.price_features(b, b.frame, P)
     return b, I.volume_features(b, out, P)
 
@@ -371,7 +369,7 @@ def leg_relationship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pick(b, I.structure_features(b, df, P), "leg_return_correlation", "lead_lag_score", "relationship_health_scope")
 
 
-_REGIME = f"""{_Z}, {_VOL}, {_AR}, {_STRUCT},
+_REGIME_BODY = f"""{_Z_BODY}, {_VOL}, {_AR}, {_STRUCT},
 zc AS (SELECT spread_id, t, robust_z, CASE WHEN robust_z * lag(robust_z) OVER ({_E}) < 0 THEN 1.0
    WHEN robust_z * lag(robust_z) OVER ({_E}) >= 0 THEN 0.0 END AS crossed FROM z4),
 zr AS (SELECT spread_id, t, {roll('avg($)', 'crossed', 120, 72)} AS zcr FROM zc),
@@ -384,6 +382,7 @@ rg1 AS (SELECT *, (CASE WHEN vr5 IS NOT NULL THEN least(greatest(1 - vr5, 0), 1)
    (abs(cusum) >= 3 OR jump >= 0.45) AS alarm FROM rg0),
 rg AS (SELECT *, CASE WHEN alarm THEN 'BREAK_RISK' WHEN mrs >= 0.55 THEN 'MEAN_REVERTING' WHEN er >= 0.45 THEN 'TRENDING' ELSE 'MIXED' END AS regime FROM rg1)
 """
+_REGIME = f"\nWITH {HBARS},\n{_REGIME_BODY}"
 
 
 @query(
@@ -444,8 +443,9 @@ r3 AS (SELECT *, CASE WHEN tod IS NULL OR tail IS NULL OR volreg IS NULL OR stre
     ),
 )
 def risk_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = I.same_slot_features(I.with_point_columns(views.hour_packages(spark, sf_dir)), P)
-    b = I.open_blocks(df, P)
+    rows = views.hour_packages(spark, sf_dir)
+    df = I.same_slot_features(I.with_point_columns(rows), P, base=rows)
+    b = I.open_blocks(df, P, base=rows, ordered=False)
     return _pick(b, I.risk_features(b, b.frame, P), "return_skew_5d", "return_excess_kurtosis_5d", "vol_regime_ratio_1d_20d",
                  "realized_vol_of_vol_5d", "trend_hac_t_stat_3d", "close_path_choppiness_5d", "tail_event_rate_20d",
                  "advanced_risk_regime")

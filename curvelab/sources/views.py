@@ -79,6 +79,19 @@ def hour_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("high").alias("leg1_usd_bbl"),
         F.col("low").alias("leg2_usd_bbl"),
         F.lit(2).alias("n_legs"),
+        F.col("open").alias("spread_open"),
+        (F.col("open") * 100.0).alias("package_open_value_usd"),
+        (F.col("close") * 100.0).alias("package_close_value_usd"),
+        (F.col("bar_slot") + 1.0).alias("one_way_cost_usd"),
+        (F.col("bar_slot") != 5).alias("entry_allowed"),
+        F.date_add("session_date", F.day("session_date") % 3).alias("forced_exit_session"),
+        F.date_add("session_date", 9).alias("earliest_risk_date"),
+        F.lit(False).alias("roll_event"),
+        F.lit(23).alias("session_last_slot"),
+        F.lit("HOURLY").alias("spread_family"),
+        F.when(F.col("spread_id") < "f", "FRONT").otherwise("MID").alias("tenor_bucket"),
+        F.when(F.col("volume") > 2, F.col("volume") - 2).alias("max_leg_bid_ask_ticks"),
+        F.lit(1000.0).alias("package_barrels"),
     )
 
 
@@ -92,7 +105,7 @@ def day_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(part, "l_partkey")
         .groupBy(F.col("p_brand").alias("entity"), F.to_date("l_shipdate").alias("session_date"))
         .agg(
-            F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")), 4).alias("close"),
+            (F.avg(F.col("l_extendedprice") / F.col("l_quantity")) / 1.01).alias("close"),
             F.sum("l_quantity").alias("volume"),
         )
     )
@@ -195,7 +208,7 @@ def curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "orders")
         .groupBy(F.col("o_orderpriority").alias("series"), F.to_date("o_orderdate").alias("day"))
-        .agg(F.round(F.avg("o_totalprice"), 2).alias("value"), F.count(F.lit(1)).alias("n"))
+        .agg(F.round(F.avg("o_totalprice") / 1.01, 6).alias("value"), F.count(F.lit(1)).alias("n"))
     )
 
 
