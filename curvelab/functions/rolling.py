@@ -30,95 +30,103 @@ class Track:
 
 
 def window_sums(b: Blocked, df: DataFrame, series: Mapping[str, Track]) -> DataFrame:
-    """Adds ``{name}_n{w}`` counts and ``{name}_{power}w{w}`` power sums per window."""
-    running: dict[str, Column] = {}
+    """Adds ``{name}_n{w}`` counts and ``{name}_{power}w{w}`` power sums per window.
+
+    The many small expressions are written as SQL text: one parse instead of one
+    Python call per operator.
+    """
+    over_running = f"OVER {b.sql} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    over = f"OVER {b.sql})"
+    running: dict[str, str] = {}
     for name, t in series.items():
         if max(t.windows) > b.halo:
             raise ValueError(f"{name}: window {max(t.windows)} is longer than the halo {b.halo}")
-        running[f"_{name}_n"] = F.count(t.value).over(b.running)
-        power = t.value
+        running[f"_{name}_n"] = f"count(_{name}_v) {over_running}"
         for k in range(1, t.powers + 1):
-            running[f"_{name}_{k}"] = F.coalesce(F.sum(power).over(b.running), F.lit(0.0))
-            power = power * t.value
-    summed = df.withColumns(running)
-    windows: dict[str, Column] = {}
+            power = " * ".join([f"_{name}_v"] * k)
+            running[f"_{name}_{k}"] = f"coalesce(sum({power}) {over_running}, 0D)"
+    windows: dict[str, str] = {}
     for name, t in series.items():
         for w in t.windows:
             for part in ("n", *map(str, range(1, t.powers + 1))):
-                total = F.col(f"_{name}_{part}")
+                total = f"_{name}_{part}"
                 out = f"{name}_n{w}" if part == "n" else f"{name}_{part}w{w}"
-                windows[out] = total - F.coalesce(F.lag(total, w).over(b.order), F.lit(0))
-            if t.powers >= 2:
-                windows[f"{name}_floor"] = F.col(f"_{name}_2") * _NOISE
-    return summed.withColumns(windows).drop(*running)
+                windows[out] = f"{total} - coalesce(lag({total}, {w}) {over}, 0)"
+        if t.powers >= 2:
+            windows[f"{name}_floor"] = f"_{name}_2 * {_NOISE!r}D"
+    kept = [f"`{c}`" for c in df.columns]
+    valued = df.withColumns({f"_{name}_v": t.value for name, t in series.items()})
+    summed = valued.selectExpr(*kept, *[f"{e} AS {c}" for c, e in running.items()])
+    return summed.selectExpr(*kept, *[f"{e} AS {c}" for c, e in windows.items()])
 
 
-def total(name: str, w: int, minimum: int, power: int = 1) -> Column:
-    return F.when(F.col(f"{name}_n{w}") >= minimum, F.col(f"{name}_{power}w{w}"))
+def _mean(name: str, w: int, power: int = 1) -> str:
+    return f"({name}_{power}w{w} / nullif({name}_n{w}, 0))"
 
 
-def mean(name: str, w: int, minimum: int, power: int = 1) -> Column:
-    n = F.nullif(F.col(f"{name}_n{w}"), F.lit(0))
-    return F.when(F.col(f"{name}_n{w}") >= minimum, F.col(f"{name}_{power}w{w}") / n)
+def _squares(name: str, w: int) -> str:
+    """Sum of squared deviations, with rounding noise cut to zero."""
+    raw = f"({name}_2w{w} - {name}_1w{w} * {name}_1w{w} / nullif({name}_n{w}, 0))"
+    return f"(CASE WHEN {raw} > {name}_floor THEN {raw} WHEN {raw} IS NOT NULL THEN 0D END)"
 
 
-def _squares(name: str, w: int) -> Column:
-    """Sum of squared deviations, with rounding noise cut to zero."""
-    n = F.nullif(F.col(f"{name}_n{w}"), F.lit(0))
-    raw = F.col(f"{name}_2w{w}") - F.col(f"{name}_1w{w}") * F.col(f"{name}_1w{w}") / n
-    return F.when(raw > F.col(f"{name}_floor"), raw).when(raw.isNotNull(), 0.0)
+def _var(name: str, w: int, minimum: int) -> str:
+    return f"(CASE WHEN {name}_n{w} >= {max(minimum, 2)} THEN {_squares(name, w)} / ({name}_n{w} - 1) END)"
 
 
-def var(name: str, w: int, minimum: int) -> Column:
-    n = F.col(f"{name}_n{w}")
-    return F.when((n >= minimum) & (n > 1), _squares(name, w) / F.nullif(n - 1, F.lit(0)))
+def total(name: str, w: int, minimum: int, power: int = 1) -> Column:
+    return F.expr(f"CASE WHEN {name}_n{w} >= {minimum} THEN {name}_{power}w{w} END")
 
 
-def std(name: str, w: int, minimum: int) -> Column:
-    return F.sqrt(var(name, w, minimum))
+def mean(name: str, w: int, minimum: int, power: int = 1) -> Column:
+    return F.expr(f"CASE WHEN {name}_n{w} >= {minimum} THEN {_mean(name, w, power)} END")
+
+
+def var(name: str, w: int, minimum: int) -> Column:
+    return F.expr(_var(name, w, minimum))
 
 
-def _central(name: str, w: int) -> tuple[Column, Column, Column, Column]:
-    n = F.nullif(F.col(f"{name}_n{w}"), F.lit(0)).cast("double")
-    m = F.col(f"{name}_1w{w}") / n
-    m2 = _squares(name, w) / n
-    s2, s3, s4 = (F.col(f"{name}_{k}w{w}") / n for k in (2, 3, 4))
-    m3 = s3 - 3 * m * s2 + 2 * m * m * m
-    m4 = s4 - 4 * m * s3 + 6 * m * m * s2 - 3 * m * m * m * m
-    return n, F.when(m2 > 0, m2), m3, m4
+def std(name: str, w: int, minimum: int) -> Column:
+    return F.expr(f"sqrt({_var(name, w, minimum)})")
 
 
 def skew(name: str, w: int, minimum: int) -> Column:
     """Bias-corrected skewness; null where the window is flat."""
-    n, m2, m3, _ = _central(name, w)
-    value = m3 / (m2 * F.sqrt(m2)) * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0))
-    return F.when(F.col(f"{name}_n{w}") >= max(minimum, 3), value)
+    n, m, s2, s3 = f"double({name}_n{w})", _mean(name, w), _mean(name, w, 2), _mean(name, w, 3)
+    m2 = f"nullif({_squares(name, w)} / {name}_n{w}, 0D)"
+    m3 = f"({s3} - 3 * {m} * {s2} + 2 * {m} * {m} * {m})"
+    return F.expr(
+        f"CASE WHEN {name}_n{w} >= {max(minimum, 3)} THEN {m3} / ({m2} * sqrt({m2})) * sqrt({n} * ({n} - 1)) / ({n} - 2) END"
+    )
 
 
 def kurtosis(name: str, w: int, minimum: int) -> Column:
     """Bias-corrected excess kurtosis; null where the window is flat."""
-    n, m2, _, m4 = _central(name, w)
-    excess = m4 / (m2 * m2) - 3.0
-    value = (n - 1) * ((n + 1) * excess + 6) / F.nullif((n - 2) * (n - 3), F.lit(0.0))
-    return F.when(F.col(f"{name}_n{w}") >= max(minimum, 4), value)
+    n, m = f"double({name}_n{w})", _mean(name, w)
+    s2, s3, s4 = (_mean(name, w, k) for k in (2, 3, 4))
+    m2 = f"nullif({_squares(name, w)} / {name}_n{w}, 0D)"
+    m4 = f"({s4} - 4 * {m} * {s3} + 6 * {m} * {m} * {s2} - 3 * {m} * {m} * {m} * {m})"
+    return F.expr(
+        f"CASE WHEN {name}_n{w} >= {max(minimum, 4)} THEN"
+        f" ({n} - 1) * (({n} + 1) * ({m4} / ({m2} * {m2}) - 3) + 6) / (({n} - 2) * ({n} - 3)) END"
+    )
 
 
-def pair_tracks(name: str, x: Column, y: Column, w: int) -> dict[str, Track]:
+def pair_tracks(name: str, x: str, y: str, w: int) -> dict[str, Track]:
     """The sums a correlation needs, over rows where both values exist."""
-    both = x.isNotNull() & y.isNotNull()
-    a, b = F.when(both, x), F.when(both, y)
+    both = f"{x} IS NOT NULL AND {y} IS NOT NULL"
     return {
-        f"{name}x": Track(a, (w,), 2),
-        f"{name}y": Track(b, (w,), 2),
-        f"{name}xy": Track(F.when(both, x * y), (w,), 1),
+        f"{name}x": Track(F.expr(f"CASE WHEN {both} THEN {x} END"), (w,), 2),
+        f"{name}y": Track(F.expr(f"CASE WHEN {both} THEN {y} END"), (w,), 2),
+        f"{name}xy": Track(F.expr(f"{x} * {y}"), (w,), 1),
     }
 
 
 def correlation(name: str, w: int, minimum: int) -> Column:
-    n = F.nullif(F.col(f"{name}x_n{w}"), F.lit(0))
-    cross = F.col(f"{name}xy_1w{w}") - F.col(f"{name}x_1w{w}") * F.col(f"{name}y_1w{w}") / n
-    scale = F.sqrt(_squares(f"{name}x", w)) * F.sqrt(_squares(f"{name}y", w))
-    return F.when(F.col(f"{name}x_n{w}") >= minimum, cross / F.nullif(scale, F.lit(0.0)))
+    n = f"nullif({name}x_n{w}, 0)"
+    cross = f"({name}xy_1w{w} - {name}x_1w{w} * {name}y_1w{w} / {n})"
+    scale = f"nullif(sqrt({_squares(f'{name}x', w)}) * sqrt({_squares(f'{name}y', w)}), 0D)"
+    return F.expr(f"CASE WHEN {name}x_n{w} >= {minimum} THEN {cross} / {scale} END")
 
 
 def tracked_columns(series: Mapping[str, Track]) -> list[str]:

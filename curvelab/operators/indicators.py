@@ -235,7 +235,6 @@ def price_features(b: Blocked, df: DataFrame, p: IndicatorSettings) -> DataFrame
         {
             "bollinger_upper": F.col("bollinger_mid") + 2 * F.col("bollinger_std"),
             "bollinger_lower": F.col("bollinger_mid") - 2 * F.col("bollinger_std"),
-            "robust_z": S.ratio(x - F.col("rolling_median"), MAD_TO_STD * F.nullif(F.col("rolling_mad"), F.lit(0.0))),
             "normalized_change": S.ratio(change, F.nullif(F.col("realized_vol_5d"), F.lit(0.0))),
             "rsi": rsi(F.col("_avg_gain"), F.col("_avg_loss")),
             "macd_histogram": F.col("macd_line") - F.col("macd_signal"),
@@ -255,16 +254,22 @@ def price_features(b: Blocked, df: DataFrame, p: IndicatorSettings) -> DataFrame
     width = {"bw": R.Track(F.col("bollinger_width"), (five,), 2)}
     return (
         R.window_sums(b, out, width)
-        .withColumns(
-            {
-                "volatility_of_volatility": R.std("bw", five, three),
-                "volatility_squeeze": F.col("bollinger_width") < F.col("bollinger_width_p20"),
-            }
-        )
+        .withColumn("volatility_of_volatility", R.std("bw", five, three))
         .drop(*R.tracked_columns(width), "_avg_gain", "_avg_loss")
     )
 
 
+def location_features(df: DataFrame) -> DataFrame:
+    """Robust z and the squeeze flag, from the joined order statistics."""
+    scale = MAD_TO_STD * F.nullif(F.col("rolling_mad"), F.lit(0.0))
+    return df.withColumns(
+        {
+            "robust_z": S.ratio(F.col("research_close") - F.col("rolling_median"), scale),
+            "volatility_squeeze": F.col("bollinger_width") < F.col("bollinger_width_p20"),
+        }
+    )
+
+
 def volume_features(b: Blocked, df: DataFrame, p: IndicatorSettings) -> DataFrame:
     one = p.one_session
     out = smooth_nullable(b, df, "package_volume_capacity", span_alpha(one), "_vol_fast", one)
@@ -327,9 +332,9 @@ def structure_features(b: Blocked, df: DataFrame, p: IndicatorSettings) -> DataF
         "bv": R.Track(F.abs(change) * F.abs("_lag1"), (w,)),
         "nc": R.Track(F.col("normalized_change"), (p.cusum_window,)),
         **{f"p{k}": R.Track((F.col("_pattern") == k).cast("double"), (p.entropy_window,)) for k in range(6)},
-        **R.pair_tracks("c", F.col("_leg1"), F.col("_leg2"), w),
-        **R.pair_tracks("f", F.col("_leg1"), F.col("_leg2_lag"), w),
-        **R.pair_tracks("g", F.col("_leg2"), F.col("_leg1_lag"), w),
+        **R.pair_tracks("c", "_leg1", "_leg2", w),
+        **R.pair_tracks("f", "_leg1", "_leg2_lag", w),
+        **R.pair_tracks("g", "_leg2", "_leg1_lag", w),
     }
     out = R.window_sums(b, out, series)
     shares = [R.mean(f"p{k}", p.entropy_window, p.entropy_minimum) for k in range(6)]
@@ -528,7 +533,7 @@ def add_indicators(
     slotted = same_slot_features(with_point_columns(bars), p, entity, ts, base=bars)
     sessions = session_features(slotted, entity, ts, base=bars)
     b = open_blocks(sessions, p, entity, ts, block=block, base=bars)
-    out = price_features(b, b.frame, p)
+    out = location_features(price_features(b, b.frame, p))
     out = volume_features(b, out, p)
     out = structure_features(b, out, p)
     out = risk_features(b, out, p)

@@ -37,10 +37,11 @@ MEDIAN = "quantile_cont($, 0.5)"
 KEYS = "spread_id, strftime(t, '%Y-%m-%d %H:%M:%S') AS timestamp_utc"
 
 
-def _priced(spark: SparkSession, sf_dir: str) -> tuple:
+def _priced(spark: SparkSession, sf_dir: str, ordered: bool = False) -> tuple:
     rows = views.hour_packages(spark, sf_dir)
-    b = I.open_blocks(I.with_point_columns(rows), P, base=rows)
-    return b, I.price_features(b, b.frame, P)
+    b = I.open_blocks(I.with_point_columns(rows), P, base=rows, ordered=ordered)
+    out = I.price_features(b, b.frame, P)
+    return b, I.location_features(out) if ordered else out
 
 
 def _pick(b, df: DataFrame, *columns: str) -> DataFrame:
@@ -74,7 +75,7 @@ _Z = f"\nWITH {HBARS},\n{_Z_BODY}"
                "rolling_median, rolling_mad, robust_z"),
 )
 def robust_z(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b, df = _priced(spark, sf_dir)
+    b, df = _priced(spark, sf_dir, ordered=True)
     return _pick(b, df, "rolling_median", "rolling_mad", "robust_z")
 
 
@@ -123,7 +124,7 @@ def donchian(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def squeeze(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b, df = _priced(spark, sf_dir)
+    b, df = _priced(spark, sf_dir, ordered=True)
     return _pick(b, df, "bollinger_width_p20", "volatility_of_volatility", "volatility_squeeze")
 
 
@@ -286,11 +287,12 @@ def session_vwap_obv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle(df.select("spread_id", "timestamp_utc", "session_vwap_proxy", "obv_proxy"), dp=10)
 
 
-def _slotted(spark: SparkSession, sf_dir: str) -> tuple:
+def _slotted(spark: SparkSession, sf_dir: str, ordered: bool = False) -> tuple:
     rows = views.hour_packages(spark, sf_dir)
     df = I.same_slot_features(I.with_point_columns(rows), P, base=rows)
-    b = I.open_blocks(df, P, base=rows)
+    b = I.open_blocks(df, P, base=rows, ordered=ordered)
     out = I.price_features(b, b.frame, P)
+    out = I.location_features(out) if ordered else out.withColumn("robust_z", F.lit(None).cast("double"))
     return b, I.volume_features(b, out, P)
 
 
@@ -395,7 +397,7 @@ _REGIME = f"\nWITH {HBARS},\n{_REGIME_BODY}"
     ),
 )
 def regime(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b, df = _slotted(spark, sf_dir)
+    b, df = _slotted(spark, sf_dir, ordered=True)
     return _pick(b, I.structure_features(b, df, P), "zero_crossing_rate", "half_life_stability", "mean_reversion_stability",
                  "change_point_alarm", "regime")
 
@@ -461,7 +463,7 @@ def risk_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def latest_location(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b, df = _priced(spark, sf_dir)
+    b, df = _priced(spark, sf_dir, ordered=True)
     rows = b.finish(df).select("spread_id", "timestamp_utc", "research_close", "robust_z", "donchian_high", "donchian_low")
     return settle(latest_by(rows, "spread_id", "timestamp_utc"))
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -71,10 +71,15 @@ class Blocked:
     keys: tuple[str, ...]
     halo: int
 
-    @property
+    @cached_property
     def order(self) -> WindowSpec:
         return Window.partitionBy(*self.keys, BLOCK).orderBy(ROW)
 
+    @property
+    def sql(self) -> str:
+        """The same window as SQL text, without its closing parenthesis."""
+        return f"(PARTITION BY {', '.join((*self.keys, BLOCK))} ORDER BY {ROW}"
+
     def trailing(self, rows: int) -> WindowSpec:
         """The current row and the ``rows - 1`` rows before it."""
         self._check(rows)
@@ -85,7 +90,7 @@ class Blocked:
         self._check(rows)
         return self.order.rowsBetween(-rows, -1)
 
-    @property
+    @cached_property
     def running(self) -> WindowSpec:
         return self.order.rowsBetween(Window.unboundedPreceding, 0)
 
