@@ -23,7 +23,7 @@ from curvelab.functions import rolling as R
 from curvelab.functions import stats as S
 from curvelab.functions.dates import weekday
 from curvelab.operators.smoothers import block_for, check_block, rsi, smooth, smooth_nullable, span_alpha
-from curvelab.scale import BLOCK, ROW, Blocked, blocked, running_total
+from curvelab.scale import BLOCK, ROW, Blocked, blocked, focus, running_total
 
 EPSILON = 1e-12
 MAD_TO_STD = 1.4826
@@ -90,6 +90,9 @@ def same_slot_features(
     bucket = F.date_trunc("month", F.col("session_date")) if bucket is None else bucket
     b = blocked(df, [entity, slot], ts, bucket, halo=2 * n + 1, block=block, base=base)
     prior = b.prior(n)
+    frame, restore = b.focus(
+        b.frame, "package_volume_capacity", "abs_change", "_log_capacity", "amihud_impact_proxy", "price_change"
+    )
 
     def collected(**named: str) -> dict[str, Column]:
         return {out: F.collect_list(column).over(prior) for out, column in named.items()}
@@ -97,7 +100,7 @@ def same_slot_features(
     def baseline(column: str) -> Column:
         return F.when(F.size(column) >= m, S.sorted_quantile(F.sort_array(column), 0.5))
 
-    lists = b.frame.withColumns(
+    lists = frame.withColumns(
         collected(_l_cap="package_volume_capacity", _l_change="abs_change", _l_volume="_log_capacity", _l_impact="amihud_impact_proxy")
     )
     first = lists.withColumns(
@@ -122,7 +125,7 @@ def same_slot_features(
         }
     )
     return b.finish(
-        done, "_tod_change", "_tod_volume", "_tod_impact", "_volume_error", "_tod_error", "_log_capacity",
+        restore(done), "_tod_change", "_tod_volume", "_tod_impact", "_volume_error", "_tod_error", "_log_capacity",
         "_l_cap", "_l_change", "_l_volume", "_l_impact", "_l_error",
     )
 
@@ -134,11 +137,19 @@ def session_features(
     session = (
         Window.partitionBy(entity, "session_date", "roll_id").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
     )
+    inner, restore = focus(
+        df, [entity, ts, "session_date", "roll_id", "spread_bar_vwap", "package_volume_capacity", "signed_volume",
+             "price_change", "paired_volume_bbl"],
+    )
     weighted = F.sum(F.col("spread_bar_vwap") * F.col("package_volume_capacity")).over(session)
-    vwap = df.withColumn(
+    vwap = inner.withColumn(
         "session_vwap_proxy", S.ratio(weighted, F.nullif(F.sum("package_volume_capacity").over(session), F.lit(0.0)))
     )
-    return running_total(vwap, [entity, "roll_id"], ts, F.col("session_date"), {"obv_proxy": signed_volume()}, base=base)
+    summed = running_total(
+        vwap, [entity, "roll_id"], ts, F.date_trunc("month", F.col("session_date")), {"obv_proxy": F.col("signed_volume")},
+        base=None if base is None else base.withColumn("signed_volume", signed_volume()),
+    )
+    return restore(summed)
 
 
 def order_statistics(
@@ -179,6 +190,7 @@ def order_statistics(
 
 def price_features(b: Blocked, df: DataFrame, p: IndicatorSettings) -> DataFrame:
     """Location, band, momentum, volatility and AR(1) features of the continuous close."""
+    df, restore = b.focus(df, "research_close", "price_change", "abs_change")
     x, change = F.col("research_close"), F.col("price_change")
     one, three, five, ten = p.one_session, p.three_sessions, p.five_sessions, p.ten_sessions
     band = p.bollinger_window
@@ -252,11 +264,8 @@ def price_features(b: Blocked, df: DataFrame, p: IndicatorSettings) -> DataFrame
         }
     )
     width = {"bw": R.Track(F.col("bollinger_width"), (five,), 2)}
-    return (
-        R.window_sums(b, out, width)
-        .withColumn("volatility_of_volatility", R.std("bw", five, three))
-        .drop(*R.tracked_columns(width), "_avg_gain", "_avg_loss")
-    )
+    out = R.window_sums(b, out, width).withColumn("volatility_of_volatility", R.std("bw", five, three))
+    return restore(out.drop(*R.tracked_columns(width), "_avg_gain", "_avg_loss"))
 
 
 def location_features(df: DataFrame) -> DataFrame:
@@ -271,13 +280,18 @@ def location_features(df: DataFrame) -> DataFrame:
 
 
 def volume_features(b: Blocked, df: DataFrame, p: IndicatorSettings) -> DataFrame:
+    """Volume trend, signed flow, effort against result and open-interest drift."""
+    df, restore = b.focus(
+        df, "package_volume_capacity", "signed_volume", "paired_volume_bbl", "package_oi_capacity", "relative_volume",
+        "normalized_change",
+    )
     one = p.one_session
     out = smooth_nullable(b, df, "package_volume_capacity", span_alpha(one), "_vol_fast", one)
     out = smooth_nullable(b, out, "package_volume_capacity", span_alpha(p.three_sessions), "_vol_slow", p.three_sessions)
     series = {"sv": R.Track(F.col("signed_volume"), (one,)), "pv": R.Track(F.col("paired_volume_bbl"), (one,))}
     out = R.window_sums(b, out, series)
     capacity = F.col("package_oi_capacity")
-    return out.withColumns(
+    out = out.withColumns(
         {
             "pvo": S.ratio(F.col("_vol_fast") - F.col("_vol_slow"), F.nullif(F.col("_vol_slow"), F.lit(0.0))),
             "signed_volume_imbalance_proxy": S.ratio(
@@ -286,7 +300,8 @@ def volume_features(b: Blocked, df: DataFrame, p: IndicatorSettings) -> DataFram
             "effort_vs_result": S.ratio(F.col("relative_volume"), F.abs("normalized_change") + 0.25),
             "oi_migration_1d": S.ratio(capacity, F.nullif(F.lag(capacity, one).over(b.order), F.lit(0.0))) - 1.0,
         }
-    ).drop("_vol_fast", "_vol_slow", *R.tracked_columns(series))
+    )
+    return restore(out.drop("_vol_fast", "_vol_slow", *R.tracked_columns(series)))
 
 
 def _ordinal_pattern(a: Column, b: Column, c: Column) -> Column:
@@ -303,6 +318,10 @@ def _ordinal_pattern(a: Column, b: Column, c: Column) -> Column:
 
 def structure_features(b: Blocked, df: DataFrame, p: IndicatorSettings) -> DataFrame:
     """Variance ratios, persistence, entropy, jumps, leg relationship and the regime label."""
+    df, restore = b.focus(
+        df, "research_close", "price_change", "robust_z", "ou_half_life_bars", "normalized_change", "upside_semivol",
+        "downside_semivol", "efficiency_ratio", "leg1_usd_bbl", "leg2_usd_bbl", "n_legs",
+    )
     x, change, z = F.col("research_close"), F.col("price_change"), F.col("robust_z")
     w, least, cross, three = p.advanced_window, p.minimum_advanced, p.crossing_window, p.three_sessions
     two_legs = F.col("n_legs") <= 2
@@ -373,7 +392,7 @@ def structure_features(b: Blocked, df: DataFrame, p: IndicatorSettings) -> DataF
         + S.clip(1.0 - F.col("permutation_entropy_3"), 0.0, 1.0)
     ) / 5.0
     alarm = (F.abs("cusum_change_score") >= 3.0) | (F.col("jump_share") >= 0.45)
-    return (
+    return restore(
         out.withColumn("mean_reversion_stability", stability)
         .withColumn("change_point_alarm", alarm)
         .withColumn(
@@ -392,6 +411,9 @@ def structure_features(b: Blocked, df: DataFrame, p: IndicatorSettings) -> DataF
 
 def risk_features(b: Blocked, df: DataFrame, p: IndicatorSettings) -> DataFrame:
     """Tail, trend, shape and path diagnostics plus the advanced risk regime."""
+    df, restore = b.focus(
+        df, "research_close", "price_change", "tod_normalized_change", "liquidity_stress_ratio", "robust_volume_surprise",
+    )
     x, change = F.col("research_close"), F.col("price_change")
     one, three, five, ten, twenty = (
         p.one_session, p.three_sessions, p.five_sessions, p.ten_sessions, p.twenty_sessions,
@@ -456,10 +478,10 @@ def risk_features(b: Blocked, df: DataFrame, p: IndicatorSettings) -> DataFrame:
             ).when(F.abs(path) <= EPSILON, 0.0),
         }
     )
-    return with_risk_regime(out, p).drop(
+    return restore(with_risk_regime(out, p).drop(
         "_vol1", "_vol20", "_rms", "_hac_mean", "_hac_second", "_path", "_range", "_long_run",
         *[f"_lag{k}" for k in lags], *R.tracked_columns(series), *R.tracked_columns(rms),
-    )
+    ))
 
 
 def with_risk_regime(df: DataFrame, p: IndicatorSettings) -> DataFrame:
@@ -514,7 +536,7 @@ def open_blocks(
     alphas = smoothing_alphas(p)
     size = block_for(alphas, halo, block)
     check_block(alphas, halo, size)
-    by = F.col("session_date") if bucket is None else bucket
+    by = F.date_trunc("month", F.col("session_date")) if bucket is None else bucket
     b = blocked(df, entity, ts, by, halo, size, base)
     if not ordered:
         return b

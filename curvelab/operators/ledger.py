@@ -104,7 +104,7 @@ def ledger_inputs(
     )
     gated = features.withColumns({"_reason": liquidity_reason(liquidity, ind), "_forced_last": forced})
     segmented = running_total(
-        gated, "spread_id", "timestamp_utc", F.col("session_date"),
+        gated, "spread_id", "timestamp_utc", F.date_trunc("month", F.col("session_date")),
         {"_segment": F.coalesce(F.col("roll_event").cast("double"), F.lit(0.0))}, base=base, whole={"_segment": "_rolls"},
     )
     codes = {}

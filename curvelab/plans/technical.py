@@ -80,7 +80,7 @@ class Market:
             if self._daily is None:
                 return self.packages
             packed = self.store("daily-raw-packages", lambda: P.build_packages(self._daily(), self.legs, self.structure_table))
-            return P.risk_distance(P.back_adjust(packed, bucket=F.date_trunc("month", F.col("session_date"))))
+            return P.risk_distance(P.back_adjust(packed))
 
         return self.store("daily-packages", build)
 

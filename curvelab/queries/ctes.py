@@ -35,10 +35,10 @@ trades AS (
   SELECT p_brand AS spread_id, l_returnflag || l_linestatus AS strategy_id,
          least(CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS entry_session,
          greatest(CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS exit_session,
-         round(l_extendedprice * (l_discount - l_tax), 2) AS net, round(0.001 * l_extendedprice, 2) AS cost,
-         round(round(l_extendedprice * (l_discount - l_tax), 2) + round(0.001 * l_extendedprice, 2), 2) AS gross,
-         round(round(l_extendedprice * (l_discount - l_tax), 2) - round(0.001 * l_extendedprice, 2), 2) AS net2,
-         round(round(l_extendedprice * (l_discount - l_tax), 2) - 2 * round(0.001 * l_extendedprice, 2), 2) AS net3,
+         l_extendedprice * (l_discount - l_tax) AS net, 0.001 * l_extendedprice AS cost,
+         l_extendedprice * (l_discount - l_tax) + 0.001 * l_extendedprice AS gross,
+         l_extendedprice * (l_discount - l_tax) - 0.001 * l_extendedprice AS net2,
+         l_extendedprice * (l_discount - l_tax) - 2 * (0.001 * l_extendedprice) AS net3,
          CASE WHEN l_discount >= l_tax THEN 'LONG' ELSE 'SHORT' END AS direction,
          CAST(l_quantity AS INTEGER) AS holding_bars,
          CASE WHEN l_linenumber = 7 THEN 'MANDATORY_D4_EXIT' ELSE 'MAX_HOLD' END AS exit_reason,

@@ -11,7 +11,7 @@ inside the bucket.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
@@ -94,6 +94,10 @@ class Blocked:
     def running(self) -> WindowSpec:
         return self.order.rowsBetween(Window.unboundedPreceding, 0)
 
+    def focus(self, df: DataFrame, *inputs: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+        """``focus`` with the block columns always kept."""
+        return focus(df, [*self.keys, BLOCK, ROW, HALO, *inputs])
+
     def _check(self, rows: int) -> None:
         if rows > self.halo + 1:
             raise ValueError(f"window of {rows} rows needs a halo of at least {rows - 1}")
@@ -227,3 +231,22 @@ def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     and Spark chooses a shuffle join with skew handling.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def focus(df: DataFrame, inputs: Sequence[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Keep ``inputs`` as columns and carry all other columns in one struct.
+
+    Every window operator copies its whole input row field by field.  A chain of window
+    stages over a wide row pays that copy in each stage; a struct is copied as one block
+    of bytes.  The returned function opens the struct again beside the new columns.
+    """
+    wanted = [c for c in dict.fromkeys(inputs) if c in df.columns]
+    others = [c for c in df.columns if c not in set(wanted)]
+    if not others:
+        return df, lambda out: out
+    packed = df.select(*wanted, F.struct(*others).alias("_rest"))
+
+    def restore(out: DataFrame) -> DataFrame:
+        return out.select("_rest.*", *[c for c in out.columns if c != "_rest"])
+
+    return packed, restore

@@ -179,8 +179,8 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_size")
     joined = item.join(orders, "l_orderkey").join(part, "l_partkey")
     ordered, shipped = F.to_date("o_orderdate"), F.to_date("l_shipdate")
-    net = F.round(F.col("l_extendedprice") * (F.col("l_discount") - F.col("l_tax")), 2)
-    cost = F.round(0.001 * F.col("l_extendedprice"), 2)
+    net = F.col("l_extendedprice") * (F.col("l_discount") - F.col("l_tax"))
+    cost = 0.001 * F.col("l_extendedprice")
     return joined.select(
         F.col("p_brand").alias("spread_id"),
         F.concat("l_returnflag", "l_linestatus").alias("strategy_id"),
@@ -188,9 +188,9 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.greatest(ordered, shipped).alias("exit_session"),
         net.alias("net_pnl_usd"),
         cost.alias("cost_usd"),
-        F.round(net + cost, 2).alias("gross_pnl_usd"),
-        F.round(net - cost, 2).alias("pnl_2x_cost_usd"),
-        F.round(net - 2 * cost, 2).alias("pnl_3x_cost_usd"),
+        (net + cost).alias("gross_pnl_usd"),
+        (net - cost).alias("pnl_2x_cost_usd"),
+        (net - 2 * cost).alias("pnl_3x_cost_usd"),
         F.when(F.col("l_discount") >= F.col("l_tax"), "LONG").otherwise("SHORT").alias("direction"),
         F.col("l_quantity").cast("int").alias("holding_bars"),
         F.when(F.col("l_linenumber") == 7, "MANDATORY_D4_EXIT").otherwise("MAX_HOLD").alias("exit_reason"),
@@ -246,3 +246,18 @@ def market(spark: SparkSession, sf_dir: str, settings=None, horizon: int = 2, qu
         settings,
         store=lambda label, build: stage(spark, label, key, build),
     )
+
+
+def phased_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades with phases by exit year: development, four yearly folds, lockbox."""
+    year = F.year("exit_session")
+    oos = year.between(1997, 2000)
+    return trades(spark, sf_dir).withColumns(
+        {
+            "phase": F.when(year >= 2001, "LOCKBOX").when(oos, "OOS").otherwise("DEVELOPMENT"),
+            "fold": F.when(oos, year - 1996),
+            "entry_time": F.col("entry_session"),
+            "exit_time": F.col("exit_session"),
+            "trade_id": F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"),
+        }
+    )
