@@ -22,12 +22,12 @@ hp AS (
 DBARS = """
 dbars AS (
   SELECT p_brand AS entity, CAST(l_shipdate AS DATE) AS session_date,
-         avg(l_extendedprice / l_quantity) / 1.01 AS close, sum(l_quantity) AS volume
+         avg(l_extendedprice / l_quantity) / 1.07 AS close, sum(l_quantity) AS volume
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)"""
 
 CURVE = """
 curve AS (
-  SELECT o_orderpriority AS series, CAST(o_orderdate AS DATE) AS day, round(avg(o_totalprice) / 1.01, 6) AS value,
+  SELECT o_orderpriority AS series, CAST(o_orderdate AS DATE) AS day, avg(o_totalprice) / 1.07 AS value,
          count(*) AS n FROM orders GROUP BY ALL)"""
 
 TRADES = """

@@ -137,7 +137,7 @@ def expert_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOSS = f"""{_VOTED},
 pv AS (SELECT event_type AS spread_id, date_trunc('hour', ts) AS t, arg_min(value, ts) * 100 AS ov, arg_max(value, ts) * 100 AS cv FROM events GROUP BY ALL),
 lb AS (SELECT vc.*, lead(ov, 1) OVER w AS ev, lead(cv, 24) OVER w AS rv, lead(session_date, 24) OVER w AS rs,
-   session_date + (day(session_date) % 3)::INT AS forced, slot <> 5 AS allowed, greatest(1, 2 * (slot + 1.0)) AS rt
+   DATE '2024-02-15' AS forced, slot <> 5 AS allowed, greatest(1, 2 * (slot + 1.0)) AS rt
   FROM vc JOIN pv USING (spread_id, t) WINDOW w AS (PARTITION BY spread_id ORDER BY t)),
 tg AS (SELECT *, 'HOURLY|' || CASE WHEN spread_id < 'f' THEN 'FRONT' ELSE 'MID' END AS learner_group, sign(rv - ev) * least(1, greatest(0, abs(rv - ev) - 2 * rt) / greatest(4 * rt, 1)) AS target FROM lb
   WHERE allowed AND rs <= forced AND ev IS NOT NULL AND rv IS NOT NULL)

@@ -84,7 +84,7 @@ def hour_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("close") * 100.0).alias("package_close_value_usd"),
         (F.col("bar_slot") + 1.0).alias("one_way_cost_usd"),
         (F.col("bar_slot") != 5).alias("entry_allowed"),
-        F.date_add("session_date", F.day("session_date") % 3).alias("forced_exit_session"),
+        F.lit("2024-02-15").cast("date").alias("forced_exit_session"),
         F.date_add("session_date", 9).alias("earliest_risk_date"),
         F.lit(False).alias("roll_event"),
         F.lit(23).alias("session_last_slot"),
@@ -105,7 +105,7 @@ def day_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(part, "l_partkey")
         .groupBy(F.col("p_brand").alias("entity"), F.to_date("l_shipdate").alias("session_date"))
         .agg(
-            (F.avg(F.col("l_extendedprice") / F.col("l_quantity")) / 1.01).alias("close"),
+            (F.avg(F.col("l_extendedprice") / F.col("l_quantity")) / 1.07).alias("close"),
             F.sum("l_quantity").alias("volume"),
         )
     )
@@ -208,7 +208,7 @@ def curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "orders")
         .groupBy(F.col("o_orderpriority").alias("series"), F.to_date("o_orderdate").alias("day"))
-        .agg(F.round(F.avg("o_totalprice") / 1.01, 6).alias("value"), F.count(F.lit(1)).alias("n"))
+        .agg((F.avg("o_totalprice") / 1.07).alias("value"), F.count(F.lit(1)).alias("n"))
     )
 
 
