@@ -28,7 +28,8 @@ def month_from_code(code: Column) -> Column:
 
 
 def month_name(number: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(n) for n in MONTH_NAMES]), number.cast("int"))
+    names = F.array(*[F.lit(n) for n in MONTH_NAMES])
+    return F.when(number.between(1, 12), F.get(names, number.cast("int") - 1))
 
 
 def weekday(day: Column) -> Column:

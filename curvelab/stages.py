@@ -20,25 +20,22 @@ from curvelab.session import checkpoint_dir
 _WRITTEN: dict[tuple[str, str], str] = {}
 
 
-def write_stage(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def write_stage_path(df: DataFrame, label: str) -> str:
+    """Write a stage table and give its folder."""
     spark = df.sparkSession
     name = f"{label}-{uuid.uuid4().hex[:12]}"
     path = posixpath.join(checkpoint_dir(spark), "curvelab-stages", spark.sparkContext.applicationId, name)
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return path
+
+
+def write_stage(df: DataFrame, label: str) -> DataFrame:
+    return df.sparkSession.read.schema(df.schema).parquet(write_stage_path(df, label))
 
 
 def stage(spark: SparkSession, label: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The stage table of this application for ``key``; written on first use."""
     slot = (spark.sparkContext.applicationId, f"{label}-{hashlib.sha1(key.encode()).hexdigest()[:10]}")
     if slot not in _WRITTEN:
-        df = build()
-        path = posixpath.join(
-            checkpoint_dir(spark), "curvelab-stages", slot[0], f"{slot[1]}-{uuid.uuid4().hex[:8]}"
-        )
-        df.write.option("compression", "zstd").parquet(path)
-        _WRITTEN[slot] = path
+        _WRITTEN[slot] = write_stage_path(build(), slot[1])
     return spark.read.parquet(_WRITTEN[slot])
