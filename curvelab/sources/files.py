@@ -8,14 +8,14 @@ from pyspark.sql import types as T
 
 from curvelab.edge import clean
 
-BAR_SCHEMA = T.StructType.fromDDL(
+BAR_SCHEMA = (
     "timestamp_utc timestamp, bar_start_local timestamp_ntz, bar_end_local timestamp_ntz, session_date date, bar_slot int,"
     " event_type string, root string, security string, delivery_month date, open double, high double, low double,"
     " close double, volume_contracts double, num_events double, value double, source string, pulled_at_utc timestamp"
 )
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet") -> DataFrame:
     """A stored table in Parquet, ORC, CSV or JSON; a missing one is an empty typed frame."""
     jvm = spark.sparkContext._jvm
     location = jvm.org.apache.hadoop.fs.Path(path)

@@ -116,7 +116,7 @@ def session_vwap_stream(bars: DataFrame) -> DataFrame:
         state.update((weighted, volume, signed, last))
         yield pd.DataFrame(out, columns=["key", "session_date", "ts", "session_vwap", "obv"])
 
-    return bars.groupBy("key", "session_date").applyInPandasWithState(update, T._parse_datatype_string(_VWAP_SCHEMA), _STATE, "append", "NoTimeout")
+    return bars.groupBy("key", "session_date").applyInPandasWithState(update, T.StructType.fromDDL(_VWAP_SCHEMA), _STATE, "append", "NoTimeout")
 
 
 _POSITION_STATE = T.StructType([
@@ -151,6 +151,6 @@ def position_stream(bars: DataFrame, max_hold: int) -> DataFrame:
         state.update((side, entry, held, pending, leaving, None if entered is None else pd.Timestamp(entered).to_pydatetime()))
         yield pd.DataFrame(out, columns=["key", "side", "entered", "exited", "entry", "exit", "held"])
 
-    return bars.groupBy("key").applyInPandasWithState(update, T._parse_datatype_string(_TRADE_SCHEMA), _POSITION_STATE, "append", "NoTimeout")
+    return bars.groupBy("key").applyInPandasWithState(update, T.StructType.fromDDL(_TRADE_SCHEMA), _POSITION_STATE, "append", "NoTimeout")
 
 
