@@ -56,6 +56,8 @@ class Market:
     store: Store = field(repr=False)
     _prepared: Callable[[], DataFrame] = field(repr=False)
     _daily: Callable[[], DataFrame] | None = field(repr=False, default=None)
+    # One bar per session: the bars already are the daily history.
+    bars_are_daily: bool = False
 
     @property
     def prepared(self) -> DataFrame:
@@ -86,7 +88,8 @@ class Market:
 
     @property
     def seasonality(self) -> DataFrame:
-        return self.store("seasonality", lambda: seasonal.seasonality(self.daily_packages, self.settings.indicators))
+        history = self.packages if self.bars_are_daily else self.daily_packages
+        return self.store("seasonality", lambda: seasonal.seasonality(history, self.settings.indicators))
 
     @property
     def features(self) -> DataFrame:
@@ -136,6 +139,7 @@ def prepare(
     structures: tuple[G.Structure, ...],
     settings: Settings = Settings(),
     store: Store = write_always,
+    bars_are_daily: bool = False,
 ) -> Market:
     span = inputs.universe.agg(
         F.min("fallback_expiry").alias("first_day"), F.max("fallback_expiry").alias("last_day")
@@ -157,4 +161,5 @@ def prepare(
         None
         if inputs.daily is None
         else lambda: P.prepare_bars(P.daily_as_bars(inputs.daily, settings.system), contracts, roots, inputs.daily),
+        bars_are_daily,
     )

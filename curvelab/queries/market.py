@@ -306,3 +306,16 @@ def structure_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
         "spread_id", "family", "status", "feature_rows", "sessions", "coverage_start", "coverage_end",
         "entry_allowed_share", "median_package_capacity",
     ))
+
+
+@query(
+    "daily_settle_packages",
+    settle_sql(
+        f"{ADJ} SELECT {_K}, s_close AS spread_close, chg AS price_change, x AS research_close FROM adj",
+        "spread_id, session_date", "spread_close, price_change, research_close",
+    ),
+)
+def daily_settle_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages of daily settles placed in the last slot."""
+    df = views.market(spark, sf_dir).daily_packages
+    return settle(df.select("spread_id", "session_date", "spread_close", "price_change", "research_close"))

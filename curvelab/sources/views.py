@@ -245,6 +245,7 @@ def market(spark: SparkSession, sf_dir: str, settings=None, horizon: int = 2, qu
         curve_structures(horizon, ("HO", "CL", "QS")),
         settings,
         store=lambda label, build: stage(spark, label, key, build),
+        bars_are_daily=True,
     )
 
 
