@@ -65,7 +65,7 @@ def trial_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         " expectancy AS expectancy_usd, hold AS median_holding_bars, share AS profitable_fold_share, dsr AS deflated_sharpe_probability, exits AS expiry_exits, long_net AS long_net_pnl_usd, short_net AS short_net_pnl_usd, hurdle AS minimum_oos_trades_hurdle FROM sc",
         "spread_id, strategy_id, status, trades, oos_trades, lockbox_trades, expiry_exits, minimum_oos_trades_hurdle",
         "gross_pnl_usd, net_pnl_usd, lockbox_net_pnl_usd, cost_drag_usd, net_pnl_2x_cost_usd, net_pnl_3x_cost_usd, daily_sharpe, daily_sortino, max_drawdown_usd, calmar, win_rate,"
-        " profit_factor, expectancy_usd, median_holding_bars, profitable_fold_share, deflated_sharpe_probability, long_net_pnl_usd, short_net_pnl_usd",
+        " profit_factor, expectancy_usd:4, median_holding_bars, profitable_fold_share, deflated_sharpe_probability, long_net_pnl_usd, short_net_pnl_usd",
     ),
 )
 def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,7 @@ def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cost_drag_usd", "net_pnl_2x_cost_usd", "net_pnl_3x_cost_usd", "daily_sharpe", "daily_sortino", "max_drawdown_usd", "calmar", "win_rate",
         "profit_factor", "expectancy_usd", "median_holding_bars", "profitable_fold_share", "deflated_sharpe_probability", "expiry_exits",
         "long_net_pnl_usd", "short_net_pnl_usd", "minimum_oos_trades_hurdle",
-    ))
+    ), expectancy_usd=4)
 
 
 @query(

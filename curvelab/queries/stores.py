@@ -360,7 +360,8 @@ def gate_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = SC.fold_metrics(off, learning.HOURLY.backtest), SC.fold_metrics(on, learning.HOURLY.backtest)
     compared = Q.compare_results(a, b, keys, {"net_pnl_usd": False, "max_drawdown_usd": True})
     families = off.select("spread_id", F.substring("spread_id", 1, 1).alias("family")).distinct()
-    cost = off.agg(F.sum("pnl_2x_cost_usd").alias("baseline")).join(on.agg(F.sum("pnl_2x_cost_usd").alias("candidate")))
+    candidate = on.agg(F.sum("pnl_2x_cost_usd")).scalar()
+    cost = off.agg(F.sum("pnl_2x_cost_usd").alias("baseline")).select("baseline", candidate.alias("candidate"))
     outcome = Q.promotion(compared.filter("metric = 'net_pnl_usd'"), compared.filter("metric = 'max_drawdown_usd'"), cost, Q.family_outcomes(a, b, keys, families))
     return settle(outcome)
 
