@@ -188,8 +188,8 @@ def shingle_hashes(hashes: np.ndarray, width: int = SHINGLE) -> np.ndarray:
         return mix(out)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of every row, back to back, and their offsets.
+def row_shingles(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of every row in text order, back to back, and how many each row has.
 
     A row with fewer words than ``width`` has its whole word sequence as one shingle;
     a row without words has none.
@@ -199,15 +199,19 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) ->
     words = np.bincount(row, minlength=rows) if len(row) else np.zeros(rows, np.int64)
     firsts = np.concatenate(([0], np.cumsum(words)))
     grams = shingle_hashes(hashes, width)
-    owner = row[: len(grams)]
-    whole = owner == row[width - 1 :] if len(grams) else np.empty(0, bool)
-    grams, owner = grams[whole], owner[whole]
+    grams = grams[row[: len(grams)] == row[width - 1 :]] if len(grams) else grams
     sizes = np.maximum(words - width + 1, 0)
     short = np.flatnonzero((words > 0) & (words < width))
     if len(short):
         sizes[short] = 1
         at = np.concatenate(([0], np.cumsum(sizes)))[short] - np.arange(len(short))
         grams = np.insert(grams, at, [_whole(hashes[firsts[r] : firsts[r + 1]]) for r in short])
+    return grams, sizes
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of every row, back to back, and their offsets."""
+    grams, sizes = row_shingles(data, offsets, width)
     bounds = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
     for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         grams[first:last].sort()

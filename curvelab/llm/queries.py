@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvelab.llm import bpe, secrets, sharding, token_counts
+from curvelab.llm import bpe, decontaminate, ngram_join, secrets, sharding, token_counts
 from curvelab.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,15 @@ def op5_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, through a cache begun for this run."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), "piece_bpe_32k.model", limit=4096)
+
+
+@query
+def op4_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document contains to 0.8 of its five-word shingles."""
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under five-word Jaccard similarity of 0.8 or more."""
+    return ngram_join.link(table(spark, sf_dir, "documents"), threshold=0.8)
