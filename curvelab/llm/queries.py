@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvelab.llm import bpe, decontaminate, ngram_join, secrets, sharding, token_counts
+from curvelab.llm import bpe, decontaminate, language, ngram_join, secrets, sharding, token_counts
 from curvelab.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,17 @@ def op4_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents under five-word Jaccard similarity of 0.8 or more."""
     return ngram_join.link(table(spark, sf_dir, "documents"), threshold=0.8)
+
+
+def remainder(n: int) -> Column:
+    """CRC-32 of the document's id as text, modulo n; null where the id is null."""
+    return F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(n))
+
+
+@query
+def op2_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; documents with remainder 2 of 4 are held out of the fit."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs, remainder(4) != 2)
+    predicted = language.predict(docs, model)
+    return predicted.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
