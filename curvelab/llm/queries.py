@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvelab.llm import bpe, decontaminate, language, ngram_join, secrets, sharding, token_counts
+from curvelab.llm import bpe, decontaminate, discriminant, language, ngram_join, rules, secrets, sharding, token_counts, urls
 from curvelab.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,23 @@ def op2_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.train(docs, remainder(4) != 2)
     predicted = language.predict(docs, model)
     return predicted.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op6_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality verdict of every document by base rules and the learned decision list."""
+    judged = rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query
+def op9_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; documents with remainder 1 of 3 are held out of the fit."""
+    scored = discriminant.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), remainder(3) != 1)
+    return scored.select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL by host rules and the ratio of two character models."""
+    return urls.judge(table(spark, sf_dir, "pages"))

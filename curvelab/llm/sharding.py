@@ -95,7 +95,8 @@ def numbered(df: DataFrame, identity: Sequence[str], name: str, buckets: int = B
     for b in range(buckets):
         firsts[b], total = total, total + sizes.get(b, 0)
     before = Window.partitionBy("_bucket").orderBy(*[F.col(c).asc_nulls_first() for c in identity]).rowsBetween(Window.unboundedPreceding, -1)
-    first = F.element_at(F.lit(firsts).cast("array<bigint>"), F.col("_bucket") + 1)
+    listed = F.split(F.lit(",".join(map(str, firsts))), ",").cast("array<bigint>")  # one constant
+    first = F.element_at(listed, F.col("_bucket") + 1)
     out = counts.withColumn(name, first + F.coalesce(F.sum("_copies").over(before), F.lit(0)))
     return out.drop("_bucket"), total
 
