@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curvelab.llm.common import span_hashes, text_slices, tokenizer_path
+from curvelab.llm.common import session, span_hashes, text_slices, tokenizer_path
 
 #: Looked-up arcs that a worker remembers at most.
 ARCS = 1_000_000
@@ -451,20 +451,23 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _mapper(tokenizer: str, digests: bool):
+def _mapper(tokenizer: str, parts: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = codec(tokenizer_path(tokenizer))
         for batch in batches:
-            n, ids, text = [], [], []
+            columns = {name: [] for name in ("n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256")}
             for own, joined, decoded in work.batch(batch.column("text")):
-                n.append(len(own))
-                ids.append(hashlib.sha256(joined).hexdigest() if digests else own)
-                text.append(hashlib.sha256(decoded.encode()).hexdigest() if digests else decoded)
-            kind = pa.string() if digests else pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(n, pa.int64()), pa.array(ids, kind), pa.array(text, pa.string())],
-                names=[*batch.schema.names[:-1], "n_tokens", "ids_sha256" if digests else "ids", "decoded_sha256" if digests else "decoded"],
-            )
+                columns["n_tokens"].append(len(own))
+                if "ids" in parts:
+                    columns["ids"].append(own.astype(np.int32))
+                if "decoded" in parts:
+                    columns["decoded"].append(decoded)
+                if "ids_sha256" in parts:
+                    columns["ids_sha256"].append(hashlib.sha256(joined).hexdigest())
+                    columns["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
+            kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
+            made = [pa.array(columns[p], kinds.get(p, pa.string())) for p in parts]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], *parts])
 
     return run
 
@@ -472,21 +475,24 @@ def _mapper(tokenizer: str, digests: bool):
 def encode(
     docs: DataFrame,
     tokenizer: str = "byte_bpe_50k.json",
+    ids: bool = False,
+    decoded: bool = False,
     digests: bool = False,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """Token ids and their decoding, for every row: id, n_tokens, ids, decoded.
+    """Tokens of every row: id and n_tokens, and as asked for ids, decoded and digests.
 
-    With ``digests`` the last two are ids_sha256 (of the decimal ids joined by commas) and
-    decoded_sha256 (of the decoded text in UTF-8), made where the ids are, so that
-    neither leaves the worker.  No special tokens are added; added tokens that stand in
-    a text are found as the vocabulary's library finds them.
+    ``digests`` are ids_sha256 (of the decimal ids joined by commas) and decoded_sha256 (of
+    the decoded text in UTF-8), made where the ids are.  No special tokens are added; added
+    tokens that stand in a text are found as the vocabulary's library finds them.
 
     A null or empty text has no tokens and decodes to the empty text.  Rows with null or
     equal ids are all kept; other columns are not read.  No shuffle.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("text"))
-    kind = rows.schema[0].dataType.simpleString()
-    out = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    return rows.mapInArrow(_mapper(tokenizer, digests), f"`{id_col}` {kind}, n_tokens long, {out}")
+    session(docs.sparkSession)
+    kinds = {"n_tokens": "long", "ids": "array<int>"}
+    parts = ("n_tokens", *["ids"] * ids, *["decoded"] * decoded, *["ids_sha256", "decoded_sha256"] * digests)
+    schema = ", ".join([f"`{id_col}` {rows.schema[0].dataType.simpleString()}", *[f"{p} {kinds.get(p, 'string')}" for p in parts]])
+    return rows.mapInArrow(_mapper(tokenizer, parts), schema)

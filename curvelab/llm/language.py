@@ -386,3 +386,18 @@ def _predict(shared):
             )
 
     return run
+
+
+def identified(docs: DataFrame, model: Model | None, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose language has at least ``least`` of the words.
+
+    Rows that are ``und`` (null text, no letter, nothing learned) go.  No shuffle.
+    """
+    shared = session(docs.sparkSession).sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            judged = _judged(shared.value, batch.column(batch.schema.get_field_index(text_col)))
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score, _ in judged], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

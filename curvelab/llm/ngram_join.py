@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curvelab.llm.common import THRESHOLD, mix, session, shingle_sets, text_slices, written
+from curvelab.llm.common import THRESHOLD, fresh, mix, session, shingle_sets, text_slices, written
 from curvelab.llm.components import components
 
 #: Minimum hashes per band, and bands.
@@ -365,6 +365,7 @@ def representatives(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     Rows with a null id stay only if no row of their component has an id.
     """
     linked = link(docs, threshold, id_col, text_col)
-    leads = linked.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_lead")).distinct()
-    kept = docs.join(leads, docs[id_col].eqNullSafe(F.col("_lead")), "left_semi")
+    lead = fresh(docs, "_lead")
+    leads = linked.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(lead)).distinct()
+    kept = docs.join(leads, docs[id_col].eqNullSafe(F.col(lead)), "left_semi")
     return kept.dropDuplicates([id_col, text_col])

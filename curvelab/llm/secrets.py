@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curvelab.llm.common import shared_path
+from curvelab.llm.common import fresh, shared_path
 from curvelab.llm.ledger import Ledger, content_digest, distinct_contents
 
 
@@ -112,26 +112,62 @@ def scan(
     with the findings of its text.  An empty table gives an empty result.  Other columns
     are not read, whatever their names.
     """
-    spark, text = docs.sparkSession, F.col(f"`{text_col}`")
+    found = _findings(docs, ledger_path, rules, text_col, "_digest", "_found")
+    paths = docs.select(*[F.col(f"`{k}`").alias(k) for k in keys], content_digest(F.col(f"`{text_col}`")).alias("_digest"))
+    joined = paths.join(found, "_digest", "left")
+    listed = F.transform("_found", lambda f: F.struct(f["kind"].alias("kind"), f["start"].alias("start"), f["end"].alias("end")))
+    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+    return joined.select(*keys, F.coalesce(listed, none).alias("findings"))
+
+
+def _findings(docs: DataFrame, ledger_path: str | None, rules: Sequence[Rule], text_col: str, digest: str, spans: str) -> DataFrame:
+    """Bring the ledger up to date; the blobs with findings, each with its ordered spans."""
+    spark = docs.sparkSession
     ledger = Ledger(spark, ledger_path or shared_path(spark, "secret-ledger"), ENTRY)
     current = [r.version for r in rules]
-    update(docs, ledger, rules, text)
+    update(docs, ledger, rules, F.col(f"`{text_col}`"))
     place = F.array_position(F.array(*[F.lit(v) for v in current]), F.col("s.version"))
     kind = F.element_at(F.array(*[F.lit(r.kind) for r in rules]), place.cast("int"))
-    found = (
+    return (
         ledger.read()
         .filter(F.size("spans") > 0)
-        .select(F.col("digest").alias("_digest"), F.explode("spans").alias("s"))
+        .select("digest", F.explode("spans").alias("s"))
         .filter(F.col("s.version").isin(current))
-        .select("_digest", F.struct(F.col("s.start"), place.alias("place"), kind.alias("kind"), F.col("s.end")).alias("f"))
-        .groupBy("_digest")
-        .agg(F.sort_array(F.collect_set("f")).alias("_found"))
+        .select(F.col("digest").alias(digest), F.struct(F.col("s.start"), place.alias("place"), kind.alias("kind"), F.col("s.end")).alias("f"))
+        .groupBy(digest)
+        .agg(F.sort_array(F.collect_set("f")).alias(spans))
     )
-    paths = docs.select(*[F.col(f"`{k}`").alias(k) for k in keys], content_digest(text).alias("_digest"))
-    joined = paths.join(found, "_digest", "left")
-    listed = F.transform("_found", lambda f: F.struct(f["kind"].alias("kind"), f["start"].alias("start"), f["end"].alias("end")))
-    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    return joined.select(*keys, F.coalesce(listed, none).alias("findings"))
+
+
+def redacted(
+    docs: DataFrame, ledger_path: str | None = None, rules: Sequence[Rule] = RULES, mask: str = "<secret>", text_col: str = "text", length_col: str | None = None
+) -> DataFrame:
+    """``docs``, all rows and columns, with every finding in the text replaced by ``mask``.
+
+    Overlapping findings are replaced once.  ``length_col`` names a column that holds the
+    text's characters and is brought up to date where the text changed.
+    """
+    digest, spans = fresh(docs, "_digest"), fresh(docs, "_found")
+    found = _findings(docs, ledger_path, rules, text_col, digest, spans)
+    text = F.col(f"`{text_col}`")
+    joined = docs.withColumn(digest, content_digest(text)).join(found, digest, "left")
+    hit = F.col(spans).isNotNull()
+    out = joined.withColumn(text_col, F.when(hit, _masked(text, F.col(spans), mask)).otherwise(text))
+    if length_col is not None:
+        length = F.col(f"`{length_col}`")
+        out = out.withColumn(length_col, F.when(hit, F.char_length(text).cast(docs.schema[length_col].dataType)).otherwise(length))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _masked(text: Column, spans: Column, mask: str) -> Column:
+    def step(done: Column, f: Column) -> Column:
+        start, end, at = f["start"], f["end"], done["at"]
+        between = F.substring(text, at + 1, F.greatest(start - at, F.lit(0)))
+        more = F.concat(done["out"], between, F.when(start >= at, F.lit(mask)).otherwise(F.lit("")))
+        return F.struct(more.alias("out"), F.greatest(at, end).alias("at"))
+
+    begun = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    return F.aggregate(spans, begun, step, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.char_length(text))))
 
 
 def update(docs: DataFrame, ledger: Ledger, rules: Sequence[Rule], text: Column) -> None:
