@@ -188,8 +188,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 def shingle_hashes(hashes: np.ndarray, width: int = SHINGLE) -> np.ndarray:
     """Hash of every run of ``width`` words, in order."""
-    n = len(hashes) - width + 1
-    out = np.zeros(max(n, 0), dtype=np.uint64)
+    n = max(len(hashes) - width + 1, 0)
+    out = np.zeros(n, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for k in range(width):
             out = out * _M2 + mix(hashes[k : k + n] + np.uint64(k + 1))
