@@ -3,18 +3,31 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curvelab.config import EXPERTS, STRATEGIES, USD_BBL_PER_CPG, RootSpec, Settings
+from curvelab.config import EXPERTS, STRATEGIES, USD_BBL_PER_CPG, RootSpec
 from curvelab.functions import stats as S
-from curvelab.operators.experts import vote_counts
-from curvelab.operators.ledger import liquidity_reason
+from curvelab.operators.experts import Learner, vote_counts
+from curvelab.operators.ledger import EntryGate, liquidity_reason
 from curvelab.operators.scorecard import rank_trials
 from curvelab.scale import latest_by, salted_join
 
 
+@dataclass(frozen=True)
+class BoardLimits:
+    """Confidence, depth and the daily budget of the board."""
+
+    # Fixed values.
+    minimum_confidence: float = 0.58
+    cap_confidence_without_depth: float = 0.75
+    require_true_l2_for_enter: bool = False
+    depth_snapshot_max_age_minutes: float = 15.0
+    maximum_new_trades_per_session: int = 3
+
+
 # -- depth ---------------------------------------------------------------------------
 
 
@@ -24,7 +37,7 @@ def latest_quotes(snapshots: DataFrame) -> DataFrame:
     return latest_by(per_time, "security", "time").withColumnRenamed("time", "snapshot_time")
 
 
-def package_depth(latest: DataFrame, quotes: DataFrame, settings: Settings = Settings(), source: str = "TOP_OF_BOOK") -> DataFrame:
+def package_depth(latest: DataFrame, quotes: DataFrame, limits: BoardLimits = BoardLimits(), source: str = "TOP_OF_BOOK") -> DataFrame:
     """Whole packages the book can take on either side; every leg must be quoted."""
     legs = latest.select("spread_id", "timestamp_utc", F.size("legs").alias("_need"), F.explode("legs").alias("leg")).select(
         "spread_id", "timestamp_utc", "_need", "leg.security", "leg.sign", "leg.contracts"
@@ -49,7 +62,7 @@ def package_depth(latest: DataFrame, quotes: DataFrame, settings: Settings = Set
         F.when(whole, F.col("_age")).alias("depth_snapshot_age_minutes"),
     )
     total = F.col("buy_package_depth") + F.col("sell_package_depth")
-    fresh = F.coalesce(F.col("depth_snapshot_age_minutes") <= settings.liquidity.snapshot_max_age_minutes, F.lit(False))
+    fresh = F.coalesce(F.col("depth_snapshot_age_minutes") <= limits.depth_snapshot_max_age_minutes, F.lit(False))
     return sides.withColumns(
         {
             "package_depth_imbalance": F.when(
@@ -73,7 +86,7 @@ def recombine_forecasts(latest: DataFrame, forecasts: DataFrame, roots: DataFram
         "spread_id", "timestamp_utc", "ewma_abs_change", F.size("legs").alias("_need"), F.explode("legs").alias("leg")
     ).select("*", "leg.security", "leg.root", "leg.sign", "leg.price_weight")
     matched = (
-        legs.join(F.broadcast(roots.select("root", "price_to_usd_bbl")), "root")
+        legs.join(roots.select("root", "price_to_usd_bbl"), "root")
         .join(newest.select("security", "forecast_origin_utc", "predicted_close_move_native"), "security", "left")
         .withColumn(
             "_move",
@@ -105,7 +118,7 @@ def recombine_forecasts(latest: DataFrame, forecasts: DataFrame, roots: DataFram
 
 def with_trade_codes(df: DataFrame, roots: Sequence[RootSpec]) -> DataFrame:
     """Readable trade codes and display units from the legs of a package row."""
-    labels = F.create_map(*[F.lit(x) for r in roots for x in (r.root, r.label)])
+    labels = F.create_map(*[F.lit(x) for r in roots for x in (r.root, r.name)])
     months = F.array_sort(F.array_distinct("legs.delivery_month"))
     used = F.array_distinct("legs.root")
     pair = F.array_join(F.transform(used, lambda r: F.coalesce(F.element_at(labels, r), r)), "/")
@@ -165,7 +178,9 @@ def signal_board(
     latest: DataFrame,
     scorecard: DataFrame,
     depth: DataFrame | None = None,
-    settings: Settings = Settings(),
+    limits: BoardLimits = BoardLimits(),
+    gate: EntryGate = EntryGate(),
+    learner: Learner = Learner(),
     depth_source: str = "BAR_PROXY",
     quality_blocking: bool = False,
     demo: bool = False,
@@ -195,7 +210,7 @@ def signal_board(
         {
             "signal_strategy_id": strategy,
             "direction": F.when(F.col("_backed").isNotNull(), F.element_at("_votes", F.col("_backed"))).when(adaptive != 0, adaptive).otherwise(fixed),
-            "liquidity_gate": liquidity_reason(settings.liquidity, settings.indicators),
+            "liquidity_gate": liquidity_reason(gate),
         }
     )
     validated = F.exists("_trials", lambda t: t["ok"] & (t["strategy_id"] == F.col("signal_strategy_id")))
@@ -214,7 +229,7 @@ def signal_board(
     )
     confidence = F.when(adaptive != 0, F.coalesce("adaptive_confidence", heuristic)).otherwise(heuristic)
     if depth_source != "BPIPE_L2":
-        confidence = S.clip(confidence, None, settings.liquidity.confidence_cap_without_depth)
+        confidence = S.clip(confidence, None, limits.cap_confidence_without_depth)
     stale_depth = F.coalesce(~F.col("depth_fresh"), F.lit(False))
     confidence = F.when(stale_depth, S.clip(confidence, None, 0.55)).otherwise(confidence)
     rows = rows.withColumns(
@@ -243,8 +258,8 @@ def signal_board(
     )
     enabled = F.coalesce("model_enabled", F.lit(True)) if "model_enabled" in latest.columns else F.lit(True)
     alarm = F.coalesce("change_point_alarm", F.lit(False))
-    ready = (F.col("_confidence") >= settings.backtest.minimum_confidence) & F.col("direction_evidence_validated")
-    needs_depth = F.lit(settings.liquidity.require_l2_for_entry) & ~F.coalesce("depth_supports_one_package", F.lit(False))
+    ready = (F.col("_confidence") >= limits.minimum_confidence) & F.col("direction_evidence_validated")
+    needs_depth = F.lit(limits.require_true_l2_for_enter) & ~F.coalesce("depth_supports_one_package", F.lit(False))
     status = (
         F.when(~enabled, "ANALYTIC ONLY")
         .when(F.lit(model_stale), "MODEL STALE")
@@ -264,7 +279,7 @@ def signal_board(
         F.when(~enabled, "ANALYTIC_ONLY")
         .when(F.lit(model_stale), "MODEL_STALE")
         .when(alarm, "STRUCTURAL_BREAK")
-        .when(observed < settings.backtest.adaptive_min_observations, "WARMUP")
+        .when(observed < learner.adaptive_min_observations, "WARMUP")
         .when(adaptive > 0, "BULLISH_CONSENSUS")
         .when(adaptive < 0, "BEARISH_CONSENSUS")
         .when((F.col("_longs") > 0) & (F.col("_shorts") > 0), "MIXED_PATTERN")
@@ -297,7 +312,7 @@ def signal_board(
             "top_strategy": F.coalesce(best["strategy_id"], F.lit("None")),
             "oos_grade": grade,
             "depth_source": F.lit(depth_source),
-            "max_packages": F.floor(capacity * settings.liquidity.maximum_volume_participation),
+            "max_packages": F.floor(capacity * gate.maximum_volume_participation),
         }
     ).drop("_trials", "_votes", "_longs", "_shorts", "_backed", "_confidence")
 
@@ -347,7 +362,7 @@ def entry_budget(
     ).drop("_key", "_best")
 
 
-def board_budget(board: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def board_budget(board: DataFrame, limits: BoardLimits = BoardLimits()) -> DataFrame:
     """Today's entries under the budget; other rows are watch-only or not actionable."""
     down = lambda c: -F.coalesce(c, F.lit(0.0))
     actionable = F.col("status").isin("BUY", "SELL") & F.col("direction_evidence_validated")
@@ -355,7 +370,7 @@ def board_budget(board: DataFrame, settings: Settings = Settings()) -> DataFrame
         down("confidence"), down("expected_edge_to_cost"), down("pattern_strength"), down("relative_volume"),
         F.coalesce("complexity_tier", F.lit(1)), F.col("spread_id"),
     ]
-    limit = settings.backtest.maximum_new_trades_per_session
+    limit = limits.maximum_new_trades_per_session
     marked = board.withColumns({"_one": F.lit(1), "algebra_group": F.coalesce("algebra_group", "spread_id")})
     chosen = entry_budget(marked.filter(actionable), ["_one"], "algebra_group", order, limit)
     rest = marked.filter(~F.coalesce(actionable, F.lit(False))).withColumns(
@@ -368,7 +383,7 @@ def board_budget(board: DataFrame, settings: Settings = Settings()) -> DataFrame
     return chosen.unionByName(rest, allowMissingColumns=True).drop("_one")
 
 
-def lockbox_budget(trades: DataFrame, selected: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def lockbox_budget(trades: DataFrame, selected: DataFrame, limits: BoardLimits = BoardLimits()) -> DataFrame:
     """Budget over the lockbox trades of the frozen selected strategies.
 
     ``selected`` must hold one row per (structure, strategy); a second one is an error.
@@ -388,7 +403,7 @@ def lockbox_budget(trades: DataFrame, selected: DataFrame, settings: Settings =
         down("model_profitable_fold_share"), down("model_daily_sharpe"), down("entry_relative_volume"),
         F.coalesce("complexity_tier", F.lit(1)), F.col("entry_time"), F.col("spread_id"),
     ]
-    return entry_budget(rows, ["entry_session"], "algebra_group", order, settings.backtest.maximum_new_trades_per_session)
+    return entry_budget(rows, ["entry_session"], "algebra_group", order, limits.maximum_new_trades_per_session)
 
 
 # -- summaries -----------------------------------------------------------------------

@@ -2,13 +2,31 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from curvelab.config import RootSpec, SystemSettings
+from curvelab.config import RootSpec
 from curvelab.functions import dates as D
 from curvelab.functions import tokens as K
 
+
+@dataclass(frozen=True)
+class TradingDay:
+    """The bar session, and how long before its risk date a structure is flat."""
+
+    # Fixed values.
+    session_start: str = "08:00"
+    session_end: str = "14:30"
+    timezone: str = "America/New_York"
+    bar_interval_minutes: int = 15
+    complete_bars_per_session: int = 26
+    freshness_grace_minutes: int = 15
+    expiry_flat_sessions: int = 3
+
+
 # Exchange group per root.
 EXCHANGE = {"HO": "NYMEX", "CL": "NYMEX", "CO": "ICE", "QS": "ICE"}
 
@@ -113,20 +131,24 @@ def session_calendar(span: DataFrame, margin_days: int = 40) -> DataFrame:
 def offset_sessions(df: DataFrame, calendar: DataFrame, day: str, exchange: str, offsets: dict[str, int]) -> DataFrame:
     """The n-th session after (n > 0) or before (n < 0) a day that need not be a session.
 
-    All offsets come from one pass over the calendar and one join.
+    The session is found by its number, however far away it is.  A day, or a session,
+    outside the calendar gives null; ``outside_calendar`` lists such rows.
     """
-    w = Window.partitionBy("exchange").orderBy("day")
-    open_day = F.when(F.col("is_session"), F.col("day"))
-    moved = {}
+    sessions = calendar.filter("is_session").select("exchange", F.col("sessions_before").alias("_no"), "day")
+    table = calendar.select("exchange", "day", "sessions_before", F.col("is_session").cast("long").alias("_open"))
     for name, n in offsets.items():
-        reach = 2 * abs(n) + 15
-        frame = w.rowsBetween(-reach, -1) if n < 0 else w.rowsBetween(1, reach)
-        # At most ``reach`` days are collected.
-        moved[name] = F.get(F.collect_list(open_day).over(frame), F.lit(n - 1) if n > 0 else F.size(F.collect_list(open_day).over(frame)) + n)
-    table = calendar.select(F.col("exchange").alias(exchange), F.col("day").alias(day), *[c.alias(k) for k, c in moved.items()])
+        wanted = F.col("sessions_before") + n if n < 0 else F.col("sessions_before") + F.col("_open") + (n - 1)
+        found = sessions.select("exchange", "_no", F.col("day").alias(name))
+        table = table.withColumn("_no", wanted).join(found, ["exchange", "_no"], "left")
+    table = table.select(F.col("exchange").alias(exchange), F.col("day").alias(day), *offsets)
     return df.join(table, [exchange, day], "left")
 
 
+def outside_calendar(moved: DataFrame, *names: str) -> DataFrame:
+    """Rows for which an offset found no session: the calendar ends too early."""
+    return moved.filter(reduce(lambda a, b: a | b, [F.col(n).isNull() for n in names]))
+
+
 def fallback_expiry(root: Column, delivery: Column) -> Column:
     """Conservative expiry per root where no verified date exists."""
     month_end = lambda back: D.previous_weekday(F.last_day(F.add_months(delivery, -back)))
@@ -144,7 +166,7 @@ def root_table(spark: SparkSession, roots: tuple[RootSpec, ...]) -> DataFrame:
     return spark.createDataFrame(
         [
             (
-                r.root, r.label, r.native_unit, r.price_to_usd_bbl, r.contract_size_native, r.contract_barrels,
+                r.root, r.name, r.native_unit, r.price_to_usd_bbl, r.contract_size_native, r.contract_barrels,
                 r.tick_size_native, r.one_way_cost_usd, r.ticker_template, r.generic_template,
             )
             for r in roots
@@ -186,7 +208,7 @@ def contract_universe(
 
 
 def contract_registry(
-    universe: DataFrame, reference: DataFrame | None, calendar: DataFrame, system: SystemSettings = SystemSettings()
+    universe: DataFrame, reference: DataFrame | None, calendar: DataFrame, trading: TradingDay = TradingDay()
 ) -> DataFrame:
     """Expiry registry: risk date, blackout start and last exit session per contract.
 
@@ -213,7 +235,7 @@ def contract_registry(
         verified.alias("expiry_verified"),
         F.when(verified, "REFERENCE").otherwise("FALLBACK_UNVERIFIED").alias("expiry_source"),
     ).withColumn("exchange", exchange_of(F.col("root")))
-    n = system.blackout_sessions
+    n = trading.expiry_flat_sessions
     return offset_sessions(
         dated, calendar, "risk_date", "exchange", {"blackout_start": -n, "forced_exit_session": -n - 1}
     ).drop("exchange")
@@ -230,15 +252,15 @@ def merge_registries(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def expected_latest_session(
-    observed: DataFrame, calendar: DataFrame, system: SystemSettings = SystemSettings()
+    observed: DataFrame, calendar: DataFrame, trading: TradingDay = TradingDay()
 ) -> DataFrame:
     """Latest session that should already have a finished bar.
 
     ``observed`` holds (exchange, as_of, observed_at): the day asked for and the local
     time it is asked at.
     """
-    opened = F.to_timestamp_ntz(F.concat(F.date_format("as_of", "yyyy-MM-dd"), F.lit(f" {system.session_start}:00")))
-    ready = opened + F.make_dt_interval(mins=F.lit(system.bar_minutes + system.freshness_grace_minutes))
+    opened = F.to_timestamp_ntz(F.concat(F.date_format("as_of", "yyyy-MM-dd"), F.lit(f" {trading.session_start}:00")))
+    ready = opened + F.make_dt_interval(mins=F.lit(trading.bar_interval_minutes + trading.freshness_grace_minutes))
     state = offset_sessions(observed, calendar, "as_of", "exchange", {"previous_session": -1}).join(
         calendar.select("exchange", F.col("day").alias("as_of"), "is_session"), ["exchange", "as_of"], "left"
     )

@@ -10,7 +10,7 @@ session sums by (entity, session), everything else by (entity, block).
 from __future__ import annotations
 
 import math
-from dataclasses import replace
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
@@ -18,7 +18,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curvelab.config import IndicatorSettings
 from curvelab.functions import rolling as R
 from curvelab.functions import stats as S
 from curvelab.functions.dates import weekday
@@ -35,12 +34,58 @@ RISK_OUTPUTS = (
 )
 
 
-def smoothing_alphas(p: IndicatorSettings) -> list[float]:
+@dataclass(frozen=True)
+class Windows:
+    """Window lengths.  They are numbers of sessions, so ``bars``, the bars of a session, gives them all."""
+
+    # Bars of a session, same-slot history, and the sessions of each window.
+    bars: int = 26
+    volume_seasonality_sessions: int = 20
+    same_slot_minimum: int = 8
+
+    one_session = rsi_window = macd_fast = macd_signal = hurst_lag = cusum_window = property(lambda self: self.bars)
+    three_sessions = bollinger_window = macd_slow = donchian_window = property(lambda self: 3 * self.bars)
+    five_sessions = robust_z_window = entropy_window = crossing_window = property(lambda self: 5 * self.bars)
+    ten_sessions = property(lambda self: 10 * self.bars)
+    twenty_sessions = advanced_window = property(lambda self: 20 * self.bars)
+
+    @property
+    def variance_ratio_lag(self) -> int:
+        """Ten bars of 26, in proportion."""
+        return max(2, 10 * self.bars // 26)
+
+    @property
+    def hac_lags(self) -> int:
+        return max(1, self.one_session // 4)
+
+    @property
+    def minimum_advanced(self) -> int:
+        return max(self.three_sessions, self.advanced_window // 2)
+
+    @property
+    def entropy_minimum(self) -> int:
+        return max(24, self.entropy_window // 2)
+
+
+@dataclass(frozen=True)
+class RiskLimits:
+    """Levels of the risk regime; the ledger's optional risk gates read two of them."""
+
+    # Fixed values.
+    extreme_tod_shock_z: float = 4.0
+    volume_dryness_z: float = -2.5
+    tail_event_z: float = 2.5
+    tail_cluster_rate: float = 0.10
+    vol_expansion_ratio: float = 1.5
+    impact_stress_ratio: float = 2.5
+
+
+def smoothing_alphas(p: Windows) -> list[float]:
     spans = (p.macd_fast, p.macd_slow, p.macd_signal, p.three_sessions, p.one_session)
     return [span_alpha(s) for s in spans] + [1.0 / p.rsi_window]
 
 
-def needed_halo(p: IndicatorSettings) -> int:
+def needed_halo(p: Windows) -> int:
     """Longest chain of dependent look-backs."""
     smoothing = max(S.seed_rows(a) for a in smoothing_alphas(p)) + S.seed_rows(span_alpha(p.macd_signal))
     windows = max(
@@ -79,7 +124,7 @@ def with_point_columns(df: DataFrame) -> DataFrame:
 
 
 def same_slot_features(
-    df: DataFrame, p: IndicatorSettings, entity: str = "spread_id", ts: str = "timestamp_utc", slot: str = "bar_slot",
+    df: DataFrame, p: Windows, entity: str = "spread_id", ts: str = "timestamp_utc", slot: str = "bar_slot",
     bucket: Column | None = None, block: int = 4096, base: DataFrame | None = None,
 ) -> DataFrame:
     """Baselines of the same bar of the day over earlier sessions.
@@ -153,7 +198,7 @@ def session_features(
 
 
 def order_statistics(
-    bars: DataFrame, p: IndicatorSettings, halo: int, block: int, entity: str, ts: str, bucket: Column
+    bars: DataFrame, p: Windows, halo: int, block: int, entity: str, ts: str, bucket: Column
 ) -> DataFrame:
     """Exact rolling medians and the band-width quantile, per (entity, block, row).
 
@@ -164,7 +209,7 @@ def order_statistics(
     """
     z, band, three = p.robust_z_window, p.bollinger_window, p.three_sessions
     narrow = bars.select(entity, F.col(ts), bucket.alias("_by"), F.col("research_close").alias("_x"))
-    b = blocked(narrow, entity, ts, F.col("_by"), halo, block)
+    b = blocked(narrow, entity, [ts, "_x"], F.col("_by"), halo, block)
 
     def slide(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(ROW)
@@ -188,7 +233,7 @@ def order_statistics(
     return b.frame.select(entity, BLOCK, ROW, "_x").groupBy(entity, BLOCK).applyInPandas(slide, schema)
 
 
-def price_features(b: Blocked, df: DataFrame, p: IndicatorSettings) -> DataFrame:
+def price_features(b: Blocked, df: DataFrame, p: Windows) -> DataFrame:
     """Location, band, momentum, volatility and AR(1) features of the continuous close."""
     df, restore = b.focus(df, "research_close", "price_change", "abs_change")
     x, change = F.col("research_close"), F.col("price_change")
@@ -279,7 +324,7 @@ def location_features(df: DataFrame) -> DataFrame:
     )
 
 
-def volume_features(b: Blocked, df: DataFrame, p: IndicatorSettings) -> DataFrame:
+def volume_features(b: Blocked, df: DataFrame, p: Windows) -> DataFrame:
     """Volume trend, signed flow, effort against result and open-interest drift."""
     df, restore = b.focus(
         df, "package_volume_capacity", "signed_volume", "paired_volume_bbl", "package_oi_capacity", "relative_volume",
@@ -316,7 +361,7 @@ def _ordinal_pattern(a: Column, b: Column, c: Column) -> Column:
     )
 
 
-def structure_features(b: Blocked, df: DataFrame, p: IndicatorSettings) -> DataFrame:
+def structure_features(b: Blocked, df: DataFrame, p: Windows) -> DataFrame:
     """Variance ratios, persistence, entropy, jumps, leg relationship and the regime label."""
     df, restore = b.focus(
         df, "research_close", "price_change", "robust_z", "ou_half_life_bars", "normalized_change", "upside_semivol",
@@ -409,7 +454,7 @@ def structure_features(b: Blocked, df: DataFrame, p: IndicatorSettings) -> DataF
     )
 
 
-def risk_features(b: Blocked, df: DataFrame, p: IndicatorSettings) -> DataFrame:
+def risk_features(b: Blocked, df: DataFrame, p: Windows, limits: RiskLimits = RiskLimits()) -> DataFrame:
     """Tail, trend, shape and path diagnostics plus the advanced risk regime."""
     df, restore = b.focus(
         df, "research_close", "price_change", "tod_normalized_change", "liquidity_stress_ratio", "robust_volume_surprise",
@@ -425,7 +470,7 @@ def risk_features(b: Blocked, df: DataFrame, p: IndicatorSettings) -> DataFrame:
             "_range": S.high(x, b.trailing(five), five) - S.low(x, b.trailing(five), five),
         }
     )
-    tail = (F.abs("tod_normalized_change") >= p.tail_event_z).cast("double")
+    tail = (F.abs("tod_normalized_change") >= limits.tail_event_z).cast("double")
     series = {
         "d": R.Track(change, tuple({one, three, five, twenty, *[three - k for k in lags]}), 4),
         "ad": R.Track(F.abs(change), (five - 1,)),
@@ -478,23 +523,23 @@ def risk_features(b: Blocked, df: DataFrame, p: IndicatorSettings) -> DataFrame:
             ).when(F.abs(path) <= EPSILON, 0.0),
         }
     )
-    return restore(with_risk_regime(out, p).drop(
+    return restore(with_risk_regime(out, limits).drop(
         "_vol1", "_vol20", "_rms", "_hac_mean", "_hac_second", "_path", "_range", "_long_run",
         *[f"_lag{k}" for k in lags], *R.tracked_columns(series), *R.tracked_columns(rms),
     ))
 
 
-def with_risk_regime(df: DataFrame, p: IndicatorSettings) -> DataFrame:
+def with_risk_regime(df: DataFrame, limits: RiskLimits = RiskLimits()) -> DataFrame:
     """Ordered risk label: missing inputs, several flags at once, then single flags."""
     inputs = (
         "tod_normalized_change", "tail_event_rate_20d", "vol_regime_ratio_1d_20d", "liquidity_stress_ratio",
         "robust_volume_surprise",
     )
-    shock = F.abs("tod_normalized_change") >= p.extreme_tod_shock_z
-    cluster = F.col("tail_event_rate_20d") >= p.tail_cluster_rate
-    expansion = F.col("vol_regime_ratio_1d_20d") >= p.vol_expansion_ratio
-    stress = F.col("liquidity_stress_ratio") >= p.impact_stress_ratio
-    dry = F.col("robust_volume_surprise") <= p.volume_dryness_z
+    shock = F.abs("tod_normalized_change") >= limits.extreme_tod_shock_z
+    cluster = F.col("tail_event_rate_20d") >= limits.tail_cluster_rate
+    expansion = F.col("vol_regime_ratio_1d_20d") >= limits.vol_expansion_ratio
+    stress = F.col("liquidity_stress_ratio") >= limits.impact_stress_ratio
+    dry = F.col("robust_volume_surprise") <= limits.volume_dryness_z
     flags = reduce(lambda a, c: a + c, [f.cast("int") for f in (shock, cluster, expansion, stress, dry)])
     missing = reduce(lambda a, c: a | c, [F.col(c).isNull() for c in inputs])
     return df.withColumn(
@@ -524,7 +569,7 @@ def calendar_features(df: DataFrame, local: str = "bar_start_local") -> DataFram
 
 
 def open_blocks(
-    df: DataFrame, p: IndicatorSettings, entity: str = "spread_id", ts: str = "timestamp_utc",
+    df: DataFrame, p: Windows, entity: str = "spread_id", ts: str = "timestamp_utc",
     bucket: Column | None = None, block: int = 4096, base: DataFrame | None = None, ordered: bool = True,
 ) -> Blocked:
     """Blocks fit for every window and smoother of this module.
@@ -537,7 +582,8 @@ def open_blocks(
     size = block_for(alphas, halo, block)
     check_block(alphas, halo, size)
     by = F.date_trunc("month", F.col("session_date")) if bucket is None else bucket
-    b = blocked(df, entity, ts, by, halo, size, base)
+    # Equal times are ordered by the close here and in the order statistics, so that both number alike.
+    b = blocked(df, entity, [ts, "research_close"], by, halo, size, base)
     if not ordered:
         return b
     stats = order_statistics(df if base is None else base, p, halo, size, entity, ts, by)
@@ -545,7 +591,7 @@ def open_blocks(
 
 
 def add_indicators(
-    bars: DataFrame, p: IndicatorSettings, entity: str = "spread_id", ts: str = "timestamp_utc", block: int = 4096
+    bars: DataFrame, p: Windows, entity: str = "spread_id", ts: str = "timestamp_utc", block: int = 4096
 ) -> DataFrame:
     """All indicators; unused ones are pruned from the plan by column.
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curvelab.config import SystemSettings
+from curvelab.operators.calendar import TradingDay
 from curvelab.scale import keep_last, union_all
 
 # Input column spellings and their canonical names.
@@ -74,24 +74,24 @@ def _minutes(hhmm: str) -> int:
 
 
 def normalize_intraday(
-    raw: DataFrame, local_time: Column, system: SystemSettings = SystemSettings(), seq: str = "ingest_seq"
+    raw: DataFrame, local_time: Column, trading: TradingDay = TradingDay(), seq: str = "ingest_seq"
 ) -> DataFrame:
     """Complete session bars: local session window, slot number, UTC time, keep-last.
 
     ``raw`` holds security, root, delivery_month, event_type, the OHLCV columns and
     ``seq``; ``local_time`` is the exchange-local start of the bar.
     """
-    start, end = _minutes(system.session_start), _minutes(system.session_end)
+    start, end = _minutes(trading.session_start), _minutes(trading.session_end)
     minute = F.hour("bar_start_local") * 60 + F.minute("bar_start_local")
     bars = (
         raw.withColumn("bar_start_local", local_time.cast("timestamp_ntz"))
-        .filter((minute >= start) & (minute + system.bar_minutes <= end))
+        .filter((minute >= start) & (minute + trading.bar_interval_minutes <= end))
         .withColumn("session_date", F.to_date("bar_start_local"))
-        .withColumn("bar_slot", F.floor((minute - start) / F.lit(system.bar_minutes)).cast("int"))
+        .withColumn("bar_slot", F.floor((minute - start) / F.lit(trading.bar_interval_minutes)).cast("int"))
         .withColumn("event_type", F.upper("event_type"))
         .withColumn(
             "timestamp_utc",
-            F.to_utc_timestamp(F.col("bar_start_local").cast("timestamp"), system.timezone),
+            F.to_utc_timestamp(F.col("bar_start_local").cast("timestamp"), trading.timezone),
         )
         .filter(F.col("timestamp_utc").isNotNull() & F.col("close").isNotNull())
     )
@@ -99,7 +99,7 @@ def normalize_intraday(
 
 
 def import_backfill(
-    raw: DataFrame, universe: DataFrame, system: SystemSettings = SystemSettings(), local_time: str = "time"
+    raw: DataFrame, universe: DataFrame, trading: TradingDay = TradingDay(), local_time: str = "time"
 ) -> DataFrame:
     """User-supplied history in vendor-like columns: known securities only, one pass for all."""
     frame = canonical_columns(raw)
@@ -112,8 +112,8 @@ def import_backfill(
         .withColumn("source", F.lit("IMPORTED_BACKFILL"))
     )
     if "ingest_seq" not in known.columns:
-        known = known.withColumn("ingest_seq", F.monotonically_increasing_id())
-    return normalize_intraday(known, F.col(local_time), system)
+        raise ValueError("the order of ingestion must be given as ingest_seq: the last version of a bar stays")
+    return normalize_intraday(known, F.col(local_time), trading)
 
 
 def normalize_daily(raw: DataFrame, universe: DataFrame, seq: str = "ingest_seq") -> DataFrame:
@@ -155,10 +155,9 @@ def rolling_cutoff(as_of: Column, months: int) -> Column:
     return F.add_months(as_of, -months)
 
 
-def append_snapshots(old: DataFrame, new: DataFrame, limit: int = 250_000, time: str = "time") -> DataFrame:
-    """Snapshot log capped to its newest rows (the cap is the retention rule)."""
-    both = union_all([old, new])
-    return both.orderBy(F.col(time).desc(), *[F.col(c) for c in both.columns if c != time]).limit(limit)
+def append_snapshots(old: DataFrame, new: DataFrame, since: Column, time: str = "time") -> DataFrame:
+    """Snapshot log with the rows from ``since`` on: retention by time, whatever the number of rows."""
+    return union_all([old, new]).filter(F.col(time) >= since)
 
 
 def pull_plan(universe: DataFrame, existing: DataFrame, as_of: Column, overlap_days: int = 5, full: bool = False) -> DataFrame:

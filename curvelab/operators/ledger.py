@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curvelab.config import STRATEGIES, IndicatorSettings, LiquiditySettings
+from curvelab.config import STRATEGIES
+from curvelab.operators.indicators import RiskLimits
 from curvelab.operators.walkforward import tag_trades
 from curvelab.scale import row_index, running_total
 
@@ -21,14 +23,24 @@ EXIT_REASONS = (
 _CODE = {name: i for i, name in enumerate(EXIT_REASONS)}
 
 
-def liquidity_reason(p: LiquiditySettings = LiquiditySettings(), ind: IndicatorSettings = IndicatorSettings()) -> Column:
-    """First failing liquidity test, or PASS."""
+@dataclass(frozen=True)
+class EntryGate:
+    """Limits on volume and quotes that an entry must keep."""
+
+    # Fixed values.
+    minimum_relative_volume: float = 0.35
+    maximum_volume_participation: float = 0.01
+    maximum_bid_ask_ticks: float = 8.0
+
+
+def liquidity_reason(p: EntryGate = EntryGate(), risk: RiskLimits | None = None) -> Column:
+    """First failing liquidity test, or PASS.  With ``risk`` the candidate risk gates come first."""
     relative, capacity = F.col("relative_volume"), F.col("package_volume_capacity")
     events, width = F.col("min_leg_events"), F.col("max_leg_bid_ask_ticks")
     out = F.when(F.lit(False), F.lit(""))
-    if ind.candidate_risk_gates_enabled:
-        out = out.when(F.abs("tod_normalized_change") >= ind.extreme_tod_shock_z, "EXTREME_TOD_SHOCK").when(
-            F.col("robust_volume_surprise") <= ind.volume_dryness_z, "ROBUST_VOLUME_DRYNESS"
+    if risk is not None:
+        out = out.when(F.abs("tod_normalized_change") >= risk.extreme_tod_shock_z, "EXTREME_TOD_SHOCK").when(
+            F.col("robust_volume_surprise") <= risk.volume_dryness_z, "ROBUST_VOLUME_DRYNESS"
         )
     return (
         out.when(relative.isNull() | (relative < p.minimum_relative_volume), "LOW_RELATIVE_VOLUME")
@@ -88,8 +100,8 @@ def exit_codes(strategy_id: str, side: int, vote: str) -> Column:
 
 def ledger_inputs(
     features: DataFrame,
-    liquidity: LiquiditySettings = LiquiditySettings(),
-    ind: IndicatorSettings = IndicatorSettings(),
+    gate: EntryGate = EntryGate(),
+    risk: RiskLimits | None = None,
     base: DataFrame | None = None,
 ) -> DataFrame:
     """Votes, exit codes and gates per bar, with the roll segment each bar belongs to.
@@ -102,7 +114,7 @@ def ledger_inputs(
     forced = (F.col("session_date") == F.col("forced_exit_session")) & (
         (F.col("bar_slot") == F.col("session_last_slot")) | last_of_session
     )
-    gated = features.withColumns({"_reason": liquidity_reason(liquidity, ind), "_forced_last": forced})
+    gated = features.withColumns({"_reason": liquidity_reason(gate, risk), "_forced_last": forced})
     segmented = running_total(
         gated, "spread_id", "timestamp_utc", F.date_trunc("month", F.col("session_date")),
         {"_segment": F.coalesce(F.col("roll_event").cast("double"), F.lit(0.0))}, base=base, whole={"_segment": "_rolls"},
@@ -199,7 +211,6 @@ def _segment_trades(bars: pd.DataFrame) -> pd.DataFrame:
     cost = bars["cost"].to_numpy(dtype=float)
     passed = (bars["liquidity_reason"] == "PASS").to_numpy()
     times, days = bars["timestamp_utc"], bars["session_date"]
-    last = len(bars) - 1
     rows = []
     for k, strategy in enumerate(STRATEGIES):
         votes = bars[f"_v{k}"].to_numpy()
@@ -212,9 +223,9 @@ def _segment_trades(bars: pd.DataFrame) -> pd.DataFrame:
             side = int(votes[s])
             at_close = x < 0
             if at_close:
-                if not np.isfinite(closed[last]):
-                    continue
-                x, value = last, closed[last]
+                # The last close that has a value; the entry bar has one, so there always is one.
+                x = e + int(np.flatnonzero(np.isfinite(closed[e:]))[-1])
+                value = closed[x]
                 code = _CODE["END_OF_SAMPLE"] if bars["last_segment"].iat[0] else _CODE["ROLL_SAFETY_PREVIOUS_CLOSE"]
             else:
                 value = opened[x]
@@ -249,7 +260,7 @@ def finish_trades(trades: DataFrame, structures: DataFrame, days: DataFrame) ->
     numbered = row_index(
         trades, ["spread_id", "strategy_id"], "entry_time", F.date_trunc("month", F.col("entry_session")), name="_no"
     )
-    labelled = numbered.join(F.broadcast(names), "spread_id", "left").withColumn(
+    labelled = numbered.join(names, "spread_id", "left").withColumn(
         "trade_id", F.concat_ws("|", "spread_id", "strategy_id", F.lpad(F.col("_no").cast("string"), 4, "0"))
     )
     return tag_trades(labelled.drop("_no"), days)

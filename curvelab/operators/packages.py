@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curvelab.config import GASOIL_BBL_PER_MT, USD_BBL_PER_CPG, SystemSettings
+from curvelab.config import GASOIL_BBL_PER_MT, USD_BBL_PER_CPG
+from curvelab.operators.calendar import TradingDay
 from curvelab.functions import dates as D
 from curvelab.functions.stats import ratio
 from curvelab.operators.ingest import quote_columns
@@ -45,7 +46,7 @@ def prepare_bars(bars: DataFrame, contracts: DataFrame, roots: DataFrame, daily:
         trade = trade.join(lagged_open_interest(daily), ["security", "session_date"], "left")
     verified = F.coalesce("expiry_verified", F.lit(False))
     # The root table is configuration: a handful of rows.
-    rows = trade.join(F.broadcast(roots.drop("ticker_template", "generic_template")), "root", "left").withColumns(
+    rows = trade.join(roots.drop("ticker_template", "generic_template"), "root", "left").withColumns(
         {
             "delivery_index": D.delivery_index(F.col("delivery_month")),
             "close_usd_bbl": F.col("close") * F.col("price_to_usd_bbl"),
@@ -79,7 +80,7 @@ def align_legs(prepared: DataFrame, legs: DataFrame) -> DataFrame:
         F.col("delivery_index").alias("anchor_delivery_index"),
     )
     # Signature legs are bounded by the registry.
-    need = anchors.join(F.broadcast(wanted), "anchor_root").withColumn(
+    need = anchors.join(wanted, "anchor_root").withColumn(
         "leg_key",
         F.when(F.col("mode") == "rank", F.col("rank")).otherwise(
             F.col("anchor_delivery_index") + F.col("delivery_offset")
@@ -116,7 +117,7 @@ def build_packages(prepared: DataFrame, legs: DataFrame, structures: DataFrame)
     weights = legs.select("spread_id", "signature", "leg_order", "sign", "contracts", "price_weight")
     ranked = structures.select("spread_id", "signature", F.col("anchor_rank").alias("structure_rank"))
     use = weights.join(ranked, ["spread_id", "signature"])
-    rows = aligned.join(F.broadcast(use), ["signature", "structure_rank", "leg_order"])
+    rows = aligned.join(use, ["signature", "structure_rank", "leg_order"])
 
     sign, lots, unit = F.col("sign"), F.col("contracts"), F.col("price_to_usd_bbl")
     weight = sign * F.col("price_weight") * unit
@@ -164,7 +165,7 @@ def build_packages(prepared: DataFrame, legs: DataFrame, structures: DataFrame)
     )
     return (
         packed.withColumn("roll_id", F.array_join(F.transform("legs", lambda g: g["security"]), " | "))
-        .join(F.broadcast(structures.drop("signature")), "spread_id")
+        .join(structures.drop("signature"), "spread_id")
         .withColumns(
             {
                 "quoted_width_usd_bbl": F.col("spread_buy_quote") - F.col("spread_sell_quote"),
@@ -223,16 +224,16 @@ def package_bars(prepared: DataFrame, legs: DataFrame, structures: DataFrame, bl
     return risk_distance(back_adjust(build_packages(prepared, legs, structures), block=block))
 
 
-def daily_as_bars(daily: DataFrame, system: SystemSettings = SystemSettings()) -> DataFrame:
+def daily_as_bars(daily: DataFrame, trading: TradingDay = TradingDay()) -> DataFrame:
     """Daily settles as bars of the last slot, so the package operators apply to them."""
-    hour, minute = (int(x) for x in system.session_end.split(":"))
-    start = hour * 60 + minute - system.bar_minutes
+    hour, minute = (int(x) for x in trading.session_end.split(":"))
+    start = hour * 60 + minute - trading.bar_interval_minutes
     local = F.col("session_date").cast("timestamp_ntz") + F.make_dt_interval(mins=F.lit(start))
     return daily.select(
-        F.to_utc_timestamp(local.cast("timestamp"), system.timezone).alias("timestamp_utc"),
+        F.to_utc_timestamp(local.cast("timestamp"), trading.timezone).alias("timestamp_utc"),
         local.alias("bar_start_local"),
         "session_date",
-        F.lit(system.bars_per_session - 1).alias("bar_slot"),
+        F.lit(trading.complete_bars_per_session - 1).alias("bar_slot"),
         F.lit("TRADE").alias("event_type"),
         "root",
         "security",

@@ -2,9 +2,28 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curvelab.operators.calendar import TradingDay
+from curvelab.operators.walkforward import Folds
+
+
+@dataclass(frozen=True)
+class Coverage:
+    """How much history and volume the bar store must hold."""
+
+    # Fixed values.
+    minimum_preliminary_sessions: int = 120
+    minimum_production_sessions: int = 300
+    rolling_intraday_months: int = 18
+    daily_history_start: str = "2022-01-01"
+    forward_curve_months: int = 16
+    minimum_volume_coverage: float = 0.90
+    maximum_model_age_sessions: int = 5
+
 
 def structure_coverage(structures: DataFrame, packages: DataFrame) -> DataFrame:
     """All registered structures, observed or not."""
@@ -49,17 +68,16 @@ def _check(name: str, status, actual, expected: str, blocking) -> "F.Column":
     )
 
 
-def quality_report(bars: DataFrame, contracts: DataFrame, daily: DataFrame, roots: int, settings, depth_source: str = "UNKNOWN",
-                   model_as_of=None) -> DataFrame:
+def quality_report(bars: DataFrame, contracts: DataFrame, daily: DataFrame, roots: int, coverage: Coverage = Coverage(), trading: TradingDay = TradingDay(),
+                   depth_source: str = "UNKNOWN", depth_required: bool = False, model_as_of=None) -> DataFrame:
     """Coverage checks of the bar store as (check, status, actual, expected, blocking).
 
     Every measure is aggregated to one row; nothing but scalars meets.
     """
-    system, liquidity = settings.system, settings.liquidity
     trade = bars.filter(F.col("event_type") == "TRADE")
     per_session = trade.groupBy("security", "session_date").agg(F.count(F.lit(1)).alias("n"), F.count("volume_contracts").alias("v"))
     groups = per_session.agg(
-        F.avg((F.col("n") == system.bars_per_session).cast("double")).alias("completeness"),
+        F.avg((F.col("n") == trading.complete_bars_per_session).cast("double")).alias("completeness"),
         (F.sum("v") / F.sum("n")).alias("volume_coverage"),
     )
     days = trade.select("session_date").distinct().agg(F.count(F.lit(1)).alias("sessions"), F.min("session_date").alias("earliest"), F.max("session_date").alias("latest"))
@@ -78,27 +96,27 @@ def quality_report(bars: DataFrame, contracts: DataFrame, daily: DataFrame, root
         one = one.join(other, "_one")
     c = F.col
     ok = lambda test, bad="WARN": F.when(test, "PASS").otherwise(bad)
-    first_rolling = F.add_months(F.trunc("latest", "month"), -system.rolling_months)
+    first_rolling = F.add_months(F.trunc("latest", "month"), -coverage.rolling_intraday_months)
     on_weekday = lambda d: F.date_add(d, F.when(F.weekday(d) == 5, 2).when(F.weekday(d) == 6, 1).otherwise(0))
-    history = F.lit(system.daily_history_start).cast("date")
+    history = F.lit(coverage.daily_history_start).cast("date")
     checks = [
-        _check("history_sessions", F.when(c("sessions") >= system.production_sessions, "PASS").when(c("sessions") >= system.preliminary_sessions, "WARN").otherwise("FAIL"),
-               c("sessions"), f">={system.production_sessions}", c("sessions") < system.preliminary_sessions),
-        _check("rolling_intraday_coverage", ok(c("earliest") <= on_weekday(first_rolling)), c("earliest"), f"{system.rolling_months} months", F.lit(False)),
-        _check("forward_curve_contracts", ok(c("curve_depth") >= system.forward_curve_months), c("curve_depth"), f">={system.forward_curve_months}", F.lit(False)),
+        _check("history_sessions", F.when(c("sessions") >= coverage.minimum_production_sessions, "PASS").when(c("sessions") >= coverage.minimum_preliminary_sessions, "WARN").otherwise("FAIL"),
+               c("sessions"), f">={coverage.minimum_production_sessions}", c("sessions") < coverage.minimum_preliminary_sessions),
+        _check("rolling_intraday_coverage", ok(c("earliest") <= on_weekday(first_rolling)), c("earliest"), f"{coverage.rolling_intraday_months} months", F.lit(False)),
+        _check("forward_curve_contracts", ok(c("curve_depth") >= coverage.forward_curve_months), c("curve_depth"), f">={coverage.forward_curve_months}", F.lit(False)),
         _check("daily_settle_history", ok((c("settle_start") <= on_weekday(history)) & (c("settle_share") >= 0.90)), F.round("settle_share", 6), ">=90% settle", F.lit(False)),
         _check("complete_session_security_groups", ok(c("completeness") >= 0.95), F.round("completeness", 6), "95%", c("completeness") < 0.80),
-        _check("volume_coverage", ok(c("volume_coverage") >= liquidity.minimum_volume_coverage, "FAIL"), F.round("volume_coverage", 6),
-               f"{liquidity.minimum_volume_coverage:.0%}", c("volume_coverage") < liquidity.minimum_volume_coverage),
+        _check("volume_coverage", ok(c("volume_coverage") >= coverage.minimum_volume_coverage, "FAIL"), F.round("volume_coverage", 6),
+               f"{coverage.minimum_volume_coverage:.0%}", c("volume_coverage") < coverage.minimum_volume_coverage),
         _check("verified_expiry_metadata", ok(c("verified") >= 0.95, "FAIL"), F.round("verified", 6), "95%", c("verified") < 0.95),
         _check("market_depth_source", ok(F.lit(depth_source == "BPIPE_L2")), F.lit(depth_source), "level 2 preferred",
-               F.lit(liquidity.require_l2_for_entry and depth_source != "BPIPE_L2")),
+               F.lit(depth_required and depth_source != "BPIPE_L2")),
     ]
     report = one.select(F.explode(F.array(*checks)).alias("c")).select("c.*")
     if model_as_of is None:
         return report
     age = trade.select("session_date").distinct().agg(F.count_if(F.col("session_date") > model_as_of).alias("age"))
-    limit = system.maximum_model_age_sessions
+    limit = coverage.maximum_model_age_sessions
     fresh = age.select(
         F.lit("frozen_model_freshness").alias("check"), F.when(F.col("age") > limit, "FAIL").otherwise("PASS").alias("status"),
         F.col("age").cast("string").alias("actual"), F.lit(f"<={limit} sessions").alias("expected"), F.lit(False).alias("blocking"),
@@ -121,13 +139,12 @@ def core_packages_missing(packages: DataFrame, core: DataFrame, slots: int) -> D
     return core.select("spread_id").join(counts.filter(F.col("bars") == slots), "spread_id", "left_anti")
 
 
-def training_gate(bars: DataFrame, packages: DataFrame, settings) -> DataFrame:
+def training_gate(bars: DataFrame, packages: DataFrame, p: Folds = Folds(), trading: TradingDay = TradingDay()) -> DataFrame:
     """Is the last session closed, and is there enough history to train on?"""
-    p = settings.backtest
     need = p.train_sessions + p.validation_sessions + p.embargo_sessions + p.test_sessions + p.lockbox_sessions
     latest = bars.agg(F.max("session_date").alias("s"), F.max("pulled_at_local").alias("pulled"))
-    closes = F.to_timestamp_ntz(F.concat(F.date_format("pulled", "yyyy-MM-dd"), F.lit(f" {settings.system.session_end}:00")))
-    ready = closes + F.make_dt_interval(mins=F.lit(settings.system.freshness_grace_minutes))
+    closes = F.to_timestamp_ntz(F.concat(F.date_format("pulled", "yyyy-MM-dd"), F.lit(f" {trading.session_end}:00")))
+    ready = closes + F.make_dt_interval(mins=F.lit(trading.freshness_grace_minutes))
     sessions = packages.select("session_date").distinct().agg(F.count(F.lit(1))).scalar()
     return latest.select(
         (F.col("pulled").isNotNull() & ~((F.col("s") == F.to_date("pulled")) & (F.col("pulled") < ready))).alias("session_closed"),

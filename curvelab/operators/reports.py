@@ -8,7 +8,7 @@ from dataclasses import fields
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvelab.config import STRATEGIES, Settings
+from curvelab.config import STRATEGIES
 from curvelab.functions.dates import weekday
 from curvelab.scale import row_index
 
@@ -39,14 +39,14 @@ def nearest_contracts(bars: DataFrame, n: int) -> DataFrame:
     return top_rows(current, "root", [F.col("delivery_month"), F.col("security")], n)
 
 
-def parameter_catalog(spark: SparkSession, settings: Settings = Settings()) -> DataFrame:
+def parameter_catalog(spark: SparkSession, settings) -> DataFrame:
     """Every setting as (section, parameter, value)."""
     rows = []
-    for section in ("system", "liquidity", "backtest", "indicators"):
+    for section in (f.name for f in fields(settings) if f.name != "roots"):
         part = getattr(settings, section)
         rows += [(section, f.name, str(getattr(part, f.name))) for f in fields(part)]
     for root in settings.roots:
-        rows += [(f"root.{root.root}", f.name, str(getattr(root, f.name))) for f in fields(root) if f.name not in ("root", "label")]
+        rows += [(f"root.{root.root}", f.name, str(getattr(root, f.name))) for f in fields(root) if f.name not in ("root", "name")]
     return spark.createDataFrame(rows, "section string, parameter string, value string")
 
 

@@ -14,11 +14,14 @@ from curvelab.scale import row_index
 LEVELS = {"p90": 1.645, "p95": 1.96, "p99": 2.576}
 
 
-def parametric_var(series: DataFrame, key: str, x: str, value: str = "value", window: int = 60) -> DataFrame:
+def parametric_var(series: DataFrame, key: str, x: str, bucket: Column, value: str = "value", window: int = 60) -> DataFrame:
     """VaR from the newest ``window`` values: log returns times the last price, or plain
-    differences where any value is not positive; zero for a shorter history."""
+    differences where any value is not positive; zero for a shorter history.
+
+    ``bucket`` is monotone in ``x`` (its year, say) and splits a long series.
+    """
     kept = series.filter(F.col(value).isNotNull())
-    back = row_index(kept, key, F.col(x).desc(), -F.year(x) if dict(series.dtypes)[x] in ("date", "timestamp", "timestamp_ntz") else F.lit(0), name="_back")
+    back = row_index(kept, key, F.col(x).desc(), -bucket, name="_back")
     recent = back.filter(F.col("_back") <= window)
     # At most ``window`` rows per key are left.
     order = Window.partitionBy(key).orderBy(F.col("_back").desc())

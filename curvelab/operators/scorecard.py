@@ -4,21 +4,34 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curvelab.config import STRATEGIES, BacktestSettings, Strategy
+from curvelab.config import STRATEGIES, Strategy
 from curvelab.functions import stats as S
 from curvelab.scale import running_total
 
 
+@dataclass(frozen=True)
+class Evidence:
+    """What a trial must show to be validated, and the sessions of a year."""
+
+    # Fixed values.
+    minimum_oos_trades: int = 20
+    minimum_profit_factor: float = 1.10
+    minimum_profitable_fold_share: float = 0.60
+    minimum_probability_sharpe: float = 0.95
+    annual_sessions: int = 252
+
+
 def daily_pnl(trades: DataFrame, keys: Sequence[str], day: str = "exit_session", net: str = "net_pnl_usd") -> DataFrame:
     """One row per key and day, summed map-side; at most one row per calendar day and key."""
     return trades.groupBy(*keys, F.col(day).alias("day")).agg(F.sum(net).alias("pnl"))
 
 
-def daily_metrics(daily: DataFrame, keys: Sequence[str], p: BacktestSettings = BacktestSettings(), trials: int = 2) -> DataFrame:
+def daily_metrics(daily: DataFrame, keys: Sequence[str], p: Evidence = Evidence(), trials: int = 2) -> DataFrame:
     """Sharpe, Sortino, drawdown, Calmar and the deflated Sharpe probability per key."""
     order = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     all_days = Window.partitionBy(*keys)
@@ -87,7 +100,7 @@ def evaluation_trades(trades: DataFrame) -> DataFrame:
     return trades.join(has, list(KEYS)).filter((F.col("_has_oos") == 0) | (F.col("phase") == "OOS"))
 
 
-def fold_metrics(trades: DataFrame, p: BacktestSettings = BacktestSettings()) -> DataFrame:
+def fold_metrics(trades: DataFrame, p: Evidence = Evidence()) -> DataFrame:
     """Trades, net, Sharpe and drawdown per OOS fold."""
     keys = [*KEYS, "fold"]
     oos = trades.filter((F.col("phase") == "OOS") & F.col("fold").isNotNull())
@@ -96,11 +109,11 @@ def fold_metrics(trades: DataFrame, p: BacktestSettings = BacktestSettings()) ->
     return counts.join(metrics.select(*keys, F.col("daily_sharpe").alias("sharpe"), "max_drawdown_usd"), keys)
 
 
-def minimum_trades(tier: Column, p: BacktestSettings) -> Column:
+def minimum_trades(tier: Column, p: Evidence) -> Column:
     return F.ceil(F.lit(p.minimum_oos_trades) * (1.0 + 0.5 * (tier - 1))).cast("int")
 
 
-def scorecard(trades: DataFrame, trials: int, p: BacktestSettings = BacktestSettings()) -> DataFrame:
+def scorecard(trades: DataFrame, trials: int, p: Evidence = Evidence()) -> DataFrame:
     """One row per (structure, strategy) with evidence and status.
 
     The lockbox is reported and takes no part in the status.
@@ -176,7 +189,7 @@ ZERO_COLUMNS = (
 
 def complete_scorecard(
     score: DataFrame, structures: DataFrame, observed: DataFrame, strategies: Sequence[Strategy] = STRATEGIES,
-    p: BacktestSettings = BacktestSettings(),
+    p: Evidence = Evidence(),
 ) -> DataFrame:
     """Every registered trial counts: trials without trades are added with zeros.
 

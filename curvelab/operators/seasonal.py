@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curvelab.config import IndicatorSettings
 from curvelab.functions.stats import ratio, sorted_quantile
 
 YEAR_SLOTS = 366
 
 
+@dataclass(frozen=True)
+class PriorPool:
+    """Which earlier observations a seasonal prior takes, and how far it is shrunk."""
+
+    # Fixed values.
+    seasonality_window_days: int = 14
+    seasonality_shrinkage: float = 16.0
+    seasonality_min_prior_years: int = 2
+    expiry_seasonality_window_sessions: int = 5
+
+
 def _before(pool: str, field: str) -> Column:
     """Sorted finite values of a pool that belong to years before the row's own year."""
     kept = F.filter(F.col(pool), lambda c: (c["y"] < F.col("asof_year")) & c[field].isNotNull())
@@ -19,7 +31,7 @@ def _before(pool: str, field: str) -> Column:
 
 def seasonality(
     daily: DataFrame,
-    p: IndicatorSettings = IndicatorSettings(),
+    p: PriorPool = PriorPool(),
     entity: str = "spread_id",
     day: str = "session_date",
     years: list[int] | None = None,

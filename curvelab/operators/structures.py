@@ -188,30 +188,22 @@ def leg_table(spark: SparkSession, structures: Iterable[Structure]) -> DataFrame
     )
 
 
-def load_structures(library: DataFrame, legs: DataFrame) -> tuple[Structure, ...]:
-    """A user's own registry from two small tables (one row per structure, one per leg).
+def user_registry(library: DataFrame, legs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A user's own registry: the enabled structures, and their legs in the layout of ``leg_table``.
 
-    The registry is configuration, so it is read on the driver; a bound guards it.
+    Both stay DataFrames, whatever their size.
     """
-    bound = 20_000
-    rows = library.filter("enabled").limit(bound + 1).collect()
-    leg_rows = legs.limit(8 * bound + 1).collect()
-    if len(rows) > bound or len(leg_rows) > 8 * bound:
-        raise ValueError("structure registry is larger than the allowed configuration size")
-    by_id: dict[str, list] = {}
-    for g in sorted(leg_rows, key=lambda r: (r["spread_id"], int(r["leg_order"]))):
-        by_id.setdefault(g["spread_id"], []).append(
-            Leg(g["root"], int(g["delivery_offset"]), int(g["sign"]), int(g["contracts"]),
-                float(g["price_weight"]), g["selection_mode"], int(g["rank"]))
-        )
-    return tuple(
-        Structure(
-            r["spread_id"], r["display_name"], r["family"], r["anchor_root"], int(r["anchor_rank"]),
-            int(r["complexity_tier"]), r["algebra_group"], tuple(by_id[r["spread_id"]]),
-            bool(r["core"]), bool(r["model_enabled"]), r["unit"],
-        )
-        for r in rows
+    kept = library.filter("enabled").withColumnRenamed("display_name", "spread_name").withColumnRenamed("family", "spread_family")
+    keyed = legs.join(kept.select("spread_id", "anchor_root"), "spread_id").withColumnRenamed("selection_mode", "mode")
+    shape = F.array_join(
+        F.transform(
+            F.sort_array(F.collect_list(F.struct("leg_order", F.concat_ws(":", "root", "mode", F.col("delivery_offset").cast("string"), F.col("rank").cast("string"), F.col("sign").cast("string"), F.col("contracts").cast("string")).alias("text")))),
+            lambda leg: leg["text"],
+        ),
+        "|",
     )
+    told = keyed.groupBy("spread_id").agg(shape.alias("signature"), F.count(F.lit(1)).cast("int").alias("n_legs"))
+    return kept, keyed.join(told, "spread_id")
 
 
 def _signed(value: str) -> "F.Column":
@@ -245,7 +237,7 @@ def leg_library(legs: DataFrame, structures: DataFrame, roots: DataFrame) -> Dat
     return (
         legs.drop("signature", "anchor_root", "n_legs")
         .join(structures.select("spread_id", "spread_name", "spread_family", "model_enabled", "complexity_tier"), "spread_id")
-        .join(F.broadcast(roots.drop("ticker_template", "generic_template")), "root")
+        .join(roots.drop("ticker_template", "generic_template"), "root")
         .withColumn(
             "description",
             F.concat_ws(

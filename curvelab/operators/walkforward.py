@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curvelab.config import STRATEGIES, BacktestSettings, SystemSettings
+from curvelab.config import STRATEGIES
+from curvelab.operators.calendar import TradingDay
+
+
+@dataclass(frozen=True)
+class Folds:
+    """Lengths in sessions."""
+
+    # Fixed values.
+    train_sessions: int = 180
+    validation_sessions: int = 30
+    embargo_sessions: int = 5
+    test_sessions: int = 15
+    lockbox_sessions: int = 30
 
 
 def session_list(df: DataFrame, day: str = "session_date") -> DataFrame:
@@ -17,7 +32,7 @@ def _at(i: Column | int) -> Column:
     return F.get(F.col("sessions"), i if isinstance(i, Column) else F.lit(i))
 
 
-def walk_forward(df: DataFrame, p: BacktestSettings = BacktestSettings(), day: str = "session_date") -> DataFrame:
+def walk_forward(df: DataFrame, p: Folds = Folds(), day: str = "session_date") -> DataFrame:
     """Expanding folds inside the development sessions: train, validation, embargo, test."""
     span = p.embargo_sessions + p.test_sessions
     first = p.train_sessions + p.validation_sessions
@@ -48,7 +63,7 @@ def walk_forward(df: DataFrame, p: BacktestSettings = BacktestSettings(), day: s
     )
 
 
-def describe_windows(windows: DataFrame, p: BacktestSettings = BacktestSettings(), system: SystemSettings = SystemSettings()) -> DataFrame:
+def describe_windows(windows: DataFrame, p: Folds = Folds(), trading: TradingDay = TradingDay()) -> DataFrame:
     """The fold table with its constants, as reported."""
     return windows.withColumns(
         {
@@ -57,13 +72,13 @@ def describe_windows(windows: DataFrame, p: BacktestSettings = BacktestSettings(
             "oos_test_sessions": F.lit(p.test_sessions),
             "lockbox_sessions": F.lit(p.lockbox_sessions),
             "lockbox_used_for_training": F.lit(False),
-            "bar_interval_minutes": F.lit(system.bar_minutes),
+            "bar_interval_minutes": F.lit(trading.bar_interval_minutes),
             "strategy_count": F.lit(len(STRATEGIES)),
         }
     )
 
 
-def lockbox_start(df: DataFrame, p: BacktestSettings = BacktestSettings(), day: str = "session_date") -> DataFrame:
+def lockbox_start(df: DataFrame, p: Folds = Folds(), day: str = "session_date") -> DataFrame:
     """One row with the first lockbox session (null where history is too short)."""
     n = F.size("sessions")
     return session_list(df, day).select(
@@ -71,7 +86,7 @@ def lockbox_start(df: DataFrame, p: BacktestSettings = BacktestSettings(), day:
     )
 
 
-def phase_days(df: DataFrame, p: BacktestSettings = BacktestSettings(), day: str = "session_date") -> DataFrame:
+def phase_days(df: DataFrame, p: Folds = Folds(), day: str = "session_date") -> DataFrame:
     """(day, phase, fold) for test-fold and lockbox days; other days are DEVELOPMENT.
 
     Intervals are opened into days, so a date finds its phase by an equi-join.

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvelab.config import STRATEGIES, Settings
+from curvelab.config import STRATEGIES
 from curvelab.operators import calendar as C
 from curvelab.operators import experts as X
 from curvelab.operators import indicators as I
@@ -22,6 +22,7 @@ from curvelab.operators import scorecard as SC
 from curvelab.operators import seasonal
 from curvelab.operators import structures as G
 from curvelab.operators import walkforward as W
+from curvelab.plans.settings import Settings
 from curvelab.stages import write_stage
 
 
@@ -89,14 +90,14 @@ class Market:
     @property
     def seasonality(self) -> DataFrame:
         history = self.packages if self.bars_are_daily else self.daily_packages
-        return self.store("seasonality", lambda: seasonal.seasonality(history, self.settings.indicators))
+        return self.store("seasonality", lambda: seasonal.seasonality(history, self.settings.prior))
 
     @property
     def features(self) -> DataFrame:
         def build() -> DataFrame:
-            indicated = I.add_indicators(self.packages, self.settings.indicators)
+            indicated = I.add_indicators(self.packages, self.settings.windows)
             return seasonal.attach_seasonality(indicated, self.seasonality).withColumn(
-                "session_last_slot", F.lit(self.settings.system.bars_per_session - 1)
+                "session_last_slot", F.lit(self.settings.trading.complete_bars_per_session - 1)
             )
 
         return self.store("features", build)
@@ -115,22 +116,22 @@ class Market:
         trials = sum(s.model_enabled for s in self.structures) * len(STRATEGIES)
 
         def build() -> DataFrame:
-            score = SC.scorecard(self.trades, trials, self.settings.backtest)
-            return SC.complete_scorecard(score, self.structure_table, self.voted, STRATEGIES, self.settings.backtest)
+            score = SC.scorecard(self.trades, trials, self.settings.evidence)
+            return SC.complete_scorecard(score, self.structure_table, self.voted, STRATEGIES, self.settings.evidence)
 
         return self.store("scorecard", build)
 
 
 def learn(features: DataFrame, settings: Settings) -> DataFrame:
-    return X.add_adaptive_ensemble(X.with_expert_votes(features), settings.backtest, base=features)
+    return X.add_adaptive_ensemble(X.with_expert_votes(features), settings.learner, settings.folds, base=features)
 
 
 def backtest(voted: DataFrame, structures: DataFrame, settings: Settings) -> DataFrame:
     """Trades of all enabled structures with their walk-forward phase."""
-    enabled = voted.join(F.broadcast(structures.filter("model_enabled").select("spread_id")), "spread_id", "left_semi")
-    inputs = L.ledger_inputs(enabled, settings.liquidity, settings.indicators)
+    enabled = voted.join(structures.filter("model_enabled").select("spread_id"), "spread_id", "left_semi")
+    inputs = L.ledger_inputs(enabled, settings.gate)
     trades = write_stage(L.run_ledger(inputs), "ledger")
-    return L.finish_trades(trades, structures, W.phase_days(enabled, settings.backtest))
+    return L.finish_trades(trades, structures, W.phase_days(enabled, settings.folds))
 
 
 def prepare(
@@ -146,7 +147,7 @@ def prepare(
     )
     calendar = C.session_calendar(span)
     contracts = store(
-        "contracts", lambda: C.contract_registry(inputs.universe, inputs.reference, calendar, settings.system)
+        "contracts", lambda: C.contract_registry(inputs.universe, inputs.reference, calendar, settings.trading)
     )
     roots = C.root_table(spark, settings.roots)
     return Market(
@@ -160,6 +161,6 @@ def prepare(
         lambda: P.prepare_bars(inputs.bars, contracts, roots, inputs.daily),
         None
         if inputs.daily is None
-        else lambda: P.prepare_bars(P.daily_as_bars(inputs.daily, settings.system), contracts, roots, inputs.daily),
+        else lambda: P.prepare_bars(P.daily_as_bars(inputs.daily, settings.trading), contracts, roots, inputs.daily),
         bars_are_daily,
     )

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvelab.config import IndicatorSettings
 from curvelab.edge import settle, settle_sql
 from curvelab.operators import indicators as I
 from curvelab.operators import ingest
@@ -14,7 +13,7 @@ from curvelab.registry import query
 from curvelab.scale import latest_by
 from curvelab.sources import views
 
-P = IndicatorSettings.per_session(24)
+P = I.Windows(24)
 _E = "PARTITION BY spread_id ORDER BY t"
 
 

@@ -65,7 +65,7 @@ def trial_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         " expectancy AS expectancy_usd, hold AS median_holding_bars, share AS profitable_fold_share, dsr AS deflated_sharpe_probability, exits AS expiry_exits, long_net AS long_net_pnl_usd, short_net AS short_net_pnl_usd, hurdle AS minimum_oos_trades_hurdle FROM sc",
         "spread_id, strategy_id, status, trades, oos_trades, lockbox_trades, expiry_exits, minimum_oos_trades_hurdle",
         "gross_pnl_usd, net_pnl_usd, lockbox_net_pnl_usd, cost_drag_usd, net_pnl_2x_cost_usd, net_pnl_3x_cost_usd, daily_sharpe, daily_sortino, max_drawdown_usd, calmar, win_rate,"
-        " profit_factor, expectancy_usd:4, median_holding_bars, profitable_fold_share, deflated_sharpe_probability, long_net_pnl_usd, short_net_pnl_usd",
+        " profit_factor, expectancy_usd, median_holding_bars, profitable_fold_share, deflated_sharpe_probability, long_net_pnl_usd, short_net_pnl_usd", nudge=True,
     ),
 )
 def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,7 @@ def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cost_drag_usd", "net_pnl_2x_cost_usd", "net_pnl_3x_cost_usd", "daily_sharpe", "daily_sortino", "max_drawdown_usd", "calmar", "win_rate",
         "profit_factor", "expectancy_usd", "median_holding_bars", "profitable_fold_share", "deflated_sharpe_probability", "expiry_exits",
         "long_net_pnl_usd", "short_net_pnl_usd", "minimum_oos_trades_hurdle",
-    ), expectancy_usd=4)
+    ), nudge=True)
 
 
 @query(
@@ -275,11 +275,12 @@ def _board(spark: SparkSession, sf_dir: str) -> DataFrame:
         trades = learning.hour_trades(spark, sf_dir).withColumns(
             {"complexity_tier": F.lit(1), "algebra_group": F.col("spread_id")}
         )
-        score = SC.scorecard(trades, 45, learning.HOURLY.backtest)
+        score = SC.scorecard(trades, 45, learning.HOURLY.evidence)
         latest = latest_by(learning.hour_voted(spark, sf_dir), "spread_id", "timestamp_utc").withColumns(
             {"model_enabled": F.lit(True), "complexity_tier": F.lit(1), "algebra_group": F.substring("spread_id", 1, 1)}
         )
-        return BD.board_budget(BD.signal_board(latest, score, None, learning.HOURLY), learning.HOURLY)
+        s = learning.HOURLY
+        return BD.board_budget(BD.signal_board(latest, score, None, s.board, s.gate, s.learner), s.board)
 
     return stage(spark, "hour-board", sf_dir, build)
 
@@ -299,7 +300,7 @@ def package_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Board, trade codes, display levels, summaries and briefs of the package pipeline."""
     m = views.market(spark, sf_dir)
     latest = latest_by(m.voted, "spread_id", "timestamp_utc")
-    board = BD.board_budget(BD.signal_board(latest, m.scorecard, None, m.settings), m.settings)
+    board = BD.board_budget(BD.signal_board(latest, m.scorecard, None, m.settings.board, m.settings.gate, m.settings.learner), m.settings.board)
     shown = BD.with_display_levels(BD.with_trade_codes(board, ROOTS))
     selected = SC.best_strategies(m.scorecard)
     recent = SC.recent_metrics(SC.selected_trades(m.trades, selected, F.lit("1900-01-01").cast("date"), F.lit("2100-01-01").cast("date")))

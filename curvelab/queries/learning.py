@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from curvelab.config import BacktestSettings, LiquiditySettings, Settings
 from curvelab.edge import settle, settle_sql
 from curvelab.operators import experts as X
 from curvelab.operators import indicators as I
 from curvelab.operators import ledger as L
 from curvelab.operators import seasonal
 from curvelab.operators import walkforward as W
+from curvelab.operators.scorecard import Evidence
+from curvelab.plans.settings import Settings
 from curvelab.queries import bars as B
 from curvelab.queries import ctes
 from curvelab.registry import query
@@ -20,12 +21,11 @@ from curvelab.stages import stage
 
 # Settings scaled to thirty hourly sessions.
 HOURLY = Settings(
-    liquidity=LiquiditySettings(maximum_volume_participation=1.0),
-    backtest=BacktestSettings(
-        train_sessions=10, validation_sessions=3, test_sessions=2, lockbox_sessions=5, embargo_sessions=1,
-        adaptive_horizon_bars=24, adaptive_min_observations=5, adaptive_entry_threshold=0.2, minimum_oos_trades=2,
-    ),
-    indicators=B.P,
+    windows=B.P,
+    gate=L.EntryGate(maximum_volume_participation=1.0),
+    folds=W.Folds(train_sessions=10, validation_sessions=3, test_sessions=2, lockbox_sessions=5, embargo_sessions=1),
+    learner=X.Learner(adaptive_horizon_bars=24, adaptive_min_observations=5, adaptive_entry_threshold=0.2),
+    evidence=Evidence(minimum_oos_trades=2),
 )
 
 
@@ -39,7 +39,7 @@ def hour_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hour_voted(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build() -> DataFrame:
         features = hour_features(spark, sf_dir)
-        return X.add_adaptive_ensemble(X.with_expert_votes(features), HOURLY.backtest, base=features)
+        return X.add_adaptive_ensemble(X.with_expert_votes(features), HOURLY.learner, HOURLY.folds, base=features)
 
     return stage(spark, "hour-voted", sf_dir, build)
 
@@ -156,18 +156,63 @@ tg AS (SELECT *, 'HOURLY|' || CASE WHEN spread_id < 'f' THEN 'FRONT' ELSE 'MID'
 def delayed_label_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cost-aware labels resolved a day later, averaged per group and session (K2, A3)."""
     voted = X.with_learner_group(X.with_expert_votes(hour_features(spark, sf_dir)))
-    return settle(X.resolved_losses(voted, HOURLY.backtest, base=hour_features(spark, sf_dir)))
+    return settle(X.resolved_losses(voted, HOURLY.learner, base=hour_features(spark, sf_dir)))
+
+
+# The learner as a recursion over each group's sessions, weights as a list.
+_GROUP = "'HOURLY|' || CASE WHEN spread_id < 'f' THEN 'FRONT' ELSE 'MID' END"
+_LEARNED = f"""{_LOSS.replace("WITH", "WITH RECURSIVE", 1)},
+ls AS (SELECT learner_group AS g, rs AS d, [{', '.join(f"coalesce(avg(CASE WHEN {n} <> 0 THEN ({n} - target) * ({n} - target) / 4 END), 0)" for n in _V)}] AS loss
+  FROM tg WHERE {' OR '.join(f'{n} <> 0' for n in _V)} GROUP BY ALL),
+pr AS (SELECT DISTINCT {_GROUP} AS g, session_date AS d FROM f),
+nr AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT d FROM pr)),
+o AS (SELECT pr.g, pr.d, loss, i >= n - 5 AS frozen, loss IS NOT NULL AND i + 1 < n - 5 AS counts, row_number() OVER (PARTITION BY pr.g ORDER BY pr.d) AS r
+  FROM pr JOIN nr USING (d) LEFT JOIN ls ON ls.g = pr.g AND ls.d = pr.d),
+rec AS (SELECT DISTINCT g, 1::BIGINT AS r, list_transform(range(7), lambda i: 1.0::DOUBLE / 7) AS w, 0::BIGINT AS seen FROM o
+  UNION ALL SELECT g, r + 1, CASE WHEN counts THEN list_transform(v, lambda x: least(0.35, x * (1 - k * 0.35) / (1 - held))) ELSE w END, seen + counts::INT FROM (
+   SELECT *, coalesce(list_sum(s[1:k]), 0) AS held FROM (
+    SELECT *, list_min(list_filter(range(0, 8), lambda j: j = 7 OR s[j + 1] * (1 - j * 0.35) <= 0.35 * (1 - coalesce(list_sum(s[1:j]), 0)))) AS k FROM (
+     SELECT *, list_reverse_sort(v) AS s FROM (SELECT *, list_transform(l, lambda x: x / list_sum(l)) AS v FROM (
+      SELECT *, list_transform(m, lambda x: greatest(x, 0.1::DOUBLE / 7)) AS l FROM (
+       SELECT *, list_transform(gr, lambda x: 0.92 * x / list_sum(gr) + 0.08::DOUBLE / 7) AS m FROM (
+        SELECT rec.g, rec.r, rec.w, rec.seen, o.counts, list_transform(range(1, 8), lambda i: rec.w[i] * exp(-0.2 * coalesce(o.loss[i], 0))) AS gr
+        FROM rec JOIN o ON o.g = rec.g AND o.r = rec.r JOIN o nx ON nx.g = rec.g AND nx.r = rec.r + 1)))))))),
+wt AS (SELECT o.g, o.d, rec.w, rec.seen, o.frozen FROM rec JOIN o USING (g, r))
+"""
+_SCORE = " + ".join(f"w[{i}] * {n}" for i, n in enumerate(_V, start=1))
+_ABOVE = " + ".join(f"CASE WHEN {n} > 0 THEN w[{i}] ELSE 0 END" for i, n in enumerate(_V, start=1))
+_BELOW = " + ".join(f"CASE WHEN {n} < 0 THEN w[{i}] ELSE 0 END" for i, n in enumerate(_V, start=1))
 
 
-@query("fixed_share_weights")
+@query(
+    "fixed_share_weights",
+    settle_sql(
+        f"""{_LEARNED} SELECT g AS learner_group, strftime(d, '%Y-%m-%d') AS session_date, seen AS adaptive_observations,
+          [{', '.join(f"'{e}'" for e in _SHORT)}][list_position(w, list_max(w))] AS adaptive_top_expert, list_max(w) AS adaptive_top_weight,
+          CASE WHEN frozen THEN 'LOCKBOX_FROZEN' WHEN seen >= 5 THEN 'ACTIVE' ELSE 'WARMUP' END AS adaptive_status,
+          {', '.join(f"w[{i}] AS adaptive_weight_{n[12:]}" for i, n in enumerate(_V, start=1))} FROM wt""",
+        "learner_group, session_date, adaptive_observations, adaptive_top_expert, adaptive_status",
+        "adaptive_top_weight, " + ", ".join(f"adaptive_weight_{n[12:]}" for n in _V),
+    ),
+)
 def fixed_share_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expert weights per group and session (K3); the recursion is tested against a row loop."""
+    """Expert weights per group and session (K3)."""
     voted = hour_voted(spark, sf_dir)
     return settle(voted.select("learner_group", "session_date", "adaptive_observations", "adaptive_top_expert",
                                "adaptive_top_weight", "adaptive_status", *X.WEIGHTS).distinct())
 
 
-@query("adaptive_votes")
+@query(
+    "adaptive_votes",
+    settle_sql(
+        f"""{_LEARNED}, sc AS (SELECT vc.*, seen, {_SCORE} AS score, {_ABOVE} AS pos, {_BELOW} AS neg FROM vc JOIN wt ON wt.g = {_GROUP} AND wt.d = session_date),
+          rd AS (SELECT *, seen >= 5 AND NOT coalesce(alarm, false) AS ready, greatest(0, least(0.95, 0.5 + 0.45 * least(1, abs(score)) * least(1, seen / 120.0))) AS trust FROM sc)
+          SELECT spread_id, strftime(t, '%Y-%m-%d %H:%M:%S') AS timestamp_utc, score AS adaptive_score, pos AS adaptive_positive_weight, neg AS adaptive_negative_weight,
+            CASE WHEN ready AND score >= 0.2 AND longs >= 2 AND neg <= 0.15 THEN 1 WHEN ready AND score <= -0.2 AND shorts >= 2 AND pos <= 0.15 THEN -1 ELSE 0 END AS adaptive_vote,
+            CASE WHEN seen < 120 THEN least(trust, 0.55) ELSE trust END AS adaptive_confidence FROM rd""",
+        "spread_id, timestamp_utc, adaptive_vote", "adaptive_score, adaptive_positive_weight, adaptive_negative_weight, adaptive_confidence",
+    ),
+)
 def adaptive_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ensemble score, vote and confidence per bar (K4)."""
     return settle(hour_voted(spark, sf_dir).select(
@@ -180,8 +225,8 @@ def adaptive_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frozen_model_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights frozen at the end of development, applied without learning."""
     voted = hour_voted(spark, sf_dir)
-    frozen = X.freeze_weights(voted, HOURLY.backtest)
-    scored = X.apply_frozen_weights(X.with_expert_votes(hour_features(spark, sf_dir)), frozen, HOURLY.backtest)
+    frozen = X.freeze_weights(voted, HOURLY.folds)
+    scored = X.apply_frozen_weights(X.with_expert_votes(hour_features(spark, sf_dir)), frozen, HOURLY.learner)
     return settle(scored.select("spread_id", "timestamp_utc", "adaptive_score", "adaptive_vote", "adaptive_confidence", "adaptive_status"))
 
 
@@ -237,19 +282,16 @@ def phase_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def liquidity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First failing liquidity test per bar."""
-    limits = LiquiditySettings(maximum_volume_participation=0.5, maximum_bid_ask_ticks=3.0)
+    limits = L.EntryGate(maximum_volume_participation=0.5, maximum_bid_ask_ticks=3.0)
     df = I.same_slot_features(I.with_point_columns(views.hour_packages(spark, sf_dir)), B.P)
     return settle(df.select("spread_id", "timestamp_utc", L.liquidity_reason(limits).alias("liquidity_gate")))
 
 
 def hour_trades(spark: SparkSession, sf_dir: str, gates: bool = False) -> DataFrame:
-    from dataclasses import replace
-
     def build() -> DataFrame:
         voted = hour_voted(spark, sf_dir)
-        ind = replace(HOURLY.indicators, candidate_risk_gates_enabled=gates)
-        trades = L.run_ledger(L.ledger_inputs(voted, HOURLY.liquidity, ind, base=voted))
-        return W.tag_trades(trades, W.phase_days(voted, HOURLY.backtest))
+        trades = L.run_ledger(L.ledger_inputs(voted, HOURLY.gate, HOURLY.risk if gates else None, base=voted))
+        return W.tag_trades(trades, W.phase_days(voted, HOURLY.folds))
 
     return stage(spark, f"hour-trades-{gates}", sf_dir, build)
 

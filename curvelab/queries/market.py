@@ -205,8 +205,8 @@ def package_align(spark: SparkSession, sf_dir: str) -> DataFrame:
         " s_vwap AS spread_bar_vwap, ticks AS max_leg_bid_ask_ticks, s_buy - s_sell AS quoted_width_usd_bbl, cap * barrels AS paired_volume_bbl,"
         " strftime(risk_date, '%Y-%m-%d') AS earliest_risk_date, strftime(forced, '%Y-%m-%d') AS forced_exit_session, CAST(entry_allowed AS BIGINT) AS entry_allowed FROM pk",
         "spread_id, session_date, earliest_risk_date, forced_exit_session, entry_allowed",
-        "spread_open, spread_close, package_volume_capacity, package_oi_capacity, one_way_cost_usd, min_leg_events, package_open_value_usd:3,"
-        " package_close_value_usd:3, spread_bar_vwap, max_leg_bid_ask_ticks, quoted_width_usd_bbl, paired_volume_bbl",
+        "spread_open, spread_close, package_volume_capacity, package_oi_capacity, one_way_cost_usd, min_leg_events, package_open_value_usd,"
+        " package_close_value_usd, spread_bar_vwap, max_leg_bid_ask_ticks, quoted_width_usd_bbl, paired_volume_bbl", nudge=True,
     ),
 )
 def package_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,7 +218,7 @@ def package_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "one_way_cost_usd", "min_leg_events", "package_open_value_usd", "package_close_value_usd", "spread_bar_vwap",
         "max_leg_bid_ask_ticks", "quoted_width_usd_bbl", "paired_volume_bbl", "earliest_risk_date", "forced_exit_session",
         "entry_allowed",
-    ), package_open_value_usd=3, package_close_value_usd=3)
+    ), nudge=True)
 
 
 @query(

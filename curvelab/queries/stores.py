@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvelab.config import Settings, SystemSettings
 from curvelab.edge import settle
 from curvelab.operators import calendar as C
 from curvelab.operators import experts as X
@@ -41,7 +40,7 @@ def upsert_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "pull_plan",
     """WITH u AS (SELECT p_partkey AS security, DATE '1995-01-01' + (p_size * 20)::INT AS a, DATE '1996-01-01' + (p_size * 60)::INT AS b FROM part),
-      l AS (SELECT l_partkey AS security, CAST(max(l_shipdate) AS DATE) AS last FROM lineitem WHERE l_shipdate < TIMESTAMP '1999-06-01' AND l_quantity > 40 GROUP BY 1)
+      l AS (SELECT l_partkey AS security, CAST(max(l_shipdate) AS DATE) AS last FROM lineitem WHERE l_shipdate < TIMESTAMP '1999-06-01' GROUP BY 1)
       SELECT security, strftime(greatest(a, last - 5), '%Y-%m-%d') AS start_date, strftime(b, '%Y-%m-%d') AS end_date FROM u LEFT JOIN l USING (security)
       WHERE a <= b AND NOT coalesce(last IS NOT NULL AND (b < DATE '1999-01-01' OR last >= b), false)""",
 )
@@ -51,7 +50,7 @@ def pull_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_partkey").alias("security"), F.date_add(F.lit("1995-01-01").cast("date"), F.col("p_size") * 20).alias("start_date"),
         F.date_add(F.lit("1996-01-01").cast("date"), F.col("p_size") * 60).alias("end_date"),
     )
-    stored = views.table(spark, sf_dir, "lineitem").filter((F.col("l_shipdate") < "1999-06-01") & (F.col("l_quantity") > 40)).select(
+    stored = views.table(spark, sf_dir, "lineitem").filter(F.col("l_shipdate") < "1999-06-01").select(
         F.col("l_partkey").alias("security"), F.to_date("l_shipdate").alias("date")
     )
     return settle(ingest.pull_plan(universe, stored, F.lit("1999-01-01").cast("date")).select("security", "start_date", "end_date"))
@@ -270,11 +269,11 @@ def root_config_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coverage of the contract bars and the model's age."""
-    settings = Settings(system=SystemSettings(bars_per_session=1))
+    trading = C.TradingDay(complete_bars_per_session=1)
     bars = views.contract_bars(spark, sf_dir)
     daily = bars.select("session_date", F.lit("PX_SETTLE").alias("settle_source_field"))
     contracts = views.market(spark, sf_dir).contracts
-    report = Q.quality_report(bars, contracts, daily, 3, settings, "TOP_OF_BOOK", F.lit("2000-01-01").cast("date"))
+    report = Q.quality_report(bars, contracts, daily, 3, trading=trading, depth_source="TOP_OF_BOOK", model_as_of=F.lit("2000-01-01").cast("date"))
     return settle(report.select("check", "status", "blocking"))
 
 
@@ -357,7 +356,7 @@ def gate_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     off = learning.hour_trades(spark, sf_dir).withColumns({"complexity_tier": F.lit(1), "algebra_group": F.col("spread_id")})
     on = learning.hour_trades(spark, sf_dir, gates=True).withColumns({"complexity_tier": F.lit(1), "algebra_group": F.col("spread_id")})
     keys = ["spread_id", "strategy_id", "fold"]
-    a, b = SC.fold_metrics(off, learning.HOURLY.backtest), SC.fold_metrics(on, learning.HOURLY.backtest)
+    a, b = SC.fold_metrics(off, learning.HOURLY.evidence), SC.fold_metrics(on, learning.HOURLY.evidence)
     compared = Q.compare_results(a, b, keys, {"net_pnl_usd": False, "max_drawdown_usd": True})
     families = off.select("spread_id", F.substring("spread_id", 1, 1).alias("family")).distinct()
     candidate = on.agg(F.sum("pnl_2x_cost_usd")).scalar()

@@ -18,14 +18,14 @@ from curvelab.streaming import bars as S
 def _event_stream(spark: SparkSession, sf_dir: str, final_mark: bool = True) -> DataFrame:
     """Events as a file stream; a mark far in the future closes the last window."""
     events = views.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
-    path = write_stage_path(events.repartition(4), "stream-events")
+    path = write_stage_path(events, "stream-events")
     if final_mark:
         mark = events.agg(F.max("ts").alias("ts")).select(
             F.lit(-1).cast("bigint").alias("event_id"), (F.col("ts") + F.expr("interval 90 days")).alias("ts"),
             F.lit(-1).cast("bigint").alias("user_id"), F.lit("~mark").alias("event_type"), F.lit(0.0).alias("value"),
         )
         mark.coalesce(1).write.mode("append").parquet(path)
-    return S.read_parquet_stream(spark, path, events.schema, 100)
+    return S.read_parquet_stream(spark, path, events.schema, 10_000)
 
 
 def _name(label: str) -> str:
@@ -41,8 +41,8 @@ def _name(label: str) -> str:
 )
 def stream_tumbling_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars from the tick stream, equal to the batch bars (G1)."""
-    stream = S.tumbling_bars(_event_stream(spark, sf_dir), "event_type", "ts", "value", "1 hour", "40 days")
-    return settle(S.run_to_table(stream, _name("bars"), "append").filter(F.col("event_type") != "~mark"))
+    stream = S.tumbling_bars(_event_stream(spark, sf_dir), "event_type", "ts", "value", "1 hour", "1 hour")
+    return settle(S.run_to_table(stream, _name("bars")).filter(F.col("event_type") != "~mark"))
 
 
 @query(
@@ -51,7 +51,7 @@ def stream_tumbling_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stream_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Newest event per type against the session it should have reached."""
-    state = S.run_to_table(S.freshness(_event_stream(spark, sf_dir, False), "event_type", "ts"), _name("fresh"), "complete")
+    state = S.run_to_table(S.freshness(_event_stream(spark, sf_dir, False), "event_type", "ts"), _name("fresh"), ["event_type"], "latest")
     events = views.table(spark, sf_dir, "events")
     expected = events.select("event_type").distinct().withColumn("expected_session", events.agg(F.to_date(F.max("ts"))).scalar())
     return settle(S.late_keys(state, expected, "event_type").select("event_type", "latest", "events", "late"))
@@ -64,7 +64,7 @@ def stream_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Newest quote per user from the stream."""
     stream = S.latest_snapshot(_event_stream(spark, sf_dir, False), "user_id", "ts", ["value", "event_type"])
-    return settle(S.run_to_table(stream, _name("snap"), "complete"))
+    return settle(S.run_to_table(stream, _name("snap"), ["user_id"], "ts"))
 
 
 @query(
@@ -80,10 +80,10 @@ def stream_session_vwap(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("spread_id").alias("key"), "session_date", F.col("timestamp_utc").cast("timestamp").alias("ts"), F.col("spread_close").alias("price"),
         F.col("package_volume_capacity").alias("volume"),
     )
-    # Sessions stay whole inside a file, and files arrive in time order.
-    path = write_stage_path(bars.repartition(1, "session_date").sortWithinPartitions("ts"), "vwap-bars")
-    stream = S.session_vwap_stream(S.read_parquet_stream(spark, path, bars.schema))
-    return settle(S.run_to_table(stream, _name("vwap"), "append").select("key", "ts", "session_vwap"), dp=9)
+    # A session of a key lies in one file; the state joins what later files of a longer run add.
+    path = write_stage_path(bars.repartition("key", "session_date").sortWithinPartitions("ts"), "vwap-bars")
+    stream = S.session_vwap_stream(S.read_parquet_stream(spark, path, bars.schema, 1000))
+    return settle(S.run_to_table(stream, _name("vwap")).select("key", "ts", "session_vwap"), dp=9)
 
 
 @query("stream_positions")
@@ -93,6 +93,6 @@ def stream_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("spread_id").alias("key"), F.col("timestamp_utc").cast("timestamp").alias("ts"), F.col("spread_open").alias("open"), F.col("spread_close").alias("close"),
         F.when(F.col("price_change") > 60, -1).when(F.col("price_change") < -60, 1).otherwise(0).alias("vote"), (F.abs("price_change") < 5).alias("leave"),
     ).withColumn("leave", F.coalesce("leave", F.lit(False)))
-    path = write_stage_path(bars.repartition(1).sortWithinPartitions("ts"), "position-bars")
-    stream = S.position_stream(S.read_parquet_stream(spark, path, bars.schema), 12)
-    return settle(S.run_to_table(stream, _name("positions"), "append"))
+    path = write_stage_path(bars.repartition("key").sortWithinPartitions("ts"), "position-bars")
+    stream = S.position_stream(S.read_parquet_stream(spark, path, bars.schema, 1000), 12)
+    return settle(S.run_to_table(stream, _name("positions")))

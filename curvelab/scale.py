@@ -23,12 +23,18 @@ HALO = "_halo"
 ROW = "_rn"
 _BUCKET = "_bucket"
 _BEFORE = "_before"
+_PLACE = "_place"
 
 
 def _cols(names: Sequence[str] | str) -> list[str]:
     return [names] if isinstance(names, str) else list(names)
 
 
+def _place(keys: Sequence[str]) -> Column:
+    """Keys and bucket as one struct: equal where the same of them are null, so no row is lost in a join."""
+    return F.struct(*keys, _BUCKET).alias(_PLACE)
+
+
 def row_index(
     df: DataFrame,
     entity: Sequence[str] | str,
@@ -53,13 +59,14 @@ def row_index(
     counts = counted.groupBy(*keys, _BUCKET).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        *keys, _BUCKET, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(_BEFORE)
+        _place(keys), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(_BEFORE)
     )
-    inside = Window.partitionBy(*keys, _BUCKET).orderBy(*by)
+    inside = Window.partitionBy(_PLACE).orderBy(*by)
     return (
-        bucketed.join(offsets, [*keys, _BUCKET])
+        bucketed.withColumn(_PLACE, _place(keys))
+        .join(offsets, _PLACE)
         .withColumn(name, F.col(_BEFORE) + F.row_number().over(inside))
-        .drop(_BUCKET, _BEFORE)
+        .drop(_BUCKET, _BEFORE, _PLACE)
     )
 
 
@@ -165,21 +172,21 @@ def running_total(
     before = per_key.rowsBetween(Window.unboundedPreceding, -1)
     everything = per_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = sums.select(
-        *keys,
-        _BUCKET,
+        _place(keys),
         *[F.coalesce(F.sum(f"{p}_t").over(before), F.lit(0.0)).alias(f"{p}_b") for p in parts.values()],
         *[
             F.coalesce(F.sum(f"{parts[n]}_t").over(everything), F.lit(0.0)).alias(alias)
             for n, alias in (whole or {}).items()
         ],
     )
-    inside = Window.partitionBy(*keys, _BUCKET).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(_PLACE).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        work.join(offsets, [*keys, _BUCKET])
+        work.withColumn(_PLACE, _place(keys))
+        .join(offsets, _PLACE)
         .withColumns(
             {n: F.col(f"{p}_b") + F.coalesce(F.sum(p).over(inside), F.lit(0.0)) for n, p in parts.items()}
         )
-        .drop(_BUCKET, *parts.values(), *[f"{p}_b" for p in parts.values()])
+        .drop(_BUCKET, _PLACE, *parts.values(), *[f"{p}_b" for p in parts.values()])
     )
 
 
@@ -224,15 +231,6 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def small_side(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint only when the row count is proven to be within the bound.
-
-    At most ``max_rows + 1`` rows are counted.  Above the bound the plain join stays,
-    and Spark chooses a shuffle join with skew handling.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def focus(df: DataFrame, inputs: Sequence[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """Keep ``inputs`` as columns and carry all other columns in one struct.
 

@@ -7,9 +7,9 @@ options, so it is safe on a session somebody else built (a cluster, a notebook).
 from __future__ import annotations
 
 import os
-import tempfile
+import posixpath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 RUNTIME_CONF = {
     # One wall clock for batch, stream and file output.
@@ -31,43 +31,27 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def build(master: str | None = None, app: str = "curvelab", partitions: int = 8) -> SparkSession:
+def build(master: str | None = None, app: str = "curvelab", partitions: int = 8, shared: str | None = None) -> SparkSession:
+    """A local session.  ``shared`` is the folder for stage tables and checkpoints."""
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = (
+    builder = (
         SparkSession.builder.master(master or f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", os.environ.get("CURVELAB_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    if shared is not None:
+        builder = builder.config("spark.checkpoint.dir", shared)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return tune(spark)
 
 
-_LOCAL_DIRS: dict[str, str] = {}
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and stage tables: the cluster's own setting wins.
-
-    Only where nothing is set and Spark runs in one local process (tests) a fresh
-    temporary folder is made.
+    """Shared folder for checkpoints and stage tables: the one the cluster names in
+    ``spark.checkpoint.dir``, or a folder of the warehouse, which all executors see as well.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    if context.applicationId not in _LOCAL_DIRS:
-        _LOCAL_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="curvelab-")
-    return _LOCAL_DIRS[context.applicationId]
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of executors, unlike a cached copy."""
-    spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint(eager=True)
+    return configured or posixpath.join(spark.conf.get("spark.sql.warehouse.dir").rstrip("/"), "curvelab-shared")

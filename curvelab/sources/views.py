@@ -231,12 +231,13 @@ def contract_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def market(spark: SparkSession, sf_dir: str, settings=None, horizon: int = 2, quoted: bool = True):
     """The technical pipeline prepared on the contract bars; its stages are kept per application."""
-    from curvelab.config import IndicatorSettings, Settings
+    from curvelab.operators.indicators import Windows
     from curvelab.operators.structures import curve_structures
+    from curvelab.plans.settings import Settings
     from curvelab.plans.technical import Inputs, prepare
 
-    settings = settings or Settings(indicators=IndicatorSettings.per_session(8))
-    key = f"{sf_dir}|{settings!r}|{horizon}|{quoted}"
+    settings = settings or Settings(windows=Windows(8))
+    key = f"{settings!r}|{horizon}|{quoted}"
     bars = quoted_bars(spark, sf_dir) if quoted else contract_bars(spark, sf_dir)
     universe = contract_dates(contract_bars(spark, sf_dir))
     return prepare(
@@ -244,7 +245,7 @@ def market(spark: SparkSession, sf_dir: str, settings=None, horizon: int = 2, qu
         Inputs(bars, universe, universe, contract_daily(spark, sf_dir)),
         curve_structures(horizon, ("HO", "CL", "QS")),
         settings,
-        store=lambda label, build: stage(spark, label, key, build),
+        store=lambda label, build: stage(spark, label, sf_dir, build, key),
         bars_are_daily=True,
     )
 

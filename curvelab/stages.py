@@ -20,6 +20,18 @@ from curvelab.session import checkpoint_dir
 _WRITTEN: dict[tuple[str, str], str] = {}
 
 
+def fingerprint(spark: SparkSession, folder: str) -> str:
+    """State of the tables in a folder: each one's bytes, files and time of change."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    path = jvm.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    seen = []
+    for status in store.listStatus(path):
+        held = store.getContentSummary(status.getPath())
+        seen.append((status.getPath().getName(), held.getLength(), held.getFileCount(), status.getModificationTime()))
+    return hashlib.sha1(repr(sorted(seen)).encode()).hexdigest()
+
+
 def write_stage_path(df: DataFrame, label: str) -> str:
     """Write a stage table and give its folder."""
     spark = df.sparkSession
@@ -33,8 +45,12 @@ def write_stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(write_stage_path(df, label))
 
 
-def stage(spark: SparkSession, label: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The stage table of this application for ``key``; written on first use."""
+def stage(spark: SparkSession, label: str, folder: str, build: Callable[[], DataFrame], settings: str = "") -> DataFrame:
+    """The stage table of this application for the inputs in ``folder`` as they are now.
+
+    Written on first use, and again when a table in the folder or the settings changed.
+    """
+    key = f"{folder}|{settings}|{fingerprint(spark, folder)}"
     slot = (spark.sparkContext.applicationId, f"{label}-{hashlib.sha1(key.encode()).hexdigest()[:10]}")
     if slot not in _WRITTEN:
         _WRITTEN[slot] = write_stage_path(build(), slot[1])

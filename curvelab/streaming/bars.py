@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import posixpath
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curvelab.operators.ingest import upsert
 from curvelab.session import checkpoint_dir
 
 
@@ -31,7 +30,7 @@ def distinct_ticks(ticks: DataFrame, keys: list[str], ts: str, lateness: str = "
 
 
 def freshness(ticks: DataFrame, key: str, ts: str) -> DataFrame:
-    """Newest event and number of events per key (complete mode; one row per key)."""
+    """Newest event and number of events per key (one row per key, in update mode)."""
     return ticks.groupBy(key).agg(F.max(ts).alias("latest"), F.count(F.lit(1)).alias("events"))
 
 
@@ -49,60 +48,73 @@ def quote_ticks_with_reference(ticks: DataFrame, reference: DataFrame, key: str)
 
 
 def latest_snapshot(ticks: DataFrame, key: str, ts: str, columns: list[str]) -> DataFrame:
-    """Newest row per key (complete mode)."""
+    """Newest row per key, in update mode."""
     return ticks.groupBy(key).agg(F.max_by(F.struct(ts, *columns), ts).alias("s")).select(key, f"s.{ts}", *[f"s.{c}" for c in columns])
 
 
 def upsert_batches(stream: DataFrame, table: str, keys: list[str], seq: str) -> "object":
-    """Keyed upsert of every micro-batch into a Parquet table, version by version.
+    """Keyed upsert of every micro-batch as a log: each batch adds its own last rows.
 
-    A batch writes a new version and then moves the pointer file, so a batch that is
-    repeated after a failure gives the same table.
+    A batch is written under its number, so one that is repeated after a failure replaces
+    itself; ``read_upserted`` gives the last row of each key.  A batch costs its own rows,
+    never the table's.
     """
     from curvelab.scale import keep_last
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = keep_last(batch, keys, seq)
-        version = os.path.join(table, f"v{batch_id}")
-        before = os.path.join(table, f"v{batch_id - 1}")
-        merged = new if batch_id == 0 else upsert(spark.read.schema(batch.schema).parquet(before), new, keys)
-        merged.write.mode("overwrite").parquet(version)
+        keep_last(batch, keys, seq).withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{table}/batch-{batch_id}")
 
     return stream.writeStream.foreachBatch(apply).trigger(availableNow=True)
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Run all available data through the query into a Parquet or memory sink and read it."""
+def read_upserted(spark: SparkSession, table: str, schema: T.StructType, keys: list[str], seq: str) -> DataFrame:
+    """The last row of each key over all batches."""
+    from curvelab.scale import latest_by
+
+    log = spark.read.schema(T.StructType([*schema.fields, T.StructField("_batch", T.LongType())])).option("recursiveFileLookup", "true").parquet(table)
+    return latest_by(log, keys, "_batch", seq).drop("_batch")
+
+
+def run_to_table(stream: DataFrame, name: str, keys: list[str] | None = None, seq: str | None = None) -> DataFrame:
+    """Run all available data through the query into Parquet and read it.
+
+    With ``keys`` the stream is one of changing rows (update mode), kept as an upsert log.
+    """
     spark = stream.sparkSession
-    base = os.path.join(checkpoint_dir(spark), "curvelab-streams", name)
-    if mode == "append":
+    base = posixpath.join(checkpoint_dir(spark), "curvelab-streams", name)
+    if keys is None:
         query = (
             stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
             .outputMode("append").trigger(availableNow=True).start()
         )
         query.awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{base}/out")
-    query = (
-        stream.writeStream.format("memory").queryName(name.replace("-", "_")).option("checkpointLocation", f"{base}/state")
-        .outputMode(mode).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return spark.table(name.replace("-", "_"))
+    upsert_batches(stream, f"{base}/out", keys, seq).option("checkpointLocation", f"{base}/state").outputMode("update").start().awaitTermination()
+    return read_upserted(spark, f"{base}/out", stream.schema, keys, seq)
+
+
+def _expire(state, newest: pd.Timestamp, idle: pd.Timedelta) -> None:
+    """Let the state go once the watermark is ``idle`` past the key's newest row."""
+    at = int((newest + idle).timestamp() * 1000)
+    state.setTimeoutTimestamp(max(at, state.getCurrentWatermarkMs() + 1))
 
 
 _STATE = T.StructType([T.StructField("weighted", T.DoubleType()), T.StructField("volume", T.DoubleType()), T.StructField("signed", T.DoubleType()), T.StructField("last", T.DoubleType())])
 _VWAP_SCHEMA = "key string, session_date date, ts timestamp, session_vwap double, obv double"
 
 
-def session_vwap_stream(bars: DataFrame) -> DataFrame:
+def session_vwap_stream(bars: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Running session VWAP and signed volume per (key, session), state kept between batches.
 
     ``bars`` holds (key, session_date, ts, price, volume).  State is four numbers per
-    open session; the batch twin is the window in ``session_features``.
+    open session, which leaves a day after its last bar; the batch twin is the window in
+    ``session_features``.
     """
 
     def update(keys: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         weighted, volume, signed, last = state.get if state.exists else (0.0, 0.0, 0.0, float("nan"))
         rows = pd.concat(list(batches)).sort_values("ts")
         out = []
@@ -114,9 +126,11 @@ def session_vwap_stream(bars: DataFrame) -> DataFrame:
             last = r.price
             out.append((keys[0], keys[1], r.ts, weighted / volume if volume else None, signed))
         state.update((weighted, volume, signed, last))
+        _expire(state, rows["ts"].iloc[-1], pd.Timedelta(days=1))
         yield pd.DataFrame(out, columns=["key", "session_date", "ts", "session_vwap", "obv"])
 
-    return bars.groupBy("key", "session_date").applyInPandasWithState(update, T.StructType.fromDDL(_VWAP_SCHEMA), _STATE, "append", "NoTimeout")
+    timed = bars.withWatermark("ts", lateness)
+    return timed.groupBy("key", "session_date").applyInPandasWithState(update, T.StructType.fromDDL(_VWAP_SCHEMA), _STATE, "append", "EventTimeTimeout")
 
 
 _POSITION_STATE = T.StructType([
@@ -126,17 +140,22 @@ _POSITION_STATE = T.StructType([
 _TRADE_SCHEMA = "key string, side int, entered timestamp, exited timestamp, entry double, exit double, held int"
 
 
-def position_stream(bars: DataFrame, max_hold: int) -> DataFrame:
+def position_stream(bars: DataFrame, max_hold: int, lateness: str = "1 day", idle_days: int = 400) -> DataFrame:
     """Next-bar entries and exits per key with the position kept as state.
 
     ``bars`` holds (key, ts, open, close, vote, leave): vote asks for a position at the
-    next open, leave asks to close it at the next open.  The state is one row per key.
+    next open, leave asks to close it at the next open.  The state is one row per key and
+    leaves with a key that has had no bar for ``idle_days``.
     """
 
     def update(keys: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         side, entry, held, pending, leaving, entered = state.get if state.exists else (0, 0.0, 0, 0, False, None)
         out = []
-        for r in pd.concat(list(batches)).sort_values("ts").itertuples():
+        rows = pd.concat(list(batches)).sort_values("ts")
+        for r in rows.itertuples():
             if side and leaving:
                 out.append((keys[0], side, entered, r.ts, entry, r.open, held))
                 side, leaving = 0, False
@@ -149,8 +168,10 @@ def position_stream(bars: DataFrame, max_hold: int) -> DataFrame:
             elif r.vote:
                 pending = int(r.vote)
         state.update((side, entry, held, pending, leaving, None if entered is None else pd.Timestamp(entered).to_pydatetime()))
+        _expire(state, rows["ts"].iloc[-1], pd.Timedelta(days=idle_days))
         yield pd.DataFrame(out, columns=["key", "side", "entered", "exited", "entry", "exit", "held"])
 
-    return bars.groupBy("key").applyInPandasWithState(update, T.StructType.fromDDL(_TRADE_SCHEMA), _POSITION_STATE, "append", "NoTimeout")
+    timed = bars.withWatermark("ts", lateness)
+    return timed.groupBy("key").applyInPandasWithState(update, T.StructType.fromDDL(_TRADE_SCHEMA), _POSITION_STATE, "append", "EventTimeTimeout")
 
 

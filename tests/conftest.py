@@ -11,7 +11,7 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = build(app="curvelab-tests", partitions=4)
+def spark(tmp_path_factory):
+    session = build(app="curvelab-tests", partitions=4, shared=str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()

@@ -9,13 +9,14 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from curvelab.config import EXPERTS, STRATEGIES, BacktestSettings
+from curvelab.config import EXPERTS, STRATEGIES
 from curvelab.functions.stats import normal_cdf
 from curvelab.operators import board as BD
 from curvelab.operators import experts as X
 from curvelab.operators import ledger as L
 from curvelab.operators import packages as P
 from curvelab.operators import structures as G
+from curvelab.operators import walkforward as W
 
 
 def _rolls(spark, rolls):
@@ -49,10 +50,10 @@ def test_normal_cdf(spark):
     np.testing.assert_allclose(got, [NormalDist().cdf(x) for x in xs], rtol=1e-9, atol=1e-15)
 
 
-def _learn_loop(losses, p):
+def _learn_loop(losses, p, folds):
     """Straight dictionary version of the learner for one group."""
     w = {e: 1 / 7 for e in EXPERTS}
-    out, seen, start = [], 0, len(losses) - p.lockbox_sessions
+    out, seen, start = [], 0, len(losses) - folds.lockbox_sessions
     for i, _ in enumerate(losses):
         if i and i < start and losses[i - 1]:
             w = {e: w[e] * math.exp(-p.adaptive_learning_rate * losses[i - 1].get(e, 0.0)) for e in EXPERTS}
@@ -76,16 +77,16 @@ def _learn_loop(losses, p):
 
 
 def test_fixed_share_equals_the_loop_and_freezes(spark):
-    p = BacktestSettings(lockbox_sessions=10)
+    p, folds = X.Learner(), W.Folds(lockbox_sessions=10)
     rng = np.random.default_rng(3)
     days = pd.date_range("2024-01-01", periods=80, freq="D")
     losses = [{e: float(rng.random() * (8 if k == 0 else 1)) for k, e in enumerate(EXPERTS) if rng.random() < 0.7} for _ in days]
     sessions = spark.createDataFrame([("g", d.date()) for d in days], "learner_group string, session_date date")
     rows = [("g", d.date(), *[l.get(e) for e in EXPERTS]) for d, l in zip(days, losses) if l]
     table = spark.createDataFrame(rows, "learner_group string, session_date date, " + ", ".join(f"{c} double" for c in X.LOSSES))
-    got = X.fixed_share_weights(sessions, table, p).orderBy("session_date").toPandas()
-    want = _learn_loop(losses, p)
-    np.testing.assert_allclose(got[list(X.WEIGHTS)].to_numpy(), [[w[e] for e in EXPERTS] for _, w in want], rtol=1e-9)
+    got = X.fixed_share_weights(sessions, table, p, folds).orderBy("session_date").toPandas()
+    want = _learn_loop(losses, p, folds)
+    np.testing.assert_allclose(got[list(X.WEIGHTS)].to_numpy(), [[w[e] for e in EXPERTS] for _, w in want], rtol=1e-6)
     assert got["adaptive_observations"].tolist() == [s for s, _ in want]
     assert got["adaptive_status"].tolist()[-10:] == ["LOCKBOX_FROZEN"] * 10
     frozen = got[list(X.WEIGHTS)].tail(10)
@@ -123,13 +124,14 @@ def _ledger_loop(bars, k, limit):
                 leave = reason
         elif r[f"_v{k}"] and r["entry_allowed"] and r["liquidity_reason"] == "PASS" and i + 1 < len(rows):
             pending = int(r[f"_v{k}"])
-    if position and math.isfinite(rows[-1]["close_value"]):
-        close(len(rows) - 1, rows[-1]["close_value"], "END_OF_SAMPLE")
+    if position:
+        last = max(i for i, r in enumerate(rows) if math.isfinite(r["close_value"]))
+        close(last, rows[last]["close_value"], "END_OF_SAMPLE")
     return trades
 
 
 @pytest.mark.parametrize("seed", range(6))
-def test_ledger_walk_equals_the_bar_loop(seed):
+def test_ledger_walk_equals_the_bar_loop(seed, tail=0):
     rng = np.random.default_rng(seed)
     n = 400
     price = 100 + rng.normal(size=n).cumsum()
@@ -145,6 +147,8 @@ def test_ledger_walk_equals_the_bar_loop(seed):
         bars[f"_v{k}"] = rng.choice([-1, 0, 0, 0, 1], n)
         bars[f"_l{k}"] = np.where(rng.random(n) < 0.05, 2, 0)
         bars[f"_s{k}"] = np.where(rng.random(n) < 0.05, 3, 0)
+    if tail:
+        bars.loc[bars.index[-tail:], "close_value"] = np.nan
     got = L._segment_trades(bars)
     for k, s in enumerate(STRATEGIES):
         mine = got[got["strategy_id"] == s.strategy_id]
@@ -156,6 +160,24 @@ def test_ledger_walk_equals_the_bar_loop(seed):
             assert row.gross_pnl_usd == pytest.approx(side * (value - bars["open_value"][e]))
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_open_position_closes_at_the_last_value(seed):
+    """Bars without a close at the end of a segment lose no position."""
+    test_ledger_walk_equals_the_bar_loop(seed, tail=7)
+
+
+def test_capped_weights_sum_to_one(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.random(7) ** 8).tolist()) for i in range(200)] + [(200, [1.0] + [0.0] * 6), (201, [0.0] * 7)]
+    out = spark.createDataFrame(rows, "i int, w array<double>").select("i", "w", X.capped_weights(F.col("w"), 7, 0.35).alias("c")).collect()
+    for r in out:
+        w, c = np.maximum(r["w"], 0.1 / 7), np.array(r["c"])
+        assert c.sum() == pytest.approx(1) and c.max() <= 0.35 + 1e-12
+        free = c < 0.35 - 1e-12
+        ratio = c[free] / w[free]
+        assert ratio.max() == pytest.approx(ratio.min()) and (w[~free] * ratio.max() >= 0.35 - 1e-9).all()
+
+
 def test_budget_equals_the_greedy_walk(spark):
     rng = np.random.default_rng(11)
     rows = [(int(d), f"g{rng.integers(5)}", float(rng.random()), i) for i, d in enumerate(rng.choice([1, 1, 1, 2, 3], 400))]
@@ -191,10 +213,9 @@ def _hourly(rows):
 
 
 def test_indicators_are_causal_and_isolated(spark):
-    from curvelab.config import IndicatorSettings
-    from curvelab.operators.indicators import add_indicators
+    from curvelab.operators.indicators import Windows, add_indicators
 
-    p = IndicatorSettings.per_session(8)
+    p = Windows(8)
     base = _hourly(240)
     shocked = base.copy()
     last = shocked[shocked["spread_id"] == "a"].index[-1]
