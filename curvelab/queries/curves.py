@@ -295,3 +295,37 @@ def annualised_vol(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thirty-day volatility a year, filled and clipped."""
     out = R.annualised_vol(views.day_bars(spark, sf_dir), ["entity"], "session_date", "close")
     return settle(out.select("entity", "session_date", "vol_30d"))
+
+
+@query(
+    "var_precedence",
+    settle_sql(
+        f"""WITH {CURVE}, l AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY day DESC) AS b FROM curve), r AS (SELECT *, ln(value / lag(value) OVER (PARTITION BY series ORDER BY day)) AS lr FROM l WHERE b <= 60),
+        g AS (SELECT series, stddev_pop(lr) * arg_max(value, day) AS s FROM r WHERE series <> '1-URGENT' GROUP BY 1 HAVING count(*) = 60),
+        v AS (SELECT series, arg_max(value, day) * CASE WHEN 5.0 + arg_max(n, day) > 1 THEN (5.0 + arg_max(n, day)) / 100 END AS s FROM curve GROUP BY 1),
+        a AS (SELECT v.series, coalesce(g.s, v.s) AS s FROM v LEFT JOIN g USING (series))
+        SELECT series, s * 1.645 AS p90, s * 1.96 AS p95, s * 2.576 AS p99 FROM a""",
+        "series", "p90:4, p95:4, p99:4",
+    ),
+)
+def var_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VaR from the history where there is one, else from the quoted volatility."""
+    curve = views.curve(spark, sf_dir)
+    fitted = R.parametric_var(curve.filter(F.col("series") != "1-URGENT"), "series", "day", F.year("day"))
+    latest = curve.groupBy("series").agg(F.max_by("value", "day").alias("price"), (F.max_by("n", "day") + 5.0).alias("vol"))
+    quoted = R.var_from_vol(latest, F.col("price"), F.col("vol")).select("series", "p90", "p95", "p99")
+    return settle(R.first_available(fitted, quoted, key="series"), dp=4)
+
+
+@query(
+    "var_plotted",
+    f"""WITH {_CV}, r AS (SELECT *, ln(value / lag(value) OVER (PARTITION BY series, year ORDER BY x)) AS lr FROM cv),
+      w AS (SELECT *, CASE WHEN count(lr) OVER f = 60 THEN stddev_pop(lr) OVER f * 1.645 * value END AS v FROM r WINDOW f AS (PARTITION BY series, year ORDER BY x ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))
+      SELECT series, year, x, round(v / value, 5) AS var_share FROM w WHERE x % 7 = 0""",
+)
+def var_plotted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rolling VaR fitted on the full history, shown where the plot has points."""
+    series = yearly(spark, sf_dir)
+    full = R.rolling_var(series, ["series", "year"])
+    shown = R.restrict_to(full, series.filter(F.col("x") % 7 == 0), ["series", "year"])
+    return settle(shown.select("series", "year", "x", (F.col("var") / F.col("value")).alias("var_share")), dp=5)

@@ -366,3 +366,25 @@ def context_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     ), dp=4)
 
 
+
+
+_LOCK_ORDER = "(status <> 'VALIDATED')::INT, dsr DESC, share DESC, daily_sharpe DESC, relvol DESC, complexity_tier, entry_session, spread_id"
+
+
+@query(
+    "lockbox_budget",
+    f"""{_SCORE}, best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY spread_id ORDER BY (status = 'VALIDATED') DESC, dsr DESC, share DESC, daily_sharpe DESC, net DESC, oos DESC, strategy_id) = 1),
+      t AS (SELECT ph.entry_session, ph.algebra_group, ph.spread_id, ph.relvol, ph.complexity_tier, b.status, b.dsr, b.share, b.daily_sharpe FROM ph JOIN best b ON b.spread_id = ph.spread_id AND b.strategy_id = ph.strategy_id WHERE ph.phase = 'LOCKBOX'),
+      g AS (SELECT *, row_number() OVER (PARTITION BY entry_session, algebra_group ORDER BY {_LOCK_ORDER}) AS r1 FROM t),
+      w AS (SELECT entry_session, algebra_group, row_number() OVER (PARTITION BY entry_session ORDER BY {_LOCK_ORDER}) AS r2 FROM g WHERE r1 = 1)
+      SELECT strftime(g.entry_session, '%Y-%m-%d') AS entry_session, g.algebra_group, CASE WHEN r1 = 1 AND r2 <= 3 THEN 'SELECTED' WHEN r2 <= 3 THEN 'DUPLICATE_ALGEBRA_GROUP' ELSE 'DAILY_TRADE_BUDGET' END AS portfolio_action, count(*) AS trades
+      FROM g JOIN w USING (entry_session, algebra_group) GROUP BY ALL""",
+)
+def lockbox_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entry budget over the lockbox trades of the frozen strategies."""
+    best = SC.best_strategies(trial_scores(spark, sf_dir)).select(
+        "spread_id", "strategy_id", F.col("status").alias("selected_strategy_status"), F.col("deflated_sharpe_probability").alias("model_deflated_sharpe_probability"),
+        F.col("profitable_fold_share").alias("model_profitable_fold_share"), F.col("daily_sharpe").alias("model_daily_sharpe"),
+    )
+    done = BD.lockbox_budget(views.phased_trades(spark, sf_dir), best)
+    return settle(done.groupBy("entry_session", "algebra_group", "portfolio_action").agg(F.count(F.lit(1)).alias("trades")))
