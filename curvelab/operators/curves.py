@@ -245,6 +245,6 @@ def field_series(rows: DataFrame, field: str, available: Sequence[str]) -> DataF
     return rows.withColumn("value", chosen)
 
 
-def pivot_export(series: DataFrame, years: Sequence[int], x: str = "x", value: str = "value") -> DataFrame:
-    """Day by year matrix."""
-    return series.groupBy(x).pivot("year", list(years)).agg(F.first(value, ignorenulls=True))
+def pivot_export(series: DataFrame, years: Sequence[int], keys: Sequence[str] = ("x",), value: str = "value") -> DataFrame:
+    """Year columns beside the keys: a day by year matrix per series."""
+    return series.groupBy(*keys).pivot("year", list(years)).agg(F.first(value, ignorenulls=True))

@@ -23,10 +23,15 @@ class PriorPool:
     expiry_seasonality_window_sessions: int = 5
 
 
-def _before(pool: str, field: str) -> Column:
-    """Sorted finite values of a pool that belong to years before the row's own year."""
-    kept = F.filter(F.col(pool), lambda c: (c["y"] < F.col("asof_year")) & c[field].isNotNull())
-    return F.sort_array(F.transform(kept, lambda c: c[field]))
+def _ordered(pool: str, field: str) -> Column:
+    """The pool's values with their years, smallest value first; sorted once per pool."""
+    valued = F.filter(F.transform(F.col(pool), lambda c: F.struct(c[field].alias("v"), c["y"].alias("y"))), lambda c: c["v"].isNotNull())
+    return F.sort_array(valued)
+
+
+def _before(ordered: str) -> Column:
+    """Values of an ordered pool that belong to years before the row's own year, still in order."""
+    return F.transform(F.filter(F.col(ordered), lambda c: c["y"] < F.col("asof_year")), lambda c: c["v"])
 
 
 def seasonality(
@@ -69,7 +74,7 @@ def seasonality(
     near = Window.partitionBy(entity).orderBy("_pos").rangeBetween(-radius, radius)
     pools = ring.withColumn("_pool", F.flatten(F.collect_list("_cell").over(near))).filter(
         F.col("_pos") == F.col("day_of_year")
-    ).select(entity, "day_of_year", "_pool")
+    ).select(entity, "day_of_year", _ordered("_pool", "level").alias("_by_level"), _ordered("_pool", "move").alias("_by_move"))
 
     by_dte = rows.filter(F.col("_dte").isNotNull() & F.col("_move").isNotNull()).groupBy(entity, "_dte").agg(
         F.collect_list(cell).alias("_cell")
@@ -79,7 +84,7 @@ def seasonality(
     asked = rows.filter(F.col("_dte").isNotNull()).select(entity, "_dte").distinct()
     expiry_pools = asked.join(by_dte, [entity, "_dte"], "left").select(
         entity, "_dte", F.flatten(F.collect_list("_cell").over(near_expiry)).alias("_expiry_pool")
-    )
+    ).select(entity, "_dte", _ordered("_expiry_pool", "move").alias("_by_expiry"))
 
     per_year = rows.select(entity, "asof_year").distinct()
     earlier = Window.partitionBy(entity).orderBy("asof_year")
@@ -93,9 +98,9 @@ def seasonality(
         .filter(F.col("seasonal_prior_years") > 0)
         .withColumns(
             {
-                "_levels": _before("_pool", "level"),
-                "_moves": _before("_pool", "move"),
-                "_expiry": F.coalesce(_before("_expiry_pool", "move"), F.array().cast("array<double>")),
+                "_levels": _before("_by_level"),
+                "_moves": _before("_by_move"),
+                "_expiry": F.coalesce(_before("_by_expiry"), F.array().cast("array<double>")),
             }
         )
         .withColumns({"seasonal_n": F.size("_levels"), "_n": F.size("_moves"), "expiry_seasonal_n": F.size("_expiry")})

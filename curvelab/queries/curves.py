@@ -18,6 +18,8 @@ from curvelab.sources import views
 _LEAP = "(year(day) % 4 = 0 AND (year(day) % 100 <> 0 OR year(day) % 400 = 0))"
 _X = f"(dayofyear(day) + CASE WHEN NOT {_LEAP} AND month(day) > 2 THEN 1 ELSE 0 END)::INT"
 _CV = f"{CURVE}, cv AS (SELECT series, year(day) AS year, {_X} AS x, value, n FROM curve)"
+#: Years that the order table spans; an export has one column for each.
+_YEARS = tuple(range(1995, 2002))
 _RATIOS = {"1-URGENT": 1.0, "2-HIGH": -2.0, "3-MEDIUM": 1.0}
 
 
@@ -227,13 +229,12 @@ def month_adjustment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "pivot_export",
-    f"WITH {_CV} SELECT x, {', '.join(f'round(any_value(value) FILTER (year = {y}), 4) AS y{y}' for y in range(1996, 2000))} FROM cv WHERE series = '1-URGENT' GROUP BY x",
+    f"WITH {_CV} SELECT series, x, {', '.join(f'round(any_value(value) FILTER (year = {y}), 4) AS y{y}' for y in _YEARS)} FROM cv GROUP BY series, x",
 )
 def pivot_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Day by year matrix of one series."""
-    years = list(range(1996, 2000))
-    out = CV.pivot_export(yearly(spark, sf_dir).filter(F.col("series") == "1-URGENT"), years)
-    return settle(out.select("x", *[F.col(str(y)).alias(f"y{y}") for y in years]), dp=4)
+    """Day by year matrix of every series, all years of the order table."""
+    out = CV.pivot_export(yearly(spark, sf_dir), _YEARS, ("series", "x"))
+    return settle(out.select("series", "x", *[F.col(str(y)).alias(f"y{y}") for y in _YEARS]), dp=4)
 
 
 @query(

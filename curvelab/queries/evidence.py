@@ -124,7 +124,8 @@ def missing_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "recent_structure_metrics",
     settle_sql(
-        f"""WITH {_PH}, r AS (SELECT * FROM ph WHERE strategy_id = 'AF' AND exit_session BETWEEN DATE '1999-01-01' AND DATE '2000-12-31'),
+        f"""{_SCORE}, best AS (SELECT spread_id, strategy_id FROM sc QUALIFY row_number() OVER (PARTITION BY spread_id ORDER BY (status = 'VALIDATED') DESC, dsr DESC, share DESC, daily_sharpe DESC, net DESC, oos DESC, strategy_id) = 1),
+        r AS (SELECT ph.* FROM ph JOIN best USING (spread_id, strategy_id) WHERE exit_session BETWEEN DATE '1999-01-01' AND DATE '2000-12-31'),
         e AS (SELECT *, sum(net) OVER w AS eq FROM r WINDOW w AS (PARTITION BY spread_id ORDER BY exit_session, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING)),
         f AS (SELECT *, eq - greatest(max(eq) OVER (PARTITION BY spread_id ORDER BY exit_session, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING), 0) AS fall FROM e)
         SELECT spread_id, count(*) AS recent_30_trades, strftime(min(entry_session), '%Y-%m-%d') AS recent_30_first_entry, strftime(max(exit_session), '%Y-%m-%d') AS recent_30_last_exit, sum(gross) AS recent_30_gross_pnl_usd,
@@ -137,7 +138,7 @@ def missing_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recent_structure_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result of the selected strategy in a window."""
     trades = views.phased_trades(spark, sf_dir)
-    selected = trades.select("spread_id", F.lit("AF").alias("strategy_id")).distinct()
+    selected = SC.best_strategies(trial_scores(spark, sf_dir))
     recent = SC.selected_trades(trades, selected, F.lit("1999-01-01").cast("date"), F.lit("2000-12-31").cast("date"))
     out = SC.recent_metrics(recent)
     return settle(out.select(
