@@ -17,6 +17,7 @@ from curvelab.queries import ctes, learning
 from curvelab.queries.evidence import _PH, _metrics
 from curvelab.registry import query
 from curvelab.sources import views
+from curvelab.stages import stage
 
 
 @query(
@@ -168,10 +169,13 @@ def pricing_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _priced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Line items as delivered price rows of the brands' contracts."""
-    roots = _roots(spark, sf_dir)
+    """Line items as delivered price rows of the brands' contracts: rows, what was left out, universe.
+
+    Universe and rows are stage tables, as the checks read them several times.
+    """
     as_of, start = F.lit("2001-12-31").cast("date"), F.lit("1995-01-01").cast("date")
-    universe = PR.pricing_universe(roots.filter(F.col("curve_mode") != "flat"), 1996, 2003, as_of, start, 24)
+    monthly = _roots(spark, sf_dir).filter(F.col("curve_mode") != "flat")
+    universe = stage(spark, "priced-universe", sf_dir, lambda: PR.pricing_universe(monthly, 1996, 2003, as_of, start, 24))
     part = views.table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("l_partkey"), F.translate(F.substring("p_brand", 7, 2), "0123456789", "ABCDEFGHIJ").alias("code"), "p_size"
     )
@@ -184,7 +188,7 @@ def _priced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
         F.struct("l_orderkey", "l_linenumber", "l_extendedprice", "l_suppkey", "l_partkey").alias("ingest_seq"),
     )
     rows, skipped = PR.normalize_pricing(raw, universe, ["PX_LAST"], 2)
-    return rows, skipped, universe
+    return stage(spark, "priced-rows", sf_dir, lambda: rows), skipped, universe
 
 
 _PRICED = f"""WITH i AS (SELECT {_CODE} AS root, p_size % 12 + 1 AS m, 1996 + l_suppkey % 8 AS y, CAST(l_shipdate AS DATE) AS day, CASE WHEN l_linenumber <> 5 THEN l_extendedprice END AS px, l_orderkey, l_linenumber, l_extendedprice, l_suppkey, l_partkey
