@@ -26,6 +26,8 @@ from curvelab.llm.common import mix, session, span_hashes, text_slices
 
 #: Rows per language that the model is fitted on: a sample bounded whatever the table's size.
 ROWS_PER_LANGUAGE = 80
+#: Languages a model can have: bounds its tables, which are sent to every task.
+LANGUAGES = 64
 EPOCHS, STEP, PENALTY = 6, 0.5, 1e-4
 #: Words of a training sequence, and of the pieces of one text it is made of.
 SEQUENCE, PIECE = 32, 8
@@ -205,6 +207,8 @@ def fit(texts: list[str], langs: list[str], seed: int = 5) -> Model | None:
     labels = sorted(set(langs))
     if not labels:
         return None
+    if len(labels) > LANGUAGES:
+        raise ValueError(f"{len(labels)} languages are labelled, a model can have {LANGUAGES}: clean the labels or raise LANGUAGES")
     index = {lang: i for i, lang in enumerate(labels)}
     half = [i for j, lang in enumerate(labels) for i in [k for k, x in enumerate(langs) if x == lang][::2]]
     rest = sorted(set(range(len(texts))) - set(half)) or half

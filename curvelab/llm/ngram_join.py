@@ -182,9 +182,9 @@ def _deal(buckets: int):
             token, first, count = np.unique(flat, return_index=True, return_counts=True)
             owner = np.where(count > 1, -1, owner[first]).astype(np.int32)
             # sorted tokens: buckets are ranges of the hash
-            edges = np.array([(b << 64) // buckets for b in range(1, buckets)], dtype=np.uint64)
+            edges = np.arange(1, buckets, dtype=np.uint64) * np.uint64(((1 << 64) - 1) // buckets)
             cuts = np.concatenate(([0], np.searchsorted(token, edges), [len(token)]))
-            where = [b for b in range(buckets) if cuts[b + 1] > cuts[b]]
+            where = np.flatnonzero(np.diff(cuts)).tolist()
             named = b"".join(nodes)
             out = []
             for b in where:
