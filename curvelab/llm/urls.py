@@ -25,6 +25,8 @@ from curvelab.llm.common import session, written
 #: Longest n-gram, discount, and the labelled URLs per class that the models are fitted on.
 ORDER, DISCOUNT = 5, 0.5
 SAMPLE = 20_000
+#: N-grams of a model that is sent to all tasks at most.
+SENT = 300_000
 #: Marks the beginning of a URL in its first n-grams; cannot stand in one.
 START = "\x02"
 #: Steps between which the threshold is looked for.
@@ -106,17 +108,17 @@ def fit(labelled: DataFrame, order: int = ORDER, discount: float = DISCOUNT) ->
     )
     told = counts.select("gram", size.alias("n"), context.alias("context"), rest.alias("rest"), "c0", "c1").join(per_context, "context")
     alphabet = counts.filter(F.char_length("gram") == 1).count() + 1
+    told = written(told, "contexts")
     level = told.filter("n = 1").withColumns({f"p{s}": _smoothed(s, discount, F.lit(1.0 / alphabet)) for s in (0, 1)})
-    levels = [level.select("gram", "p0", "p1", (F.log("p1") - F.log("p0")).alias("change"))]
+    level = written(level.select("gram", "p0", "p1", (F.log("p1") - F.log("p0")).alias("change")), "order-1")
+    out = level.select("gram", "change")
     for n in range(2, order + 1):
-        below = levels[-1].select(F.col("gram").alias("rest"), F.col("p0").alias("b0"), F.col("p1").alias("b1"))
+        below = level.select(F.col("gram").alias("rest"), F.col("p0").alias("b0"), F.col("p1").alias("b1"))
         level = told.filter(F.col("n") == n).join(below, "rest").withColumns({f"p{s}": _smoothed(s, discount, F.col(f"b{s}")) for s in (0, 1)})
         change = F.log(F.col("p1") / F.col("b1")) - F.log(F.col("p0") / F.col("b0"))
-        levels.append(level.select("gram", "p0", "p1", change.alias("change")))
-    out = levels[0].select("gram", "change")
-    for level in levels[1:]:
+        level = written(level.select("gram", "p0", "p1", change.alias("change")), f"order-{n}")
         out = out.unionByName(level.select("gram", "change"))
-    return written(out, "model")
+    return out
 
 
 def _smoothed(side: int, discount: float, lower: Column) -> Column:
@@ -129,10 +131,13 @@ def _smoothed(side: int, discount: float, lower: Column) -> Column:
 def scores(urls: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
     """(url, score) of distinct URLs: mean log ratio per character, 0 for an empty one.
 
-    The model is as long as the fitted sample allows, whatever the number of URLs; Spark
-    picks the join by its size.
+    The model's length depends on the fitted sample, not on the number of URLs.  Up to
+    ``SENT`` n-grams it is sent to all tasks, which then sum each URL's n-grams before any
+    shuffle; a longer one is joined by a merge.  The choice is made here, as Spark's size
+    estimate does not see how many n-grams a URL has.
     """
-    found = grams(urls.select("url"), order).join(model, "gram").groupBy("url").agg(F.sum("change").alias("_s"))
+    known = F.broadcast(model) if model.count() <= SENT else model.hint("merge")
+    found = grams(urls.select("url"), order).join(known, "gram").groupBy("url").agg(F.sum("change").alias("_s"))
     kept = urls.select("url").join(found, "url", "left")
     return kept.select("url", F.round(F.coalesce(F.col("_s") / F.greatest(F.char_length("url"), F.lit(1)), F.lit(0.0)), 9).alias("score"))
 

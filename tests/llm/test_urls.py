@@ -55,7 +55,9 @@ class Plain:
         return out / max(len(url), 1)
 
 
-def test_equals_the_plain_models(spark):
+@pytest.mark.parametrize("sent", [urls.SENT, 0])
+def test_equals_the_plain_models(spark, monkeypatch, sent):
+    monkeypatch.setattr(urls, "SENT", sent)
     pages = [r[:2] for r in rows("pages")] + [(10_000 + i, u) for i, u in enumerate(ODD)]
     labelled = {}
     for _, u in pages:
