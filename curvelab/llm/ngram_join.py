@@ -256,7 +256,13 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
     component has an id.  Equal ids and equal rows are all kept.  An empty table gives an
     empty result.  Other columns are not read.
     """
-    spark = session(docs.sparkSession)
+    found = _components(docs, threshold, id_col, text_col)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _components(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """(id, row2, n, part, component_id) of every row; part is null where there are no shingles."""
+    session(docs.sparkSession)
     text = F.col(f"`{text_col}`")
     rows = docs.select(
         F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{id_col}`"), text).alias("row1"), F.xxhash64(text).alias("row2"), text.alias("text")
@@ -275,12 +281,11 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
     far = written(_search(_unjoined(blocks, labels), sets, threshold), "far")
     if not far.isEmpty():
         labels = components(near.unionByName(far))
-    labelled = signed.select("id", "n", "node").join(labels, "node", "left").select("id", "n", F.coalesce("label", "node").alias("_part"))
-    worded = labelled.filter(F.col("_part").isNotNull())
-    first = worded.groupBy("_part").agg(F.min("id").alias("component_id"))
-    out = worded.join(first, "_part").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
-    empty = signed.filter("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
-    return out.unionByName(empty)
+    labelled = signed.select("id", "row2", "n", "node").join(labels, "node", "left").select("id", "row2", "n", F.coalesce("label", "node").alias("part"))
+    worded = labelled.filter(F.col("part").isNotNull())
+    out = worded.join(worded.groupBy("part").agg(F.min("id").alias("component_id")), "part")
+    empty = signed.filter("n = 0").select("id", "row2", "n", F.col("node").alias("part"), F.col("id").alias("component_id"))
+    return out.select(*empty.columns).unionByName(empty)
 
 
 def _shared(blocks: DataFrame) -> DataFrame:
@@ -362,10 +367,15 @@ def _search(cells: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def representatives(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose id leads its component; repeats of one row stay once.
 
-    Rows with a null id stay only if no row of their component has an id.
+    Of a component without any id one text stays.  Rows without shingles are components of
+    their own and stay, repeats once.
     """
-    linked = link(docs, threshold, id_col, text_col)
-    lead = fresh(docs, "_lead")
-    leads = linked.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(lead)).distinct()
-    kept = docs.join(leads, docs[id_col].eqNullSafe(F.col(lead)), "left_semi")
-    return kept.dropDuplicates([id_col, text_col])
+    found = written(_components(docs, threshold, id_col, text_col), "components")
+    text, lead = F.col(f"`{text_col}`"), fresh(docs, "_lead")
+    leads = found.filter(F.col("id") == F.col("component_id")).select(F.col("id").alias(lead)).distinct()
+    named = docs.join(leads, docs[id_col] == F.col(lead), "left_semi")  # placed by id, and so are its repeats
+    nameless = found.filter("component_id IS NULL")
+    one = nameless.filter("part IS NOT NULL").groupBy("part").agg(F.min("row2").alias(lead)).select(lead)
+    one = one.unionByName(nameless.filter("part IS NULL").select(F.col("row2").alias(lead)).distinct())
+    kept = docs.filter(F.col(f"`{id_col}`").isNull()).join(one, F.xxhash64(text) == F.col(lead), "left_semi")
+    return named.dropDuplicates([id_col, text_col]).unionByName(kept.dropDuplicates([text_col]))

@@ -78,6 +78,16 @@ def test_representatives(spark, small):
     assert sorted(r["doc_id"] for r in ngram_join.representatives(docs).collect()) == sorted(leads)
 
 
+def test_representatives_without_ids(spark, small):
+    base = max((r[1] for r in small), key=len)
+    words = base.split(" ")
+    near = " ".join([*words[:-2], "other", "end"])
+    rows = [(None, base), (None, base), (None, near), (5, "one two three"), (None, "one two three"), (None, "alone"), (None, ""), (None, None), (None, ""), (7, None)]
+    kept = ngram_join.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept if r["text"] not in (base, near)), key=str) == sorted([(5, "one two three"), (None, "alone"), (None, ""), (None, None), (7, None)], key=str)
+    assert sum(r["text"] in (base, near) for r in kept) == 1
+
+
 def test_edges(spark, edges, edge_rows, nothing):
     got = rows_of(ngram_join.link(edges))
     want = []
