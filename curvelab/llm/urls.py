@@ -137,7 +137,9 @@ def scores(urls: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
     estimate does not see how many n-grams a URL has.
     """
     known = F.broadcast(model) if model.count() <= SENT else model.hint("merge")
-    found = grams(urls.select("url"), order).join(known, "gram").groupBy("url").agg(F.sum("change").alias("_s"))
+    # A URL becomes some hundred n-grams: the URLs are spread over as many tasks as a shuffle has.
+    parts = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = grams(urls.select("url").repartition(parts, "url"), order).join(known, "gram").groupBy("url").agg(F.sum("change").alias("_s"))
     kept = urls.select("url").join(found, "url", "left")
     return kept.select("url", F.round(F.coalesce(F.col("_s") / F.greatest(F.char_length("url"), F.lit(1)), F.lit(0.0)), 9).alias("score"))
 
