@@ -17,14 +17,13 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curvelab.llm.common import session, written
 
-#: Longest n-gram, discount, and the labelled URLs per class that the models are fitted on.
+#: Longest n-gram, and discount.
 ORDER, DISCOUNT = 5, 0.5
-SAMPLE = 20_000
 #: N-grams of a model that is sent to all tasks at most.
 SENT = 300_000
 #: Marks the beginning of a URL in its first n-grams; cannot stand in one.
@@ -90,13 +89,18 @@ def grams(urls: DataFrame, order: int = ORDER) -> DataFrame:
     return sized.withColumn("gram", F.substring(F.col("_u"), F.col("_end") - F.col("_n") + 1, F.col("_n"))).drop("_u", "_end", "_n")
 
 
+def _spread(urls: DataFrame) -> DataFrame:
+    """A URL becomes some hundred n-grams: the URLs are spread over as many tasks as a shuffle has."""
+    return urls.repartition(int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions")), "url")
+
+
 def fit(labelled: DataFrame, order: int = ORDER, discount: float = DISCOUNT) -> DataFrame:
     """Table (gram, change) from rows (url, good): see the module's text.
 
     Of both classes every n-gram is in the table that either has seen, so a class that
     lacks one falls back to its shorter context.
     """
-    counts = grams(labelled, order).groupBy("gram").agg(
+    counts = grams(_spread(labelled), order).groupBy("gram").agg(
         *[F.sum(F.when(F.col("good") == side, 1).otherwise(0)).alias(f"c{int(side)}") for side in (True, False)]
     )
     counts = written(counts, "grams")
@@ -131,15 +135,13 @@ def _smoothed(side: int, discount: float, lower: Column) -> Column:
 def scores(urls: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
     """(url, score) of distinct URLs: mean log ratio per character, 0 for an empty one.
 
-    The model's length depends on the fitted sample, not on the number of URLs.  Up to
-    ``SENT`` n-grams it is sent to all tasks, which then sum each URL's n-grams before any
-    shuffle; a longer one is joined by a merge.  The choice is made here, as Spark's size
-    estimate does not see how many n-grams a URL has.
+    The model grows with the labelled URLs.  Up to ``SENT`` n-grams it is sent to all
+    tasks, which then sum each URL's n-grams before any shuffle; a longer one is joined by
+    a merge.  The choice is made here, as Spark's size estimate does not see how many
+    n-grams a URL has.
     """
     known = F.broadcast(model) if model.count() <= SENT else model.hint("merge")
-    # A URL becomes some hundred n-grams: the URLs are spread over as many tasks as a shuffle has.
-    parts = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = grams(urls.select("url").repartition(parts, "url"), order).join(known, "gram").groupBy("url").agg(F.sum("change").alias("_s"))
+    found = grams(_spread(urls.select("url")), order).join(known, "gram").groupBy("url").agg(F.sum("change").alias("_s"))
     kept = urls.select("url").join(found, "url", "left")
     return kept.select("url", F.round(F.coalesce(F.col("_s") / F.greatest(F.char_length("url"), F.lit(1)), F.lit(0.0)), 9).alias("score"))
 
@@ -168,12 +170,12 @@ def calibrate(scored: DataFrame, steps: int = STEPS) -> float:
 
 
 def judge(
-    pages: DataFrame, rules: Sequence[HostRule] = RULES, sample: int = SAMPLE, order: int = ORDER, id_col: str = "page_id", url_col: str = "url"
+    pages: DataFrame, rules: Sequence[HostRule] = RULES, order: int = ORDER, id_col: str = "page_id", url_col: str = "url"
 ) -> DataFrame:
     """id, host, path, rule, score and verdict of every row.
 
-    The models learn from distinct URLs that a rule allows or blocks, up to ``sample`` of each,
-    chosen by hash; then the threshold is calibrated on these.  A URL under a rule has the
+    The models learn from all distinct URLs that a rule allows or blocks; then the threshold
+    is calibrated on these.  A URL under a rule has the
     rule's verdict, others have the method's: allow at the threshold or above.
 
     A null URL, or one without ``://``, has an empty host and path and fits no rule; a null
@@ -191,8 +193,7 @@ def judge(
         id_col, url.alias("url"), "host", "path", F.get(texts, F.col("_r")).alias("rule"), F.get(verdicts, F.col("_r")).alias("_v")
     )
     distinct = written(placed.groupBy("url").agg(F.first("_v").alias("_v")), "urls")
-    ranked = distinct.filter("_v IS NOT NULL").withColumn("_n", F.row_number().over(Window.partitionBy("_v").orderBy(F.xxhash64("url"), "url")))
-    labelled = written(ranked.filter(F.col("_n") <= sample).select("url", (F.col("_v") == "allow").alias("good")), "labelled")
+    labelled = distinct.filter("_v IS NOT NULL").select("url", (F.col("_v") == "allow").alias("good"))
     if labelled.select("good").distinct().count() < 2:
         scored, threshold = distinct.select("url", F.lit(0.0).alias("score")), 0.0
     else:

@@ -93,3 +93,13 @@ def test_edges(spark):
     assert Counter(r["verdict"] for r in out) == {"allow": 4, "block": 1}
     assert urls.judge(pages.limit(0)).count() == 0
     assert {r["rule"] for r in urls.judge(pages, rules=()).collect()} == {None}
+
+
+def test_models_learn_from_every_labelled_url(spark):
+    """More URLs of a class than any sample: each one's n-grams count."""
+    labelled = {f"x://com/en/{i:x}": False for i in range(20_600)} | {f"x://net/de/{i:o}": True for i in range(400)}
+    free = [f"y://z/{i}" for i in range(30)]
+    plain = Plain(labelled)
+    got = urls.judge(spark.createDataFrame(list(enumerate([*labelled, *free])), "page_id long, url string")).collect()
+    asked = {i: u for i, u in enumerate([*labelled, *free]) if i % 101 == 0 or u in free}
+    assert {r["page_id"]: r["score"] for r in got if r["page_id"] in asked} == pytest.approx({i: plain.score(u) for i, u in asked.items()}, abs=2e-9)
