@@ -113,13 +113,16 @@ def merge_references(segments: DataFrame, target: Column, keys: Sequence[str], x
     return keep_last(shifted, [*keys, x], order).select(*keys, x, value)
 
 
-def align_flat_curve(flat: DataFrame, target_years: DataFrame, roll_month: int, x: str = "x", value: str = "value") -> DataFrame:
-    """A curve without delivery months, cut into the cycle years of the other legs."""
+def align_flat_curve(flat: DataFrame, target_years: DataFrame, roll_month: int, x: str = "x", value: str = "value", keys: Sequence[str] = ()) -> DataFrame:
+    """A curve without delivery months, cut into the cycle years of the other legs.
+
+    ``keys`` name the leg in both tables where there are several; other columns of ``flat`` are kept.
+    """
     boundary = LEAP_BOUNDARIES[roll_month - 1]
-    first = flat.filter(F.col(x) >= boundary).select((F.col("year") + 1).alias("year"), x, value)
-    second = flat.filter(F.col(x) < boundary).select("year", (F.col(x) + LEAP_SPAN).alias(x), value)
+    first = flat.filter(F.col(x) >= boundary).withColumn("year", F.col("year") + 1)
+    second = flat.filter(F.col(x) < boundary).withColumn(x, F.col(x) + LEAP_SPAN)
     both = first.unionByName(second) if roll_month > 1 else first
-    return both.join(target_years.select("year").distinct(), "year", "left_semi")
+    return both.join(target_years.select(*keys, "year").distinct(), [*keys, "year"], "left_semi")
 
 
 def plain_axis_day(x: Column) -> Column:

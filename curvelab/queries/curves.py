@@ -184,12 +184,28 @@ def merge_references(spark: SparkSession, sf_dir: str) -> DataFrame:
       a AS (SELECT year + 1 AS year, x, value FROM f WHERE x >= 183 UNION ALL SELECT year, x + 366, value FROM f WHERE x < 183) SELECT year, x, round(value, 4) AS value FROM a WHERE year IN (SELECT year FROM y)""",
 )
 def flat_curve_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A monthless curve cut at July into the years of another leg."""
+    """One monthless curve cut at July into the years of one leg; ``flat_curve_align_all`` has all pairs (part of J23, X13)."""
     rows = yearly(spark, sf_dir)
     flat = rows.filter(F.col("series") == "5-LOW").select("year", "x", "value")
     return settle(CV.align_flat_curve(flat, rows.filter(F.col("series") == "1-URGENT").select("year"), 7), dp=4)
 
 
+@query(
+    "flat_curve_align_all",
+    f"""WITH {_CV}, y AS (SELECT DISTINCT series AS leg, year FROM cv),
+      a AS (SELECT series AS flat, year + 1 AS year, x, value FROM cv WHERE x >= 183 UNION ALL SELECT series, year, x + 366, value FROM cv WHERE x < 183)
+      SELECT flat, leg, year, x, round(value, 4) AS value FROM a JOIN y USING (year) WHERE flat <> leg""",
+)
+def flat_curve_align_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every curve, as a monthless one, cut at July into the years of every other leg."""
+    rows = yearly(spark, sf_dir)
+    flat = rows.select(F.col("series").alias("flat"), "year", "x", "value")
+    years = rows.select(F.col("series").alias("leg"), "year").distinct()
+    pairs = years.select("leg").distinct().join(flat.select("flat").distinct(), F.col("flat") != F.col("leg"))
+    aligned = CV.align_flat_curve(flat.join(pairs, "flat"), years, 7, keys=["leg"])
+    return settle(aligned.select("flat", "leg", "year", "x", "value"), dp=4)
+
+
 @query(
     "season_axis",
     f"""WITH {_CV}, p AS (SELECT *, CASE WHEN x <> 60 THEN x - (x > 60)::INT END AS pd FROM cv), r AS (SELECT *, CASE WHEN pd - 181 <= 0 THEN pd - 181 + 365 ELSE pd - 181 END AS dd FROM p WHERE pd IS NOT NULL),

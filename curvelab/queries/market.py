@@ -247,7 +247,7 @@ def roll_back_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT * FROM cal UNION ALL SELECT * FROM fly UNION ALL SELECT * FROM cdr""",
 )
 def structure_library(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calendars, flies and condors of the roots seen in the bars, with their formulas."""
+    """Calendars, flies and condors of the roots seen in the bars; ``structure_library_all`` has all (part of D7, D9)."""
     seen = views.contract_bars(spark, sf_dir).select("root").distinct()
     one_root = [s for s in G.curve_structures() if s.family in ("Calendar", "Fly", "Condor")]
     legs = G.leg_table(spark, one_root)
@@ -265,7 +265,7 @@ def structure_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def leg_library(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Legs with root economics beside the volume seen per root."""
+    """Legs of one crack with root economics; ``leg_library_all`` has all structures (part of D10)."""
     from curvelab.config import ROOTS
 
     crack = [s for s in STRUCTURES if s.spread_id == "CRK.HO_CL.M01"]
@@ -276,6 +276,61 @@ def leg_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
+#: All templates: prefix, and root:offset:sign:contracts:weight of each leg; @ is each root.
+_LEGS = """r(root) AS (VALUES ('HO'), ('CL'), ('CO'), ('QS')),
+      t(prefix, legs) AS (VALUES ('CAL.@', '@:0:1:1:1 @:1:-1:1:1'), ('FLY.@', '@:0:1:1:1 @:1:-1:2:2 @:2:1:1:1'), ('CDR.@', '@:0:1:1:1 @:1:-1:1:1 @:2:-1:1:1 @:3:1:1:1'),
+        ('CRK.HO_CL', 'HO:0:1:1:1 CL:0:-1:1:1'), ('CRK.QS_CO', 'QS:0:1:4:1 CO:0:-1:3:1'), ('RV.HO_QS', 'HO:0:1:3:1 QS:0:-1:4:1'), ('RV.CO_CL', 'CO:0:1:1:1 CL:0:-1:1:1'),
+        ('BOX.CRACK.TRANSATL', 'HO:0:1:3:1 CL:0:-1:3:1 QS:0:-1:4:1 CO:0:1:3:1'),
+        ('BOX.CRKCAL.HO_CL', 'HO:0:1:1:1 CL:0:-1:1:1 HO:1:-1:1:1 CL:1:1:1:1'), ('BOX.CRKCAL.QS_CO', 'QS:0:1:4:1 CO:0:-1:3:1 QS:1:-1:4:1 CO:1:1:3:1'),
+        ('BOX.CURVE.HO_QS', 'HO:0:1:3:1 QS:0:-1:4:1 HO:1:-1:3:1 QS:1:1:4:1'), ('BOX.CURVE.CO_CL', 'CO:0:1:1:1 CL:0:-1:1:1 CO:1:-1:1:1 CL:1:1:1:1'),
+        ('FLY.HOGO', 'HO:0:1:3:1 HO:1:-1:6:1 HO:2:1:3:1 QS:0:-1:4:1 QS:1:1:8:1 QS:2:-1:4:1')),
+      u AS (SELECT replace(prefix, '@', root) AS prefix, string_split(replace(legs, '@', root), ' ') AS ls FROM t, r WHERE prefix LIKE '%@' UNION ALL SELECT prefix, string_split(legs, ' ') FROM t WHERE prefix NOT LIKE '%@'),
+      e AS (SELECT prefix, unnest(range(1, len(ls) + 1)) AS ord, unnest(ls) AS leg FROM u),
+      p AS (SELECT prefix, ord, split_part(leg, ':', 1) AS root, split_part(leg, ':', 2)::INT AS off, split_part(leg, ':', 3)::INT AS sgn, split_part(leg, ':', 4) AS lots, split_part(leg, ':', 5) AS w FROM e),
+      s AS (SELECT prefix, max(off) AS span FROM p GROUP BY 1), k AS (SELECT prefix, span, unnest(range(1, 17 - span)) AS rank FROM s),
+      legs AS (SELECT prefix || '.M' || array_to_string(list_transform(range(rank, rank + span + 1), lambda i: lpad(i::VARCHAR, 2, '0')), '_M') AS spread_id, p.* EXCLUDE (prefix) FROM k JOIN p USING (prefix))"""
+
+
+@query(
+    "structure_library_all",
+    f"""WITH {_LEGS}, seen AS (SELECT DISTINCT {_ROOTS} AS root FROM lineitem),
+      f AS (SELECT *, CASE WHEN sgn > 0 THEN '+' ELSE '-' END AS side, ' ' || legs.root || '[M+' || off || ']' AS told FROM legs)
+      SELECT spread_id, ltrim(string_agg(side || w || told, ' ' ORDER BY ord), '+') AS normalized_price_formula,
+        ltrim(string_agg(side || lots || told, ' ' ORDER BY ord), '+') AS executable_package, count(seen.root) AS legs_seen
+      FROM f LEFT JOIN seen ON seen.root = f.root GROUP BY 1""",
+)
+def structure_library_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every structure of the library with both formulas and how many legs have bars."""
+    seen = views.contract_bars(spark, sf_dir).select("root").distinct().withColumn("seen", F.lit(1))
+    legs = G.leg_table(spark, G.curve_structures())
+    told = legs.join(seen, "root", "left").groupBy("spread_id").agg(F.count("seen").alias("legs_seen"))
+    return settle(G.formula_table(legs).join(told, "spread_id").select("spread_id", "normalized_price_formula", "executable_package", "legs_seen"))
+
+
+@query(
+    "leg_library_all",
+    settle_sql(
+        f"""WITH {ctes.CBARS}, {_LEGS}, costs(root, cost, tick) AS (VALUES ('HO', 6.7::DOUBLE, 0.0001::DOUBLE), ('CL', 12.5, 0.01), ('CO', 12.5, 0.01), ('QS', 27.5, 0.25)),
+        v AS (SELECT root, sum(vol) AS seen_volume FROM cbars GROUP BY 1)
+        SELECT spread_id, ord AS leg_order, root, sgn AS sign, lots::BIGINT AS contracts, off AS delivery_offset, w::DOUBLE AS price_weight,
+          CASE WHEN sgn > 0 THEN 'Long ' ELSE 'Short ' END || lots || ' ' || root || ' delivery offset +' || off AS description,
+          cost AS one_way_cost_usd, tick AS tick_size_native, seen_volume FROM legs JOIN costs USING (root) LEFT JOIN v USING (root)""",
+        "spread_id, leg_order, root, sign, contracts, delivery_offset, description", "price_weight, one_way_cost_usd, tick_size_native, seen_volume",
+    ),
+)
+def leg_library_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leg of the library with its root's economics; the volume is null where no bar has the root."""
+    from curvelab.config import ROOTS
+
+    every = G.curve_structures()
+    library = G.leg_library(G.leg_table(spark, every), G.structure_table(spark, every, ROOTS), C.root_table(spark, ROOTS))
+    volume = views.contract_bars(spark, sf_dir).groupBy("root").agg(F.sum("volume_contracts").alias("seen_volume"))
+    return settle(library.join(volume, "root", "left").select(
+        "spread_id", "leg_order", "root", "sign", "contracts", "delivery_offset", "description", "price_weight",
+        "one_way_cost_usd", "tick_size_native", "seen_volume",
+    ))
+
+
 @query(
     "latest_legs",
     f"{PACKS}, n AS (SELECT * FROM pk WHERE d = (SELECT max(d) FROM pk)) SELECT DISTINCT unnest(string_split(roll_id, ' | ')) AS security FROM n",
