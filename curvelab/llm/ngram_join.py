@@ -365,17 +365,20 @@ def _search(cells: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def representatives(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose id leads its component; repeats of one row stay once.
+    """The rows of ``docs``, all columns, that lead their component; repeats of one row stay once.
 
-    Of a component without any id one text stays.  Rows without shingles are components of
-    their own and stay, repeats once.
+    Of each component one text stays under the smallest id, whatever other rows have that id;
+    of several texts under it, that of the smallest hash; where no row has an id, one text.
+    Rows without shingles are components of their own and stay, repeats once.
     """
     found = written(_components(docs, threshold, id_col, text_col), "components")
-    text, lead = F.col(f"`{text_col}`"), fresh(docs, "_lead")
-    leads = found.filter(F.col("id") == F.col("component_id")).select(F.col("id").alias(lead)).distinct()
-    named = docs.join(leads, docs[id_col] == F.col(lead), "left_semi")  # placed by id, and so are its repeats
-    nameless = found.filter("component_id IS NULL")
-    one = nameless.filter("part IS NOT NULL").groupBy("part").agg(F.min("row2").alias(lead)).select(lead)
-    one = one.unionByName(nameless.filter("part IS NULL").select(F.col("row2").alias(lead)).distinct())
-    kept = docs.filter(F.col(f"`{id_col}`").isNull()).join(one, F.xxhash64(text) == F.col(lead), "left_semi")
-    return named.dropDuplicates([id_col, text_col]).unionByName(kept.dropDuplicates([text_col]))
+    text, lead, digest = F.col(f"`{text_col}`"), fresh(docs, "_lead"), fresh(docs, "_digest")
+    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "row2")).alias("r")
+    chosen = found.filter("part IS NOT NULL").groupBy("part").agg(first).select("r.id", "r.row2")
+    chosen = written(chosen.unionByName(found.filter("part IS NULL").select("id", "row2").distinct()), "chosen")
+    told = docs.withColumn(digest, F.xxhash64(text))
+    leads = chosen.filter("id IS NOT NULL").select(F.col("id").alias(lead), F.col("row2").alias(fresh(docs, "_row2")))
+    named = told.join(leads, (told[id_col] == leads[lead]) & (told[digest] == leads[leads.columns[1]]), "left_semi")  # placed by id and digest, and so are its repeats
+    nameless = chosen.filter("id IS NULL").select(F.col("row2").alias(lead))
+    kept = told.filter(F.col(f"`{id_col}`").isNull()).join(nameless, F.col(digest) == F.col(lead), "left_semi")
+    return named.dropDuplicates([id_col, digest, text_col]).unionByName(kept.dropDuplicates([digest, text_col])).drop(digest)

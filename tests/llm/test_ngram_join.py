@@ -88,6 +88,17 @@ def test_representatives_without_ids(spark, small):
     assert sum(r["text"] in (base, near) for r in kept) == 1
 
 
+def test_representatives_of_shared_ids(spark):
+    """One id over many rows: near copies under it go, and so does a copy led by another id."""
+    say = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    a, near_a, c, near_c = say("a"), say("a") + " end", say("c"), say("c") + " end"
+    rows = [(5, a), (5, near_a), (5, near_a), (5, c), (3, near_c), (None, c), (5, say("d")), (5, ""), (5, None), (5, None), (4, "")]
+    kept = [tuple(r) for r in ngram_join.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sum(r in ((5, a), (5, near_a)) for r in kept) == 1
+    rest = [r for r in kept if r not in ((5, a), (5, near_a))]
+    assert sorted(rest, key=str) == sorted([(3, near_c), (5, say("d")), (5, ""), (5, None), (4, "")], key=str)
+
+
 def test_edges(spark, edges, edge_rows, nothing):
     got = rows_of(ngram_join.link(edges))
     want = []
