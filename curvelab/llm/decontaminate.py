@@ -65,15 +65,18 @@ class Block:
     ids: list
     texts: list[str]
     threshold: float
+    inside: bool = False
 
     def __post_init__(self) -> None:
+        self.brief = self._brief() if self.inside else {}
+        apart = {i for _, items in self.brief.values() for i in items.tolist()}
         grams, offsets = np.empty(0, np.uint64), np.zeros(1, np.int64)
         for _, _, data, starts in text_slices(pa.array(self.texts, pa.large_string()), 1 << 62):
             grams, offsets = shingle_sets(data, starts)
         self.sizes = np.diff(offsets)
         hashes, items, self.need = [], [], np.zeros(len(self.ids), np.int64)
         for i, n in enumerate(self.sizes.tolist()):
-            if n:
+            if n and i not in apart:
                 own = grams[offsets[i] : offsets[i + 1]]
                 k = sketch_size(n, self.threshold)
                 hashes.append(own[np.argsort(mix(own ^ np.uint64(0x5851F42D4C957F2D)))[:k]])
@@ -88,6 +91,37 @@ class Block:
         self.present[(self.hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
         self.exact: dict[int, set] = {}
 
+    def _brief(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """By number of words, the items of fewer words than a shingle: sorted hashes, and whose they are."""
+        words = [len(_WORD.findall(t)) for t in self.texts]
+        out = {}
+        for width in range(1, SHINGLE):
+            which = [i for i, n in enumerate(words) if n == width]
+            for _, _, data, starts in text_slices(pa.array([self.texts[i] for i in which], pa.large_string()), 1 << 62):
+                grams, _ = row_shingles(data, starts, width)
+                order = np.argsort(grams, kind="stable")
+                out[width] = grams[order], np.array(which)[order]
+        return out
+
+    def _within(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(row, item) of the short items whose words stand side by side in a row."""
+        for width, (hashes, items) in self.brief.items():
+            grams, sizes = row_shingles(data, offsets, width)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            low, high = np.searchsorted(hashes, grams, "left"), np.searchsorted(hashes, grams, "right")
+            many = high - low
+            if not many.sum():
+                continue
+            entry = np.repeat(low - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
+            rows, found = np.unique(np.stack((np.repeat(owner, many), items[entry])), axis=1).tolist()
+            before, own = -1, set()
+            for row, i in zip(rows, found):
+                if row != before:
+                    words = _WORD.findall(data[offsets[row] : offsets[row + 1]].tobytes().decode("utf-8", "replace").translate(_FOLD))
+                    before, own = row, set(zip(*(words[k:] for k in range(width))))
+                if tuple(_WORD.findall(self.texts[i].translate(_FOLD))) in own:
+                    yield row, i
+
     def candidates(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, item) of rows with enough of an item's sketch, and large enough to hold it."""
         grams, sizes = row_shingles(data, offsets)
@@ -106,6 +140,8 @@ class Block:
     def found(self, column: pa.Array) -> Iterator[tuple[int, int, int, int]]:
         """(row, item, shared shingles, the item's shingles) of all verified pairs."""
         for first, _, data, offsets in text_slices(column):
+            for r, i in self._within(data, offsets):
+                yield first + r, i, 1, 1
             rows, items = self.candidates(data, offsets)
             before, own = -1, set()
             for r, i in zip(rows.tolist(), items.tolist()):
@@ -120,7 +156,7 @@ class Block:
                     yield first + r, i, shared, len(asked)
 
 
-def _blocks(items: DataFrame, threshold: float, id_col: str, text_col: str, most: int) -> Iterator[Block]:
+def _blocks(items: DataFrame, threshold: float, id_col: str, text_col: str, most: int, inside: bool) -> Iterator[Block]:
     """The items in blocks of about ``most`` bytes of text, one block in memory at a time."""
     rows = items.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).filter(F.length("text") > 0)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -128,7 +164,7 @@ def _blocks(items: DataFrame, threshold: float, id_col: str, text_col: str, most
     place = F.pmod(F.xxhash64("id", "text"), F.lit(count))
     for b in range(count):
         part = rows.filter(place == b).collect() if count > 1 else rows.collect()
-        yield Block([r["id"] for r in part], [r["text"] for r in part], threshold)
+        yield Block([r["id"] for r in part], [r["text"] for r in part], threshold, inside)
 
 
 def contained_items(
@@ -140,12 +176,14 @@ def contained_items(
     item_id_col: str = "item_id",
     item_text_col: str = "text",
     block_bytes: int = BLOCK_BYTES,
+    inside: bool = False,
 ) -> DataFrame:
     """All pairs (document, item) where the document holds ``threshold`` of the item's shingles.
 
     Columns: the two ids, shared, n_shingles (the item's), containment.  Shingles are five
     words with A-Z lower-cased; an item of fewer words is one shingle, and only a document
-    that consists of just these words has it.
+    that consists of just these words has it; with ``inside`` any document has it where these
+    words stand side by side.
 
     Null or empty texts, on either side, are in no pair.  Rows with null or equal ids are
     searched like others and give a pair each.  Empty tables give an empty result.  Other
@@ -157,7 +195,7 @@ def contained_items(
     kinds = rows.schema[0].dataType.simpleString(), item_type.simpleString()
     schema = f"`{id_col}` {kinds[0]}, `{item_id_col}` {kinds[1]}, shared long, n_shingles long, containment double"
     out = None
-    for block in _blocks(items, threshold, item_id_col, item_text_col, block_bytes):
+    for block in _blocks(items, threshold, item_id_col, item_text_col, block_bytes, inside):
         part = rows.mapInArrow(_pairs(spark.sparkContext.broadcast(block), id_col, item_id_col, to_arrow_type(item_type)), schema)
         out = part if out is None else out.unionByName(part)
     return out
@@ -186,14 +224,14 @@ def _pairs(block, id_col: str, item_id_col: str, item_type: pa.DataType):
 
 def decontaminated(
     docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, text_col: str = "text",
-    item_id_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES,
+    item_id_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, inside: bool = False,
 ) -> DataFrame:
     """The rows of ``docs``, all columns, that contain no item; nothing is shuffled.
 
-    Rows with a null or empty text stay.
+    ``inside`` as for ``contained_items``.  Rows with a null or empty text stay.
     """
     spark, schema = session(docs.sparkSession), docs.schema
-    for block in _blocks(items, threshold, item_id_col, item_text_col, block_bytes):
+    for block in _blocks(items, threshold, item_id_col, item_text_col, block_bytes, inside):
         docs = docs.mapInArrow(_clean(spark.sparkContext.broadcast(block), text_col), schema)
     return docs
 

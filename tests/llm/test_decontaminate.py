@@ -62,3 +62,12 @@ def test_edges(spark, edges, nothing):
     assert decontaminate.contained_items(edges, items.limit(0)).count() == 0
     kept = decontaminate.decontaminated(edges, items)
     assert kept.columns == edges.columns and kept.count() == edges.count() - 6
+
+
+def test_short_items_inside_long_documents(spark):
+    items = [(1, "Alpha"), (2, "beta gamma"), (3, "one two three four"), (4, "one two three four five"), (5, "beta gamma")]
+    docs = [(1, "x y z alpha w v u"), (2, "a beta  GAMMA b c d e"), (3, "beta a gamma b c d"), (4, "0 one two three four five 6"), (5, "beta gamma"), (6, "alphabet x y z w"), (7, None), (8, "")]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = found(decontaminate.contained_items(*frames, inside=True))
+    assert got == [(1, 1, 1, 1), (2, 2, 1, 1), (2, 5, 1, 1), (4, 3, 1, 1), (4, 4, 1, 1), (5, 2, 1, 1), (5, 5, 1, 1)]
+    assert sorted(r["doc_id"] for r in decontaminate.decontaminated(*frames, inside=True).collect()) == [3, 6, 7, 8]
