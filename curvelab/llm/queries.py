@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvelab.llm import bpe, decontaminate, discriminant, language, ngram_join, rules, secrets, sharding, token_counts, urls
+from curvelab.llm import (
+    audit,
+    bpe,
+    decontaminate,
+    discriminant,
+    exact_dedup,
+    language,
+    lloyd,
+    ngram_join,
+    rules,
+    secrets,
+    sharding,
+    token_counts,
+    urls,
+)
 from curvelab.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +107,79 @@ def op9_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's URL by host rules and the ratio of two character models."""
     return urls.judge(table(spark, sf_dir, "pages"))
+
+
+@query
+def op11_active_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors after four rounds, their errors and the digest of the codebooks."""
+    coded, books = lloyd.compress(table(spark, sf_dir, "embeddings"))
+    return lloyd.with_errors(coded, books)
+
+
+@query
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group, keeper and digest of every document's normalised text."""
+    return exact_dedup.groups(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_exact_dedup"] = r"""
+WITH t AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
+)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST) = 1 AS kept, text_sha256
+FROM t WINDOW w AS (PARTITION BY text_sha256)
+"""
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over all documents in every order, per source."""
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op13_filter_audit"] = r"""
+WITH RECURSIVE texts AS (
+  SELECT coalesce(source, '') AS part, doc_id, coalesce(text, '') AS text FROM documents
+), words AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+         length(regexp_replace(text, '[^A-Z]', '', 'g')) AS capitals,
+         min(doc_id) OVER (PARTITION BY text) AS first_id
+  FROM texts
+), fails AS (
+  SELECT part,
+         CASE WHEN len(w) < 50 THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * capitals > 5 * length(text) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN first_id < doc_id THEN 'E' ELSE '' END AS pattern,
+         doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS good,
+         doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) AS toxic
+  FROM words
+), cells AS (
+  SELECT part, pattern, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+  FROM fails GROUP BY part, pattern
+), orders AS (
+  SELECT '' AS filter_order
+  UNION ALL
+  SELECT filter_order || f FROM orders, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(f) WHERE NOT contains(filter_order, f)
+), steps AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS f, substr(filter_order, 1, step - 1) AS earlier,
+         substr(filter_order, step + 1) AS later
+  FROM orders, (VALUES (1), (2), (3), (4), (5)) s(step) WHERE length(filter_order) = 5
+), counts AS (
+  SELECT part, filter_order, step, f,
+         sum(n) FILTER (WHERE translate(pattern, earlier || f, '') = pattern) AS kept,
+         sum(n) FILTER (WHERE translate(pattern, earlier, '') = pattern AND contains(pattern, f)) AS removed,
+         sum(n) FILTER (WHERE translate(pattern, earlier, '') <> pattern AND contains(pattern, f)) AS redundant,
+         sum(n) FILTER (WHERE pattern = f) AS unique_fails,
+         sum(good) FILTER (WHERE translate(pattern, earlier, '') = pattern AND contains(pattern, f)) AS good_lost,
+         sum(toxic) FILTER (WHERE translate(pattern, earlier, '') = pattern AND contains(pattern, f)) AS toxic_lost
+  FROM cells, steps GROUP BY part, filter_order, step, f
+)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+       coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+       coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       (coalesce(sum(removed) OVER (PARTITION BY part, f), 0))::BIGINT AS shapley
+FROM counts
+"""
