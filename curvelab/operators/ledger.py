@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curvelab.config import STRATEGIES
+from curvelab.edge import clean
+from curvelab.operators import walk
 from curvelab.operators.indicators import RiskLimits
 from curvelab.operators.walkforward import tag_trades
 from curvelab.scale import row_index, running_total
@@ -21,6 +21,7 @@ EXIT_REASONS = (
     "FLOW_CONFIRMATION_LOST", "ENSEMBLE_COLLAPSE", "MANDATORY_D4_EXIT", "ROLL_SAFETY_PREVIOUS_CLOSE", "END_OF_SAMPLE",
 )
 _CODE = {name: i for i, name in enumerate(EXIT_REASONS)}
+assert (walk.MAX_HOLD, walk.MANDATORY) == (_CODE["MAX_HOLD"], _CODE["MANDATORY_D4_EXIT"])
 
 
 @dataclass(frozen=True)
@@ -106,8 +107,9 @@ def ledger_inputs(
 ) -> DataFrame:
     """Votes, exit codes and gates per bar, with the roll segment each bar belongs to.
 
-    A position never survives a roll, so the segments of a structure are independent.  A
-    segment ends with its contracts, which bounds its length.
+    A position never survives a roll, so the walk starts anew in each segment.  ``bar`` numbers
+    all bars of a structure and ``live`` those with an opening and a closing value; both come
+    from one pass of running totals, together with the segment.
     """
     session = Window.partitionBy("spread_id", "session_date").orderBy(F.col("timestamp_utc").desc())
     last_of_session = F.row_number().over(session) == 1
@@ -115,20 +117,26 @@ def ledger_inputs(
         (F.col("bar_slot") == F.col("session_last_slot")) | last_of_session
     )
     gated = features.withColumns({"_reason": liquidity_reason(gate, risk), "_forced_last": forced})
-    segmented = running_total(
+    opened, closed = clean(F.col("package_open_value_usd")), clean(F.col("package_close_value_usd"))
+    counted = running_total(
         gated, "spread_id", "timestamp_utc", F.date_trunc("month", F.col("session_date")),
-        {"_segment": F.coalesce(F.col("roll_event").cast("double"), F.lit(0.0))}, base=base, whole={"_segment": "_rolls"},
-    )
+        {
+            "_segment": F.coalesce(F.col("roll_event").cast("double"), F.lit(0.0)), "_bar": F.lit(1.0),
+            "_live": (opened.isNotNull() & closed.isNotNull()).cast("double"),
+        },
+        base=base, whole={"_segment": "_rolls"},
+    )
     codes = {}
     for k, s in enumerate(STRATEGIES):
         codes[f"_v{k}"] = F.coalesce(F.col(s.vote), F.lit(0)).cast("tinyint")
         codes[f"_l{k}"] = exit_codes(s.strategy_id, 1, s.vote)
         codes[f"_s{k}"] = exit_codes(s.strategy_id, -1, s.vote)
-    return segmented.withColumns(codes).select(
+    return counted.withColumns(codes).select(
         "spread_id", F.col("_segment").cast("int").alias("segment"),
         (F.col("_segment") == F.col("_rolls")).alias("last_segment"),
+        F.col("_bar").cast("long").alias("bar"), F.col("_live").cast("long").alias("live"),
         F.col("timestamp_utc").cast("timestamp_ntz").alias("timestamp_utc"), "session_date", "roll_id",
-        F.col("package_open_value_usd").alias("open_value"), F.col("package_close_value_usd").alias("close_value"),
+        opened.alias("open_value"), closed.alias("close_value"),
         "spread_open", "spread_close", F.coalesce("one_way_cost_usd", F.lit(0.0)).alias("cost"),
         F.coalesce("entry_allowed", F.lit(False)).alias("entry_allowed"), F.col("_reason").alias("liquidity_reason"),
         F.coalesce("_forced_last", F.lit(False)).alias("forced_last"),
@@ -137,121 +145,44 @@ def ledger_inputs(
     )
 
 
-_LEDGER_SCHEMA = (
-    "spread_id string, strategy_id string, direction string, entry_time timestamp_ntz, entry_signal_time timestamp_ntz,"
-    " exit_time timestamp_ntz, exit_signal_time timestamp_ntz, entry_session date, exit_session date, entry_spread double,"
-    " exit_spread double, entry_package_value_usd double, exit_package_value_usd double, gross_pnl_usd double,"
-    " cost_usd double, net_pnl_usd double, pnl_2x_cost_usd double, pnl_3x_cost_usd double, holding_bars int,"
-    " mae_usd double, mfe_usd double, exit_reason string, entry_reason string, roll_id string,"
-    " earliest_risk_date date, forced_exit_session date, entry_relative_volume double,"
-    " entry_max_leg_bid_ask_ticks double, entry_package_capacity double"
-)
-_LEDGER_COLUMNS = [part.split()[0] for part in _LEDGER_SCHEMA.split(", ")]
-
-
-def _walk(valid: np.ndarray, forced: np.ndarray, allowed: np.ndarray, signal: np.ndarray, votes: np.ndarray,
-          long_code: np.ndarray, short_code: np.ndarray, limit: int) -> list[tuple[int, int, int, int, int]]:
-    """Trades of one strategy in one segment as (signal, entry, decision, exit, code).
+def run_ledger(inputs: DataFrame, block: int = 4096, fan: int = 1024) -> DataFrame:
+    """All trades.
 
-    All arrays run over the segment's bars.  ``decision`` is -1 for exits that no close
-    decided; ``exit`` is -1 where the position is still open at the end.
+    ``inputs`` should be a stored table, as both passes of the walk read it.  A position that no
+    bar closes leaves at the last closing value of its segment.
     """
-    trades = []
-    candidates = np.flatnonzero(signal & (votes != 0))
-    live = np.flatnonzero(valid)
-    mandatory = np.flatnonzero(valid & forced)
-    at = 0
-    n = len(valid)
-    while True:
-        k = np.searchsorted(candidates, at)
-        if k == len(candidates):
-            return trades
-        s = int(candidates[k])
-        e = s + 1
-        if e >= n:
-            return trades
-        if not (valid[e] and allowed[e]):
-            at = e
-            continue
-        side = int(votes[s])
-        codes = long_code if side > 0 else short_code
-        first = int(np.searchsorted(live, e))
-        held = live[first : first + limit]
-        hit = np.flatnonzero(codes[held])
-        if len(hit):
-            decided, code = int(held[hit[0]]), int(codes[held[hit[0]]])
-            if hit[0] == limit - 1:
-                code = _CODE["MAX_HOLD"]
-        elif len(held) == limit:
-            decided, code = int(held[-1]), _CODE["MAX_HOLD"]
-        else:
-            decided, code = -1, 0
-        filled = -1
-        if decided >= 0:
-            j = int(np.searchsorted(live, decided, side="right"))
-            filled = int(live[j]) if j < len(live) else -1
-        m = int(np.searchsorted(mandatory, e, side="right"))
-        stop = int(mandatory[m]) if m < len(mandatory) else -1
-        if stop >= 0 and (filled < 0 or stop <= filled):
-            trades.append((s, e, -1, stop, _CODE["MANDATORY_D4_EXIT"]))
-            at = stop
-        elif filled >= 0:
-            trades.append((s, e, decided, filled, code))
-            at = filled
-        else:
-            trades.append((s, e, -1, -1, 0))
-            return trades
-
-
-def _segment_trades(bars: pd.DataFrame) -> pd.DataFrame:
-    bars = bars.sort_values("timestamp_utc", kind="stable").reset_index(drop=True)
-    opened, closed = bars["open_value"].to_numpy(dtype=float), bars["close_value"].to_numpy(dtype=float)
-    valid = np.isfinite(opened) & np.isfinite(closed)
-    forced, allowed = bars["forced_last"].to_numpy(dtype=bool), bars["entry_allowed"].to_numpy(dtype=bool)
-    cost = bars["cost"].to_numpy(dtype=float)
-    passed = (bars["liquidity_reason"] == "PASS").to_numpy()
-    times, days = bars["timestamp_utc"], bars["session_date"]
-    rows = []
-    for k, strategy in enumerate(STRATEGIES):
-        votes = bars[f"_v{k}"].to_numpy()
-        if not votes.any():
-            continue
-        signal = valid & allowed & passed
-        walked = _walk(valid, forced, allowed, signal, votes, bars[f"_l{k}"].to_numpy(), bars[f"_s{k}"].to_numpy(),
-                       strategy.maximum_holding_bars)
-        for s, e, decided, x, code in walked:
-            side = int(votes[s])
-            at_close = x < 0
-            if at_close:
-                # The last close that has a value; the entry bar has one, so there always is one.
-                x = e + int(np.flatnonzero(np.isfinite(closed[e:]))[-1])
-                value = closed[x]
-                code = _CODE["END_OF_SAMPLE"] if bars["last_segment"].iat[0] else _CODE["ROLL_SAFETY_PREVIOUS_CLOSE"]
-            else:
-                value = opened[x]
-            span = slice(e, x + 1) if at_close else slice(e, x)
-            marks = side * (closed[span][valid[span]] - opened[e])
-            gross = side * (value - opened[e])
-            paid = cost[e] + cost[x]
-            rows.append(
-                (
-                    bars["spread_id"].iat[0], strategy.strategy_id, "LONG" if side > 0 else "SHORT",
-                    times.iat[e], times.iat[s], times.iat[x], times.iat[decided] if decided >= 0 else None,
-                    days.iat[e], days.iat[x], bars["spread_open"].iat[e],
-                    bars["spread_close" if at_close else "spread_open"].iat[x], opened[e], value, gross, paid, gross - paid,
-                    gross - 2.0 * paid, gross - 3.0 * paid, int(valid[span].sum()), float(min(0.0, marks.min(initial=0.0))),
-                    float(max(0.0, marks.max(initial=0.0))), EXIT_REASONS[code], f"{strategy.strategy_id}; PASS",
-                    bars["roll_id"].iat[0], bars["earliest_risk_date"].iat[e], bars["forced_exit_session"].iat[e],
-                    bars["relative_volume"].iat[s], bars["max_leg_bid_ask_ticks"].iat[s],
-                    bars["package_volume_capacity"].iat[s],
-                )
-            )
-    return pd.DataFrame(rows, columns=_LEDGER_COLUMNS)
-
-
-def run_ledger(inputs: DataFrame) -> DataFrame:
-    """All trades.  Gates, votes and exit codes are columns; only the walk along a segment is Python."""
-    return inputs.groupBy("spread_id", "segment").applyInPandas(lambda bars: _segment_trades(bars), _LEDGER_SCHEMA)
+    found = walk.trades(inputs, [s.maximum_holding_bars for s in STRATEGIES], block, fan)
+    closing = inputs.filter(F.col("close_value").isNotNull())
+    last = closing.groupBy("spread_id", "segment").agg(F.max("timestamp_utc").alias("timestamp_utc"))
+    ends = closing.join(last, ["spread_id", "segment", "timestamp_utc"]).select(
+        "spread_id", "segment", F.lit(True).alias("at_end"), F.col("timestamp_utc").alias("_time"),
+        F.col("session_date").alias("_session"), F.col("spread_close").alias("_spread"), F.col("close_value").alias("_value"),
+        F.col("cost").alias("_cost"), F.when(F.col("last_segment"), "END_OF_SAMPLE").otherwise("ROLL_SAFETY_PREVIOUS_CLOSE").alias("_reason"),
+    )
+    # Only the few positions left open look for the end of their segment.
+    met = found.withColumn("at_end", F.col("exit_time").isNull()).join(ends, ["spread_id", "segment", "at_end"], "left")
+    pick = lambda own, end: F.when(F.col("at_end"), F.col(end)).otherwise(F.col(own))
+    side = F.col("side").cast("double")
+    reasons, names = (F.array(*[F.lit(x) for x in xs]) for xs in (EXIT_REASONS, [s.strategy_id for s in STRATEGIES]))
+    closed = met.withColumns(
+        {
+            "strategy_id": names[F.col("strategy")],
+            "exit_time": pick("exit_time", "_time"), "exit_session": pick("exit_session", "_session"),
+            "exit_spread": pick("exit_spread", "_spread"), "exit_package_value_usd": pick("exit_value", "_value"),
+            "exit_reason": F.when(F.col("at_end"), F.col("_reason")).otherwise(reasons[F.col("code")]),
+            "cost_usd": F.col("entry_cost") + pick("exit_cost", "_cost"),
+        }
+    ).withColumn("gross_pnl_usd", side * (F.col("exit_package_value_usd") - F.col("entry_value")))
+    net = lambda times: F.col("gross_pnl_usd") - F.lit(float(times)) * F.col("cost_usd")
+    return closed.select(
+        "spread_id", "strategy_id", F.when(side > 0, "LONG").otherwise("SHORT").alias("direction"),
+        "entry_time", "entry_signal_time", "exit_time", "exit_signal_time", "entry_session", "exit_session",
+        "entry_spread", "exit_spread", F.col("entry_value").alias("entry_package_value_usd"), "exit_package_value_usd",
+        "gross_pnl_usd", F.col("entry_cost").alias("entry_cost_usd"), "cost_usd", net(1).alias("net_pnl_usd"), net(2).alias("pnl_2x_cost_usd"), net(3).alias("pnl_3x_cost_usd"),
+        "holding_bars", "mae_usd", "mfe_usd", "exit_reason", F.concat("strategy_id", F.lit("; PASS")).alias("entry_reason"),
+        "roll_id", "earliest_risk_date", "forced_exit_session", "entry_relative_volume", "entry_max_leg_bid_ask_ticks",
+        "entry_package_capacity",
+    )
 
 
 def finish_trades(trades: DataFrame, structures: DataFrame, days: DataFrame) -> DataFrame:
@@ -277,3 +208,42 @@ def equity_curve(trades: DataFrame, base: DataFrame | None = None) -> DataFrame:
     )
 
 
+def marked_equity(inputs: DataFrame, trades: DataFrame) -> DataFrame:
+    """Position, realised result and equity marked at the close, per bar with values and strategy.
+
+    Trades become two events each, an entry before the bar it fills on and an exit before or,
+    for a value taken at a close, after its bar.  Bars and events are one ordered stream of
+    running totals per structure and strategy, so no trade is compared with a bar it does not
+    touch and no row is made but the bars themselves.
+    """
+    side = F.when(F.col("direction") == "LONG", 1.0).otherwise(-1.0)
+    at_close = F.col("exit_reason").isin("END_OF_SAMPLE", "ROLL_SAFETY_PREVIOUS_CLOSE")
+    kept = trades.withColumn("_side", side)
+    zero = F.lit(0.0)
+
+    def events(time: str, session: str, turn: Column, sign: float, realised: Column) -> DataFrame:
+        return kept.select(
+            "spread_id", "strategy_id", F.col(time).alias("timestamp_utc"), F.col(session).alias("session_date"),
+            turn.cast("int").alias("_turn"), (sign * F.col("_side")).alias("_position"),
+            (sign * F.col("_side") * F.col("entry_package_value_usd")).alias("_basis"),
+            (sign * F.col("entry_cost_usd")).alias("_paid"), realised.alias("_realised"), F.lit(None).cast("double").alias("close_value"),
+        )
+
+    strategies = F.array(*[F.lit(s.strategy_id) for s in STRATEGIES])
+    bars = inputs.filter(F.col("open_value").isNotNull() & F.col("close_value").isNotNull()).select(
+        "spread_id", F.explode(strategies).alias("strategy_id"), "timestamp_utc", "session_date", F.lit(2).alias("_turn"),
+        zero.alias("_position"), zero.alias("_basis"), zero.alias("_paid"), zero.alias("_realised"), "close_value",
+    )
+    leaves = F.when(at_close, F.lit(3)).otherwise(F.lit(0))
+    stream = bars.unionByName(events("entry_time", "entry_session", F.lit(1), 1.0, zero)).unionByName(
+        events("exit_time", "exit_session", leaves, -1.0, F.col("net_pnl_usd"))
+    )
+    told = running_total(
+        stream, ["spread_id", "strategy_id"], ["timestamp_utc", "_turn"], F.date_trunc("month", F.col("session_date")),
+        {"position": F.col("_position"), "basis": F.col("_basis"), "paid": F.col("_paid"), "realized_net_pnl_usd": F.col("_realised")},
+    ).filter("_turn = 2")
+    open_result = F.col("position") * F.col("close_value") - F.col("basis") - F.col("paid")
+    return told.select(
+        "spread_id", "strategy_id", "timestamp_utc", "session_date", F.col("position").cast("int").alias("position"),
+        "realized_net_pnl_usd", (F.col("realized_net_pnl_usd") + open_result).alias("equity_usd"),
+    )

@@ -129,7 +129,7 @@ def learn(features: DataFrame, settings: Settings) -> DataFrame:
 def backtest(voted: DataFrame, structures: DataFrame, settings: Settings) -> DataFrame:
     """Trades of all enabled structures with their walk-forward phase."""
     enabled = voted.join(structures.filter("model_enabled").select("spread_id"), "spread_id", "left_semi")
-    inputs = L.ledger_inputs(enabled, settings.gate)
+    inputs = write_stage(L.ledger_inputs(enabled, settings.gate), "ledger-inputs")
     trades = write_stage(L.run_ledger(inputs), "ledger")
     return L.finish_trades(trades, structures, W.phase_days(enabled, settings.folds))
 

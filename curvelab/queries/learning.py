@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from curvelab.config import STRATEGIES
 from curvelab.edge import settle, settle_sql
 from curvelab.operators import experts as X
 from curvelab.operators import indicators as I
@@ -109,12 +110,12 @@ WITH {ctes.HBARS},
 {B._REGIME_BODY}, {B._BOLL_BODY}, {B._MACD_BODY}, {B._RSI_BODY}, {B._SAME_SLOT},
 {B.scan(B.ewm_sql(24), 'cap', 'hp', 'vf')}, {B.scan(B.ewm_sql(72), 'cap', 'hp', 'vs')},
 ad AS (SELECT spread_id, t, abs(d) AS ad FROM hp), {B.scan(B.ewm_sql(72), 'ad', 'ad', 'ew')},
-bq AS (SELECT spread_id, t, width, {B.roll('quantile_cont($, 0.2)', 'width', 240, 120, B._prior(240))} AS p20 FROM b3),
+bq AS (SELECT spread_id, t, width, mid, {B.roll('quantile_cont($, 0.2)', 'width', 240, 120, B._prior(240))} AS p20 FROM b3),
 dc AS (SELECT spread_id, t, {B.roll('max($)', 'x', 72, 72, B._prior(72))} AS dhi, {B.roll('min($)', 'x', 72, 72, B._prior(72))} AS dlo,
   sum(vw * cap) OVER (PARTITION BY spread_id, session_date ORDER BY t) / nullif(sum(cap) OVER (PARTITION BY spread_id, session_date ORDER BY t), 0) AS svwap,
   CASE WHEN count(*) OVER {B._w(24)} >= 24 THEN sum(coalesce(sign(d) * bbl, 0)) OVER {B._w(24)} / nullif(sum(bbl) OVER {B._w(24)}, 0) END AS flow FROM hp),
 f AS (SELECT hp.spread_id, hp.t, hp.session_date, hp.slot, hp.x, hp.cap, z4.robust_z AS z, rsi.rsi, rg.er, rg.mrs, rg.vr5, rg.alarm, dhi, dlo, svwap, flow,
-  macd_histogram AS hist, ss.relvol, width, p20, CASE WHEN vs_i >= 72 THEN (vf - vs) / nullif(vs, 0) END AS pvo, CASE WHEN ew_i >= 24 THEN ew END AS ew,
+  macd_histogram AS hist, ema_slow, mid, ss.relvol, ss.tod, ss.surprise, width, p20, CASE WHEN vs_i >= 72 THEN (vf - vs) / nullif(vs, 0) END AS pvo, CASE WHEN ew_i >= 24 THEN ew END AS ew,
   ss.relvol / (abs(vv.nc) + 0.25) AS effort
   FROM hp JOIN z4 USING (spread_id, t) JOIN rg USING (spread_id, t) JOIN vv USING (spread_id, t) JOIN rsi USING (spread_id, t) JOIN macd USING (spread_id, t)
   JOIN ss USING (spread_id, t) JOIN bq USING (spread_id, t) JOIN dc USING (spread_id, t) JOIN vf_r USING (spread_id, t) JOIN vs_r USING (spread_id, t) LEFT JOIN ew_r USING (spread_id, t)),
@@ -221,7 +222,27 @@ def adaptive_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
-@query("frozen_model_scoring")
+_HOUR_SCORE = f"""SELECT vc.*, {_GROUP} AS g, w, seen, frozen, {_SCORE} AS score, {_ABOVE} AS pos, {_BELOW} AS neg,
+  greatest(0, least(0.95, 0.5 + 0.45 * least(1, abs({_SCORE})) * least(1, seen / 120.0))) AS trust"""
+_HOUR_VOTED = f"""{_LEARNED}, hv0 AS ({_HOUR_SCORE} FROM vc JOIN wt ON wt.g = {_GROUP} AND wt.d = session_date),
+hv AS (SELECT *, CASE WHEN longs >= 2 AND shorts = 0 THEN 1 WHEN shorts >= 2 AND longs = 0 THEN -1 ELSE 0 END AS regime_vote,
+  CASE WHEN seen < 5 OR coalesce(alarm, false) THEN 0 WHEN score >= 0.2 AND longs >= 2 AND neg <= 0.15 THEN 1 WHEN score <= -0.2 AND shorts >= 2 AND pos <= 0.15 THEN -1 ELSE 0 END AS adaptive_vote,
+  CASE WHEN seen < 120 THEN least(trust, 0.55) ELSE trust END AS confidence FROM hv0)"""
+
+
+@query(
+    "frozen_model_scoring",
+    settle_sql(
+        f"""{_LEARNED}, dv AS (SELECT spread_id, t, d FROM f JOIN (SELECT DISTINCT d, i, n FROM nr) nr ON d = session_date WHERE i < n - 5),
+        fz AS (SELECT {_GROUP} AS g, max(d) AS d FROM dv GROUP BY 1),
+        fw AS (SELECT wt.g, w, seen, false AS frozen FROM wt JOIN fz USING (g, d)),
+        sc AS ({_HOUR_SCORE} FROM vc JOIN fw ON fw.g = {_GROUP})
+        SELECT spread_id, strftime(t, '%Y-%m-%d %H:%M:%S') AS timestamp_utc, score AS adaptive_score, 'FROZEN_MODEL_SCORE' AS adaptive_status,
+          CASE WHEN seen < 5 OR coalesce(alarm, false) THEN 0 WHEN score >= 0.2 AND longs >= 2 AND neg <= 0.15 THEN 1 WHEN score <= -0.2 AND shorts >= 2 AND pos <= 0.15 THEN -1 ELSE 0 END AS adaptive_vote,
+          CASE WHEN seen < 120 THEN least(trust, 0.55) ELSE trust END AS adaptive_confidence FROM sc""",
+        "spread_id, timestamp_utc, adaptive_vote, adaptive_status", "adaptive_score, adaptive_confidence",
+    ),
+)
 def frozen_model_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights frozen at the end of development, applied without learning."""
     voted = hour_voted(spark, sf_dir)
@@ -230,7 +251,19 @@ def frozen_model_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle(scored.select("spread_id", "timestamp_utc", "adaptive_score", "adaptive_vote", "adaptive_confidence", "adaptive_status"))
 
 
-@query("weight_history")
+@query(
+    "weight_history",
+    settle_sql(
+        f"""{_HOUR_VOTED} SELECT strftime(session_date, '%Y-%m-%d') AS session_date, spread_id, g AS learner_group, score AS adaptive_score, adaptive_vote, confidence AS adaptive_confidence,
+          seen AS adaptive_observations, [{', '.join(f"'{e}'" for e in _SHORT)}][list_position(w, list_max(w))] AS adaptive_top_expert, list_max(w) AS adaptive_top_weight,
+          pos AS adaptive_positive_weight, neg AS adaptive_negative_weight, CASE WHEN frozen THEN 'LOCKBOX_FROZEN' WHEN seen >= 5 THEN 'ACTIVE' ELSE 'WARMUP' END AS adaptive_status,
+          {', '.join(f"w[{i}] AS adaptive_weight_{n[12:]}" for i, n in enumerate(_V, start=1))}
+          FROM hv QUALIFY row_number() OVER (PARTITION BY spread_id, session_date ORDER BY t DESC) = 1""",
+        "session_date, spread_id, learner_group, adaptive_vote, adaptive_observations, adaptive_top_expert, adaptive_status",
+        "adaptive_score, adaptive_confidence, adaptive_top_weight, adaptive_positive_weight, adaptive_negative_weight, "
+        + ", ".join(f"adaptive_weight_{n[12:]}" for n in _V),
+    ),
+)
 def weight_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last weights per structure and session."""
     return settle(X.weight_history(hour_voted(spark, sf_dir)))
@@ -287,18 +320,119 @@ def liquidity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle(df.select("spread_id", "timestamp_utc", L.liquidity_reason(limits).alias("liquidity_gate")))
 
 
+def _rolling(voted: DataFrame) -> DataFrame:
+    """FRONT series change contracts every seven days and must be flat the day before; the others never do."""
+    front = F.col("tenor_bucket") == "FRONT"
+    week = F.floor((F.dayofmonth("session_date") - 1) / 7)
+    first = F.min("timestamp_utc").over(Window.partitionBy("spread_id", "roll_id"))
+    rolled = voted.withColumns(
+        {
+            "roll_id": F.when(front, F.concat(F.lit("W"), week.cast("string"))).otherwise(F.col("roll_id")),
+            "forced_exit_session": F.when(front, F.date_add(F.trunc("session_date", "month"), (week * 7 + 5).cast("int"))).otherwise(F.col("forced_exit_session")),
+        }
+    )
+    return rolled.withColumn("roll_event", front & (week > 0) & (first == F.col("timestamp_utc")))
+
+
+def hour_inputs(spark: SparkSession, sf_dir: str, gates: bool = False) -> DataFrame:
+    return stage(
+        spark, f"hour-ledger-{gates}", sf_dir,
+        lambda: L.ledger_inputs(_rolling(hour_voted(spark, sf_dir)), HOURLY.gate, HOURLY.risk if gates else None),
+    )
+
+
 def hour_trades(spark: SparkSession, sf_dir: str, gates: bool = False) -> DataFrame:
     def build() -> DataFrame:
-        voted = hour_voted(spark, sf_dir)
-        trades = L.run_ledger(L.ledger_inputs(voted, HOURLY.gate, HOURLY.risk if gates else None, base=voted))
-        return W.tag_trades(trades, W.phase_days(voted, HOURLY.folds))
+        trades = L.run_ledger(hour_inputs(spark, sf_dir, gates))
+        return W.tag_trades(trades, W.phase_days(hour_voted(spark, sf_dir), HOURLY.folds))
 
     return stage(spark, f"hour-trades-{gates}", sf_dir, build)
 
 
-@query("position_ledger")
+# Exit reasons of the strategies in order, for a long (s = 1) or short (s = -1) position.
+_EXITS = (
+    "CASE WHEN abs(z) <= 0.2 THEN 2 WHEN s * z <= -3.25 THEN 3 ELSE 0 END",
+    "CASE WHEN x IS NOT NULL AND ema_slow IS NOT NULL AND hist IS NOT NULL AND (s * (x - ema_slow) < 0 OR s * hist < 0) THEN 4 ELSE 0 END",
+    "CASE WHEN s * (x - mid) < 0 THEN 5 ELSE 0 END",
+    "CASE WHEN s * (x - svwap) >= 0 THEN 6 WHEN slot >= 23 THEN 7 ELSE 0 END",
+    "CASE WHEN s * z > 0.35 THEN 10 ELSE 0 END",
+    "CASE WHEN coalesce(alarm, false) THEN 11 WHEN abs(z) <= 0.25 THEN 2 ELSE 0 END",
+    "CASE WHEN coalesce(alarm, false) THEN 11 WHEN abs(z) <= 0.25 THEN 2 WHEN s * flow <= 0 THEN 12 ELSE 0 END",
+    "CASE WHEN coalesce(alarm, false) THEN 11 WHEN regime_vote = 0 OR regime_vote = -s THEN 13 ELSE 0 END",
+    "CASE WHEN coalesce(alarm, false) THEN 11 WHEN adaptive_vote = 0 OR adaptive_vote = -s THEN 13 ELSE 0 END",
+)
+
+
+def _both_sides(side: int) -> str:
+    return ", ".join(e.replace("-s ", f"{-side} ").replace("s * ", f"{side} * ") for e in _EXITS)
+
+
+def _at_bar(name: str, rows: str, place: str, columns: str, how: str = "") -> str:
+    """Columns of the bar whose place in its segment a column names."""
+    return f"{name} AS MATERIALIZED (SELECT d.*, {columns} FROM {rows} d {how}JOIN lw b ON b.spread_id = d.spread_id AND b.seg = d.seg AND b.i = d.{place})"
+
+
+def ledger_sql(gates: bool = False) -> str:
+    """The position walk bar by bar as a recursion, every strategy and roll segment on its own."""
+    risk = "abs(tod) >= 4 OR surprise <= -2.5 OR " if gates else ""
+    risk_null = f"coalesce({risk[:-4]}, false) OR " if gates else ""
+    return f"""{_HOUR_VOTED},
+lw0 AS (SELECT hv.*, ov, cv, slot + 1.0 AS cost, slot <> 5 AS allowed, CASE WHEN cap > 2 THEN cap - 2 END AS ticks,
+  NOT ({risk_null}relvol IS NULL OR relvol < 0.35 OR cap < 1 OR coalesce(cap - 2 > 8 AND cap > 2, false)) AS pass,
+  CASE WHEN hv.spread_id < 'f' THEN (day(session_date) - 1) // 7 ELSE 0 END AS week,
+  slot = 23 OR row_number() OVER (PARTITION BY hv.spread_id, session_date ORDER BY t DESC) = 1 AS session_end FROM hv JOIN pv USING (spread_id, t)),
+lw AS MATERIALIZED (SELECT spread_id, t, session_date, ov, cv, x, cost, allowed, pass, relvol, cap, ticks, CASE WHEN spread_id < 'f' THEN 'W' || week ELSE 'CONTINUOUS' END AS roll_id,
+  CASE WHEN spread_id < 'f' THEN CAST(date_trunc('month', session_date) AS DATE) + (week * 7 + 5)::INT ELSE DATE '2024-02-15' END AS forced_day,
+  dense_rank() OVER (PARTITION BY spread_id ORDER BY week) - 1 AS seg, max(week) OVER (PARTITION BY spread_id) = week AS last_seg,
+  [{', '.join(_V)}, regime_vote, adaptive_vote] AS v, [{_both_sides(1)}] AS cl, [{_both_sides(-1)}] AS cs, session_end,
+  row_number() OVER (PARTITION BY spread_id, week ORDER BY t) AS i, count(*) OVER (PARTITION BY spread_id, week) AS n FROM lw0),
+walk AS (SELECT DISTINCT spread_id, seg, k, 0::BIGINT AS i, 0 AS pos, 0::BIGINT AS e, 0::DOUBLE AS eo, 0 AS held, 0::DOUBLE AS up, 0::DOUBLE AS dn, 0 AS pend, 0::BIGINT AS sig, 0 AS leave, 0::BIGINT AS dec, 0::BIGINT AS esig,
+   0 AS xr, 0 AS xpos, 0::BIGINT AS xe, 0::BIGINT AS xsig, 0 AS xheld, 0::DOUBLE AS xup, 0::DOUBLE AS xdn, 0::BIGINT AS xdec FROM lw, range(1, 10) ks(k)
+  UNION ALL
+  SELECT spread_id, seg, k, i, pos, e, eo, held, greatest(up, g), least(dn, g), CASE WHEN pos = 0 AND vote <> 0 AND allowed AND pass AND i < n THEN vote ELSE 0 END,
+   CASE WHEN pos = 0 AND vote <> 0 AND allowed AND pass AND i < n THEN i ELSE 0 END, CASE WHEN pos = 0 THEN 0 WHEN held >= [{', '.join(str(x.maximum_holding_bars) for x in STRATEGIES)}][k] THEN 1 WHEN pos > 0 THEN cl[k] ELSE cs[k] END, i, esig,
+   xr, xpos, xe, xsig, xheld, xup, xdn, xdec FROM (
+   SELECT *, CASE WHEN pos <> 0 THEN pos * (cv - eo) ELSE 0 END AS g FROM (
+    SELECT spread_id, seg, k, i, n, cv, vote, allowed, pass, cl, cs, xr, pos0 AS xpos, e0 AS xe, esig0 AS xsig, held0 AS xheld, up0 AS xup, dn0 AS xdn, dec0 AS xdec,
+      CASE WHEN enter THEN pend0 WHEN pos0 = 0 OR xr <> 0 THEN 0 ELSE pos0 END AS pos, CASE WHEN enter THEN i ELSE e0 END AS e, CASE WHEN enter THEN ov ELSE eo0 END AS eo,
+      CASE WHEN enter THEN 1 ELSE held0 + 1 END AS held, CASE WHEN enter THEN 0 ELSE up0 END AS up, CASE WHEN enter THEN 0 ELSE dn0 END AS dn, CASE WHEN enter THEN sig0 ELSE esig0 END AS esig FROM (
+     SELECT *, (pos0 = 0 OR xr <> 0) AND xr <> 14 AND pend0 <> 0 AND allowed AS enter FROM (
+      SELECT b.spread_id, b.seg, r.k, b.i, b.n, b.ov, b.cv, b.v[r.k] AS vote, b.allowed, b.pass, b.cl, b.cs, r.pos AS pos0, r.e AS e0, r.eo AS eo0, r.held AS held0, r.up AS up0, r.dn AS dn0, r.pend AS pend0, r.sig AS sig0,
+        r.dec AS dec0, r.esig AS esig0, CASE WHEN r.pos = 0 THEN 0 WHEN b.session_date = b.forced_day AND b.session_end THEN 14 ELSE r.leave END AS xr
+      FROM walk r JOIN lw b ON b.spread_id = r.spread_id AND b.seg = r.seg AND b.i = r.i + 1))))),
+ended AS MATERIALIZED (SELECT spread_id, seg, k, i AS xi, xr, xpos AS pos, xe AS e, xsig AS sg, xheld AS held, xup AS up, xdn AS dn, CASE WHEN xr <> 14 THEN xdec END AS dec, false AS at_close FROM walk WHERE xr <> 0
+  UNION ALL SELECT w.spread_id, w.seg, k, w.i, 0, pos, e, esig, held, up, dn, NULL, true FROM walk w JOIN lw b ON b.spread_id = w.spread_id AND b.seg = w.seg AND b.i = w.i WHERE w.i = b.n AND pos <> 0),
+{_at_bar('t1', 'ended', 'e', 'b.t AS et, b.session_date AS esd, b.ov / 100 AS es, b.ov AS evv, b.cost AS ec, b.roll_id, b.forced_day')},
+{_at_bar('t2', 't1', 'sg', 'b.t AS st, b.relvol, b.ticks, b.cap')},
+{_at_bar('t3', 't2', 'xi', "b.t AS xt, b.session_date AS xsd, b.cost AS xc, CASE WHEN at_close THEN b.cv ELSE b.ov END AS xv, CASE WHEN at_close THEN b.x ELSE b.ov / 100 END AS xs, b.last_seg")},
+{_at_bar('t4', 't3', 'dec', 'b.t AS dt', 'LEFT ')},
+tr0 AS (SELECT *, {[s.strategy_id for s in STRATEGIES]}[k] AS strategy_id,
+   CASE WHEN at_close THEN CASE WHEN last_seg THEN 'END_OF_SAMPLE' ELSE 'ROLL_SAFETY_PREVIOUS_CLOSE' END ELSE {list(L.EXIT_REASONS[1:])}[xr] END AS reason FROM t4),
+hn AS MATERIALIZED (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT session_date AS d FROM lw)),
+hf AS MATERIALIZED (SELECT fold, (SELECT d FROM hn WHERE i = 13 + (fold - 1) * 3 + 1) AS a, (SELECT d FROM hn WHERE i = 13 + (fold - 1) * 3 + 2) AS b FROM (SELECT unnest(range(1, ((max(n) - 5 - 13) // 3 + 1)::BIGINT)) AS fold FROM hn)),
+hl AS (SELECT (SELECT d FROM hn WHERE hn.i = hn.n - 5) AS la, (SELECT max(d) FROM hn) AS lb),
+tr1 AS (SELECT tr0.*, pos * (xv - evv) AS gross, ec + xc AS paid, CASE WHEN esd BETWEEN la AND lb THEN 'LOCKBOX' WHEN fi.fold IS NOT NULL THEN 'OOS' ELSE 'DEVELOPMENT' END AS pin, fi.fold AS fin,
+   CASE WHEN xsd BETWEEN la AND lb THEN 'LOCKBOX' WHEN fo.fold IS NOT NULL THEN 'OOS' ELSE 'DEVELOPMENT' END AS pout, fo.fold AS fout
+  FROM tr0 CROSS JOIN hl LEFT JOIN hf fi ON esd BETWEEN fi.a AND fi.b LEFT JOIN hf fo ON xsd BETWEEN fo.a AND fo.b),
+tr AS (SELECT *, gross - paid AS net, CASE WHEN pin IN ('OOS', 'LOCKBOX') AND (pin <> pout OR (pin = 'OOS' AND fin <> fout)) THEN 'PURGED' ELSE pin END AS phase FROM tr1)
+"""
+
+
+@query(
+    "position_ledger",
+    settle_sql(
+        f"""{ledger_sql()} SELECT spread_id, strategy_id, CASE WHEN pos > 0 THEN 'LONG' ELSE 'SHORT' END AS direction, strftime(et, '%Y-%m-%d %H:%M:%S') AS entry_time, strftime(st, '%Y-%m-%d %H:%M:%S') AS entry_signal_time,
+          strftime(xt, '%Y-%m-%d %H:%M:%S') AS exit_time, strftime(dt, '%Y-%m-%d %H:%M:%S') AS exit_signal_time, strftime(esd, '%Y-%m-%d') AS entry_session, strftime(xsd, '%Y-%m-%d') AS exit_session,
+          es AS entry_spread, xs AS exit_spread, evv AS entry_package_value_usd, xv AS exit_package_value_usd, gross AS gross_pnl_usd, ec AS entry_cost_usd, paid AS cost_usd, net AS net_pnl_usd,
+          gross - 2 * paid AS pnl_2x_cost_usd, gross - 3 * paid AS pnl_3x_cost_usd, held AS holding_bars, dn AS mae_usd, up AS mfe_usd, reason AS exit_reason, strategy_id || '; PASS' AS entry_reason, roll_id,
+          strftime(esd + 9, '%Y-%m-%d') AS earliest_risk_date, strftime(forced_day, '%Y-%m-%d') AS forced_exit_session, relvol AS entry_relative_volume, ticks AS entry_max_leg_bid_ask_ticks, cap AS entry_package_capacity,
+          phase, CASE WHEN phase = 'OOS' THEN fin END AS fold FROM tr""",
+        "spread_id, strategy_id, direction, entry_time, entry_signal_time, exit_time, exit_signal_time, entry_session, exit_session, holding_bars, exit_reason, entry_reason, roll_id, earliest_risk_date, forced_exit_session, phase, fold",
+        "entry_spread, exit_spread, entry_package_value_usd, exit_package_value_usd, gross_pnl_usd, entry_cost_usd, cost_usd, net_pnl_usd, pnl_2x_cost_usd, pnl_3x_cost_usd, mae_usd, mfe_usd, entry_relative_volume, entry_max_leg_bid_ask_ticks, entry_package_capacity",
+    ),
+)
 def position_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Next-bar trades of nine strategies on hourly bars (K6); tested against a bar loop."""
+    """Next-bar trades of nine strategies on hourly bars, with rolls and forced exits (K6, P10)."""
     return settle(hour_trades(spark, sf_dir))
 
 
@@ -308,9 +442,32 @@ def package_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle(views.market(spark, sf_dir).trades)
 
 
-@query("equity_curve")
+@query(
+    "equity_curve",
+    settle_sql(
+        f"""{ledger_sql()} SELECT spread_id, strategy_id, strftime(xt, '%Y-%m-%d %H:%M:%S') AS exit_time, strftime(xsd, '%Y-%m-%d') AS exit_session, sum(net) AS realized_increment_usd,
+          sum(sum(net)) OVER (PARTITION BY spread_id, strategy_id ORDER BY xt) AS equity_usd FROM tr GROUP BY spread_id, strategy_id, xt, xsd""",
+        "spread_id, strategy_id, exit_time, exit_session", "realized_increment_usd, equity_usd",
+    ),
+)
 def equity_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Realised equity per structure and strategy (A4)."""
     return settle(L.equity_curve(hour_trades(spark, sf_dir)))
 
 
+@query(
+    "marked_equity",
+    settle_sql(
+        f"""{ledger_sql()}, gone AS MATERIALIZED (SELECT *, CASE WHEN at_close THEN xt + INTERVAL 1 SECOND ELSE xt END AS left_at FROM tr),
+        op AS MATERIALIZED (SELECT b.spread_id, s.strategy_id, b.t, b.session_date, b.cv FROM lw b CROSS JOIN (SELECT unnest({[s.strategy_id for s in STRATEGIES]}) AS strategy_id) s)
+        SELECT op.spread_id, op.strategy_id, strftime(op.t, '%Y-%m-%d %H:%M:%S') AS timestamp_utc, strftime(op.session_date, '%Y-%m-%d') AS session_date, coalesce(o.pos, 0) AS position,
+          coalesce(r.total, 0) AS realized_net_pnl_usd, coalesce(r.total, 0) + coalesce(o.pos * (op.cv - o.evv) - o.ec, 0) AS equity_usd
+        FROM op LEFT JOIN gone o ON o.spread_id = op.spread_id AND o.strategy_id = op.strategy_id AND o.et <= op.t AND o.left_at > op.t
+        ASOF LEFT JOIN (SELECT spread_id, strategy_id, left_at, sum(sum(net)) OVER (PARTITION BY spread_id, strategy_id ORDER BY left_at) AS total FROM gone GROUP BY spread_id, strategy_id, left_at) r
+          ON r.spread_id = op.spread_id AND r.strategy_id = op.strategy_id AND r.left_at <= op.t""",
+        "spread_id, strategy_id, timestamp_utc, session_date, position", "realized_net_pnl_usd, equity_usd",
+    ),
+)
+def marked_equity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Position, realised result and equity marked at every bar's close (A4, per bar)."""
+    return settle(L.marked_equity(hour_inputs(spark, sf_dir), hour_trades(spark, sf_dir)))

@@ -130,40 +130,84 @@ def _ledger_loop(bars, k, limit):
     return trades
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_ledger_walk_equals_the_bar_loop(seed, tail=0):
+def _ledger_bars(seed, n, name, tail=0):
+    """Random bars of one structure with rolls, forced exits and bars without values."""
     rng = np.random.default_rng(seed)
-    n = 400
     price = 100 + rng.normal(size=n).cumsum()
-    day = pd.date_range("2024-01-01", periods=n // 8, freq="D").repeat(8)
+    when = pd.date_range("2024-01-01", periods=n, freq="3h")
     bars = pd.DataFrame({
-        "spread_id": "s", "segment": 0, "last_segment": True, "timestamp_utc": pd.date_range("2024-01-01", periods=n, freq="3h"),
-        "session_date": day.date, "roll_id": "r", "open_value": np.where(rng.random(n) < 0.04, np.nan, price + rng.normal(size=n)), "close_value": price,
+        "spread_id": name, "segment": np.cumsum(rng.random(n) < 0.004), "timestamp_utc": when, "session_date": when.date, "roll_id": "r",
+        "open_value": np.where(rng.random(n) < 0.04, np.nan, price + rng.normal(size=n)), "close_value": price,
         "spread_open": price, "spread_close": price, "cost": 1.0, "entry_allowed": rng.random(n) < 0.9,
         "liquidity_reason": np.where(rng.random(n) < 0.8, "PASS", "WIDE_MARKET"), "forced_last": rng.random(n) < 0.02,
-        "relative_volume": 1.0, "package_volume_capacity": 5.0, "max_leg_bid_ask_ticks": 1.0, "earliest_risk_date": day.date, "forced_exit_session": day.date,
+        "relative_volume": 1.0, "package_volume_capacity": 5.0, "max_leg_bid_ask_ticks": 1.0, "earliest_risk_date": when.date, "forced_exit_session": when.date,
     })
     for k in range(len(STRATEGIES)):
-        bars[f"_v{k}"] = rng.choice([-1, 0, 0, 0, 1], n)
-        bars[f"_l{k}"] = np.where(rng.random(n) < 0.05, 2, 0)
-        bars[f"_s{k}"] = np.where(rng.random(n) < 0.05, 3, 0)
+        bars[f"_v{k}"] = rng.choice([-1, 0, 0, 0, 1], n).astype("int8")
+        bars[f"_l{k}"] = np.where(rng.random(n) < 0.05, 2, 0).astype("int8")
+        bars[f"_s{k}"] = np.where(rng.random(n) < 0.05, 3, 0).astype("int8")
     if tail:
         bars.loc[bars.index[-tail:], "close_value"] = np.nan
-    got = L._segment_trades(bars)
-    for k, s in enumerate(STRATEGIES):
-        mine = got[got["strategy_id"] == s.strategy_id]
-        want = _ledger_loop(bars, k, s.maximum_holding_bars)
-        assert len(mine) == len(want)
-        for row, (e, x, side, value, reason, held) in zip(mine.itertuples(), want):
-            assert row.entry_time == bars["timestamp_utc"][e] and row.exit_time == bars["timestamp_utc"][x]
-            assert row.exit_reason == reason and row.holding_bars == held
-            assert row.gross_pnl_usd == pytest.approx(side * (value - bars["open_value"][e]))
-
-
-@pytest.mark.parametrize("seed", range(3))
-def test_open_position_closes_at_the_last_value(seed):
-    """Bars without a close at the end of a segment lose no position."""
-    test_ledger_walk_equals_the_bar_loop(seed, tail=7)
+    bars["last_segment"] = bars["segment"] == bars["segment"].max()
+    bars["bar"] = np.arange(1, n + 1)
+    bars["live"] = (np.isfinite(bars["open_value"]) & np.isfinite(bars["close_value"])).cumsum()
+    return bars
+
+
+def _ledger_frame(spark, tables):
+    """The table as the library's inputs have it: missing values are null."""
+    bars = spark.createDataFrame(pd.concat(tables))
+    values = {c: F.when(~F.isnan(c), F.col(c)) for c in ("open_value", "close_value")}
+    return bars.withColumns({**values, "timestamp_utc": F.col("timestamp_utc").cast("timestamp_ntz")})
+
+
+# One structure holds a third of all rows; blocks shorter than a holding time, several levels.
+@pytest.mark.parametrize("block, fan", [(40, 2), (64, 3), (4096, 1024)])
+def test_ledger_walk_equals_the_bar_loop(spark, block, fan):
+    tables = [_ledger_bars(0, 1200, "hot"), *[_ledger_bars(i, 400, f"s{i}", tail=7 * (i % 2)) for i in range(1, 6)]]
+    got = L.run_ledger(_ledger_frame(spark, tables), block, fan).toPandas()
+    for bars in tables:
+        for k, s in enumerate(STRATEGIES):
+            mine = got[(got["strategy_id"] == s.strategy_id) & (got["spread_id"] == bars["spread_id"][0])].sort_values("entry_time")
+            want = []
+            for _, segment in bars.groupby("segment"):
+                segment = segment.reset_index(drop=True)
+                for e, x, side, value, reason, held in _ledger_loop(segment, k, s.maximum_holding_bars):
+                    if reason == "END_OF_SAMPLE" and not segment["last_segment"][0]:
+                        reason = "ROLL_SAFETY_PREVIOUS_CLOSE"
+                    times = segment["timestamp_utc"]
+                    want.append((times[e], times[x], reason, held, round(side * (value - segment["open_value"][e]), 9)))
+            rows = zip(mine["entry_time"], mine["exit_time"], mine["exit_reason"], mine["holding_bars"], mine["gross_pnl_usd"].round(9))
+            assert list(rows) == want
+
+
+def test_ledger_without_bars(spark):
+    bars = _ledger_frame(spark, [_ledger_bars(1, 50, "s")])
+    assert L.run_ledger(bars.limit(0)).count() == 0
+    assert L.run_ledger(bars.withColumn("open_value", F.lit(None).cast("double"))).count() == 0
+
+
+def test_marked_equity_equals_the_loop(spark):
+    tables = [_ledger_bars(i, 300, f"s{i}", tail=5 * i) for i in range(2)]
+    inputs = _ledger_frame(spark, tables)
+    trades = L.run_ledger(inputs, 64, 3)
+    got = {(r["spread_id"], r["strategy_id"], r["timestamp_utc"]): r for r in L.marked_equity(inputs, trades).collect()}
+    made = trades.toPandas()
+    for bars in tables:
+        live = bars[np.isfinite(bars["open_value"]) & np.isfinite(bars["close_value"])]
+        for s in STRATEGIES:
+            mine = made[(made["strategy_id"] == s.strategy_id) & (made["spread_id"] == bars["spread_id"][0])]
+            late = mine["exit_reason"].isin(["END_OF_SAMPLE", "ROLL_SAFETY_PREVIOUS_CLOSE"])
+            for t, close in zip(live["timestamp_utc"], live["close_value"]):
+                gone = np.where(late, mine["exit_time"] < t, mine["exit_time"] <= t)
+                held = mine[(mine["entry_time"] <= t) & ~gone]
+                side = 1 if len(held) and held["direction"].iat[0] == "LONG" else -1
+                r = got[bars["spread_id"][0], s.strategy_id, t]
+                assert len(held) <= 1 and r["position"] == (side if len(held) else 0)
+                mark = side * (close - held["entry_package_value_usd"].iat[0]) - held["entry_cost_usd"].iat[0] if len(held) else 0
+                assert r["realized_net_pnl_usd"] == pytest.approx(mine["net_pnl_usd"][gone].sum())
+                assert r["equity_usd"] == pytest.approx(mine["net_pnl_usd"][gone].sum() + mark)
+    assert len(got) == len(STRATEGIES) * sum((np.isfinite(b["open_value"]) & np.isfinite(b["close_value"])).sum() for b in tables)
 
 
 def test_capped_weights_sum_to_one(spark):
