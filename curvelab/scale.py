@@ -212,12 +212,20 @@ def salted_join(
     The rows of a hot key spread over ``salts`` tasks; the unique side is repeated
     ``salts`` times, which stays small because it holds one row per key.
     """
-    keys = _cols(keys)
-    spread = big.withColumn(
-        "_salt", F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(salts)).cast("int")
+    names = _cols(keys)
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(salts)).cast("int")
+    # Key and salt as one value: a side that is placed by the keys alone already, such as the
+    # result of an aggregate, would otherwise bring all rows of a key together again.  Values
+    # that contain nulls are equal to each other, so null keys of the small side are left out.
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in names])
+    spread = big.withColumn("_salted", F.struct(*names, salt.alias("_salt")))
+    copies = (
+        small.filter(known)
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        .withColumn("_salted", F.struct(*names, "_salt"))
+        .drop("_salt", *names)
     )
-    copies = small.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return spread.join(copies, [*keys, "_salt"], how).drop("_salt")
+    return spread.join(copies, "_salted", how).drop("_salted")
 
 
 def top_rows(df: DataFrame, keys: Sequence[str] | str, order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:

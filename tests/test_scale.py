@@ -1,5 +1,7 @@
 """Blocked windows, prefix sums and smoothers against plain pandas on skewed data."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -108,6 +110,20 @@ def test_salted_join_and_latest(spark):
     big = spark.range(1000).selectExpr("id", "CASE WHEN id % 3 < 2 THEN 'hot' ELSE concat('k', id % 7) END AS k")
     small = big.select("k").distinct().withColumn("v", F.length("k"))
     assert salted_join(big, small, "k").filter("v = length(k)").count() == 1000
+    nulls = big.select("id", F.when(F.col("k") != "hot", F.col("k")).alias("k"))
+    with_null = small.unionByName(spark.createDataFrame([(None, -1)], small.schema))
+    joined = salted_join(nulls, with_null, "k")
+    assert joined.count() == 1000 and joined.filter("k IS NULL AND v IS NULL").count() == big.filter("k = 'hot'").count()
+    assert salted_join(nulls, with_null, "k", "left_semi").count() == nulls.filter("k IS NOT NULL").count()
+    # A side placed by the key must not bring a hot key's rows together.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        counted = salted_join(big, big.groupBy("k").agg(F.count("id").alias("n")), "k")
+        plan = counted._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert counted.filter("k = 'hot'").first()["n"] == big.filter("k = 'hot'").count()
+    assert len(re.findall(r"hashpartitioning\((?:cast\()?_salted", plan)) == 2
     assert {(r["k"], r["id"]) for r in latest_by(big, "k", "id").collect()} == {
         (r["k"], r["m"]) for r in big.groupBy("k").agg(F.max("id").alias("m")).collect()
     }
