@@ -162,26 +162,31 @@ def run_ledger(inputs: DataFrame, block: int = 4096, fan: int = 1024) -> DataFra
     # Only the few positions left open look for the end of their segment.
     met = found.withColumn("at_end", F.col("exit_time").isNull()).join(ends, ["spread_id", "segment", "at_end"], "left")
     pick = lambda own, end: F.when(F.col("at_end"), F.col(end)).otherwise(F.col(own))
-    side = F.col("side").cast("double")
     reasons, names = (F.array(*[F.lit(x) for x in xs]) for xs in (EXIT_REASONS, [s.strategy_id for s in STRATEGIES]))
     closed = met.withColumns(
         {
             "strategy_id": names[F.col("strategy")],
             "exit_time": pick("exit_time", "_time"), "exit_session": pick("exit_session", "_session"),
-            "exit_spread": pick("exit_spread", "_spread"), "exit_package_value_usd": pick("exit_value", "_value"),
+            "exit_spread": pick("exit_spread", "_spread"), "exit_value": pick("exit_value", "_value"), "exit_cost": pick("exit_cost", "_cost"),
             "exit_reason": F.when(F.col("at_end"), F.col("_reason")).otherwise(reasons[F.col("code")]),
-            "cost_usd": F.col("entry_cost") + pick("exit_cost", "_cost"),
         }
-    ).withColumn("gross_pnl_usd", side * (F.col("exit_package_value_usd") - F.col("entry_value")))
+    )
+    return priced(closed)
+
+
+def priced(closed: DataFrame) -> DataFrame:
+    """Results of closed positions, at once, double and triple cost."""
+    side, cost = F.col("side").cast("double"), F.col("entry_cost") + F.col("exit_cost")
+    valued = closed.withColumns({"gross_pnl_usd": side * (F.col("exit_value") - F.col("entry_value")), "cost_usd": cost})
     net = lambda times: F.col("gross_pnl_usd") - F.lit(float(times)) * F.col("cost_usd")
-    return closed.select(
+    return valued.select(
         "spread_id", "strategy_id", F.when(side > 0, "LONG").otherwise("SHORT").alias("direction"),
         "entry_time", "entry_signal_time", "exit_time", "exit_signal_time", "entry_session", "exit_session",
-        "entry_spread", "exit_spread", F.col("entry_value").alias("entry_package_value_usd"), "exit_package_value_usd",
-        "gross_pnl_usd", F.col("entry_cost").alias("entry_cost_usd"), "cost_usd", net(1).alias("net_pnl_usd"), net(2).alias("pnl_2x_cost_usd"), net(3).alias("pnl_3x_cost_usd"),
-        "holding_bars", "mae_usd", "mfe_usd", "exit_reason", F.concat("strategy_id", F.lit("; PASS")).alias("entry_reason"),
-        "roll_id", "earliest_risk_date", "forced_exit_session", "entry_relative_volume", "entry_max_leg_bid_ask_ticks",
-        "entry_package_capacity",
+        "entry_spread", "exit_spread", F.col("entry_value").alias("entry_package_value_usd"), F.col("exit_value").alias("exit_package_value_usd"),
+        "gross_pnl_usd", F.col("entry_cost").alias("entry_cost_usd"), "cost_usd", net(1).alias("net_pnl_usd"),
+        net(2).alias("pnl_2x_cost_usd"), net(3).alias("pnl_3x_cost_usd"), "holding_bars", "mae_usd", "mfe_usd", "exit_reason",
+        F.concat("strategy_id", F.lit("; PASS")).alias("entry_reason"), "roll_id", "earliest_risk_date", "forced_exit_session",
+        "entry_relative_volume", "entry_max_leg_bid_ask_ticks", "entry_package_capacity",
     )
 
 

@@ -1,4 +1,4 @@
-"""Streaming twins of the bar, upsert, freshness, depth and position operators."""
+"""Streaming twins of the bar, freshness and session operators."""
 
 from __future__ import annotations
 
@@ -6,27 +6,105 @@ import posixpath
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from curvelab.session import checkpoint_dir
+from curvelab.streaming.store import BATCH, UpsertStore, last_row
 
 
 def read_parquet_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def tumbling_bars(ticks: DataFrame, key: str, ts: str, price: str, width: str = "15 minutes", lateness: str = "1 hour") -> DataFrame:
-    """OHLCV bars per key; a bar closes once the watermark passes its end."""
-    from curvelab.operators import ingest
+def in_time_order(rows: DataFrame, ts: str, path: str, deliveries: int, files: int = 8) -> list[str]:
+    """Write rows as folders that follow each other in time, as a feed would deliver them.
 
-    return ingest.tumbling_bars(ticks.withWatermark(ts, lateness), key, ts, price, width)
+    Borders are quantiles of the time, so deliveries are about equal whatever the gaps.
+    """
+    micros = rows.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")))
+    shares = [i / deliveries for i in range(1, deliveries)]
+    cuts = sorted(set(micros.approxQuantile("_at", shares, 0.001))) if shares else []
+    bounds = [None, *cuts, None]
+    paths = []
+    for i, (low, high) in enumerate(zip(bounds, bounds[1:])):
+        part = micros
+        part = part if low is None else part.filter(F.col("_at") >= F.lit(low))
+        part = part if high is None else part.filter(F.col("_at") < F.lit(high))
+        paths.append(f"{path}/{i:04d}")
+        part.drop("_at").repartitionByRange(files, ts).sortWithinPartitions(ts).write.parquet(paths[-1])
+    return paths
+
+
+def bar_rows(ticks: DataFrame, key: str, ts: str, price: str, seq: str, width: str) -> DataFrame:
+    """OHLCV per key and time window, with the times of its first and last tick."""
+    w = F.window(ts, width)
+    at = F.struct(ts, seq)
+    return ticks.groupBy(key, w.alias("w")).agg(
+        F.min_by(price, at).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, at).alias("close"),
+        F.count(F.lit(1)).alias("volume"), F.min(at).alias("first"), F.max(at).alias("last"),
+    ).select(
+        key, F.col("w.start").alias("bar_start"), F.col("w.end").alias("bar_end"), "open", "high", "low", "close", "volume", "first", "last",
+        F.col(f"last.{ts}").alias("newest"),
+    )
+
+
+def merged_bars(key: str):
+    """Bars of the same window, each made from some of its ticks, as one."""
+
+    def combine(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(key, "bar_start", "bar_end").agg(
+            F.min_by("open", "first").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "last").alias("close"),
+            F.sum("volume").alias("volume"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("newest").alias("newest"),
+            F.sum("late_rows").alias("late_rows"), F.max(BATCH).alias(BATCH),
+        )
+
+    return combine
+
+
+class LateBars:
+    """Bars from ticks in any order, with those counted that came after their bar had closed.
+
+    A bar closes when ``lateness`` has passed since its end by the newest tick of the batches
+    before.  Ticks behind that are written to a side table, counted, and repair their bar:
+    the store combines what batches know of a bar, so the bars are those of all ticks
+    however these arrive.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, ticks: T.StructType, key: str, ts: str, price: str, seq: str, width: str, lateness_s: int) -> None:
+        self.spark, self.path, self.lateness_us = spark, path, lateness_s * 1_000_000
+        self.make = lambda rows: bar_rows(rows, key, ts, price, seq, width)
+        self.ticks, self.ts, self.width = ticks, ts, width
+        schema = self.make(spark.createDataFrame([], ticks)).withColumn("late_rows", F.lit(0).cast("long")).schema
+        self.store = UpsertStore(spark, f"{path}/bars", schema, merged_bars(key), F.to_date("bar_start"))
+
+    def _closed(self, end: Column, newest: int | None) -> Column:
+        return F.lit(False) if newest is None else F.unix_micros(end) <= F.lit(newest - self.lateness_us)
+
+    def apply(self, batch: DataFrame, batch_id: int) -> None:
+        before = self.store.manifest()
+        if batch_id <= before.applied:
+            return
+        late = self._closed(F.col("bar_end"), before.newest)
+        bars = self.make(batch).withColumn("late_rows", F.when(late, F.col("volume")).otherwise(F.lit(0).cast("long")))
+        if before.newest is not None:
+            behind = batch.withColumn("_w", F.window(self.ts, self.width)).filter(self._closed(F.col("_w.end"), before.newest))
+            behind.drop("_w").write.mode("overwrite").parquet(f"{self.path}/late/batch-{batch_id}")
+        self.store.apply(bars, batch_id, "newest")
+
+    def run(self, stream: DataFrame) -> None:
+        """Take all that has arrived; a later call goes on where this one ended."""
+        state = f"{self.path}/state"
+        stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
+    def read(self) -> DataFrame:
+        newest = self.store.manifest().newest
+        return self.store.read().withColumn("closed", self._closed(F.col("bar_end"), newest)).drop("first", "last", "newest")
 
-def distinct_ticks(ticks: DataFrame, keys: list[str], ts: str, lateness: str = "1 hour") -> DataFrame:
-    """Repeated deliveries of a tick within the lateness bound count once."""
-    return ticks.withWatermark(ts, lateness).dropDuplicatesWithinWatermark(keys)
+    def late(self) -> DataFrame:
+        """The side table."""
+        return self.spark.read.schema(self.ticks).option("recursiveFileLookup", "true").parquet(f"{self.path}/late")
 
 
 def freshness(ticks: DataFrame, key: str, ts: str) -> DataFrame:
@@ -42,46 +120,19 @@ def late_keys(state: DataFrame, expected: DataFrame, key: str) -> DataFrame:
     return state.join(expected, key).withColumn("late", F.to_date("latest") < F.col("expected_session"))
 
 
-def quote_ticks_with_reference(ticks: DataFrame, reference: DataFrame, key: str) -> DataFrame:
-    """Stream rows beside a static table."""
-    return ticks.join(reference, key)
-
-
-def latest_snapshot(ticks: DataFrame, key: str, ts: str, columns: list[str]) -> DataFrame:
-    """Newest row per key, in update mode."""
-    return ticks.groupBy(key).agg(F.max_by(F.struct(ts, *columns), ts).alias("s")).select(key, f"s.{ts}", *[f"s.{c}" for c in columns])
-
-
-def upsert_batches(stream: DataFrame, table: str, keys: list[str], seq: str) -> "object":
-    """Keyed upsert of every micro-batch as a log: each batch adds its own last rows.
+def run_to_table(stream: DataFrame, name: str, keys: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
+    """Run all available data through the query into Parquet and read it.
 
-    A batch is written under its number, so one that is repeated after a failure replaces
-    itself; ``read_upserted`` gives the last row of each key.  A batch costs its own rows,
-    never the table's.
+    With ``keys`` the stream is one of changing rows (update mode), kept in a store whose last
+    row in ``order`` counts (later batches first, unless said otherwise).
     """
-    from curvelab.scale import keep_last
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        keep_last(batch, keys, seq).withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{table}/batch-{batch_id}")
-
-    return stream.writeStream.foreachBatch(apply).trigger(availableNow=True)
-
+    base = posixpath.join(checkpoint_dir(stream.sparkSession), "curvelab-streams", name)
+    return run_into(stream, base, keys, order)
 
-def read_upserted(spark: SparkSession, table: str, schema: T.StructType, keys: list[str], seq: str) -> DataFrame:
-    """The last row of each key over all batches."""
-    from curvelab.scale import latest_by
-
-    log = spark.read.schema(T.StructType([*schema.fields, T.StructField("_batch", T.LongType())])).option("recursiveFileLookup", "true").parquet(table)
-    return latest_by(log, keys, "_batch", seq).drop("_batch")
-
-
-def run_to_table(stream: DataFrame, name: str, keys: list[str] | None = None, seq: str | None = None) -> DataFrame:
-    """Run all available data through the query into Parquet and read it.
 
-    With ``keys`` the stream is one of changing rows (update mode), kept as an upsert log.
-    """
+def run_into(stream: DataFrame, base: str, keys: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
+    """The same in a given folder: a second call goes on from the checkpoint of the first."""
     spark = stream.sparkSession
-    base = posixpath.join(checkpoint_dir(spark), "curvelab-streams", name)
     if keys is None:
         query = (
             stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
@@ -89,8 +140,10 @@ def run_to_table(stream: DataFrame, name: str, keys: list[str] | None = None, se
         )
         query.awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{base}/out")
-    upsert_batches(stream, f"{base}/out", keys, seq).option("checkpointLocation", f"{base}/state").outputMode("update").start().awaitTermination()
-    return read_upserted(spark, f"{base}/out", stream.schema, keys, seq)
+    store = UpsertStore(spark, f"{base}/out", stream.schema, last_row(keys, *(order or [BATCH])))
+    store.writer(stream).option("checkpointLocation", f"{base}/state").outputMode("update").start().awaitTermination()
+    store.compact()
+    return store.read()
 
 
 def _expire(state, newest: pd.Timestamp, idle: pd.Timedelta) -> None:
@@ -131,47 +184,3 @@ def session_vwap_stream(bars: DataFrame, lateness: str = "1 day") -> DataFrame:
 
     timed = bars.withWatermark("ts", lateness)
     return timed.groupBy("key", "session_date").applyInPandasWithState(update, T.StructType.fromDDL(_VWAP_SCHEMA), _STATE, "append", "EventTimeTimeout")
-
-
-_POSITION_STATE = T.StructType([
-    T.StructField("side", T.IntegerType()), T.StructField("entry", T.DoubleType()), T.StructField("held", T.IntegerType()),
-    T.StructField("pending", T.IntegerType()), T.StructField("leaving", T.BooleanType()), T.StructField("entered", T.TimestampType()),
-])
-_TRADE_SCHEMA = "key string, side int, entered timestamp, exited timestamp, entry double, exit double, held int"
-
-
-def position_stream(bars: DataFrame, max_hold: int, lateness: str = "1 day", idle_days: int = 400) -> DataFrame:
-    """Next-bar entries and exits per key with the position kept as state.
-
-    ``bars`` holds (key, ts, open, close, vote, leave): vote asks for a position at the
-    next open, leave asks to close it at the next open.  The state is one row per key and
-    leaves with a key that has had no bar for ``idle_days``.
-    """
-
-    def update(keys: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        side, entry, held, pending, leaving, entered = state.get if state.exists else (0, 0.0, 0, 0, False, None)
-        out = []
-        rows = pd.concat(list(batches)).sort_values("ts")
-        for r in rows.itertuples():
-            if side and leaving:
-                out.append((keys[0], side, entered, r.ts, entry, r.open, held))
-                side, leaving = 0, False
-            if not side and pending:
-                side, entry, held, entered = pending, r.open, 0, r.ts
-            pending = 0
-            if side:
-                held += 1
-                leaving = bool(r.leave) or held >= max_hold
-            elif r.vote:
-                pending = int(r.vote)
-        state.update((side, entry, held, pending, leaving, None if entered is None else pd.Timestamp(entered).to_pydatetime()))
-        _expire(state, rows["ts"].iloc[-1], pd.Timedelta(days=idle_days))
-        yield pd.DataFrame(out, columns=["key", "side", "entered", "exited", "entry", "exit", "held"])
-
-    timed = bars.withWatermark("ts", lateness)
-    return timed.groupBy("key").applyInPandasWithState(update, T.StructType.fromDDL(_TRADE_SCHEMA), _POSITION_STATE, "append", "EventTimeTimeout")
-
-

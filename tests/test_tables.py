@@ -15,7 +15,6 @@ from curvelab.operators import quality as Q
 from curvelab.operators import risk as R
 from curvelab.operators.packages import daily_as_bars
 from curvelab.sources import files
-from curvelab.streaming import bars as S
 
 
 def _one(spark, column):
@@ -116,17 +115,6 @@ def test_file_round_trip(spark, tmp_path):
     assert files.json_records(df).first()["record"] == '{"a":1,"x":null,"l":[1,2]}'
 
 
-def test_stream_upsert_keeps_the_last_version(spark, tmp_path):
-    source, table = str(tmp_path / "in"), str(tmp_path / "out")
-    schema = "k string, seq int, v double"
-    spark.createDataFrame([("a", 1, 1.0), ("b", 1, 1.0), ("a", 2, 2.0)], schema).coalesce(1).write.mode("append").parquet(source)
-    spark.createDataFrame([("b", 3, 9.0), ("c", 4, 4.0)], schema).coalesce(1).write.mode("append").parquet(source)
-    stream = S.read_parquet_stream(spark, source, spark.createDataFrame([], schema).schema)
-    S.upsert_batches(stream, table, ["k"], "seq").option("checkpointLocation", str(tmp_path / "state")).start().awaitTermination()
-    got = S.read_upserted(spark, table, spark.createDataFrame([], schema).schema, ["k"], "seq")
-    assert {r["k"]: r["v"] for r in got.collect()} == {"a": 2.0, "b": 9.0, "c": 4.0}
-
-
 def test_canonical_issues_pass_and_fail(spark):
     schema = "security_str string, root string, date date, reference int, PX_LAST double, curve_mode string, frequency string, month string, contract_month_yr string, contract_year int"
     good = ("HOF25", "HO", date(2024, 1, 2), 1, 2.5, "monthly", "Monthly", "Jan", "F25", 2025)
