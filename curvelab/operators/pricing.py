@@ -176,7 +176,8 @@ def root_config_issues(roots: DataFrame) -> DataFrame:
 
 def contract_fingerprint(roots: DataFrame, settings: Column) -> DataFrame:
     """One hash over the pull settings and the enabled roots, order-independent."""
-    row = F.to_json(F.struct("root", "yellow_key", "ticker_template", "curve_mode", F.coalesce("default_price_field", F.lit("")).alias("default_price_field")))
+    shown = ["root", "yellow_key", "ticker_template", "curve_mode", "default_price_field"]
+    row = F.concat_ws("\x1f", *[F.coalesce(c, F.lit("")) for c in shown])
     return roots.filter("enabled").agg(F.sha2(F.concat_ws("|", settings, F.array_join(F.sort_array(F.collect_list(row)), "|")), 256).alias("fingerprint"))
 
 
@@ -184,6 +185,7 @@ def full_refresh_reason(current: DataFrame, previous: DataFrame) -> DataFrame:
     """Why everything must be pulled again; empty text where nothing changed."""
     old = previous.select("fingerprint").scalar()
     return current.select(
+        "fingerprint",
         F.when(old.isNull(), "update manifest is missing")
         .when(F.col("fingerprint") != old, "pull configuration changed")
         .otherwise("")

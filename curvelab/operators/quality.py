@@ -250,19 +250,22 @@ def table_difference(left: DataFrame, right: DataFrame, columns) -> DataFrame:
     )
 
 
-def parity(train: DataFrame, score: DataFrame, key: str, labels, numbers) -> DataFrame:
-    """One row: compared rows, label and null mismatches, largest absolute difference."""
-    joined = train.alias("a").join(score.alias("b"), key)
-    differ = [~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in labels]
-    one_null = [F.col(f"a.{c}").isNull() != F.col(f"b.{c}").isNull() for c in numbers]
-    any_label = differ[0]
-    for d in differ[1:]:
-        any_label = any_label | d
+def row_parity(train: DataFrame, score: DataFrame, key: str, labels, numbers, tolerance: float = 1e-9) -> DataFrame:
+    """The scored rows with ``max_delta`` against training and a status; rows of one side only fail."""
+    a, b = train.alias("a"), score.alias("b")
+    joined = a.join(b, F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}")), "full")
+    same = F.lit(True)
+    for c in labels:
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    for c in numbers:
+        same = same & (F.col(f"a.{c}").isNull() == F.col(f"b.{c}").isNull())
     gaps = [F.coalesce(F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")), F.lit(0.0)) for c in numbers]
-    nulls = sum([F.sum(n.cast("long")) for n in one_null[1:]], F.sum(one_null[0].cast("long")))
-    largest = F.max(F.greatest(*gaps) if len(gaps) > 1 else gaps[0])
-    return joined.agg(F.count(F.lit(1)).alias("rows"), F.count_if(any_label).alias("label_mismatches"), nulls.alias("null_mismatches"), largest.alias("max_delta")).withColumn(
-        "status", F.when((F.col("label_mismatches") == 0) & (F.col("null_mismatches") == 0) & (F.col("max_delta") <= 1e-9), "PASS").otherwise("FAIL")
+    largest = F.greatest(*gaps) if len(gaps) > 1 else gaps[0]
+    both = F.col(f"a.{key}").isNotNull() & F.col(f"b.{key}").isNotNull()
+    status = F.when(~both, "MISSING").when(~same, "LABEL_DIFFERS").when(largest > tolerance, "NUMBER_DIFFERS").otherwise("PASS")
+    return joined.select(
+        F.coalesce(f"b.{key}", f"a.{key}").alias(key), *[F.col(f"b.{c}") for c in (*labels, *numbers)],
+        F.when(largest > tolerance, largest).otherwise(0.0).alias("max_delta"), status.alias("status"),
     )
 
 
@@ -317,24 +320,3 @@ def promotion(net: DataFrame, drawdown: DataFrame, cost: DataFrame, families: Da
         "decision",
         F.when(F.col("broad_fold_net_improvement") & F.col("double_cost_net_retention") & F.col("fold_drawdown_improvement") & F.col("family_breadth"), "PROMOTE").otherwise("REJECT"),
     )
-
-
-def ledger_invariants(trades: DataFrame, budgeted: DataFrame | None = None, limit: int = 3) -> DataFrame:
-    """Violations per rule of the trade ledger."""
-    counted = trades.agg(
-        F.count_if(F.col("entry_time") <= F.col("entry_signal_time")).alias("entry not after its signal"),
-        F.count_if(F.col("exit_session") > F.col("forced_exit_session")).alias("exit after the forced session"),
-        F.count_if(F.col("exit_time") < F.col("entry_time")).alias("exit before entry"),
-        F.count_if((F.col("phase") == "LOCKBOX") & F.col("fold").isNotNull()).alias("lockbox trade in a fold"),
-    )
-    cells = F.array(*[F.struct(F.lit(c).alias("rule"), F.col(f"`{c}`").alias("violations")) for c in counted.columns])
-    out = counted.select(F.explode(cells).alias("c")).select("c.*")
-    if budgeted is not None:
-        crowded = budgeted.filter("portfolio_selected").groupBy("entry_session").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > limit).alias("violations"))
-        out = out.unionByName(crowded.select(F.lit("daily entry limit").alias("rule"), "violations"))
-    return out
-
-
-def tie_out(name: str, actual, expected, passed):
-    """One check row, for a union of scalar checks."""
-    return F.struct(F.lit(name).alias("check"), actual.cast("string").alias("actual"), expected.cast("string").alias("expected"), F.when(passed, "OK").otherwise("FAIL").alias("status"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curvelab.functions.stats import seed_rows
-from curvelab.scale import BLOCK, ROW, Blocked
+from curvelab.scale import ROW, Blocked
 
 # exp() must stay inside the double range over one halo-extended block.
 _EXPONENT_LIMIT = 650.0
@@ -85,33 +85,6 @@ def smooth_nullable(
     )
 
 
-def seeded(b: Blocked, df: DataFrame, x: str, alpha: float, period: int, name: str, first_row: int = 1) -> DataFrame:
-    """Smoother that starts from the plain mean of its first ``period`` values.
-
-    ``first_row`` is the row of the series' first value (2 for changes).  Rows before the
-    seed are null.  In later blocks the halo plays the role of the seed.
-    """
-    seed_row = first_row + period - 1
-    in_first = F.col(BLOCK) == 0
-    xs = F.col(x)
-    before = b.running
-    mean = F.avg(F.when(F.col(ROW) >= first_row, xs)).over(b.order.rowsBetween(-(period - 1), 0))
-    start = F.when(in_first, F.lit(seed_row)).otherwise(F.min(ROW).over(before))
-    k = F.col(ROW) - F.col("_start")
-    decay = math.log1p(-alpha)
-    return (
-        df.withColumn("_start", start)
-        .withColumn(
-            "_term",
-            F.when(k == 0, F.when(in_first, mean).otherwise(xs)).when(
-                k > 0, F.lit(alpha) * xs * F.exp(-k * F.lit(decay))
-            ),
-        )
-        .withColumn(name, F.when(k >= 0, F.sum("_term").over(b.running) * F.exp(k * F.lit(decay))))
-        .drop("_start", "_term")
-    )
-
-
 def rsi(gain: Column, loss: Column) -> Column:
     """100 where there was no loss."""
     safe = F.nullif(loss, F.lit(0.0))

@@ -23,7 +23,7 @@ from curvelab.stages import stage
 # Settings scaled to thirty hourly sessions.
 HOURLY = Settings(
     windows=B.P,
-    gate=L.EntryGate(maximum_volume_participation=1.0),
+    gate=L.EntryGate(maximum_volume_participation=1.0, maximum_bid_ask_ticks=30.0),
     folds=W.Folds(train_sessions=10, validation_sessions=3, test_sessions=2, lockbox_sessions=5, embargo_sessions=1),
     learner=X.Learner(adaptive_horizon_bars=24, adaptive_min_observations=5, adaptive_entry_threshold=0.2),
     evidence=Evidence(minimum_oos_trades=2),
@@ -321,17 +321,23 @@ def liquidity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rolling(voted: DataFrame) -> DataFrame:
-    """FRONT series change contracts every seven days and must be flat the day before; the others never do."""
-    front = F.col("tenor_bucket") == "FRONT"
-    week = F.floor((F.dayofmonth("session_date") - 1) / 7)
+    """Three series change contracts every three days; two of these must be flat early on the second, and take no entry from then on."""
+    rolls, forced = F.col("spread_id") < "q", F.col("spread_id").between("d", "q")
+    period = F.floor((F.dayofmonth("session_date") - 1) / 3)
     first = F.min("timestamp_utc").over(Window.partitionBy("spread_id", "roll_id"))
     rolled = voted.withColumns(
         {
-            "roll_id": F.when(front, F.concat(F.lit("W"), week.cast("string"))).otherwise(F.col("roll_id")),
-            "forced_exit_session": F.when(front, F.date_add(F.trunc("session_date", "month"), (week * 7 + 5).cast("int"))).otherwise(F.col("forced_exit_session")),
+            "roll_id": F.when(rolls, F.concat(F.lit("R"), period.cast("string"))).otherwise(F.col("roll_id")),
+            "forced_exit_session": F.when(forced, F.date_add(F.trunc("session_date", "month"), (period * 3 + 1).cast("int"))).otherwise(F.col("forced_exit_session")),
+        }
+    )
+    return rolled.withColumns(
+        {
+            "roll_event": rolls & (period > 0) & (first == F.col("timestamp_utc")),
+            "entry_allowed": F.col("entry_allowed") & (F.col("session_date") < F.col("forced_exit_session")),
+            "session_last_slot": F.when(F.col("session_date") == F.col("forced_exit_session"), 2).otherwise(F.col("session_last_slot")),
         }
     )
-    return rolled.withColumn("roll_event", front & (week > 0) & (first == F.col("timestamp_utc")))
 
 
 def hour_inputs(spark: SparkSession, sf_dir: str, gates: bool = False) -> DataFrame:
@@ -354,7 +360,7 @@ _EXITS = (
     "CASE WHEN abs(z) <= 0.2 THEN 2 WHEN s * z <= -3.25 THEN 3 ELSE 0 END",
     "CASE WHEN x IS NOT NULL AND ema_slow IS NOT NULL AND hist IS NOT NULL AND (s * (x - ema_slow) < 0 OR s * hist < 0) THEN 4 ELSE 0 END",
     "CASE WHEN s * (x - mid) < 0 THEN 5 ELSE 0 END",
-    "CASE WHEN s * (x - svwap) >= 0 THEN 6 WHEN slot >= 23 THEN 7 ELSE 0 END",
+    "CASE WHEN s * (x - svwap) >= 0 THEN 6 WHEN slot >= last_slot THEN 7 ELSE 0 END",
     "CASE WHEN s * z > 0.35 THEN 10 ELSE 0 END",
     "CASE WHEN coalesce(alarm, false) THEN 11 WHEN abs(z) <= 0.25 THEN 2 ELSE 0 END",
     "CASE WHEN coalesce(alarm, false) THEN 11 WHEN abs(z) <= 0.25 THEN 2 WHEN s * flow <= 0 THEN 12 ELSE 0 END",
@@ -377,14 +383,14 @@ def ledger_sql(gates: bool = False) -> str:
     risk = "abs(tod) >= 4 OR surprise <= -2.5 OR " if gates else ""
     risk_null = f"coalesce({risk[:-4]}, false) OR " if gates else ""
     return f"""{_HOUR_VOTED},
-lw0 AS (SELECT hv.*, ov, cv, slot + 1.0 AS cost, slot <> 5 AS allowed, CASE WHEN cap > 2 THEN cap - 2 END AS ticks,
-  NOT ({risk_null}relvol IS NULL OR relvol < 0.35 OR cap < 1 OR coalesce(cap - 2 > 8 AND cap > 2, false)) AS pass,
-  CASE WHEN hv.spread_id < 'f' THEN (day(session_date) - 1) // 7 ELSE 0 END AS week,
-  slot = 23 OR row_number() OVER (PARTITION BY hv.spread_id, session_date ORDER BY t DESC) = 1 AS session_end FROM hv JOIN pv USING (spread_id, t)),
-lw AS MATERIALIZED (SELECT spread_id, t, session_date, ov, cv, x, cost, allowed, pass, relvol, cap, ticks, CASE WHEN spread_id < 'f' THEN 'W' || week ELSE 'CONTINUOUS' END AS roll_id,
-  CASE WHEN spread_id < 'f' THEN CAST(date_trunc('month', session_date) AS DATE) + (week * 7 + 5)::INT ELSE DATE '2024-02-15' END AS forced_day,
+lw0 AS (SELECT hv.*, ov, cv, slot + 1.0 AS cost, CASE WHEN cap > 2 THEN cap - 2 END AS ticks,
+  NOT ({risk_null}relvol IS NULL OR relvol < 0.35 OR cap < 1 OR coalesce(cap - 2 > 30 AND cap > 2, false)) AS pass,
+  CASE WHEN hv.spread_id < 'q' THEN (day(session_date) - 1) // 3 ELSE 0 END AS week,
+  CASE WHEN hv.spread_id BETWEEN 'd' AND 'q' THEN CAST(date_trunc('month', session_date) AS DATE) + ((day(session_date) - 1) // 3 * 3 + 1)::INT ELSE DATE '2024-02-15' END AS forced_day,
+  CASE WHEN session_date = forced_day THEN 2 ELSE 23 END AS last_slot, slot = last_slot OR row_number() OVER (PARTITION BY hv.spread_id, session_date ORDER BY t DESC) = 1 AS session_end FROM hv JOIN pv USING (spread_id, t)),
+lw AS MATERIALIZED (SELECT spread_id, t, session_date, ov, cv, x, cost, slot <> 5 AND session_date < forced_day AS allowed, pass, relvol, cap, ticks, CASE WHEN spread_id < 'q' THEN 'R' || week ELSE 'CONTINUOUS' END AS roll_id, forced_day,
   dense_rank() OVER (PARTITION BY spread_id ORDER BY week) - 1 AS seg, max(week) OVER (PARTITION BY spread_id) = week AS last_seg,
-  [{', '.join(_V)}, regime_vote, adaptive_vote] AS v, [{_both_sides(1)}] AS cl, [{_both_sides(-1)}] AS cs, session_end,
+  [{', '.join(_V)}, regime_vote, adaptive_vote] AS v, [{_both_sides(1)}] AS cl, [{_both_sides(-1)}] AS cs, session_end, session_date = forced_day AND session_end AS forced_bar,
   row_number() OVER (PARTITION BY spread_id, week ORDER BY t) AS i, count(*) OVER (PARTITION BY spread_id, week) AS n FROM lw0),
 walk AS (SELECT DISTINCT spread_id, seg, k, 0::BIGINT AS i, 0 AS pos, 0::BIGINT AS e, 0::DOUBLE AS eo, 0 AS held, 0::DOUBLE AS up, 0::DOUBLE AS dn, 0 AS pend, 0::BIGINT AS sig, 0 AS leave, 0::BIGINT AS dec, 0::BIGINT AS esig,
    0 AS xr, 0 AS xpos, 0::BIGINT AS xe, 0::BIGINT AS xsig, 0 AS xheld, 0::DOUBLE AS xup, 0::DOUBLE AS xdn, 0::BIGINT AS xdec FROM lw, range(1, 10) ks(k)

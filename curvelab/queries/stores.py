@@ -370,28 +370,6 @@ def gate_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle(outcome)
 
 
-@query("ledger_invariants", "SELECT * FROM (VALUES ('entry not after its signal', 0), ('exit after the forced session', 0), ('exit before entry', 0), ('lockbox trade in a fold', 0)) t(rule, violations)")
-def ledger_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No trade breaks a ledger rule."""
-    return settle(Q.ledger_invariants(learning.hour_trades(spark, sf_dir)))
-
-
-@query("weight_constraints", "SELECT 0 AS violations")
-def weight_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights sum to one under the cap in every session (V8)."""
-    weights = learning.hour_voted(spark, sf_dir).select("learner_group", "session_date", *X.WEIGHTS).distinct()
-    return settle(X.frozen_weight_issues(weights, 0.35).agg(F.count(F.lit(1)).alias("violations")))
-
-
-@query("train_score_parity", "SELECT count(*) AS rows, 0 AS label_mismatches, 0 AS null_mismatches, 'PASS' AS status FROM (SELECT DISTINCT event_type, date_trunc('hour', ts) FROM events)")
-def train_score_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two computations of the same rows agree."""
-    a = learning.hour_features(spark, sf_dir)
-    b = learning.hour_voted(spark, sf_dir)
-    keyed = lambda df: df.select(F.concat_ws("|", "spread_id", "timestamp_utc").alias("k"), "regime", "robust_z", "rsi")
-    return settle(Q.parity(keyed(a), keyed(b), "k", ["regime"], ["robust_z", "rsi"]).select("rows", "label_mismatches", "null_mismatches", "status"))
-
-
 @query(
     "series_catalog",
     settle_sql(

@@ -83,21 +83,6 @@ def test_smoothers_equal_the_recursion(frame, series):
     np.testing.assert_allclose(got["c"].to_numpy(dtype=float), np.concatenate([_loop(g, alpha, 5) for _, g in by["y"]]), rtol=1e-9)
 
 
-def test_seeded_smoother_starts_from_the_mean(frame, series):
-    period, alpha = 6, 2 / 7
-    b = blocked(frame, "e", "t", month(), halo=160, block=200)
-    got = b.finish(M.seeded(b, b.frame, "x", alpha, period, "m")).toPandas().sort_values(["e", "t"])
-    want = []
-    for _, g in series.sort_values(["e", "t"]).groupby("e")["x"]:
-        v = g.to_numpy()
-        y = np.full(len(v), np.nan)
-        y[period - 1] = v[:period].mean()
-        for i in range(period, len(v)):
-            y[i] = alpha * v[i] + (1 - alpha) * y[i - 1]
-        want.append(y)
-    np.testing.assert_allclose(got["m"].to_numpy(dtype=float), np.concatenate(want), rtol=1e-9)
-
-
 def test_blocks_reject_windows_longer_than_the_halo(frame):
     b = blocked(frame, "e", "t", month(), halo=10)
     with pytest.raises(ValueError):
