@@ -362,8 +362,11 @@ def entry_budget(
     ).drop("_key", "_best")
 
 
-def board_budget(board: DataFrame, limits: BoardLimits = BoardLimits()) -> DataFrame:
-    """Today's entries under the budget; other rows are watch-only or not actionable."""
+def board_budget(board: DataFrame, limits: BoardLimits = BoardLimits(), session: Sequence[str] = ()) -> DataFrame:
+    """A session's entries under the budget; other rows are watch-only or not actionable.
+
+    Without ``session`` columns the board is that of one day.
+    """
     down = lambda c: -F.coalesce(c, F.lit(0.0))
     actionable = F.col("status").isin("BUY", "SELL") & F.col("direction_evidence_validated")
     order = [
@@ -372,7 +375,7 @@ def board_budget(board: DataFrame, limits: BoardLimits = BoardLimits()) -> DataF
     ]
     limit = limits.maximum_new_trades_per_session
     marked = board.withColumns({"_one": F.lit(1), "algebra_group": F.coalesce("algebra_group", "spread_id")})
-    chosen = entry_budget(marked.filter(actionable), ["_one"], "algebra_group", order, limit)
+    chosen = entry_budget(marked.filter(actionable), list(session) or ["_one"], "algebra_group", order, limit)
     rest = marked.filter(~F.coalesce(actionable, F.lit(False))).withColumns(
         {
             "portfolio_action": F.when(F.col("status") == "WATCH", "WATCH_ONLY").otherwise("NOT_ACTIONABLE"),

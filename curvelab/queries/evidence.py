@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvelab.config import ROOTS, Strategy
+from curvelab.config import ROOTS, STRATEGIES, Strategy
 from curvelab.edge import settle, settle_sql
 from curvelab.functions.stats import expected_maximum_factor, normal_cdf_sql
 from curvelab.operators import board as BD
@@ -22,12 +22,10 @@ TRIALS = 150
 
 _PH = f"""{ctes.TRADES},
 ph AS (SELECT *, CASE WHEN year(exit_session) >= 2001 THEN 'LOCKBOX' WHEN year(exit_session) BETWEEN 1997 AND 2000 THEN 'OOS' ELSE 'DEVELOPMENT' END AS phase,
-  CASE WHEN year(exit_session) BETWEEN 1997 AND 2000 THEN year(exit_session) - 1996 END AS fold FROM trades),
-has AS (SELECT spread_id, strategy_id, max((phase = 'OOS')::INT) AS h FROM ph GROUP BY ALL),
-ev AS (SELECT ph.*, h FROM ph JOIN has USING (spread_id, strategy_id) WHERE h = 0 OR phase = 'OOS')"""
+  CASE WHEN year(exit_session) BETWEEN 1997 AND 2000 THEN year(exit_session) - 1996 END AS fold FROM trades)"""
 
 
-def _metrics(source: str, keys: str, name: str) -> str:
+def _metrics(source: str, keys: str, name: str, trials: int = TRIALS) -> str:
     """Daily metrics per key of a trade CTE."""
     return f"""{name}_d AS (SELECT {keys}, exit_session AS day, sum(net) AS pnl FROM {source} GROUP BY ALL),
 {name}_c AS (SELECT *, sum(pnl) OVER (PARTITION BY {keys} ORDER BY day) AS eq, avg(pnl) OVER (PARTITION BY {keys}) AS m0, stddev_samp(pnl) OVER (PARTITION BY {keys}) AS s0 FROM {name}_d),
@@ -35,12 +33,15 @@ def _metrics(source: str, keys: str, name: str) -> str:
 {name}_a AS (SELECT {keys}, count(*) AS n, avg(pnl) AS m, coalesce(stddev_samp(pnl), 0) AS s, coalesce(stddev_samp(CASE WHEN pnl < 0 THEN pnl END), 0) AS ds, abs(min(fall)) AS mdd,
   avg(z * z * z) AS g3, avg(z * z * z * z) AS g4 FROM {name}_e GROUP BY ALL),
 {name}_b AS (SELECT *, m / nullif(s, 0) AS sr FROM {name}_a),
-{name}_f AS (SELECT *, sr / sqrt(greatest((1 - g3 * sr + (g4 - 1) / 4 * sr * sr) / greatest(1, n - 1), 1e-12)) - {expected_maximum_factor(TRIALS)!r} AS score FROM {name}_b),
+{name}_f AS (SELECT *, sr / sqrt(greatest((1 - g3 * sr + (g4 - 1) / 4 * sr * sr) / greatest(1, n - 1), 1e-12)) - {expected_maximum_factor(trials)!r} AS score FROM {name}_b),
 {name} AS (SELECT *, coalesce(sr * sqrt(252), 0) AS daily_sharpe, coalesce(m / nullif(ds, 0) * sqrt(252), 0) AS daily_sortino, coalesce(m * 252 / nullif(mdd, 0), 0) AS calmar,
   CASE WHEN n >= 3 AND s > 0 THEN {normal_cdf_sql('score')} ELSE 0 END AS dsr FROM {name}_f)"""
 
 
-_SCORE = f"""WITH {_PH}, {_metrics('ev', 'spread_id, strategy_id', 'mt')},
+def score_sql(p: SC.Evidence = SC.Evidence(), trials: int = TRIALS) -> str:
+    """The scorecard ``sc`` of the phased trades ``ph``."""
+    return f"""has AS (SELECT spread_id, strategy_id, max((phase = 'OOS')::INT) AS h FROM ph GROUP BY ALL),
+ev AS (SELECT ph.*, h FROM ph JOIN has USING (spread_id, strategy_id) WHERE h = 0 OR phase = 'OOS'), {_metrics('ev', 'spread_id, strategy_id', 'mt', trials)},
 tot AS (SELECT spread_id, strategy_id, count(*) AS trades, max(h) AS h, sum(gross) AS gross, sum(net) AS net, sum(cost) AS cost, sum(net2) AS net2, sum(net3) AS net3, avg((net > 0)::INT) AS win,
   sum(CASE WHEN net > 0 THEN net ELSE 0 END) AS wins, sum(CASE WHEN net < 0 THEN net ELSE 0 END) AS losses, avg(net) AS expectancy, median(holding_bars) AS hold,
   count(*) FILTER (exit_reason = 'MANDATORY_D4_EXIT') AS exits, coalesce(sum(net) FILTER (direction = 'LONG'), 0) AS long_net, coalesce(sum(net) FILTER (direction = 'SHORT'), 0) AS short_net, min(complexity_tier) AS tier
@@ -48,11 +49,15 @@ tot AS (SELECT spread_id, strategy_id, count(*) AS trades, max(h) AS h, sum(gros
 al AS (SELECT spread_id, strategy_id, count(*) FILTER (phase = 'OOS') AS oos, count(*) FILTER (phase = 'LOCKBOX') AS lock, coalesce(sum(net) FILTER (phase = 'LOCKBOX'), 0) AS lock_net FROM ph GROUP BY ALL),
 fs AS (SELECT spread_id, strategy_id, avg((fn > 0)::INT) AS share FROM (SELECT spread_id, strategy_id, fold, sum(net) AS fn FROM ph WHERE phase = 'OOS' GROUP BY ALL) GROUP BY ALL),
 sc0 AS (SELECT tot.*, oos, lock, lock_net, coalesce(share, 0) AS share, CASE WHEN abs(losses) > 0 THEN wins / abs(losses) WHEN wins > 0 THEN 99 ELSE 0 END AS pf,
-  ceil(20 * (1 + 0.5 * (tier - 1)))::INT AS hurdle, daily_sharpe, daily_sortino, calmar, mdd, dsr FROM tot JOIN al USING (spread_id, strategy_id) LEFT JOIN fs USING (spread_id, strategy_id) JOIN mt USING (spread_id, strategy_id)),
-sc AS (SELECT *, CASE WHEN oos >= hurdle AND share >= 0.6 AND pf >= 1.1 AND dsr >= 0.95 AND net > 0 THEN 'VALIDATED' ELSE 'RESEARCH_ONLY' END AS status FROM sc0)
+  ceil({p.minimum_oos_trades} * (1 + 0.5 * (tier - 1)))::INT AS hurdle, daily_sharpe, daily_sortino, calmar, mdd, dsr FROM tot JOIN al USING (spread_id, strategy_id) LEFT JOIN fs USING (spread_id, strategy_id) JOIN mt USING (spread_id, strategy_id)),
+sc AS (SELECT *, CASE WHEN oos >= hurdle AND share >= {p.minimum_profitable_fold_share} AND pf >= {p.minimum_profit_factor} AND dsr >= {p.minimum_probability_sharpe} AND net > 0 THEN 'VALIDATED' ELSE 'RESEARCH_ONLY' END AS status FROM sc0)
 """
 
 
+EVIDENCE_ORDER = "(status = 'VALIDATED') DESC, dsr DESC NULLS LAST, share DESC NULLS LAST, daily_sharpe DESC NULLS LAST, net DESC NULLS LAST, oos DESC NULLS LAST, strategy_id"
+_SCORE = f"WITH {_PH}, {score_sql()}"
+
+
 def trial_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(spark, "trial-scores", sf_dir, lambda: SC.scorecard(views.phased_trades(spark, sf_dir), TRIALS))
 
@@ -94,7 +99,7 @@ def fold_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "best_strategy",
-    f"{_SCORE} SELECT spread_id, strategy_id, status FROM sc QUALIFY row_number() OVER (PARTITION BY spread_id ORDER BY (status = 'VALIDATED') DESC, dsr DESC, share DESC, daily_sharpe DESC, net DESC, oos DESC, strategy_id) = 1",
+    f"{_SCORE} SELECT spread_id, strategy_id, status FROM sc QUALIFY row_number() OVER (PARTITION BY spread_id ORDER BY {EVIDENCE_ORDER}) = 1",
 )
 def best_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The one strategy per brand that would be frozen."""
@@ -124,7 +129,7 @@ def missing_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "recent_structure_metrics",
     settle_sql(
-        f"""{_SCORE}, best AS (SELECT spread_id, strategy_id FROM sc QUALIFY row_number() OVER (PARTITION BY spread_id ORDER BY (status = 'VALIDATED') DESC, dsr DESC, share DESC, daily_sharpe DESC, net DESC, oos DESC, strategy_id) = 1),
+        f"""{_SCORE}, best AS (SELECT spread_id, strategy_id FROM sc QUALIFY row_number() OVER (PARTITION BY spread_id ORDER BY {EVIDENCE_ORDER}) = 1),
         r AS (SELECT ph.* FROM ph JOIN best USING (spread_id, strategy_id) WHERE exit_session BETWEEN DATE '1999-01-01' AND DATE '2000-12-31'),
         e AS (SELECT *, sum(net) OVER w AS eq FROM r WINDOW w AS (PARTITION BY spread_id ORDER BY exit_session, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING)),
         f AS (SELECT *, eq - greatest(max(eq) OVER (PARTITION BY spread_id ORDER BY exit_session, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING), 0) AS fall FROM e)
@@ -183,7 +188,7 @@ def portfolio_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "strategy_distribution",
     settle_sql(
-        f"{_SCORE}, b AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY spread_id ORDER BY (status = 'VALIDATED') DESC, dsr DESC, share DESC, daily_sharpe DESC, net DESC, oos DESC, strategy_id) = 1)"
+        f"{_SCORE}, b AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY spread_id ORDER BY {EVIDENCE_ORDER}) = 1)"
         " SELECT strategy_id, count(*) AS selected_structures, count(*) FILTER (status = 'VALIDATED') AS validated_structures, sum(oos)::BIGINT AS oos_trades, sum(net) AS oos_net_pnl_usd FROM b GROUP BY 1",
         "strategy_id, selected_structures, validated_structures, oos_trades", "oos_net_pnl_usd",
     ),
@@ -271,29 +276,77 @@ def trade_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle(out.select("spread_id", "trade_code", "trade_code_short", "display_unit", "quote_convention"))
 
 
+_HOUR_TRIALS = 45
+
+
 def _board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The board as of every bar, under the evidence of all trades."""
+
     def build() -> DataFrame:
         trades = learning.hour_trades(spark, sf_dir).withColumns(
             {"complexity_tier": F.lit(1), "algebra_group": F.col("spread_id")}
         )
-        score = SC.scorecard(trades, 45, learning.HOURLY.evidence)
-        latest = latest_by(learning.hour_voted(spark, sf_dir), "spread_id", "timestamp_utc").withColumns(
-            {"model_enabled": F.lit(True), "complexity_tier": F.lit(1), "algebra_group": F.substring("spread_id", 1, 1)}
-        )
         s = learning.HOURLY
-        return BD.board_budget(BD.signal_board(latest, score, None, s.board, s.gate, s.learner), s.board)
+        score = SC.scorecard(trades, _HOUR_TRIALS, s.evidence)
+        latest = learning.hour_voted(spark, sf_dir).withColumns(
+            {
+                "model_enabled": ~((F.col("spread_id") > "v") & (F.dayofmonth("session_date") % 7 == 0)),
+                "complexity_tier": F.dayofmonth("session_date") % 3 + 1, "algebra_group": F.when(F.col("spread_id").between("d", "q"), "X").otherwise(F.substring("spread_id", 1, 1)),
+            }
+        )
+        board = BD.signal_board(latest, score, None, s.board, s.gate, s.learner)
+        return BD.board_budget(board, s.board, ["timestamp_utc"])
 
     return stage(spark, "hour-board", sf_dir, build)
 
 
-@query("signal_board")
+def hour_score_sql(gates: bool = False) -> str:
+    """The hourly ledger's trades as ``ph`` and their scorecard ``sc``."""
+    return f"""{learning.ledger_sql(gates)},
+ph AS (SELECT spread_id, strategy_id, phase, CASE WHEN phase = 'OOS' THEN fin END AS fold, xsd AS exit_session, esd AS entry_session, gross, net, paid AS cost, gross - 2 * paid AS net2, gross - 3 * paid AS net3,
+  held AS holding_bars, reason AS exit_reason, CASE WHEN pos > 0 THEN 'LONG' ELSE 'SHORT' END AS direction, 1 AS complexity_tier FROM tr),
+{score_sql(learning.HOURLY.evidence, _HOUR_TRIALS)}"""
+
+
+_BOARD = f"""{hour_score_sql()},
+rk AS (SELECT spread_id, list({{'s': strategy_id, 'ok': status = 'VALIDATED', 'net': net}} ORDER BY {EVIDENCE_ORDER}) AS trials FROM sc GROUP BY 1),
+bd0 AS (SELECT hv.*, rolling_median AS med, 1.4826 * rolling_mad AS scale, coalesce(trials, []) AS trials, slot + 1.0 AS cost, day(session_date) % 3 + 1 AS tier, NOT (hv.spread_id > 'v' AND day(session_date) % 7 = 0) AS enabled,
+   CASE WHEN hv.spread_id BETWEEN 'd' AND 'q' THEN 'X' ELSE hv.spread_id[1:1] END AS grp, MAP({[x.strategy_id for x in STRATEGIES]}, [{', '.join(learning._V)}, regime_vote, adaptive_vote]) AS votes,
+   CASE WHEN relvol IS NULL OR relvol < 0.35 THEN 'LOW_RELATIVE_VOLUME' WHEN cap < 1 THEN 'INSUFFICIENT_EXECUTABLE_CAPACITY' WHEN cap > 2 AND cap - 2 > 30 THEN 'WIDE_MARKET' ELSE 'PASS' END AS gate
+  FROM hv JOIN (SELECT spread_id, t, rolling_median, rolling_mad FROM z3) z3 USING (spread_id, t) LEFT JOIN rk ON rk.spread_id = hv.spread_id),
+bd1 AS (SELECT *, list_filter(trials, lambda q: q.ok AND votes[q.s] <> 0)[1].s AS backed FROM bd0),
+bd2 AS (SELECT *, coalesce(backed, CASE WHEN adaptive_vote <> 0 THEN 'ADAPTIVE_EXPERT_MIX' ELSE 'REGIME_ENSEMBLE' END) AS strategy, CASE WHEN backed IS NOT NULL THEN votes[backed] WHEN adaptive_vote <> 0 THEN adaptive_vote ELSE regime_vote END AS dir,
+   greatest(0, least(0.95, 0.38 + 0.1 * least(3, greatest(longs, shorts)) + 0.12 * least(2.0, coalesce(relvol, 0)) / 2 + 0.08 * least(3.0, abs(coalesce(z, 0))) / 3) - 0.04 * (tier - 1)) AS heur FROM bd1),
+bd3 AS (SELECT *, least(0.75, CASE WHEN adaptive_vote <> 0 THEN coalesce(confidence, heur) ELSE heur END) AS conf, len(list_filter(trials, lambda q: q.ok AND q.s = strategy)) > 0 AS proven,
+   CASE WHEN dir <> 0 AND x IS NOT NULL AND med IS NOT NULL THEN greatest(0, dir * (med - x)) ELSE 0 END * 1000 / (2 * cost) AS edge FROM bd2),
+bd AS (SELECT *, CASE WHEN NOT enabled THEN 'ANALYTIC ONLY' WHEN slot = 5 THEN 'EXPIRY BLOCK' WHEN gate <> 'PASS' THEN 'NO TRADE' WHEN coalesce(alarm, false) THEN 'REGIME BLOCK' WHEN dir <> 0 AND edge < 3 THEN 'WATCH'
+    WHEN dir > 0 AND conf >= 0.58 AND proven THEN 'BUY' WHEN dir < 0 AND conf >= 0.58 AND proven THEN 'SELL' WHEN longs > 0 OR shorts > 0 THEN 'WATCH' ELSE 'FLAT' END AS status,
+   CASE WHEN NOT enabled THEN 'ANALYTIC_ONLY' WHEN coalesce(alarm, false) THEN 'STRUCTURAL_BREAK' WHEN seen < 5 THEN 'WARMUP' WHEN adaptive_vote > 0 THEN 'BULLISH_CONSENSUS' WHEN adaptive_vote < 0 THEN 'BEARISH_CONSENSUS' WHEN longs > 0 AND shorts > 0 THEN 'MIXED_PATTERN'
+    WHEN longs >= 2 THEN 'BULLISH_CLUSTER' WHEN shorts >= 2 THEN 'BEARISH_CLUSTER' WHEN longs = 1 THEN 'BULLISH_FRAGMENT' WHEN shorts = 1 THEN 'BEARISH_FRAGMENT' ELSE 'NO_PATTERN' END AS pattern FROM bd3),
+act AS (SELECT spread_id, t, grp, row_number() OVER (PARTITION BY t, grp ORDER BY round(conf, 6) DESC, edge DESC, round(abs(score), 6) DESC, coalesce(relvol, 0) DESC, tier, spread_id) AS r1, round(conf, 6) AS c, edge, round(abs(score), 6) AS ps, relvol, tier FROM bd WHERE status IN ('BUY', 'SELL') AND proven),
+win AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY c DESC, edge DESC, ps DESC, coalesce(relvol, 0) DESC, tier, spread_id) AS r2 FROM act WHERE r1 = 1)
+"""
+
+
+@query(
+    "signal_board",
+    settle_sql(
+        f"""{_BOARD} SELECT bd.spread_id, strftime(bd.t, '%Y-%m-%d %H:%M:%S') AS timestamp_utc, status, strategy AS signal_strategy_id, dir AS direction, conf AS confidence, edge AS expected_edge_to_cost, med - 1.8 * scale AS buy_entry_ceiling, med + 1.8 * scale AS sell_entry_floor,
+          med AS fair_value_target, x - 2.5 * coalesce(ew, 0) AS long_stop, x + 2.5 * coalesce(ew, 0) AS short_stop, pattern AS pattern_state, longs || ' long / ' || shorts || ' short; top=' || [{', '.join(f"'{e}'" for e in learning._SHORT)}][list_position(w, list_max(w))] AS pattern_components,
+          CASE WHEN trials[1].ok THEN 'A - VALIDATED' WHEN coalesce(trials[1].net, 0) > 0 THEN 'B - POSITIVE RESEARCH' ELSE 'C - INSUFFICIENT EVIDENCE' END AS oos_grade, gate AS liquidity_gate, proven::BIGINT AS direction_evidence_validated, floor(cap)::BIGINT AS max_packages,
+          CASE WHEN status IN ('BUY', 'SELL') AND proven THEN CASE WHEN a.r1 = 1 AND w1.r2 <= 3 THEN 'SELECTED' WHEN w1.r2 <= 3 THEN 'DUPLICATE_ALGEBRA_GROUP' ELSE 'DAILY_TRADE_BUDGET' END WHEN status = 'WATCH' THEN 'WATCH_ONLY' ELSE 'NOT_ACTIONABLE' END AS portfolio_action
+        FROM bd LEFT JOIN (SELECT spread_id, t, r1 FROM act) a ON a.spread_id = bd.spread_id AND a.t = bd.t LEFT JOIN (SELECT t, grp, r2 FROM win) w1 ON w1.t = bd.t AND w1.grp = bd.grp""",
+        "spread_id, timestamp_utc, status, signal_strategy_id, direction, pattern_state, pattern_components, oos_grade, liquidity_gate, portfolio_action, direction_evidence_validated, max_packages",
+        "confidence, expected_edge_to_cost, buy_entry_ceiling, sell_entry_floor, fair_value_target, long_stop, short_stop", nudge=True,
+    ),
+)
 def signal_board(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Newest signal per series with levels, confidence, edge, status and budget."""
+    """The signal of every series and bar: levels, confidence, edge, status and budget."""
     return settle(_board(spark, sf_dir).select(
         "spread_id", "timestamp_utc", "status", "signal_strategy_id", "direction", "confidence", "expected_edge_to_cost", "buy_entry_ceiling",
         "sell_entry_floor", "fair_value_target", "long_stop", "short_stop", "pattern_state", "pattern_components", "oos_grade", "liquidity_gate",
-        "portfolio_action",
-    ))
+        "direction_evidence_validated", "max_packages", "portfolio_action",
+    ), nudge=True)
 
 
 @query("package_board")
@@ -374,7 +427,7 @@ _LOCK_ORDER = "(status <> 'VALIDATED')::INT, dsr DESC, share DESC, daily_sharpe
 
 @query(
     "lockbox_budget",
-    f"""{_SCORE}, best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY spread_id ORDER BY (status = 'VALIDATED') DESC, dsr DESC, share DESC, daily_sharpe DESC, net DESC, oos DESC, strategy_id) = 1),
+    f"""{_SCORE}, best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY spread_id ORDER BY {EVIDENCE_ORDER}) = 1),
       t AS (SELECT ph.entry_session, ph.algebra_group, ph.spread_id, ph.relvol, ph.complexity_tier, b.status, b.dsr, b.share, b.daily_sharpe FROM ph JOIN best b ON b.spread_id = ph.spread_id AND b.strategy_id = ph.strategy_id WHERE ph.phase = 'LOCKBOX'),
       g AS (SELECT *, row_number() OVER (PARTITION BY entry_session, algebra_group ORDER BY {_LOCK_ORDER}) AS r1 FROM t),
       w AS (SELECT entry_session, algebra_group, row_number() OVER (PARTITION BY entry_session ORDER BY {_LOCK_ORDER}) AS r2 FROM g WHERE r1 = 1)

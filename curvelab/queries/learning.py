@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ HOURLY = Settings(
     gate=L.EntryGate(maximum_volume_participation=1.0, maximum_bid_ask_ticks=30.0),
     folds=W.Folds(train_sessions=10, validation_sessions=3, test_sessions=2, lockbox_sessions=5, embargo_sessions=1),
     learner=X.Learner(adaptive_horizon_bars=24, adaptive_min_observations=5, adaptive_entry_threshold=0.2),
-    evidence=Evidence(minimum_oos_trades=2),
+    evidence=Evidence(minimum_oos_trades=2, minimum_profit_factor=1.0, minimum_profitable_fold_share=0.5, minimum_probability_sharpe=0.05),
 )
 
 
@@ -378,6 +380,15 @@ def _at_bar(name: str, rows: str, place: str, columns: str, how: str = "") -> st
     return f"{name} AS MATERIALIZED (SELECT d.*, {columns} FROM {rows} d {how}JOIN lw b ON b.spread_id = d.spread_id AND b.seg = d.seg AND b.i = d.{place})"
 
 
+_LEDGER_NAMES = ("lw0", "lw", "walk", "ended", "t1", "t2", "t3", "t4", "tr0", "tr1", "tr", "hn", "hf", "hl")
+
+
+def second_ledger_sql(gates: bool) -> str:
+    """The walk once more, its tables marked by an underscore, to follow ``ledger_sql``."""
+    body = ledger_sql(gates).removeprefix(_HOUR_VOTED)
+    return re.sub(rf"\b({'|'.join(_LEDGER_NAMES)})\b(?!\()", r"\1_", body)
+
+
 def ledger_sql(gates: bool = False) -> str:
     """The position walk bar by bar as a recursion, every strategy and roll segment on its own."""
     risk = "abs(tod) >= 4 OR surprise <= -2.5 OR " if gates else ""

@@ -355,7 +355,23 @@ def family_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle(Q.family_outcomes(a, b, ["spread_id", "strategy_id", "fold"], families).select("family", "improved", "worse", "qualifies"))
 
 
-@query("gate_ablation")
+def _hour_folds(trades: str, mark: str) -> str:
+    """Net and drawdown per fold of a ledger's trades."""
+    return f"""oo{mark} AS (SELECT spread_id, strategy_id, fin AS fold, xsd AS exit_session, net FROM {trades} WHERE phase = 'OOS'), {_metrics(f'oo{mark}', 'spread_id, strategy_id, fold', f'fm{mark}')},
+fd{mark} AS (SELECT spread_id, strategy_id, fold, sum(net) AS net, any_value(mdd) AS mdd FROM oo{mark} JOIN fm{mark} USING (spread_id, strategy_id, fold) GROUP BY ALL)"""
+
+
+@query(
+    "gate_ablation",
+    f"""{learning.ledger_sql()}{learning.second_ledger_sql(True)}, {_hour_folds('tr', '1')}, {_hour_folds('tr_', '2')},
+    j AS (SELECT spread_id, strategy_id, fold, coalesce(b.net, 0) - coalesce(a.net, 0) AS dn, coalesce(a.mdd, 0) - coalesce(b.mdd, 0) AS dd FROM fd1 a FULL JOIN fd2 b USING (spread_id, strategy_id, fold)),
+    n AS (SELECT count(*) FILTER (dn > 1e-9) AS up, count(*) FILTER (dn < -1e-9) AS dn, count(*) FILTER (dd > 1e-9) AS dup, count(*) FILTER (dd < -1e-9) AS ddn FROM j),
+    fa AS (SELECT spread_id[1:1] AS family, count(*) FILTER (dd > 1e-9) AS up, count(*) FILTER (dd < -1e-9) AS dn FROM j GROUP BY 1),
+    c AS (SELECT (SELECT sum(gross - 2 * paid) FROM tr) AS base, (SELECT sum(gross - 2 * paid) FROM tr_) AS cand),
+    o AS (SELECT n.up > n.dn AS p1, coalesce((cand - base) / nullif(abs(base), 0) >= -0.1, cand >= -1e-9) AS p2, coalesce(dup / nullif(dup + ddn, 0) >= 0.6, false) AS p3, (SELECT count(*) FROM fa WHERE up / nullif(up + dn, 0) >= 0.6) >= 2 AS p4 FROM n, c)
+    SELECT (SELECT count(*) FROM tr) AS trades_without, (SELECT count(*) FROM tr_) AS trades_with, p1::BIGINT AS broad_fold_net_improvement, p2::BIGINT AS double_cost_net_retention, p3::BIGINT AS fold_drawdown_improvement, p4::BIGINT AS family_breadth,
+      CASE WHEN p1 AND p2 AND p3 AND p4 THEN 'PROMOTE' ELSE 'REJECT' END AS decision FROM o""".replace(" o AS (SELECT n.up", " oc AS (SELECT n.up").replace("AS decision FROM o", "AS decision FROM oc").replace("    n AS (", "    nb AS (").replace("n.up > n.dn", "nb.up > nb.dn").replace("FROM n, c)", "FROM nb, cb)").replace("    c AS (", "    cb AS ("),
+)
 def gate_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger with and without candidate risk gates, and the promotion decision."""
     off = learning.hour_trades(spark, sf_dir).withColumns({"complexity_tier": F.lit(1), "algebra_group": F.col("spread_id")})
@@ -367,7 +383,8 @@ def gate_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     candidate = on.agg(F.sum("pnl_2x_cost_usd")).scalar()
     cost = off.agg(F.sum("pnl_2x_cost_usd").alias("baseline")).select("baseline", candidate.alias("candidate"))
     outcome = Q.promotion(compared.filter("metric = 'net_pnl_usd'"), compared.filter("metric = 'max_drawdown_usd'"), cost, Q.family_outcomes(a, b, keys, families))
-    return settle(outcome)
+    counts = {"trades_without": off.agg(F.count(F.lit(1))).scalar(), "trades_with": on.agg(F.count(F.lit(1))).scalar()}
+    return settle(outcome.withColumns(counts))
 
 
 @query(
