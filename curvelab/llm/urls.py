@@ -6,9 +6,13 @@ up (absolute discounting); where a context was never seen the shorter one decide
 score is the length-normalised difference of its two log-likelihoods, and a threshold
 calibrated on the labelled URLs divides keep from drop.
 
+The threshold is set on scores that no URL had a part in: labelled URLs fall into folds, and
+each fold is scored by the models of the others.  The models in use count all of them.
+
 Scoring is one join: the model table holds for each n-gram how much the log ratio changes
 against the n-gram without its first character, so the ratio at the longest known context
-is the sum over all known n-grams that end at the character.
+is the sum over all known n-grams that end at the character.  URLs are scored in blocks: a
+block's n-grams are listed once each, with the URLs they occur in, and only these lists move.
 """
 
 from __future__ import annotations
@@ -21,11 +25,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curvelab.llm.common import session, written
+from curvelab.scale import salted_join
 
 #: Longest n-gram, and discount.
 ORDER, DISCOUNT = 5, 0.5
-#: N-grams of a model that is sent to all tasks at most.
-SENT = 300_000
+#: Parts of the labelled URLs; each is scored by models of the other ones for the threshold.
+FOLDS = 5
+#: The model of all labelled URLs, beside the folds' numbers.
+ALL = -1
+#: URLs whose n-grams are listed together.
+BLOCK = 2000
 #: Marks the beginning of a URL in its first n-grams; cannot stand in one.
 START = "\x02"
 #: Steps between which the threshold is looked for.
@@ -94,34 +103,49 @@ def _spread(urls: DataFrame) -> DataFrame:
     return urls.repartition(int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions")), "url")
 
 
-def fit(labelled: DataFrame, order: int = ORDER, discount: float = DISCOUNT) -> DataFrame:
-    """Table (gram, change) from rows (url, good): see the module's text.
+def fold_of(url: Column, folds: int = FOLDS) -> Column:
+    return F.pmod(F.xxhash64(url, F.lit("fold")), F.lit(folds)).cast("int")
+
+
+def counted(labelled: DataFrame, order: int = ORDER, folds: int = FOLDS) -> DataFrame:
+    """(fold, gram, c0, c1) from rows (url, good, fold): n-grams of the other folds, and of ``ALL``."""
+    sides = [(fold, side) for fold in range(folds) for side in (0, 1)]
+    own = grams(_spread(labelled), order).groupBy("gram").agg(
+        *[F.sum(F.when((F.col("fold") == fold) & (F.col("good") == bool(side)), 1).otherwise(0)).alias(f"f{fold}_{side}") for fold, side in sides]
+    )
+    total = [sum((F.col(f"f{fold}_{side}") for fold in range(1, folds)), F.col(f"f0_{side}")) for side in (0, 1)]
+    models = [F.struct(F.lit(ALL).alias("fold"), *[t.alias(f"c{side}") for side, t in enumerate(total)])]
+    if folds > 1:
+        models += [F.struct(F.lit(fold).alias("fold"), *[(t - F.col(f"f{fold}_{side}")).alias(f"c{side}") for side, t in enumerate(total)]) for fold in range(folds)]
+    return own.select("gram", F.explode(F.array(*models)).alias("m")).select("m.fold", "gram", "m.c0", "m.c1").filter("c0 + c1 > 0")
+
+
+def fit(labelled: DataFrame, order: int = ORDER, discount: float = DISCOUNT, folds: int = FOLDS) -> DataFrame:
+    """Table (fold, gram, change) from rows (url, good, fold): see the module's text.
 
     Of both classes every n-gram is in the table that either has seen, so a class that
     lacks one falls back to its shorter context.
     """
-    counts = grams(_spread(labelled), order).groupBy("gram").agg(
-        *[F.sum(F.when(F.col("good") == side, 1).otherwise(0)).alias(f"c{int(side)}") for side in (True, False)]
-    )
-    counts = written(counts, "grams")
+    counts = written(counted(labelled, order, folds), "grams")
     size = F.char_length("gram")
     context = F.substring(F.col("gram"), F.lit(1), size - 1)
     rest = F.substring(F.col("gram"), F.lit(2), size - 1)
-    per_context = counts.groupBy(context.alias("context")).agg(
+    per_context = counts.groupBy("fold", context.alias("context")).agg(
         *[F.sum(f"c{s}").alias(f"t{s}") for s in (0, 1)], *[F.sum((F.col(f"c{s}") > 0).cast("long")).alias(f"k{s}") for s in (0, 1)]
     )
-    told = counts.select("gram", size.alias("n"), context.alias("context"), rest.alias("rest"), "c0", "c1").join(per_context, "context")
-    alphabet = counts.filter(F.char_length("gram") == 1).count() + 1
+    told = counts.select("fold", "gram", size.alias("n"), context.alias("context"), rest.alias("rest"), "c0", "c1").join(per_context, ["fold", "context"])
     told = written(told, "contexts")
-    level = told.filter("n = 1").withColumns({f"p{s}": _smoothed(s, discount, F.lit(1.0 / alphabet)) for s in (0, 1)})
-    level = written(level.select("gram", "p0", "p1", (F.log("p1") - F.log("p0")).alias("change")), "order-1")
-    out = level.select("gram", "change")
+    letters = {r["fold"]: r["count"] for r in told.filter("n = 1").groupBy("fold").count().collect()}  # a row per fold
+    uniform = F.coalesce(*[F.when(F.col("fold") == fold, 1.0 / (n + 1)) for fold, n in sorted(letters.items())], F.lit(1.0))
+    level = told.filter("n = 1").withColumns({f"p{s}": _smoothed(s, discount, uniform) for s in (0, 1)})
+    level = written(level.select("fold", "gram", "p0", "p1", (F.log("p1") - F.log("p0")).alias("change")), "order-1")
+    out = level.select("fold", "gram", "change")
     for n in range(2, order + 1):
-        below = level.select(F.col("gram").alias("rest"), F.col("p0").alias("b0"), F.col("p1").alias("b1"))
-        level = told.filter(F.col("n") == n).join(below, "rest").withColumns({f"p{s}": _smoothed(s, discount, F.col(f"b{s}")) for s in (0, 1)})
+        below = level.select("fold", F.col("gram").alias("rest"), F.col("p0").alias("b0"), F.col("p1").alias("b1"))
+        level = told.filter(F.col("n") == n).join(below, ["fold", "rest"]).withColumns({f"p{s}": _smoothed(s, discount, F.col(f"b{s}")) for s in (0, 1)})
         change = F.log(F.col("p1") / F.col("b1")) - F.log(F.col("p0") / F.col("b0"))
-        level = written(level.select("gram", "p0", "p1", change.alias("change")), f"order-{n}")
-        out = out.unionByName(level.select("gram", "change"))
+        level = written(level.select("fold", "gram", "p0", "p1", change.alias("change")), f"order-{n}")
+        out = out.unionByName(level.select("fold", "gram", "change"))
     return out
 
 
@@ -132,18 +156,22 @@ def _smoothed(side: int, discount: float, lower: Column) -> Column:
     return F.when(total > 0, own).otherwise(lower)
 
 
-def scores(urls: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
-    """(url, score) of distinct URLs: mean log ratio per character, 0 for an empty one.
+def scores(urls: DataFrame, model: DataFrame, order: int = ORDER, block: int = BLOCK) -> DataFrame:
+    """(url, fold, score) of distinct rows (url, fold): mean log ratio per character, 0 for an empty URL.
 
-    The model grows with the labelled URLs.  Up to ``SENT`` n-grams it is sent to all
-    tasks, which then sum each URL's n-grams before any shuffle; a longer one is joined by
-    a merge.  The choice is made here, as Spark's size estimate does not see how many
-    n-grams a URL has.
+    A block of URLs lists each of its n-grams once, in the task that holds the block, with the
+    numbers of the URLs it occurs in.  The lists meet the model, dealt to several tasks where
+    an n-gram is in every block, and return to their block to be summed.
     """
-    known = F.broadcast(model) if model.count() <= SENT else model.hint("merge")
-    found = grams(_spread(urls.select("url")), order).join(known, "gram").groupBy("url").agg(F.sum("change").alias("_s"))
-    kept = urls.select("url").join(found, "url", "left")
-    return kept.select("url", F.round(F.coalesce(F.col("_s") / F.greatest(F.char_length("url"), F.lit(1)), F.lit(0.0)), 9).alias("score"))
+    blocks = max(1, -(-urls.count() // block))
+    asked = urls.select("url", "fold", F.pmod(F.xxhash64("url", "fold"), F.lit(blocks)).alias("block"), F.xxhash64("fold", "url", F.lit("id")).alias("id"))
+    dealt = asked.repartition("block")
+    lists = grams(dealt, order).groupBy("block", "fold", "gram").agg(F.collect_list("id").alias("ids"))
+    met = salted_join(lists, model, ["fold", "gram"], "inner", salts=8).select("block", "ids", "change")
+    found = met.repartition("block").select("block", F.explode("ids").alias("id"), "change").groupBy("block", "id").agg(F.sum("change").alias("_s"))
+    kept = asked.join(found, ["block", "id"], "left")
+    score = F.coalesce(F.col("_s") / F.greatest(F.char_length("url"), F.lit(1)), F.lit(0.0))
+    return kept.select("url", "fold", F.round(score, 9).alias("score"))
 
 
 def calibrate(scored: DataFrame, steps: int = STEPS) -> float:
@@ -174,9 +202,10 @@ def judge(
 ) -> DataFrame:
     """id, host, path, rule, score and verdict of every row.
 
-    The models learn from all distinct URLs that a rule allows or blocks; then the threshold
-    is calibrated on these.  A URL under a rule has the
-    rule's verdict, others have the method's: allow at the threshold or above.
+    The models learn from all distinct URLs that a rule allows or blocks, and the threshold is
+    calibrated on the scores that these get from the models of the other folds.  A URL
+    under a rule has the rule's verdict, others have the method's: allow at the threshold or
+    above.
 
     A null URL, or one without ``://``, has an empty host and path and fits no rule; a null
     or empty one has score 0.  With one class of labelled URLs or none, all scores are 0 and
@@ -193,11 +222,13 @@ def judge(
         id_col, url.alias("url"), "host", "path", F.get(texts, F.col("_r")).alias("rule"), F.get(verdicts, F.col("_r")).alias("_v")
     )
     distinct = written(placed.groupBy("url").agg(F.first("_v").alias("_v")), "urls")
-    labelled = distinct.filter("_v IS NOT NULL").select("url", (F.col("_v") == "allow").alias("good"))
+    labelled = distinct.filter("_v IS NOT NULL").select("url", (F.col("_v") == "allow").alias("good"), fold_of(F.col("url")).alias("fold"))
     if labelled.select("good").distinct().count() < 2:
         scored, threshold = distinct.select("url", F.lit(0.0).alias("score")), 0.0
     else:
-        scored = written(scores(distinct, fit(labelled, order), order), "scores")
-        threshold = calibrate(scored.join(labelled, "url"))
+        asked = distinct.select("url", F.lit(ALL).alias("fold")).unionByName(labelled.select("url", "fold"))
+        told = written(scores(asked, fit(labelled, order), order), "scores")
+        threshold = calibrate(told.filter(F.col("fold") != ALL).join(labelled.select("url", "good"), "url"))
+        scored = told.filter(F.col("fold") == ALL).select("url", "score")
     own = F.when(F.col("score") >= threshold, "allow").otherwise("block")
     return placed.join(scored, "url", "left").select(id_col, "host", "path", "rule", "score", F.coalesce("_v", own).alias("verdict"))

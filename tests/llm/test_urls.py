@@ -55,27 +55,53 @@ class Plain:
         return out / max(len(url), 1)
 
 
-@pytest.mark.parametrize("sent", [urls.SENT, 0])
-def test_equals_the_plain_models(spark, monkeypatch, sent):
-    monkeypatch.setattr(urls, "SENT", sent)
+def cross_fitted(spark, labelled):
+    """Scores of labelled URLs by plain models of the other folds, and the threshold on them."""
+    from pyspark.sql import functions as F
+
+    frame = spark.createDataFrame([(u,) for u in labelled], "url string").select("url", urls.fold_of(F.col("url")).alias("fold"))
+    fold = {r["url"]: r["fold"] for r in frame.collect()}
+    plain = {f: Plain({u: g for u, g in labelled.items() if fold[u] != f}) for f in set(fold.values())}
+    scored = {u: round(plain[fold[u]].score(u), 9) for u in labelled}
+    table = spark.createDataFrame([(s, labelled[u]) for u, s in scored.items()], "score double, good boolean")
+    return scored, urls.calibrate(table)
+
+
+@pytest.mark.parametrize("block", [urls.BLOCK, 7])
+def test_equals_the_plain_models(spark, monkeypatch, block):
+    monkeypatch.setattr(urls, "BLOCK", block)
+    monkeypatch.setattr(urls.scores, "__defaults__", (urls.ORDER, block))
     pages = [r[:2] for r in rows("pages")] + [(10_000 + i, u) for i, u in enumerate(ODD)]
     labelled = {}
     for _, u in pages:
         if (v := rule(*split(u))[1]) is not None:
             labelled[u] = v == "allow"
     plain = Plain(labelled)
+    held_out, threshold = cross_fitted(spark, labelled)
     got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string")).collect()}
     assert len(got) == len(pages)
-    free = []
     for i, u in pages:
         r, (text, verdict) = got[i], rule(*split(u))
         assert (r["host"], r["path"], r["rule"]) == (*split(u), text)
         assert r["score"] == pytest.approx(plain.score(u or ""), abs=2e-9)
-        assert verdict in (None, r["verdict"])
-        if verdict is None:
-            free.append((r["score"], r["verdict"]))
-    allowed, blocked = [s for s, v in free if v == "allow"], [s for s, v in free if v == "block"]
-    assert not allowed or not blocked or min(allowed) > max(blocked)
+        near = abs(r["score"] - threshold) < 1e-8
+        assert near or r["verdict"] == (verdict or ("allow" if r["score"] >= threshold else "block"))
+    # On URLs that their models did not count, both classes are told apart.
+    rates = []
+    for side in (True, False):
+        shares = [(s >= threshold) == side for u, s in held_out.items() if labelled[u] == side]
+        rates.append(sum(shares) / len(shares))
+    assert sum(rates) > 1.2
+
+
+def test_folds_do_not_see_themselves(spark):
+    from pyspark.sql import functions as F
+
+    labelled = {f"x://com/en/{i:x}": False for i in range(60)} | {f"x://net/de/{i:o}": True for i in range(40)}
+    frame = spark.createDataFrame(list(labelled.items()), "url string, good boolean").withColumn("fold", urls.fold_of(F.col("url")))
+    told = {(r["url"], r["fold"]): r["score"] for r in urls.scores(frame.select("url", "fold"), urls.fit(frame)).collect()}
+    held_out, _ = cross_fitted(spark, labelled)
+    assert {u: s for (u, _), s in told.items()} == pytest.approx(held_out, abs=2e-9)
 
 
 def test_query_runs_no_python(spark):
