@@ -26,7 +26,8 @@ from curvelab.llm.common import mix, session, span_hashes, text_slices
 
 #: Rows per language that the model is fitted on: a sample bounded whatever the table's size.
 ROWS_PER_LANGUAGE = 80
-#: Languages a model can have: bounds its tables, which are sent to every task.
+#: Languages a model can have: bounds its tables, which are sent to every task.  Of more labels
+#: the most frequent ones are learned.
 LANGUAGES = 64
 EPOCHS, STEP, PENALTY = 6, 0.5, 1e-4
 #: Words of a training sequence, and of the pieces of one text it is made of.
@@ -207,8 +208,6 @@ def fit(texts: list[str], langs: list[str], seed: int = 5) -> Model | None:
     labels = sorted(set(langs))
     if not labels:
         return None
-    if len(labels) > LANGUAGES:
-        raise ValueError(f"{len(labels)} languages are labelled, a model can have {LANGUAGES}: clean the labels or raise LANGUAGES")
     index = {lang: i for i, lang in enumerate(labels)}
     half = [i for j, lang in enumerate(labels) for i in [k for k, x in enumerate(langs) if x == lang][::2]]
     rest = sorted(set(range(len(texts))) - set(half)) or half
@@ -306,11 +305,17 @@ def _learn(model: Model, words: Words, known: np.ndarray, truth: np.ndarray, squ
 def training_rows(docs: DataFrame, usable: Column, per_language: int = ROWS_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Up to ``per_language`` usable rows of each language, chosen by a hash of text and id.
 
-    The ranking keeps that many rows per language in each task before the shuffle.
+    Only the ``LANGUAGES`` labels with the most usable rows are learned, of equally many the
+    first in order of text; texts in other languages are predicted as the learned language
+    they resemble most.  The ranking keeps that many rows per language in each task before
+    the shuffle.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).filter(
         usable & F.col("text").isNotNull() & F.col("lang").isNotNull()
     )
+    counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    learned = [r["lang"] for r in counted.collect()]
+    rows = rows.filter(F.col("lang").isin(learned) if learned else F.lit(False))
     keyed = rows.select("lang", F.xxhash64("_id", "text").alias("_h"))
     ranked = keyed.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).filter(F.col("_r") <= per_language)
     chosen = {(r["lang"], r["_h"]) for r in ranked.select("lang", "_h").collect()}

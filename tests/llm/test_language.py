@@ -60,3 +60,17 @@ def test_edges(spark, edges, nothing, small):
     kept = language.identified(edges, model)
     assert kept.columns == edges.columns and {0, 1, 2, 8}.isdisjoint(r["doc_id"] for r in kept.select("doc_id").collect())
     assert language.identified(nothing, model).count() == 0
+
+
+def test_more_labels_than_a_model_can_have(spark):
+    """200 labels, most of them on one row each: the frequent ones are learned, and every row has a result."""
+    from pyspark.sql import functions as F
+
+    words = {"aa": "der die das und nicht", "bb": "the and not with from"}
+    rows = [(i, f"{words['aa' if i % 2 else 'bb']} {i % 7}", "aa" if i % 2 else "bb") for i in range(60)]
+    rows += [(100 + i, f"xq{i} zz{i}", f"dirty {i:03d}") for i in range(200)] + [(400, "der die das", "und"), (401, "the and", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs, F.lit(True))
+    assert len(model.labels) == language.LANGUAGES and {"aa", "bb"} <= set(model.labels)
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict(docs, model).collect()}
+    assert len(got) == len(rows) and got[1] == "aa" and got[2] == "bb" and set(got.values()) <= set(model.labels)
