@@ -21,6 +21,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -259,11 +260,11 @@ class Automaton:
             return np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int32)
         return tuple(np.concatenate(x) for x in zip(*out))
 
-    def _paths(self, last: np.ndarray, offsets: np.ndarray, lengths: np.ndarray, alone: np.ndarray, spelled: list[list[int]]) -> Ragged:
+    def _paths(self, last: np.ndarray, offsets: np.ndarray, lengths: np.ndarray, alone: np.ndarray, spelled: list[np.ndarray]) -> Ragged:
         """Follow the last tokens back from each word's end."""
         words = np.flatnonzero(lengths)
         at, left = offsets[words] + lengths[words] + words, lengths[words]
-        owners, tokens = [np.repeat(alone, [len(x) for x in spelled])], [np.array([t for x in spelled for t in reversed(x)], np.int32)]
+        owners, tokens = [np.repeat(alone, [len(x) for x in spelled])], [np.concatenate([x[::-1] for x in spelled]) if spelled else np.empty(0, np.int32)]
         while len(words):
             token = last[at]
             owners.append(words)
@@ -277,48 +278,39 @@ class Automaton:
 
     def _walk(self, word: bytes, at: int) -> list[tuple[int, int]]:
         """(end, token) of all tokens that stand at a position, shorter ones first."""
-        out, node, end = [], 0, at
+        out, node = [], 0
         step, ends = self.step.get, self.ends.get
-        for b in word[at:]:
-            node = step((node << 8) | b)
+        for end in range(at, len(word)):
+            node = step((node << 8) | word[end])
             if node is None:
                 break
-            end += 1
             token = ends(node)
             if token is not None:
-                out.append((end, token))
+                out.append((end + 1, token))
         return out
 
-    def encode(self, word: bytes) -> list[int]:
-        """The one path that spells ``word``.
+    def encode(self, word: bytes) -> np.ndarray:
+        """The one path that spells ``word``, in time and memory proportional to its length.
 
         Longer tokens are tried first.  A position is reached by one path only, so one
-        from which the end was not reached is never entered again.
+        from which the end was not reached is never entered again; the tokens that stand at
+        a position are looked up anew when the path comes back to it.
         """
         n = len(word)
-        if not n:
-            return []
-        dead: set[int] = set()
-        path: list[tuple[list[tuple[int, int]], int]] = []
-        last, at, open_ = -1, 0, self._walk(word, 0)
-        while True:
-            while open_:
-                end, token = open_.pop()
-                if end in dead:
-                    continue
-                if last >= 0:
-                    if not self._arc(last, token):
-                        continue
-                path.append((open_, token))
-                if end == n:
-                    return [t for _, t in path]
-                last, at, open_ = token, end, self._walk(word, end)
-                break
+        dead, path = bytearray(n + 1), array("i")
+        last, at, below = -1, 0, n + 1
+        while at < n:
+            for end, token in reversed(self._walk(word, at)):
+                if end < below and not dead[end] and (last < 0 or self._arc(last, token)):
+                    path.append(token)
+                    last, at, below = token, end, n + 1
+                    break
             else:
-                dead.add(at)
-                open_, token = path.pop()
-                at -= len(self.labels[token])
-                last = path[-1][1] if path else -1
+                dead[at] = 1
+                below = at
+                at -= len(self.labels[path.pop()])
+                last = path[-1] if path else -1
+        return np.frombuffer(path, np.int32) if path else np.empty(0, np.int32)
 
 
 #: Classes of characters: white space, letters, numbers, others.

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
@@ -54,7 +55,7 @@ def test_small_automaton_by_hand():
                 if best is None:
                     break
                 merged[best[1] : best[1] + 2] = [best[0][1]]
-            assert automaton.encode(bytes(b"ab"[x] for x in word)) == merged
+            assert automaton.encode(bytes(b"ab"[x] for x in word)).tolist() == merged
 
 
 def test_query_equals_the_library(spark, small, library):
@@ -73,3 +74,21 @@ def test_edges(edges, edge_rows, nothing, library):
     want = {(r[0], tuple(library.encode(r[1] or "", add_special_tokens=False).ids), r[1] or "") for r in edge_rows}
     assert {(r["doc_id"], tuple(r["ids"]), r["decoded"]) for r in got} == want
     assert bpe.encode(nothing).count() == 0
+
+
+def test_a_very_long_word_takes_time_in_proportion(library):
+    """Words without a break: equal to the library, and ten megabytes of one."""
+    import time
+
+    codec = bpe.codec(bpe.tokenizer_path("byte_bpe_50k.json"))
+    gen = np.random.default_rng(4)
+    letters = "".join(chr(97 + x) for x in gen.integers(0, 26, 10_000_000))
+    for text in (letters[:100_000], "ab" * 30_000, "a" * 20_001, "é" * 999):
+        assert codec.ids(text) == library.encode(text, add_special_tokens=False).ids
+    took = []
+    for n in (1_000_000, 10_000_000):
+        started = time.process_time()
+        tokens = codec.automaton.encode(letters[:n].encode())
+        took.append(time.process_time() - started)
+        assert b"".join(codec.labels[t] for t in tokens.tolist()) == letters[:n].encode()
+    assert took[1] < 20 * took[0]
