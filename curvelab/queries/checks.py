@@ -107,9 +107,9 @@ _SCORE_SESSIONS = 26
         f"""{learning._LEARNED}, dv AS (SELECT spread_id, t, d FROM f JOIN (SELECT DISTINCT d, i, n FROM nr) nr ON d = session_date WHERE i < n - 5),
         fz AS (SELECT {learning._GROUP} AS g, max(d) AS d FROM dv GROUP BY 1), fw AS (SELECT wt.g, w, seen, false AS frozen FROM wt JOIN fz USING (g, d)),
         sc AS ({learning._HOUR_SCORE} FROM vc JOIN fw ON fw.g = {learning._GROUP} QUALIFY row_number() OVER (PARTITION BY spread_id ORDER BY t DESC) = 1)
-        SELECT spread_id, strftime(t, '%Y-%m-%d %H:%M:%S') AS timestamp_utc, z AS robust_z, rsi, er AS efficiency_ratio, flow AS signed_volume_imbalance_proxy, longs::BIGINT AS votes_long, shorts::BIGINT AS votes_short,
+        SELECT spread_id, strftime(t, '%Y-%m-%d %H:%M:%S') AS timestamp_utc, z AS robust_z, rsi, er AS efficiency_ratio, flow AS signed_volume_imbalance_proxy, smz AS seasonal_move_z, longs::BIGINT AS votes_long, shorts::BIGINT AS votes_short,
           score AS adaptive_score, 0.0 AS max_delta, 'PASS' AS status FROM sc""",
-        "spread_id, timestamp_utc, votes_long, votes_short, status", "robust_z, rsi, efficiency_ratio, signed_volume_imbalance_proxy, adaptive_score, max_delta",
+        "spread_id, timestamp_utc, votes_long, votes_short, status", "robust_z, rsi, efficiency_ratio, signed_volume_imbalance_proxy, seasonal_move_z, adaptive_score, max_delta",
     ),
 )
 def train_score_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,8 +119,8 @@ def train_score_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     version = RL.train_model(path, voted, HOURLY, W.walk_forward(voted, HOURLY.folds))
     model = RL.load_model(spark, path, version, HOURLY)
     trained = X.apply_frozen_weights(X.with_expert_votes(learning.hour_features(spark, sf_dir)), model.weights, HOURLY.learner)
-    scored = RL.score_recent(views.hour_packages(spark, sf_dir), model, HOURLY, _SCORE_SESSIONS)
-    numbers = ["robust_z", "rsi", "efficiency_ratio", "signed_volume_imbalance_proxy", "adaptive_score"]
+    scored = RL.score_recent(views.hour_packages(spark, sf_dir), model, HOURLY, _SCORE_SESSIONS, learning.hour_prior(spark, sf_dir))
+    numbers = ["robust_z", "rsi", "efficiency_ratio", "signed_volume_imbalance_proxy", "seasonal_move_z", "adaptive_score"]
     longs, shorts = X.vote_counts()
     shown = lambda df: latest_by(df.select("spread_id", "timestamp_utc", "regime", "adaptive_vote", *numbers, longs.alias("votes_long"), shorts.alias("votes_short")), "spread_id", "timestamp_utc")
     compared = Q.row_parity(shown(trained), shown(scored), "spread_id", ["timestamp_utc", "regime", "adaptive_vote", "votes_long", "votes_short"], numbers)

@@ -310,7 +310,7 @@ ph AS (SELECT spread_id, strategy_id, phase, CASE WHEN phase = 'OOS' THEN fin EN
 
 _BOARD = f"""{hour_score_sql()},
 rk AS (SELECT spread_id, list({{'s': strategy_id, 'ok': status = 'VALIDATED', 'net': net}} ORDER BY {EVIDENCE_ORDER}) AS trials FROM sc GROUP BY 1),
-bd0 AS (SELECT hv.*, rolling_median AS med, 1.4826 * rolling_mad AS scale, coalesce(trials, []) AS trials, slot + 1.0 AS cost, day(session_date) % 3 + 1 AS tier, NOT (hv.spread_id > 'v' AND day(session_date) % 7 = 0) AS enabled,
+bd0 AS (SELECT hv.*, rolling_median AS med, coalesce(0.7 * rolling_median + 0.3 * (x + smove), rolling_median, x + smove) AS fair, 1.4826 * rolling_mad AS scale, coalesce(trials, []) AS trials, slot + 1.0 AS cost, day(session_date) % 3 + 1 AS tier, NOT (hv.spread_id > 'v' AND day(session_date) % 7 = 0) AS enabled,
    CASE WHEN hv.spread_id BETWEEN 'd' AND 'q' THEN 'X' ELSE hv.spread_id[1:1] END AS grp, MAP({[x.strategy_id for x in STRATEGIES]}, [{', '.join(learning._V)}, regime_vote, adaptive_vote]) AS votes,
    CASE WHEN relvol IS NULL OR relvol < 0.35 THEN 'LOW_RELATIVE_VOLUME' WHEN cap < 1 THEN 'INSUFFICIENT_EXECUTABLE_CAPACITY' WHEN cap > 2 AND cap - 2 > 30 THEN 'WIDE_MARKET' ELSE 'PASS' END AS gate
   FROM hv JOIN (SELECT spread_id, t, rolling_median, rolling_mad FROM z3) z3 USING (spread_id, t) LEFT JOIN rk ON rk.spread_id = hv.spread_id),
@@ -318,7 +318,7 @@ bd1 AS (SELECT *, list_filter(trials, lambda q: q.ok AND votes[q.s] <> 0)[1].s A
 bd2 AS (SELECT *, coalesce(backed, CASE WHEN adaptive_vote <> 0 THEN 'ADAPTIVE_EXPERT_MIX' ELSE 'REGIME_ENSEMBLE' END) AS strategy, CASE WHEN backed IS NOT NULL THEN votes[backed] WHEN adaptive_vote <> 0 THEN adaptive_vote ELSE regime_vote END AS dir,
    greatest(0, least(0.95, 0.38 + 0.1 * least(3, greatest(longs, shorts)) + 0.12 * least(2.0, coalesce(relvol, 0)) / 2 + 0.08 * least(3.0, abs(coalesce(z, 0))) / 3) - 0.04 * (tier - 1)) AS heur FROM bd1),
 bd3 AS (SELECT *, least(0.75, CASE WHEN adaptive_vote <> 0 THEN coalesce(confidence, heur) ELSE heur END) AS conf, len(list_filter(trials, lambda q: q.ok AND q.s = strategy)) > 0 AS proven,
-   CASE WHEN dir <> 0 AND x IS NOT NULL AND med IS NOT NULL THEN greatest(0, dir * (med - x)) ELSE 0 END * 1000 / (2 * cost) AS edge FROM bd2),
+   CASE WHEN dir <> 0 AND x IS NOT NULL AND fair IS NOT NULL THEN greatest(0, dir * (fair - x)) ELSE 0 END * 1000 / (2 * cost) AS edge FROM bd2),
 bd AS (SELECT *, CASE WHEN NOT enabled THEN 'ANALYTIC ONLY' WHEN slot = 5 THEN 'EXPIRY BLOCK' WHEN gate <> 'PASS' THEN 'NO TRADE' WHEN coalesce(alarm, false) THEN 'REGIME BLOCK' WHEN dir <> 0 AND edge < 3 THEN 'WATCH'
     WHEN dir > 0 AND conf >= 0.58 AND proven THEN 'BUY' WHEN dir < 0 AND conf >= 0.58 AND proven THEN 'SELL' WHEN longs > 0 OR shorts > 0 THEN 'WATCH' ELSE 'FLAT' END AS status,
    CASE WHEN NOT enabled THEN 'ANALYTIC_ONLY' WHEN coalesce(alarm, false) THEN 'STRUCTURAL_BREAK' WHEN seen < 5 THEN 'WARMUP' WHEN adaptive_vote > 0 THEN 'BULLISH_CONSENSUS' WHEN adaptive_vote < 0 THEN 'BEARISH_CONSENSUS' WHEN longs > 0 AND shorts > 0 THEN 'MIXED_PATTERN'
@@ -332,7 +332,7 @@ win AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY c DESC, edge DESC,
     "signal_board",
     settle_sql(
         f"""{_BOARD} SELECT bd.spread_id, strftime(bd.t, '%Y-%m-%d %H:%M:%S') AS timestamp_utc, status, strategy AS signal_strategy_id, dir AS direction, conf AS confidence, edge AS expected_edge_to_cost, med - 1.8 * scale AS buy_entry_ceiling, med + 1.8 * scale AS sell_entry_floor,
-          med AS fair_value_target, x - 2.5 * coalesce(ew, 0) AS long_stop, x + 2.5 * coalesce(ew, 0) AS short_stop, pattern AS pattern_state, longs || ' long / ' || shorts || ' short; top=' || [{', '.join(f"'{e}'" for e in learning._SHORT)}][list_position(w, list_max(w))] AS pattern_components,
+          fair AS fair_value_target, x - 2.5 * coalesce(ew, 0) AS long_stop, x + 2.5 * coalesce(ew, 0) AS short_stop, pattern AS pattern_state, longs || ' long / ' || shorts || ' short; top=' || [{', '.join(f"'{e}'" for e in learning._SHORT)}][list_position(w, list_max(w))] AS pattern_components,
           CASE WHEN trials[1].ok THEN 'A - VALIDATED' WHEN coalesce(trials[1].net, 0) > 0 THEN 'B - POSITIVE RESEARCH' ELSE 'C - INSUFFICIENT EVIDENCE' END AS oos_grade, gate AS liquidity_gate, proven::BIGINT AS direction_evidence_validated, floor(cap)::BIGINT AS max_packages,
           CASE WHEN status IN ('BUY', 'SELL') AND proven THEN CASE WHEN a.r1 = 1 AND w1.r2 <= 3 THEN 'SELECTED' WHEN w1.r2 <= 3 THEN 'DUPLICATE_ALGEBRA_GROUP' ELSE 'DAILY_TRADE_BUDGET' END WHEN status = 'WATCH' THEN 'WATCH_ONLY' ELSE 'NOT_ACTIONABLE' END AS portfolio_action
         FROM bd LEFT JOIN (SELECT spread_id, t, r1 FROM act) a ON a.spread_id = bd.spread_id AND a.t = bd.t LEFT JOIN (SELECT t, grp, r2 FROM win) w1 ON w1.t = bd.t AND w1.grp = bd.grp""",

@@ -19,6 +19,7 @@ from curvelab.plans.settings import Settings
 from curvelab.queries import bars as B
 from curvelab.queries import ctes
 from curvelab.registry import query
+from curvelab.scale import blocked
 from curvelab.sources import views
 from curvelab.stages import stage
 
@@ -32,10 +33,31 @@ HOURLY = Settings(
 )
 
 
+# The daily history that each hourly series has in earlier years, and its scale.
+_HISTORY = {"click": "Brand#1", "error": "Brand#10", "purchase": "Brand#11", "signup": "Brand#12", "view": "Brand#13"}
+_HISTORY_SCALE = 0.1
+
+
+def hour_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seasonal prior of the hourly series' sessions from daily closes of earlier years."""
+
+    def build() -> DataFrame:
+        pairs = F.create_map(*[F.lit(x) for series, brand in _HISTORY.items() for x in (brand, series)])
+        history = _seasonal_input(spark, sf_dir).withColumns(
+            {"spread_id": F.element_at(pairs, F.col("spread_id")), "spread_close": F.col("spread_close") * _HISTORY_SCALE, "price_change": F.col("price_change") * _HISTORY_SCALE}
+        )
+        own = views.hour_packages(spark, sf_dir).groupBy("spread_id", "session_date").agg(F.max_by("spread_close", "timestamp_utc").alias("spread_close"))
+        sessions = _placed(own.withColumn("price_change", F.lit(None).cast("double")))
+        rows = history.filter(F.col("spread_id").isNotNull()).unionByName(sessions)
+        return seasonal.seasonality(rows).join(sessions.select(F.year("session_date").alias("asof_year")).distinct(), "asof_year", "left_semi")
+
+    return stage(spark, "hour-prior", sf_dir, build)
+
+
 def hour_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(
         spark, "hour-features", sf_dir,
-        lambda: seasonal.attach_seasonality(I.add_indicators(views.hour_packages(spark, sf_dir), B.P), None),
+        lambda: seasonal.attach_seasonality(I.add_indicators(views.hour_packages(spark, sf_dir), B.P), hour_prior(spark, sf_dir)),
     )
 
 
@@ -49,12 +71,16 @@ def hour_voted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _seasonal_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily brand series with its change and a distance to the quarter end."""
-    w = Window.partitionBy("entity").orderBy("session_date")
-    return views.day_bars(spark, sf_dir).select(
-        F.col("entity").alias("spread_id"),
-        "session_date",
-        F.col("close").alias("spread_close"),
-        (F.col("close") - F.lag("close").over(w)).alias("price_change"),
+    bars = views.day_bars(spark, sf_dir)
+    b = blocked(bars, "entity", "session_date", F.trunc("session_date", "year"), halo=1)
+    moved = b.finish(b.frame.withColumn("price_change", F.col("close") - F.lag("close").over(b.order)))
+    return _placed(moved.select(F.col("entity").alias("spread_id"), "session_date", F.col("close").alias("spread_close"), "price_change"))
+
+
+def _placed(daily: DataFrame) -> DataFrame:
+    """Days to the quarter's end, and Sundays marked as settled later."""
+    return daily.select(
+        "spread_id", "session_date", "spread_close", "price_change",
         F.datediff(F.last_day(F.add_months(F.trunc("session_date", "quarter"), 2)), "session_date").alias("sessions_to_risk_date"),
         F.when(F.dayofweek("session_date") == 1, "DEFERRED").otherwise("EXCHANGE_SETTLE").alias("settlement_quality"),
     )
@@ -101,14 +127,25 @@ _SHORT = {
     "VOLATILITY_SQUEEZE": ("width <= 1.25 * p20 AND relvol >= 1.05 AND coalesce(pvo, 0) > -0.1 AND x > dhi",
                            "width <= 1.25 * p20 AND relvol >= 1.05 AND coalesce(pvo, 0) > -0.1 AND x < dlo"),
     "SESSION_VWAP_REVERSION": ("slot < 23 AND (x - svwap) / nullif(ew, 0) <= -1.5", "slot < 23 AND (x - svwap) / nullif(ew, 0) >= 1.5"),
-    "ERROR_CORRECTION_RESIDUAL": ("false", "false"),
+    "ERROR_CORRECTION_RESIDUAL": ("CASE WHEN produced THEN smz >= 0.2 ELSE coalesce(sn, 0) >= 8 AND sz <= -1.6 AND z <= -0.5 END",
+                                  "CASE WHEN produced THEN smz <= -0.2 ELSE coalesce(sn, 0) >= 8 AND sz >= 1.6 AND z >= 0.5 END"),
     "STABILITY_REVERSION": ("mrs >= 0.45 AND coalesce(vr5, 0.999) < 1 AND z <= -1.5", "mrs >= 0.45 AND coalesce(vr5, 0.999) < 1 AND z >= 1.5"),
     "FLOW_DIVERGENCE": ("coalesce(effort, 0.5) >= 0.5 AND z <= -1.2 AND flow >= 0.15", "coalesce(effort, 0.5) >= 0.5 AND z >= 1.2 AND flow <= -0.15"),
 }
 _V = [f"expert_vote_{e.lower()}" for e in _SHORT]
 
+_PLACES = "year($) AS y, dayofyear($) AS doy, date_diff('day', $, CAST(date_trunc('quarter', $) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE)) AS dte"
+_PRIOR = f"""sp_h AS (SELECT m.s AS spread_id, close * {_HISTORY_SCALE} AS close, {_HISTORY_SCALE} * (close - lag(close) OVER (PARTITION BY entity ORDER BY session_date)) AS mv, {_PLACES.replace('$', 'session_date')}
+  FROM dbars JOIN (VALUES {', '.join(f"('{b}', '{s}')" for s, b in _HISTORY.items())}) m(b, s) ON m.b = entity),
+sp_t AS (SELECT spread_id, session_date AS sd, {_PLACES.replace('$', 'session_date')} FROM (SELECT DISTINCT spread_id, session_date FROM hp)),
+sp_n AS (SELECT t.spread_id, t.sd, quantile_cont(h.close, [0.25, 0.5, 0.75]) AS lq, count(h.close) AS ln, median(h.mv) AS mm, count(h.mv) AS mn FROM sp_t t JOIN sp_h h ON h.spread_id = t.spread_id AND h.y < t.y AND least(abs(h.doy - t.doy), 366 - abs(h.doy - t.doy)) <= 14 GROUP BY ALL),
+sp_e AS (SELECT t.spread_id, t.sd, median(h.mv) AS em FROM sp_t t JOIN sp_h h ON h.spread_id = t.spread_id AND h.y < t.y AND abs(h.dte - t.dte) <= 5 GROUP BY ALL),
+sp_y AS (SELECT spread_id, count(DISTINCT y) AS py FROM sp_h GROUP BY 1),
+sp AS (SELECT spread_id AS sid, sd, lq, ln, py, least(py / 8.0, 1) * (mn / (mn + 16.0)) AS sup, least(py / 8.0, 1) * (mn / (mn + 16.0)) * mm AS m1, least(py / 8.0, 1) * (mn / (mn + 16.0)) * em AS e1,
+  CASE WHEN dayofweek(sd) = 0 THEN 0.65 ELSE 1 END AS quality FROM sp_n JOIN sp_y USING (spread_id) LEFT JOIN sp_e USING (spread_id, sd) WHERE ln >= 8 OR mn >= 8)"""
+
 _VOTED = f"""
-WITH {ctes.HBARS},
+WITH {ctes.HBARS}, {ctes.DBARS}, {_PRIOR},
 {B._REGIME_BODY}, {B._BOLL_BODY}, {B._MACD_BODY}, {B._RSI_BODY}, {B._SAME_SLOT},
 {B.scan(B.ewm_sql(24), 'cap', 'hp', 'vf')}, {B.scan(B.ewm_sql(72), 'cap', 'hp', 'vs')},
 ad AS (SELECT spread_id, t, abs(d) AS ad FROM hp), {B.scan(B.ewm_sql(72), 'ad', 'ad', 'ew')},
@@ -118,8 +155,9 @@ dc AS (SELECT spread_id, t, {B.roll('max($)', 'x', 72, 72, B._prior(72))} AS dhi
   CASE WHEN count(*) OVER {B._w(24)} >= 24 THEN sum(coalesce(sign(d) * bbl, 0)) OVER {B._w(24)} / nullif(sum(bbl) OVER {B._w(24)}, 0) END AS flow FROM hp),
 f AS (SELECT hp.spread_id, hp.t, hp.session_date, hp.slot, hp.x, hp.cap, z4.robust_z AS z, rsi.rsi, rg.er, rg.mrs, rg.vr5, rg.alarm, dhi, dlo, svwap, flow,
   macd_histogram AS hist, ema_slow, mid, ss.relvol, ss.tod, ss.surprise, width, p20, CASE WHEN vs_i >= 72 THEN (vf - vs) / nullif(vs, 0) END AS pvo, CASE WHEN ew_i >= 24 THEN ew END AS ew,
-  ss.relvol / (abs(vv.nc) + 0.25) AS effort
-  FROM hp JOIN z4 USING (spread_id, t) JOIN rg USING (spread_id, t) JOIN vv USING (spread_id, t) JOIN rsi USING (spread_id, t) JOIN macd USING (spread_id, t)
+  ss.relvol / (abs(vv.nc) + 0.25) AS effort, sp.ln AS sn, coalesce(0.7 * m1 + 0.3 * e1, m1, e1) AS smove, (hp.x - lq[2]) / (CASE WHEN lq[3] > lq[1] THEN (lq[3] - lq[1]) / 1.349 END) AS sz,
+  coalesce(0.7 * m1 + 0.3 * e1, m1, e1) / nullif(vol5, 0) AS smz, (coalesce(0.7 * m1 + 0.3 * e1, m1, e1) / nullif(vol5, 0)) IS NOT NULL AND coalesce(sp.ln, 0) >= 8 AND coalesce(py, 0) >= 2 AND coalesce(sup * quality, 0) > 0 AS produced, sup * quality AS sconf
+  FROM hp LEFT JOIN sp ON sid = hp.spread_id AND sd = hp.session_date JOIN z4 USING (spread_id, t) JOIN rg USING (spread_id, t) JOIN vv USING (spread_id, t) JOIN rsi USING (spread_id, t) JOIN macd USING (spread_id, t)
   JOIN ss USING (spread_id, t) JOIN bq USING (spread_id, t) JOIN dc USING (spread_id, t) JOIN vf_r USING (spread_id, t) JOIN vs_r USING (spread_id, t) LEFT JOIN ew_r USING (spread_id, t)),
 vt AS (SELECT *, {', '.join(f"CASE WHEN NOT coalesce(alarm, false) AND ({u}) THEN 1 WHEN NOT coalesce(alarm, false) AND ({d}) THEN -1 ELSE 0 END AS {n}" for n, (u, d) in zip(_V, _SHORT.values(), strict=True))} FROM f),
 vc AS (SELECT *, {' + '.join(f'({n} > 0)::INT' for n in _V)} AS longs, {' + '.join(f'({n} < 0)::INT' for n in _V)} AS shorts FROM vt)
@@ -363,7 +401,7 @@ _EXITS = (
     "CASE WHEN x IS NOT NULL AND ema_slow IS NOT NULL AND hist IS NOT NULL AND (s * (x - ema_slow) < 0 OR s * hist < 0) THEN 4 ELSE 0 END",
     "CASE WHEN s * (x - mid) < 0 THEN 5 ELSE 0 END",
     "CASE WHEN s * (x - svwap) >= 0 THEN 6 WHEN slot >= last_slot THEN 7 ELSE 0 END",
-    "CASE WHEN s * z > 0.35 THEN 10 ELSE 0 END",
+    "CASE WHEN s * smz <= 0 THEN 8 WHEN abs(sz) <= 0.35 THEN 9 WHEN s * z > 0.35 THEN 10 ELSE 0 END",
     "CASE WHEN coalesce(alarm, false) THEN 11 WHEN abs(z) <= 0.25 THEN 2 ELSE 0 END",
     "CASE WHEN coalesce(alarm, false) THEN 11 WHEN abs(z) <= 0.25 THEN 2 WHEN s * flow <= 0 THEN 12 ELSE 0 END",
     "CASE WHEN coalesce(alarm, false) THEN 11 WHEN regime_vote = 0 OR regime_vote = -s THEN 13 ELSE 0 END",
@@ -488,3 +526,20 @@ def equity_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 def marked_equity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Position, realised result and equity marked at every bar's close (A4, per bar)."""
     return settle(L.marked_equity(hour_inputs(spark, sf_dir), hour_trades(spark, sf_dir)))
+
+
+@query(
+    "seasonal_attach",
+    settle_sql(
+        f"""{_VOTED} SELECT spread_id, strftime(t, '%Y-%m-%d %H:%M:%S') AS timestamp_utc, sn AS seasonal_n, sz AS seasonal_z, smove AS seasonal_expected_move_1d, x + smove AS seasonal_fair_value_1d, smz AS seasonal_move_z, sconf AS seasonal_confidence,
+          expert_vote_error_correction_residual FROM vc""",
+        "spread_id, timestamp_utc, seasonal_n, expert_vote_error_correction_residual", "seasonal_z, seasonal_expected_move_1d, seasonal_fair_value_1d, seasonal_move_z, seasonal_confidence",
+    ),
+)
+def seasonal_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prior of earlier years beside every bar, and the seasonal expert's vote on it."""
+    voted = X.with_expert_votes(hour_features(spark, sf_dir))
+    return settle(voted.select(
+        "spread_id", "timestamp_utc", "seasonal_n", "seasonal_z", "seasonal_expected_move_1d", "seasonal_fair_value_1d", "seasonal_move_z", "seasonal_confidence",
+        "expert_vote_error_correction_residual",
+    ))
