@@ -11,7 +11,8 @@ each fold is scored by the models of the others.  The models in use count all of
 
 Scoring is one join: the model table holds for each n-gram how much the log ratio changes
 against the n-gram without its first character, so the ratio at the longest known context
-is the sum over all known n-grams that end at the character.  URLs are scored in blocks: a
+is the sum over all known n-grams that end at the character.  All of these are endings of the
+longest n-gram there, so a URL has one n-gram a character.  URLs are scored in blocks: a
 block's n-grams are listed once each, with the URLs they occur in, and only these lists move.
 """
 
@@ -21,7 +22,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curvelab.llm.common import session, written
@@ -88,19 +89,23 @@ def rule_of(host: Column, path: Column, rules: Sequence[HostRule]) -> Column:
     return F.lit(None).cast("int") if out is None else out
 
 
-def grams(urls: DataFrame, order: int = ORDER) -> DataFrame:
-    """One row per character and n-gram that ends there: the columns of ``urls`` and ``gram``."""
+def longest_grams(urls: DataFrame, order: int = ORDER) -> DataFrame:
+    """One row per character: the columns of ``urls`` and ``word``, the longest n-gram that ends there."""
     padded = F.concat(F.lit(START), F.col("url"))
     ends = F.explode(F.sequence(F.lit(2), F.char_length("url") + 1))
     at = urls.filter(F.char_length("url") > 0).withColumns({"_u": padded, "_end": ends})
-    sizes = F.explode(F.sequence(F.lit(1), F.least(F.lit(order), F.col("_end"))))
-    sized = at.withColumn("_n", sizes)
-    return sized.withColumn("gram", F.substring(F.col("_u"), F.col("_end") - F.col("_n") + 1, F.col("_n"))).drop("_u", "_end", "_n")
+    size = F.least(F.lit(order), F.col("_end"))
+    return at.withColumn("word", F.substring(F.col("_u"), F.col("_end") - size + 1, size)).drop("_u", "_end")
 
 
-def _spread(urls: DataFrame) -> DataFrame:
+def endings(words: DataFrame) -> DataFrame:
+    """One row per ending of ``word``, itself included, as ``gram``."""
+    return words.withColumn("_n", F.explode(F.sequence(F.lit(1), F.char_length("word")))).withColumn("gram", F.right(F.col("word"), F.col("_n"))).drop("_n")
+
+
+def _spread(urls: DataFrame, key: str) -> DataFrame:
     """A URL becomes some hundred n-grams: the URLs are spread over as many tasks as a shuffle has."""
-    return urls.repartition(int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions")), "url")
+    return urls.repartition(int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def fold_of(url: Column, folds: int = FOLDS) -> Column:
@@ -110,9 +115,10 @@ def fold_of(url: Column, folds: int = FOLDS) -> Column:
 def counted(labelled: DataFrame, order: int = ORDER, folds: int = FOLDS) -> DataFrame:
     """(fold, gram, c0, c1) from rows (url, good, fold): n-grams of the other folds, and of ``ALL``."""
     sides = [(fold, side) for fold in range(folds) for side in (0, 1)]
-    own = grams(_spread(labelled), order).groupBy("gram").agg(
-        *[F.sum(F.when((F.col("fold") == fold) & (F.col("good") == bool(side)), 1).otherwise(0)).alias(f"f{fold}_{side}") for fold, side in sides]
-    )
+    here = [F.when((F.col("fold") == fold) & (F.col("good") == bool(side)), 1).otherwise(0) for fold, side in sides]
+    names = [f"f{fold}_{side}" for fold, side in sides]
+    words = longest_grams(_spread(labelled, "url"), order).groupBy("word").agg(*[F.sum(h).alias(n) for h, n in zip(here, names)])
+    own = endings(words).groupBy("gram").agg(*[F.sum(n).alias(n) for n in names])
     total = [sum((F.col(f"f{fold}_{side}") for fold in range(1, folds)), F.col(f"f0_{side}")) for side in (0, 1)]
     models = [F.struct(F.lit(ALL).alias("fold"), *[t.alias(f"c{side}") for side, t in enumerate(total)])]
     if folds > 1:
@@ -164,11 +170,12 @@ def scores(urls: DataFrame, model: DataFrame, order: int = ORDER, block: int = B
     an n-gram is in every block, and return to their block to be summed.
     """
     blocks = max(1, -(-urls.count() // block))
-    asked = urls.select("url", "fold", F.pmod(F.xxhash64("url", "fold"), F.lit(blocks)).alias("block"), F.xxhash64("fold", "url", F.lit("id")).alias("id"))
-    dealt = asked.repartition("block")
-    lists = grams(dealt, order).groupBy("block", "fold", "gram").agg(F.collect_list("id").alias("ids"))
-    met = salted_join(lists, model, ["fold", "gram"], "inner", salts=8).select("block", "ids", "change")
-    found = met.repartition("block").select("block", F.explode("ids").alias("id"), "change").groupBy("block", "id").agg(F.sum("change").alias("_s"))
+    dealt = _spread(urls.select("url", "fold", F.pmod(F.xxhash64("url", "fold"), F.lit(blocks)).alias("block")), "block")
+    asked = written(dealt.withColumn("id", F.row_number().over(Window.partitionBy("block").orderBy("fold", "url"))), "blocks")
+    lists = written(longest_grams(_spread(asked, "block"), order).groupBy("block", "fold", "word").agg(F.collect_list("id").alias("ids")), "lists")
+    told = endings(lists.select("fold", "word").distinct()).join(model, ["fold", "gram"]).groupBy("fold", "word").agg(F.sum("change").alias("change"))
+    met = salted_join(lists, told, ["fold", "word"], "inner", salts=4).select("block", "ids", "change")
+    found = _spread(met, "block").select("block", F.explode("ids").alias("id"), "change").groupBy("block", "id").agg(F.sum("change").alias("_s"))
     kept = asked.join(found, ["block", "id"], "left")
     score = F.coalesce(F.col("_s") / F.greatest(F.char_length("url"), F.lit(1)), F.lit(0.0))
     return kept.select("url", "fold", F.round(score, 9).alias("score"))
