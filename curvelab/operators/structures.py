@@ -140,6 +140,19 @@ def curve_structures(horizon: int = 16, roots: Iterable[str] = ("HO", "CL", "CO"
     return tuple(t.at(rank) for t in curve_templates(roots) for rank in range(1, horizon - t.span + 1))
 
 
+def by_rank(spread_id: str, name: str, legs: Iterable[tuple[str, int, int]]) -> Structure:
+    """Legs (root, rank, sign) by their place on the curve, whatever their delivery."""
+    made = tuple(Leg(root, 0, sign, mode="rank", rank=rank) for root, rank, sign in legs)
+    return Structure(spread_id, name, "Ranked", made[0].root, 1, 1, spread_id.replace(".", "_"), made)
+
+
+#: Four deliveries of four roots: packages of two, three, four and six legs, and two by rank.
+CURVE_STRUCTURES = curve_structures(4) + (
+    by_rank("RNK.HO1_CL2", "HO first, WTI second", (("HO", 1, 1), ("CL", 2, -1))),
+    by_rank("RNK.QS1_CO1_QS3", "Gasoil and Brent by rank", (("QS", 1, 1), ("CO", 1, -1), ("QS", 3, -1))),
+)
+
+
 def merge_structures(own: Iterable[Structure], generated: Iterable[Structure]) -> tuple[Structure, ...]:
     """A user's structures first; a generated one is skipped where its group exists already."""
     own = tuple(own)

@@ -92,16 +92,39 @@ sess AS (SELECT ex, d, row_number() OVER (PARTITION BY ex ORDER BY d) AS i
 REGISTRY = (
     calendar_cte("(SELECT min(risk_date) FROM cbars)", "(SELECT max(risk_date) FROM cbars)")
     + """,
-reg0 AS (SELECT DISTINCT root, security, delivery, risk_date, CASE WHEN root = 'QS' THEN 'ICE' ELSE 'NYMEX' END AS ex FROM cbars),
+reg0 AS (SELECT DISTINCT root, security, delivery, risk_date, CASE WHEN root IN ('QS', 'CO') THEN 'ICE' ELSE 'NYMEX' END AS ex FROM cbars),
 reg1 AS (SELECT reg0.*, (SELECT max(i) FROM sess WHERE sess.ex = reg0.ex AND sess.d < reg0.risk_date) AS last_i FROM reg0),
 reg AS (SELECT reg1.*, b.d AS blackout, f.d AS forced FROM reg1
   JOIN sess b ON b.ex = reg1.ex AND b.i = last_i - 2 JOIN sess f ON f.ex = reg1.ex AND f.i = last_i - 3)"""
 )
 
-# Contract economics of the three fixture roots.
+# Contract economics of the four roots.
 ECON = """
 econ(root, k, size, bbl, tick, cost) AS (VALUES ('HO', 42.0::DOUBLE, 42000.0::DOUBLE, 1000.0::DOUBLE, 0.0001::DOUBLE, 6.7::DOUBLE),
-  ('CL', 1.0, 1000.0, 1000.0, 0.01, 12.5), ('QS', 0.1342281879194631, 100.0, 745.0, 0.25, 27.5))"""
+  ('CL', 1.0, 1000.0, 1000.0, 0.01, 12.5), ('CO', 1.0, 1000.0, 1000.0, 0.01, 12.5), ('QS', 0.1342281879194631, 100.0, 745.0, 0.25, 27.5))"""
+
+# Two bars a weekly session: ``d`` is the time of a bar, ``sd`` its session.
+CURVE_BARS = """
+raw AS (
+  SELECT CASE WHEN l_returnflag = 'A' THEN 'HO' WHEN l_returnflag = 'R' THEN 'QS' WHEN l_partkey % 2 = 0 THEN 'CL' ELSE 'CO' END AS root,
+         CASE WHEN l_returnflag = 'A' THEN 503.0 WHEN l_returnflag = 'R' THEN 1.99 ELSE 15.1 END::DOUBLE AS scale, l_linenumber % 4 AS step,
+         CAST(date_trunc('week', l_shipdate) AS DATE) AS sd, CASE WHEN isodow(l_shipdate) <= 3 THEN 0 ELSE 1 END AS slot, l_extendedprice AS e, l_quantity AS q FROM lineitem),
+cb0 AS (
+  SELECT root, step, sd, slot, round(arg_max(e / q / scale, {'q': q, 'e': e}), 10) AS open, round(avg(e / q / scale), 10) AS close, sum(q) AS vol, count(*)::DOUBLE AS events, sum(e / scale) AS value
+  FROM raw GROUP BY ALL),
+cp AS (SELECT *, make_date(year(sd), (month(sd) - 1) // 4 * 4 + 1, 1) AS p0 FROM cb0),
+cbars AS (
+  SELECT *, sd + slot * INTERVAL 12 HOUR AS d, CAST(p0 + INTERVAL 4 MONTH + step * INTERVAL 1 MONTH AS DATE) AS delivery, CAST(p0 + INTERVAL 4 MONTH - INTERVAL 1 DAY AS DATE) AS risk_date,
+         root || substr('FGHJKMNQUVXZ', month(p0 + INTERVAL 4 MONTH + step * INTERVAL 1 MONTH), 1) || strftime(p0 + INTERVAL 4 MONTH + step * INTERVAL 1 MONTH, '%y') AS security
+  FROM cp)"""
+
+CURVE_PREPARED = f"""{CURVE_BARS}, {REGISTRY}, {ECON},
+od AS (SELECT security, sd, sum(vol) * 10 + sum(events) AS oi FROM cbars GROUP BY ALL),
+oi AS (SELECT security, sd, lag(oi) OVER (PARTITION BY security ORDER BY sd) AS oi1, lag(oi) OVER (PARTITION BY security ORDER BY sd) - lag(oi, 6) OVER (PARTITION BY security ORDER BY sd) AS oi5 FROM od),
+prep AS (SELECT c.*, year(c.delivery) * 12 + month(c.delivery) - 1 AS di, r.blackout, r.forced, k, size, bbl, tick, cost, oi1, oi5,
+  CASE WHEN events >= 3 THEN close * 0.999 END AS bid, CASE WHEN events >= 3 THEN close * 1.001 END AS ask, row_number() OVER (PARTITION BY c.root, c.d ORDER BY c.delivery) AS grank
+  FROM cbars c JOIN reg r USING (root, security, delivery) JOIN econ USING (root) JOIN oi ON oi.security = c.security AND oi.sd = c.sd
+  WHERE c.sd < r.blackout)"""
 
 PREPARED = f"""{CBARS}, {REGISTRY}, {ECON},
 oi AS (SELECT security, d, lag(vol * 10 + events) OVER (PARTITION BY security ORDER BY d) AS oi1,
@@ -113,6 +136,12 @@ prep AS (SELECT c.*, year(c.delivery) * 12 + month(c.delivery) - 1 AS di, r.blac
   WHERE c.d < r.blackout)"""
 
 
+def _settlement(s) -> str:
+    if {"QS", "CO"} <= {g.root for g in s.legs}:
+        return "CROSS_MARKET_ASYNC_SETTLE"
+    return "DEFERRED_SETTLE_RELATIONSHIP" if s.anchor_rank > 6 else "EXCHANGE_SETTLE"
+
+
 def packages_cte(structures) -> str:
     """One explicit n-way join per structure."""
     from curvelab.config import ROOTS
@@ -122,7 +151,7 @@ def packages_cte(structures) -> str:
     for s in structures:
         legs = list(enumerate(s.legs, start=1))
         joins = " ".join(
-            f"JOIN prep l{i} ON l{i}.d = a.d AND l{i}.root = '{g.root}' AND l{i}.di = a.di + {g.offset}" for i, g in legs
+            f"JOIN prep l{i} ON l{i}.d = a.d AND l{i}.root = '{g.root}' AND {f'l{i}.grank = {g.rank}' if g.mode == 'rank' else f'l{i}.di = a.di + {g.offset}'}" for i, g in legs
         )
 
         def total(expr: str, weighted: bool = True) -> str:
@@ -147,7 +176,7 @@ def packages_cte(structures) -> str:
         short = sum(g.contracts * barrels[g.root] for g in s.legs if g.sign < 0)
         roll = " || ' | ' || ".join(f"l{i}.security" for i, _ in legs)
         parts.append(
-            f"SELECT * EXCLUDE srank FROM (SELECT '{s.spread_id}' AS spread_id, '{s.family}' AS family, '{s.tenor_bucket}' AS tenor,"
+            f"SELECT * EXCLUDE srank FROM (SELECT '{s.spread_id}' AS spread_id, '{s.family}' AS family, '{s.tenor_bucket}' AS tenor, '{_settlement(s)}' AS settlement,"
             f" '{s.group}' AS algebra_group, {s.tier} AS tier, a.d, {total('@.open')} AS s_open, {total('@.close')} AS s_close,"
             f" {buy} AS s_buy, {sell} AS s_sell, {least('@.vol / #n')} AS cap, {least('@.oi1 / #n')} AS oicap,"
             f" {total('@.cost * #n', False)} AS cost, {least('@.events')} AS events,"
@@ -155,7 +184,7 @@ def packages_cte(structures) -> str:
             f" {total('@.value / @.vol')} AS s_vwap, {least('(@.ask - @.bid) / @.tick', 'greatest')} AS ticks,"
             f" {float(min(long, short) or max(long, short))}::DOUBLE AS barrels, {least('@.risk_date')} AS risk_date,"
             f" {least('@.blackout')} AS blackout, {least('@.forced')} AS forced,"
-            f" a.d < {least('@.forced')} AS entry_allowed, {roll} AS roll_id, l1.close * l1.k AS leg1, l2.close * l2.k AS leg2,"
+            f" CAST(a.d AS DATE) < {least('@.forced')} AS entry_allowed, {roll} AS roll_id, l1.close * l1.k AS leg1, l2.close * l2.k AS leg2,"
             f" dense_rank() OVER (PARTITION BY a.d ORDER BY a.di) AS srank, {len(s.legs)} AS n_legs"
             f" FROM prep a {joins} WHERE a.root = '{s.anchor_root}') WHERE srank = {s.anchor_rank}"
         )
@@ -165,6 +194,7 @@ def packages_cte(structures) -> str:
 ADJUSTED = """
 ad0 AS (SELECT *, lag(s_close) OVER w AS pc, coalesce(roll_id <> lag(roll_id) OVER w, false) AS rolled FROM pk WINDOW w AS (PARTITION BY spread_id ORDER BY d)),
 ad1 AS (SELECT *, CASE WHEN rolled THEN pc - s_close ELSE 0 END AS gap, CASE WHEN NOT rolled THEN s_close - pc END AS chg FROM ad0),
-adj AS (SELECT *, s_close - coalesce(sum(gap) OVER (PARTITION BY spread_id ORDER BY d ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS x,
-  cap * barrels AS bbl, len(list_filter(generate_series(d, risk_date - INTERVAL 1 DAY, INTERVAL 1 DAY), lambda v: isodow(v) <= 5)) AS to_risk,
+adj AS (SELECT *, CASE WHEN CAST(d AS DATE) = CAST(lag(d) OVER (PARTITION BY spread_id ORDER BY d) AS DATE) THEN chg END AS intraday, CASE WHEN CAST(d AS DATE) <> CAST(lag(d) OVER (PARTITION BY spread_id ORDER BY d) AS DATE) THEN chg END AS overnight,
+  s_close - coalesce(sum(gap) OVER (PARTITION BY spread_id ORDER BY d ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS x,
+  cap * barrels AS bbl, len(list_filter(generate_series(CAST(d AS DATE), risk_date - INTERVAL 1 DAY, INTERVAL 1 DAY), lambda v: isodow(v) <= 5)) AS to_risk,
   row_number() OVER (PARTITION BY spread_id ORDER BY d) AS rn FROM ad1)"""

@@ -187,51 +187,71 @@ def prepared_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 _K = "spread_id, strftime(d, '%Y-%m-%d') AS session_date"
 
 
-@query(
-    "package_align",
-    f"{PACKS} SELECT {_K}, roll_id, n_legs FROM pk",
+_AT = "spread_id, strftime(d, '%Y-%m-%d %H:%M:%S') AS timestamp_utc"
+CURVE_PACKS = f"WITH {ctes.CURVE_PREPARED},\n{ctes.packages_cte(G.CURVE_STRUCTURES)}"
+_ROLLED = (
+    "s_open AS spread_open, s_close AS spread_close, cap AS package_volume_capacity, oicap AS package_oi_capacity,"
+    " cost AS one_way_cost_usd, events AS min_leg_events, v_open AS package_open_value_usd, v_close AS package_close_value_usd,"
+    " s_vwap AS spread_bar_vwap, ticks AS max_leg_bid_ask_ticks, s_buy - s_sell AS quoted_width_usd_bbl, cap * barrels AS paired_volume_bbl,"
+    " strftime(risk_date, '%Y-%m-%d') AS earliest_risk_date, strftime(forced, '%Y-%m-%d') AS forced_exit_session, CAST(entry_allowed AS BIGINT) AS entry_allowed,"
+    " tenor AS tenor_bucket, settlement AS settlement_quality"
+)
+_ROLLED_KEYS = "spread_id, timestamp_utc, earliest_risk_date, forced_exit_session, entry_allowed, tenor_bucket, settlement_quality"
+_ROLLED_VALUES = (
+    "spread_open, spread_close, package_volume_capacity, package_oi_capacity, one_way_cost_usd, min_leg_events, package_open_value_usd,"
+    " package_close_value_usd, spread_bar_vwap, max_leg_bid_ask_ticks, quoted_width_usd_bbl, paired_volume_bbl"
 )
+_CHANGES = "CAST(rolled AS BIGINT) AS roll_event, chg AS price_change, intraday AS intraday_change, overnight AS overnight_change, x AS research_close, to_risk AS sessions_to_risk_date"
+
+
+def _columns(text: str) -> list[str]:
+    return [c.strip() for c in text.split(",")]
+
+
+@query("package_align", f"{PACKS} SELECT {_AT}, roll_id, n_legs FROM pk")
 def package_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All legs of a structure at one time, for structures of two and four legs."""
-    m = views.market(spark, sf_dir)
-    return settle(m.raw_packages.select("spread_id", "session_date", "roll_id", "n_legs"))
+    return settle(views.market(spark, sf_dir).raw_packages.select("spread_id", "timestamp_utc", "roll_id", "n_legs"))
 
 
-@query(
-    "package_rollup",
-    settle_sql(
-        f"{PACKS} SELECT {_K}, s_open AS spread_open, s_close AS spread_close, cap AS package_volume_capacity, oicap AS package_oi_capacity,"
-        " cost AS one_way_cost_usd, events AS min_leg_events, v_open AS package_open_value_usd, v_close AS package_close_value_usd,"
-        " s_vwap AS spread_bar_vwap, ticks AS max_leg_bid_ask_ticks, s_buy - s_sell AS quoted_width_usd_bbl, cap * barrels AS paired_volume_bbl,"
-        " strftime(risk_date, '%Y-%m-%d') AS earliest_risk_date, strftime(forced, '%Y-%m-%d') AS forced_exit_session, CAST(entry_allowed AS BIGINT) AS entry_allowed FROM pk",
-        "spread_id, session_date, earliest_risk_date, forced_exit_session, entry_allowed",
-        "spread_open, spread_close, package_volume_capacity, package_oi_capacity, one_way_cost_usd, min_leg_events, package_open_value_usd,"
-        " package_close_value_usd, spread_bar_vwap, max_leg_bid_ask_ticks, quoted_width_usd_bbl, paired_volume_bbl", nudge=True,
-    ),
-)
+@query("curve_package_align", f"{CURVE_PACKS} SELECT {_AT}, roll_id, n_legs, string_split(roll_id, ' | ')[1] AS first_leg FROM pk")
+def curve_package_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four roots with four deliveries: packages of two, three, four and six legs by delivery, and two by rank."""
+    packages = views.curve_market(spark, sf_dir).raw_packages
+    first = F.element_at("legs", 1)["security"].alias("first_leg")
+    return settle(packages.select("spread_id", "timestamp_utc", "roll_id", "n_legs", first))
+
+
+@query("package_rollup", settle_sql(f"{PACKS} SELECT {_AT}, {_ROLLED} FROM pk", _ROLLED_KEYS, _ROLLED_VALUES, nudge=True))
 def package_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Package prices, quotes, capacity, cost and value from the legs."""
-    m = views.market(spark, sf_dir)
-    df = m.raw_packages
-    return settle(df.select(
-        "spread_id", "session_date", "spread_open", "spread_close", "package_volume_capacity", "package_oi_capacity",
-        "one_way_cost_usd", "min_leg_events", "package_open_value_usd", "package_close_value_usd", "spread_bar_vwap",
-        "max_leg_bid_ask_ticks", "quoted_width_usd_bbl", "paired_volume_bbl", "earliest_risk_date", "forced_exit_session",
-        "entry_allowed",
-    ), nudge=True)
+    """Package prices, quotes, capacity, cost and value from the legs, tenor and settlement label."""
+    return settle(views.market(spark, sf_dir).raw_packages.select(*_columns(_ROLLED_KEYS), *_columns(_ROLLED_VALUES)), nudge=True)
+
+
+@query("curve_package_rollup", settle_sql(f"{CURVE_PACKS} SELECT {_AT}, {_ROLLED} FROM pk", _ROLLED_KEYS, _ROLLED_VALUES, 3, nudge=True))
+def curve_package_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The roll-up over four roots, cross-market labels included."""
+    return settle(views.curve_market(spark, sf_dir).raw_packages.select(*_columns(_ROLLED_KEYS), *_columns(_ROLLED_VALUES)), 3, nudge=True)
 
 
 @query(
     "roll_back_adjust",
-    settle_sql(
-        f"{ADJ} SELECT {_K}, CAST(rolled AS BIGINT) AS roll_event, chg AS price_change, x AS research_close, to_risk AS sessions_to_risk_date FROM adj",
-        "spread_id, session_date, roll_event, sessions_to_risk_date", "price_change, research_close",
-    ),
+    settle_sql(f"{ADJ} SELECT {_AT}, {_CHANGES} FROM adj", "spread_id, timestamp_utc, roll_event, sessions_to_risk_date", "price_change, intraday_change, overnight_change, research_close"),
 )
 def roll_back_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Continuous close over rolls, bar change, business days to expiry."""
+    """Continuous close over rolls, bar change and its parts, business days to expiry."""
     df = views.market(spark, sf_dir).packages
-    return settle(df.select("spread_id", "session_date", "roll_event", "price_change", "research_close", "sessions_to_risk_date"))
+    return settle(df.select("spread_id", "timestamp_utc", "roll_event", "price_change", "intraday_change", "overnight_change", "research_close", "sessions_to_risk_date"))
+
+
+@query(
+    "curve_back_adjust",
+    settle_sql(f"{CURVE_PACKS},\n{ctes.ADJUSTED} SELECT {_AT}, {_CHANGES} FROM adj", "spread_id, timestamp_utc, roll_event, sessions_to_risk_date", "price_change, intraday_change, overnight_change, research_close", 4, nudge=True),
+)
+def curve_back_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with two bars a session, so that changes fall inside a session and between sessions."""
+    df = views.curve_market(spark, sf_dir).packages
+    return settle(df.select("spread_id", "timestamp_utc", "roll_event", "price_change", "intraday_change", "overnight_change", "research_close", "sessions_to_risk_date"), 4, nudge=True)
 
 
 @query(

@@ -161,9 +161,72 @@ def contract_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def contract_dates(bars: DataFrame) -> DataFrame:
-    """Contracts seen in the bars, with the end of their quarter as last trading day."""
-    quarter_end = F.date_sub(F.add_months(F.trunc(F.min("session_date"), "quarter"), 3), 1)
+# Price scales that bring the four roots near each other.
+_CURVE_SCALE = {"HO": 503.0, "CL": 15.1, "CO": 15.1, "QS": 1.99}
+
+
+def _period(day: Column) -> Column:
+    """The first day of the four months that a day lies in."""
+    return F.add_months(F.trunc(day, "year"), (F.floor((F.month(day) - 1) / 4) * 4).cast("int"))
+
+
+@stored
+def curve_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of four roots with four deliveries each, two a weekly session, rolling every four months."""
+    flag, item = F.col("l_returnflag"), F.col("l_partkey")
+    root = F.when(flag == "A", "HO").when(flag == "R", "QS").when(item % 2 == 0, "CL").otherwise("CO")
+    scale = F.element_at(F.create_map(*[F.lit(x) for pair in _CURVE_SCALE.items() for x in pair]), F.col("root"))
+    unit = F.col("l_extendedprice") / F.col("l_quantity") / F.col("_scale")
+    day = F.to_date("l_shipdate")
+    month = F.col("delivery_month")
+    bars = (
+        table(spark, sf_dir, "lineitem")
+        .select(
+            root.alias("root"), (F.col("l_linenumber") % 4).cast("int").alias("step"), F.trunc(day, "week").alias("session_date"),
+            F.when(F.weekday(day) < 3, 0).otherwise(1).alias("bar_slot"), "l_extendedprice", "l_quantity",
+        )
+        .withColumn("_scale", scale)
+        .groupBy("root", "step", "session_date", "bar_slot")
+        .agg(
+            F.round(F.max_by(unit, F.struct("l_quantity", "l_extendedprice")), 10).alias("open"), F.round(F.max(unit), 10).alias("high"),
+            F.round(F.min(unit), 10).alias("low"), F.round(F.avg(unit), 10).alias("close"), F.sum("l_quantity").alias("volume_contracts"),
+            F.count(F.lit(1)).cast("double").alias("num_events"), F.sum(F.col("l_extendedprice") / F.col("_scale")).alias("value"),
+        )
+        .withColumn("delivery_month", F.add_months(F.add_months(_period(F.col("session_date")), 4), F.col("step")))
+        .withColumn("timestamp_utc", F.col("session_date").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("bar_slot") * 12))
+    )
+    code = F.substring(F.lit("FGHJKMNQUVXZ"), F.month(month), F.lit(1))
+    trade = bars.withColumns(
+        {"security": F.concat(F.col("root"), code, F.date_format(month, "yy")), "bar_start_local": F.col("timestamp_utc"), "event_type": F.lit("TRADE")}
+    ).drop("step")
+    busy = trade.filter(F.col("num_events") >= 3)
+    bid = busy.withColumns({"event_type": F.lit("BID"), "close": F.col("close") * 0.999})
+    ask = busy.withColumns({"event_type": F.lit("ASK"), "close": F.col("close") * 1.001})
+    return trade.unionByName(bid).unionByName(ask)
+
+
+def curve_market(spark: SparkSession, sf_dir: str):
+    """The pipeline on the bars of four roots, with every template up to six legs and two packages by rank."""
+    from curvelab.operators.structures import CURVE_STRUCTURES
+    from curvelab.plans.settings import Settings
+    from curvelab.plans.technical import Inputs, prepare
+
+    bars = curve_bars(spark, sf_dir)
+    trade = bars.filter("event_type = 'TRADE'")
+    daily = trade.groupBy("session_date", "root", "security", "delivery_month").agg(
+        F.max_by("close", "bar_slot").alias("close"), F.sum("volume_contracts").alias("volume_contracts"),
+        (F.sum("volume_contracts") * 10 + F.sum("num_events")).alias("open_interest"),
+    )
+    universe = contract_dates(trade, F.date_sub(F.add_months(_period(F.min("session_date")), 4), 1))
+    return prepare(
+        spark, Inputs(bars, universe, universe, daily), CURVE_STRUCTURES, Settings(),
+        store=lambda label, build: stage(spark, f"curve-{label}", sf_dir, build),
+    )
+
+
+def contract_dates(bars: DataFrame, last: Column | None = None) -> DataFrame:
+    """Contracts seen in the bars, with the end of their first quarter, or ``last``, as last trading day."""
+    quarter_end = F.date_sub(F.add_months(F.trunc(F.min("session_date"), "quarter"), 3), 1) if last is None else last
     return bars.groupBy("root", "security", "delivery_month").agg(
         quarter_end.alias("last_trade"),
         F.lit(None).cast("date").alias("first_notice"),
