@@ -54,11 +54,11 @@ def densify(observations: DataFrame, keys: Sequence[str], x: str = "x", value: s
     return interpolate_at(kept, grid, keys, x, value, max_span)
 
 
-def combine_weighted(legs: DataFrame, n_legs: int, keys: Sequence[str], x: str = "x", value: str = "value", max_span: float = MAX_SPAN_DAYS) -> DataFrame:
+def combine_weighted(legs: DataFrame, n_legs: int | str, keys: Sequence[str], x: str = "x", value: str = "value", max_span: float = MAX_SPAN_DAYS) -> DataFrame:
     """Weighted sum on the union of all legs' x; a point needs a value of every leg.
 
     ``legs`` holds (keys, leg, ratio, x, value) in one unit; legs with ratio 0 count as
-    absent.
+    absent.  ``n_legs`` is a number, or the key column that holds it.
     """
     used = legs.filter((F.col("ratio") != 0) & F.col(value).isNotNull())
     points = used.select(*keys, x).distinct()
@@ -72,11 +72,25 @@ def combine_weighted(legs: DataFrame, n_legs: int, keys: Sequence[str], x: str =
             F.sum(F.col("ratio") * F.col(value)).alias("_sum"),
             F.count_if("interpolated").alias("interpolated_legs"),
         )
-        .filter(F.col("_n") == n_legs)
+        .filter(F.col("_n") == (F.col(n_legs) if isinstance(n_legs, str) else F.lit(n_legs)))
         .select(*keys, x, display_round(F.col("_sum")).alias(value), "interpolated_legs")
     )
 
 
+def derived_legs(monthly: DataFrame, keys: Sequence[str], x: str = "x", value: str = "value", max_span: float = MAX_SPAN_DAYS) -> DataFrame:
+    """Quarter and half legs as the mean of their months, each month's gaps bridged first.
+
+    ``monthly`` holds (keys, month, x, value), months by name.  A period exists where all of
+    its months have a value, observed or interpolated.
+    """
+    of = lambda label, n: F.struct(label.alias("period"), F.lit(n).alias("n_legs"))
+    periods = F.array(of(K.quarter_of(F.col("month")), 3), of(K.half_of(F.col("month")), 6))
+    legs = monthly.withColumn("_p", F.explode(periods)).select(
+        *keys, "_p.period", "_p.n_legs", F.col("month").alias("leg"), (F.lit(1.0) / F.col("_p.n_legs")).alias("ratio"), x, value
+    )
+    return combine_weighted(legs, "n_legs", [*keys, "period", "n_legs"], x, value, max_span).drop("n_legs")
+
+
 def weighted_sum(legs: DataFrame, keys: Sequence[str], target_unit: str) -> DataFrame:
     """Mixed-unit weighted sum: each leg converted first; one invalid leg makes the sum null."""
     part = F.when(F.col("ratio") == 0, 0.0).otherwise(
@@ -144,9 +158,33 @@ def anchor_day(roll_month: Column) -> Column:
     return F.when(start == 1, PLAIN_SPAN).otherwise(start - 1)
 
 
-def clip_cycle(series: DataFrame, roll_month: int, x: str = "x") -> DataFrame:
-    start = LEAP_BOUNDARIES[roll_month - 1]
-    return series.filter(F.col(x).between(start, start + LEAP_SPAN - 1))
+def clip_cycle(series: DataFrame, roll_month: int | Column, x: str = "x") -> DataFrame:
+    """The days of one cycle, which begins with the roll month; rows without a roll month are all kept."""
+    month = F.lit(roll_month) if isinstance(roll_month, int) else roll_month
+    start = F.get(F.array(*[F.lit(b) for b in LEAP_BOUNDARIES]), month.cast("int") - 1)
+    return series.filter(month.isNull() | F.col(x).between(start, start + LEAP_SPAN - 1))
+
+
+def axis_end(series: DataFrame, keys: Sequence[str], x: str = "x", value: str = "value") -> DataFrame:
+    """The last day with a value, on the 365-day axis."""
+    last = series.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.max(plain_axis_day(F.col(x))).alias("_last"))
+    return last.select(*keys, (F.pmod(F.col("_last") - 1, F.lit(PLAIN_SPAN)) + 1).cast("int").alias("end_day"))
+
+
+def season_anchor(series: DataFrame, contracts: DataFrame, ends: DataFrame, key: str = "series", year: str = "year") -> DataFrame:
+    """(key, anchor, source): the contract's anchor, else the axis end, else the series' end, of the latest year that has one.
+
+    ``contracts`` holds (key, roll_month), null where a leg has no delivery month; ``ends``
+    holds (key, year, end_day) of the combined cycles.
+    """
+    latest = lambda df, name: df.filter(F.col("end_day").isNotNull()).groupBy(key).agg(F.max_by("end_day", year).alias(name))
+    found = (
+        contracts.select(key, anchor_day(F.col("roll_month")).alias("_contract"))
+        .join(latest(ends, "_axis"), key, "left")
+        .join(latest(axis_end(series, [key, year]), "_series"), key, "left")
+    )
+    source = F.when(F.col("_contract").isNotNull(), "CONTRACT").when(F.col("_axis").isNotNull(), "AXIS_END").when(F.col("_series").isNotNull(), "SERIES_END")
+    return found.select(key, F.coalesce("_contract", "_axis", "_series").alias("anchor"), source.alias("source"))
 
 
 def season_axis(series: DataFrame, keys: Sequence[str], anchor: Column, x: str = "x", value: str = "value") -> DataFrame:

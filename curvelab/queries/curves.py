@@ -20,7 +20,12 @@ _X = f"(dayofyear(day) + CASE WHEN NOT {_LEAP} AND month(day) > 2 THEN 1 ELSE 0
 _CV = f"{CURVE}, cv AS (SELECT series, year(day) AS year, {_X} AS x, value, n FROM curve)"
 #: Years that the order table spans; an export has one column for each.
 _YEARS = tuple(range(1995, 2002))
-_RATIOS = {"1-URGENT": 1.0, "2-HIGH": -2.0, "3-MEDIUM": 1.0}
+_SERIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+#: One structure per series: it, twice the next one against it, and the one after.
+_LEGS = tuple((name, _SERIES[(i + k) % 5], r) for i, name in enumerate(_SERIES) for k, r in enumerate((1.0, -2.0, 1.0)))
+_LEG_VALUES = "l(structure, leg, ratio) AS (VALUES " + ", ".join(f"('{s}', '{g}', {r})" for s, g, r in _LEGS) + ")"
+#: Month in which a structure's contract rolls; none for the last two.
+_ROLL = {"1-URGENT": 7, "2-HIGH": 1, "3-MEDIUM": 3}
 
 
 def yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,10 +35,9 @@ def yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _legs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ratio = F.when(F.lit(False), 0.0)
-    for name, r in _RATIOS.items():
-        ratio = ratio.when(F.col("series") == name, F.lit(r))
-    return yearly(spark, sf_dir).withColumn("ratio", ratio).filter(F.col("ratio").isNotNull()).withColumnRenamed("series", "leg")
+    """The legs of all structures: (structure, leg, ratio, year, x, value, n)."""
+    legs = spark.createDataFrame(_LEGS, "structure string, leg string, ratio double")
+    return legs.join(yearly(spark, sf_dir).withColumnRenamed("series", "leg"), "leg")
 
 
 @query(
@@ -75,24 +79,140 @@ def interpolate_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle(CV.densify(yearly(spark, sf_dir), ["series", "year"]), dp=5)
 
 
+_COMBINED = f"""{_CV}, {_LEG_VALUES}, o AS (SELECT structure, series AS leg, year, x, value, ratio FROM cv JOIN l ON series = leg),
+  t AS (SELECT DISTINCT structure, year, x FROM o), j AS (SELECT l.structure, l.leg, l.ratio, t.year, t.x, o.value AS v FROM t JOIN l ON l.structure = t.structure LEFT JOIN o ON o.structure = l.structure AND o.leg = l.leg AND o.year = t.year AND o.x = t.x),
+  {_fill_sql('j', 'structure, leg, year', 7)}, cw AS (SELECT structure, year, x, round(sum(ratio * y), 5) AS value, count(*) FILTER (ip) AS interpolated_legs FROM j_f GROUP BY structure, year, x HAVING count(y) = 3)"""
+
+
+@query("weighted_legs", f"WITH {_COMBINED} SELECT structure, year, x, value + 0.0 AS value, interpolated_legs FROM cw")
+def weighted_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three weighted legs of every structure on the union of their days."""
+    return settle(CV.combine_weighted(_legs(spark, sf_dir), 3, ["structure", "year"]), dp=5)
+
+
+_STARTS = "(0, 1), (1, 32), (2, 61), (3, 92), (4, 122), (5, 153), (6, 183), (7, 214), (8, 245), (9, 275), (10, 306), (11, 336)"
+_CYCLE = f"""{_COMBINED}, rm(structure, roll) AS (VALUES {', '.join(f"('{s}', {_ROLL.get(s, 'NULL')})" for s in _SERIES)}), st(m, start) AS (VALUES {_STARTS}),
+  cc AS (SELECT cw.*, roll FROM cw JOIN rm USING (structure) LEFT JOIN st ON m = roll - 1 WHERE roll IS NULL OR x BETWEEN start AND start + 365),
+  pa AS (SELECT *, CASE WHEN (x - 1) % 366 + 1 <> 60 THEN (x - 1) // 366 * 365 + (x - 1) % 366 + 1 - ((x - 1) % 366 + 1 > 60)::INT END AS pd FROM cc),
+  ae AS (SELECT structure, year, (max(pd) - 1) % 365 + 1 AS end_day FROM pa GROUP BY ALL)"""
+
+
+def _cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    months = spark.createDataFrame([(s, _ROLL.get(s)) for s in _SERIES], "structure string, roll_month int")
+    return CV.combine_weighted(_legs(spark, sf_dir), 3, ["structure", "year"]).join(months, "structure")
+
+
 @query(
-    "weighted_legs",
-    f"""WITH {_CV}, l(leg, ratio) AS (VALUES ('1-URGENT', 1.0), ('2-HIGH', -2.0), ('3-MEDIUM', 1.0)), o AS (SELECT series AS leg, year, x, value, ratio FROM cv JOIN l ON series = leg),
-      t AS (SELECT DISTINCT year, x FROM o), j AS (SELECT l.leg, l.ratio, t.year, t.x, o.value AS v FROM t CROSS JOIN l LEFT JOIN o ON o.leg = l.leg AND o.year = t.year AND o.x = t.x),
-      {_fill_sql('j', 'leg, year', 7)} SELECT year, x, round(sum(ratio * y), 5) + 0.0 AS value, count(*) FILTER (ip) AS interpolated_legs FROM j_f GROUP BY year, x HAVING count(y) = 3""",
+    "combined_cycle",
+    f"WITH {_CYCLE} SELECT structure, year, x, value + 0.0 AS value, end_day FROM cc JOIN ae USING (structure, year)",
 )
-def weighted_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three weighted legs on the union of their days."""
-    return settle(CV.combine_weighted(_legs(spark, sf_dir), len(_RATIOS), ["year"]), dp=5)
+def combined_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Combined legs clipped to their contract's cycle, with the axis end of each year."""
+    clipped = CV.clip_cycle(_cycles(spark, sf_dir), F.col("roll_month"))
+    ends = CV.axis_end(clipped, ["structure", "year"])
+    return settle(clipped.join(ends, ["structure", "year"]).select("structure", "year", "x", "value", "end_day"), dp=5)
+
+
+@query(
+    "season_anchor",
+    f"""WITH {_CYCLE}, e2 AS (SELECT series AS structure, year, (max(CASE WHEN x <> 60 THEN x - (x > 60)::INT END) - 1) % 365 + 1 AS end_day FROM cv GROUP BY ALL),
+      a AS (SELECT structure, arg_max(end_day, year) AS ax FROM ae WHERE structure <> '5-LOW' GROUP BY 1), z AS (SELECT structure, arg_max(end_day, year) AS sx FROM e2 GROUP BY 1),
+      k AS (SELECT structure, CASE roll WHEN 1 THEN 365 WHEN 3 THEN 59 WHEN 7 THEN 181 END AS ca FROM rm),
+      n AS (SELECT structure, coalesce(ca, ax, sx) AS anchor, CASE WHEN ca IS NOT NULL THEN 'CONTRACT' WHEN ax IS NOT NULL THEN 'AXIS_END' ELSE 'SERIES_END' END AS source FROM k LEFT JOIN a USING (structure) LEFT JOIN z USING (structure)),
+      p AS (SELECT series, year, value, anchor, source, CASE WHEN x <> 60 THEN x - (x > 60)::INT END AS pd FROM cv JOIN n ON structure = series), r AS (SELECT *, CASE WHEN pd - anchor <= 0 THEN pd - anchor + 365 ELSE pd - anchor END AS dd FROM p WHERE pd IS NOT NULL),
+      b AS (SELECT *, CASE WHEN lag(dd) OVER w IS NULL OR dd - lag(dd) OVER w > 7 THEN 1 ELSE 0 END AS brk FROM r WINDOW w AS (PARTITION BY series, year ORDER BY dd)),
+      u AS (SELECT *, sum(brk) OVER (PARTITION BY series, year ORDER BY dd) AS run FROM b), s AS (SELECT series, year, run, count(*) AS n, min(dd) AS st FROM u GROUP BY ALL),
+      g AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY series, year ORDER BY n DESC, st) = 1)
+      SELECT u.series, u.year, anchor::BIGINT AS anchor, source, u.dd AS day, round(u.value, 4) AS value FROM u JOIN g USING (series, year, run)""",
+)
+def season_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The season axis on the anchor that comes first: contract, axis end, series end."""
+    rows = yearly(spark, sf_dir).drop("n")
+    months = spark.createDataFrame([(s, _ROLL.get(s)) for s in _SERIES], "series string, roll_month int")
+    clipped = CV.clip_cycle(_cycles(spark, sf_dir), F.col("roll_month")).filter(F.col("structure") != "5-LOW")
+    ends = CV.axis_end(clipped, ["structure", "year"]).withColumnRenamed("structure", "series")
+    anchored = rows.join(CV.season_anchor(rows, months, ends), "series")
+    out = CV.season_axis(anchored, ["series", "year", "anchor", "source"], F.col("anchor"))
+    return settle(out.select("series", "year", "anchor", "source", "day", "value"), dp=4)
+
+
+_MONTHS = "['Jan', 'Feb', 'Mar', 'Apr', 'May', 'Jun']"
 
 
 @query(
-    "volume_shared",
-    f"WITH {_CV} SELECT year, x, sum(n)::DOUBLE AS n FROM cv WHERE series IN ('1-URGENT', '2-HIGH', '3-MEDIUM') GROUP BY ALL HAVING count(*) = 3",
+    "derived_legs",
+    f"""WITH m AS (SELECT o_orderpriority AS series, {_MONTHS}[o_orderkey % 6 + 1] AS month, CAST(o_orderdate AS DATE) AS day, avg(o_totalprice) / 1.07 AS value FROM orders GROUP BY ALL),
+      c AS (SELECT series, month, year(day) AS year, {_X} AS x, value FROM m), p AS (SELECT *, unnest([CASE WHEN month IN ('Jan', 'Feb', 'Mar') THEN 'Q1' ELSE 'Q2' END, 'Half 1']) AS period, unnest([3, 6]) AS need FROM c),
+      t AS (SELECT DISTINCT series, year, period, need, x FROM p), g AS (SELECT DISTINCT series, year, period, need, month FROM p),
+      j AS (SELECT t.*, g.month, p.value AS v FROM t JOIN g USING (series, year, period, need) LEFT JOIN p ON p.series = t.series AND p.year = t.year AND p.period = t.period AND p.month = g.month AND p.x = t.x),
+      {_fill_sql('j', 'series, period, month, year', 7)}
+      SELECT series, year, period, x, round(sum(y / need), 5) + 0.0 AS value, count(*) FILTER (ip) AS interpolated_legs FROM j_f GROUP BY series, year, period, need, x HAVING count(y) = need""",
 )
+def derived_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarter and half legs as means of interpolated months."""
+    month = F.get(F.array(*[F.lit(m) for m in ("Jan", "Feb", "Mar", "Apr", "May", "Jun")]), (F.col("o_orderkey") % 6).cast("int"))
+    daily = views.table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("series"), month.alias("month"), F.to_date("o_orderdate").alias("day")).agg((F.avg("o_totalprice") / 1.07).alias("value"))
+    monthly = daily.select("series", "month", F.year("day").alias("year"), D.leap_axis_day(F.col("day")).alias("x"), "value")
+    return settle(CV.derived_legs(monthly, ["series", "year"]), dp=5)
+
+
+@query(
+    "price_fields",
+    f"""WITH {DBARS}, f AS (SELECT entity, session_date, close AS px_last, CASE WHEN day(session_date) % 7 <> 0 THEN close * 0.99 END AS px_settle FROM dbars)
+      SELECT entity, strftime(session_date, '%Y-%m-%d') AS session_date, field, round(CASE field WHEN 'PX_LAST' THEN px_last WHEN 'PX_SETTLE' THEN px_settle END, 6) AS value FROM f, (VALUES ('PX_LAST'), ('PX_SETTLE'), ('PX_FAIR_1430')) v(field)""",
+)
+def price_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each price field as its own series: a missing settle, or a field that was never delivered, stays missing."""
+    rows = views.day_bars(spark, sf_dir).select("entity", "session_date", F.col("close").alias("PX_LAST"), F.when(F.dayofmonth("session_date") % 7 != 0, F.col("close") * 0.99).alias("PX_SETTLE"))
+    out = None
+    for field in ("PX_LAST", "PX_SETTLE", "PX_FAIR_1430"):
+        one = CV.field_series(rows, field, ["PX_LAST", "PX_SETTLE"]).select("entity", "session_date", F.lit(field).alias("field"), "value")
+        out = one if out is None else out.unionByName(one)
+    return settle(out)
+
+
+_MIXED = "CASE a WHEN 'cpg' THEN v / 100 WHEN '$/gal' THEN v WHEN '$/bbl' THEN v / 42 WHEN '$/MT' THEN v / (mt * 42) END"
+
+
+@query(
+    "mixed_unit_sum",
+    f"""WITH u AS (SELECT p_brand AS structure, p_partkey AS leg, p_retailprice AS v, CASE WHEN p_partkey % 97 = 0 THEN 'EUR/t' ELSE ['cpg', '$/gal', '$/bbl', '$/MT'][p_partkey % 4 + 1] END AS a, p_size % 3 - 1 AS ratio, 7.0 + (p_size % 9) / 10.0 AS mt, p_size AS grp FROM part),
+      g AS (SELECT structure, grp, CASE WHEN ratio = 0 THEN 0.0::DOUBLE ELSE ratio * CASE WHEN a = '$/bbl' THEN v ELSE round(({_MIXED}) * 42, 5) END END AS part FROM u)
+      SELECT structure, grp, count(*) AS legs, CASE WHEN count(part) = count(*) THEN round(round(sum(part), 5), 3) + 0.0 END AS value FROM g GROUP BY ALL""",
+)
+def mixed_unit_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Legs in four units summed in $/bbl; ratio 0 is skipped, and an unknown unit leaves no sum."""
+    names = F.array(*[F.lit(u) for u in ("cpg", "$/gal", "$/bbl", "$/MT")])
+    unit = F.when(F.col("p_partkey") % 97 == 0, "EUR/t").otherwise(F.get(names, (F.col("p_partkey") % 4).cast("int")))
+    legs = views.table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("structure"), F.col("p_size").alias("grp"), F.col("p_retailprice").alias("value"), unit.alias("native_unit"), (F.col("p_size") % 3 - 1).cast("double").alias("ratio"),
+        (7.0 + (F.col("p_size") % 9) / 10.0).alias("bbl_per_mt"), F.lit(42.0).alias("gal_per_bbl"),
+    )
+    counts = legs.groupBy("structure", "grp").agg(F.count(F.lit(1)).alias("legs"))
+    return settle(CV.weighted_sum(legs, ["structure", "grp"], "$/bbl").join(counts, ["structure", "grp"]), dp=3)
+
+
+@query(
+    "raw_periods_dropped",
+    """WITH r AS (SELECT p_brand AS root, year(l_shipdate) AS reference, CASE WHEN l_linenumber = 7 THEN 'Quarterly' WHEN l_linenumber = 6 THEN 'Half' WHEN p_size % 4 <> 0 THEN 'Monthly' ELSE 'Quarterly' END AS frequency, l_quantity AS q FROM lineitem JOIN part ON l_partkey = p_partkey WHERE true),
+      s AS (SELECT root || CASE WHEN q > 45 THEN 'x' ELSE '' END AS root, reference, frequency, q FROM r), m AS (SELECT DISTINCT root, reference FROM s WHERE frequency = 'Monthly')
+      SELECT root, reference, frequency, count(*) AS rows FROM s LEFT JOIN m USING (root, reference) WHERE frequency = 'Monthly' OR m.root IS NULL GROUP BY ALL""".replace("LEFT JOIN m USING (root, reference) WHERE frequency = 'Monthly' OR m.root IS NULL", "WHERE frequency = 'Monthly' OR (root, reference) NOT IN (SELECT (root, reference) FROM m)"),
+)
+def raw_periods_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delivered quarter and half rows give way where the root has monthly rows of the reference."""
+    part = views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_size")
+    number = F.col("l_linenumber")
+    rows = views.table(spark, sf_dir, "lineitem").join(part, "l_partkey").select(
+        F.concat("p_brand", F.when(F.col("l_quantity") > 45, "x").otherwise("")).alias("root"), F.year("l_shipdate").alias("reference"),
+        F.when(number == 7, "Quarterly").when(number == 6, "Half").when(F.col("p_size") % 4 != 0, "Monthly").otherwise("Quarterly").alias("frequency"),
+    )
+    return settle(CV.drop_raw_periods(rows, ["root", "reference"]).groupBy("root", "reference", "frequency").agg(F.count(F.lit(1)).alias("rows")))
+
+
+@query("volume_shared", f"WITH {_CV}, {_LEG_VALUES} SELECT structure, year, x, sum(n)::DOUBLE AS n FROM cv JOIN l ON leg = series GROUP BY ALL HAVING count(*) = 3")
 def volume_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order counts where all three series have the day."""
-    return settle(CV.sum_on_shared(_legs(spark, sf_dir), 3, ["year"], value="n"))
+    """Order counts where all legs of a structure have the day."""
+    return settle(CV.sum_on_shared(_legs(spark, sf_dir), 3, ["structure", "year"], value="n"))
 
 
 @query(
@@ -116,7 +236,7 @@ def longest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT root, flag, y, period, frequency, round(px, 6) AS px, round(vol, 6) AS vol FROM (SELECT * FROM q UNION ALL SELECT * FROM h)""",
 )
 def quarter_half_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strips from complete months only."""
+    """Strips from complete months only."""
     part = views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("root"))
     monthly = (
         views.table(spark, sf_dir, "lineitem").join(part, "l_partkey")
@@ -201,7 +321,8 @@ def flat_curve_align_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = yearly(spark, sf_dir)
     flat = rows.select(F.col("series").alias("flat"), "year", "x", "value")
     years = rows.select(F.col("series").alias("leg"), "year").distinct()
-    pairs = years.select("leg").distinct().join(flat.select("flat").distinct(), F.col("flat") != F.col("leg"))
+    # Which curve stands beside which leg is configuration, as in a user's leg table.
+    pairs = spark.createDataFrame([(a, b) for a in _SERIES for b in _SERIES if a != b], "flat string, leg string")
     aligned = CV.align_flat_curve(flat.join(pairs, "flat"), years, 7, keys=["leg"])
     return settle(aligned.select("flat", "leg", "year", "x", "value"), dp=4)
 
@@ -215,7 +336,7 @@ def flat_curve_align_all(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT u.series, u.year, u.dd AS day, round(u.value, 4) AS value FROM u JOIN k USING (series, year, run)""",
 )
 def season_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rotated 365-day display axis with its longest run."""
+    """Rotated 365-day display axis with its longest run."""
     out = CV.season_axis(yearly(spark, sf_dir).drop("n"), ["series", "year"], CV.anchor_day(F.lit(7)))
     return settle(out.select("series", "year", "day", "value"), dp=4)
 
@@ -280,15 +401,15 @@ def var_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "var_multi_leg",
     settle_sql(
-        f"""WITH {_CV}, l(leg, ratio) AS (VALUES ('1-URGENT', 1.0), ('2-HIGH', -2.0), ('3-MEDIUM', 1.0)), o AS (SELECT year, x, ratio * value * CASE WHEN 5.0 + n > 1 THEN (5.0 + n) / 100 END AS s FROM cv JOIN l ON series = leg),
-        p AS (SELECT year, x, sqrt(sum(s * s)) AS sg FROM o GROUP BY ALL HAVING count(*) = 3) SELECT year, max(x) AS x, arg_max(sg, x) * 1.645 AS p90, arg_max(sg, x) * 1.96 AS p95, arg_max(sg, x) * 2.576 AS p99 FROM p GROUP BY 1""",
-        "year, x", "p90:4, p95:4, p99:4",
+        f"""WITH {_CV}, {_LEG_VALUES}, o AS (SELECT structure, year, x, ratio * value * CASE WHEN 5.0 + n > 1 THEN (5.0 + n) / 100 END AS s FROM cv JOIN l ON series = leg),
+        p AS (SELECT structure, year, x, sqrt(sum(s * s)) AS sg FROM o GROUP BY ALL HAVING count(*) = 3) SELECT structure || '|' || year AS structure_year, max(x) AS x, arg_max(sg, x) * 1.645 AS p90, arg_max(sg, x) * 1.96 AS p95, arg_max(sg, x) * 2.576 AS p99 FROM p GROUP BY structure, year""",
+        "structure_year, x", "p90:4, p95:4, p99:4",
     ),
 )
 def var_multi_leg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Zero-correlation VaR at the newest shared day per year."""
-    legs = _legs(spark, sf_dir).withColumns({"price": F.col("value"), "vol": 5.0 + F.col("n")})
-    return settle(R.multi_leg_var(legs, "year", 3), dp=4)
+    """Zero-correlation VaR at the newest shared day per structure and year."""
+    legs = _legs(spark, sf_dir).withColumns({"price": F.col("value"), "vol": 5.0 + F.col("n"), "structure_year": F.concat_ws("|", "structure", F.col("year").cast("string"))})
+    return settle(R.multi_leg_var(legs, "structure_year", 3), dp=4)
 
 
 @query(
@@ -326,7 +447,7 @@ def annualised_vol(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def var_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """VaR from the history where there is one, else from the quoted volatility."""
+    """VaR from the history where there is one, else from the quoted volatility."""
     curve = views.curve(spark, sf_dir)
     fitted = R.parametric_var(curve.filter(F.col("series") != "1-URGENT"), "series", "day", F.year("day"))
     latest = curve.groupBy("series").agg(F.max_by("value", "day").alias("price"), (F.max_by("n", "day") + 5.0).alias("vol"))
@@ -341,7 +462,7 @@ def var_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT series, year, x, round(v / value, 5) AS var_share FROM w WHERE x % 7 = 0""",
 )
 def var_plotted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rolling VaR fitted on the full history, shown where the plot has points."""
+    """Rolling VaR fitted on the full history, shown where the plot has points."""
     series = yearly(spark, sf_dir)
     full = R.rolling_var(series, ["series", "year"])
     shown = R.restrict_to(full, series.filter(F.col("x") % 7 == 0), ["series", "year"])
