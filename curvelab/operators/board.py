@@ -440,9 +440,9 @@ def structure_summaries(board: DataFrame, selected: DataFrame, recent: DataFrame
     )
 
 
-def with_description(summaries: DataFrame) -> DataFrame:
+def with_description(summaries: DataFrame, digits: int = 4) -> DataFrame:
     """One-sentence brief per structure."""
-    number = lambda c, places=4: F.coalesce(F.format_number(F.col(c), places), F.lit("n/a"))
+    number = lambda c, places=digits: F.coalesce(F.format_number(F.col(c), places), F.lit("n/a"))
     percent = lambda c: F.coalesce(F.concat(F.format_number(100 * F.col(c), 1), F.lit("%")), F.lit("n/a"))
     return summaries.withColumn(
         "summary_description",

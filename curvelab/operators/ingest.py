@@ -48,6 +48,43 @@ def pick_column(columns: Sequence[str], candidates: Sequence[str]) -> str | None
     return next((by_lower[c.lower()] for c in candidates if c.lower() in by_lower), None)
 
 
+# Spellings of pricing columns, the preferred one first.
+PRICING_SPELLINGS: dict[str, tuple[str, ...]] = {
+    "date": ("date", "dt", "datetime"),
+    "security_str": ("security_str", "security", "ticker", "symbol", "code", "security_id", "fut_cur_gen_ticker"),
+    "PX_LAST": ("px_last", "px_last_st", "px_last_price"),
+    "PX_CLOSE": ("px_close", "px_closing", "px_close_price"),
+    "PX_SETTLE": ("px_settle", "px_settlement"),
+    "PX_FAIR_1430": (
+        "px_fair_1430", "px_fair_value_1430", "px_1430_fair", "px_1430_fair_value", "px_fair_value", "fair_value_1430", "fair_value",
+        "px_fv_1430", "fv_1430",
+    ),
+    "VOL_30D": ("vol_30d", "vol30d", "volatility_30d", "hist_vol_30d", "hist_volatility_30d", "vol_30_day", "volatility_30_day"),
+    "PX_VOLUME": ("px_volume", "volume", "vol", "qty", "quantity"),
+    "CLEAN_NAME": ("clean_name", "clean name", "cleanname", "name", "common_name", "security_name", "description"),
+    "security_prefix": ("security_prefix", "security_code", "root_code", "code"),
+    "month": ("month", "contract_month", "delivery_month", "contract_period"),
+    "frequency": ("frequency", "freq"),
+    "reference": ("reference", "ref", "ref_num"),
+    "contract_month_yr": (
+        "current_contract_month_yr", "current_contract_month_year", "contract_month_yr", "contract_month_year", "contract_month",
+        "contract_code", "fut_cur_gen_ticker",
+    ),
+    "contract_year": ("contract_year", "contractYear", "contract_yr", "contract_year_num", "year"),
+    "bbl_per_mt": ("bbl_per_mt", "bblpermt", "bbl_per_metric_ton"),
+    "gal_per_bbl": ("gal_per_bbl", "galperbbl", "gallons_per_bbl"),
+}
+
+
+def pricing_columns(df: DataFrame, wanted: Sequence[str] = tuple(PRICING_SPELLINGS)) -> DataFrame:
+    """The wanted pricing columns under their canonical names; what no spelling delivers is null.
+
+    One source column may serve several meanings, as a contract code does.
+    """
+    found = {name: pick_column(df.columns, PRICING_SPELLINGS[name]) for name in wanted}
+    return df.select(*[(F.col(f"`{c}`") if c is not None else F.lit(None).cast("string")).alias(name) for name, c in found.items()])
+
+
 def pivot_long(df: DataFrame, index: Sequence[str], fields: Sequence[str], seq: str) -> DataFrame:
     """(index, field, value) rows to one wide row; the last value per field wins."""
     cells = [

@@ -57,6 +57,44 @@ def strategy_library(spark: SparkSession) -> DataFrame:
     )
 
 
+#: Columns of a trade-level export in order, as far as the board has them.
+EXPORT_COLUMNS = (
+    "session_date", "timestamp_utc", "trade_code", "trade_code_short", "contract_codes", "contract_months", "spread_id", "spread_name",
+    "spread_family", "structure_roots", "quote_convention", "status", "portfolio_action", "portfolio_selected", "portfolio_rank",
+    "daily_trade_limit", "signal_strategy_id", "direction_evidence_validated", "display_unit", "display_current", "display_buy_entry",
+    "display_sell_entry", "display_fair_value", "display_long_stop", "display_short_stop", "spread_close", "buy_entry_ceiling",
+    "sell_entry_floor", "fair_value_target", "confidence", "pattern_state", "pattern_strength", "pattern_agreement", "pattern_components",
+    "advanced_risk_regime", "regime", "expected_edge_usd", "round_trip_cost_usd", "expected_edge_to_cost", "relative_volume",
+    "liquidity_gate", "package_volume_capacity", "max_leg_bid_ask_ticks", "earliest_risk_date", "forced_exit_session",
+    "sessions_to_risk_date", "oos_grade",
+)
+
+
+def trade_level_export(board: DataFrame, settings) -> DataFrame:
+    """The board as a broker reads it: its levels, and the settings they were made under.
+
+    A board without one of the columns that a level needs is an error.
+    """
+    required = ("spread_id", "trade_code", "status", "portfolio_action", "portfolio_selected", "display_unit", "display_current", "display_buy_entry", "display_sell_entry", "display_fair_value")
+    missing = [c for c in required if c not in board.columns]
+    if missing:
+        raise ValueError(f"the board has no {', '.join(missing)}")
+    constants = {
+        "bar_interval_minutes": settings.trading.bar_interval_minutes, "strategy_count": len(STRATEGIES),
+        "untouched_lockbox_sessions": settings.folds.lockbox_sessions, "walk_forward_train_sessions": settings.folds.train_sessions,
+        "walk_forward_validation_sessions": settings.folds.validation_sessions, "walk_forward_test_sessions": settings.folds.test_sessions,
+        "walk_forward_embargo_sessions": settings.folds.embargo_sessions, "lockbox_used_for_training": False,
+        "maximum_new_trades_per_session": settings.board.maximum_new_trades_per_session,
+    }
+    shown = board.select(*[c for c in EXPORT_COLUMNS if c in board.columns])
+    return shown.withColumns({name: F.lit(value) for name, value in constants.items()})
+
+
+def export_order() -> list:
+    """Selected entries first, then by status, confidence and structure."""
+    return [F.col("portfolio_selected").desc(), F.col("status"), F.col("confidence").desc(), F.col("spread_id")]
+
+
 def last_bar_history(features: DataFrame, columns: Sequence[str], sessions: int = 120) -> DataFrame:
     """End-of-session rows of the newest sessions."""
     from curvelab.operators.ingest import last_sessions

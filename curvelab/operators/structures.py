@@ -160,6 +160,13 @@ def merge_structures(own: Iterable[Structure], generated: Iterable[Structure]) -
     return own + tuple(s for s in generated if s.group not in groups)
 
 
+def merged_library(own: DataFrame, generated: DataFrame, group: str = "algebra_group") -> DataFrame:
+    """The same for tables: all rows of a user's registry, and generated ones of other groups."""
+    return own.withColumn("origin", F.lit("USER")).unionByName(
+        generated.join(own.select(group).distinct(), group, "left_anti").withColumn("origin", F.lit("GENERATED"))
+    )
+
+
 def structure_table(spark: SparkSession, structures: Iterable[Structure], roots: tuple[RootSpec, ...]) -> DataFrame:
     """One row per structure.  Its size is the registry's, known before Spark sees it."""
     barrels = {r.root: r.contract_barrels for r in roots}
