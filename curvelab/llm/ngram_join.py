@@ -8,8 +8,10 @@ binary search.
 Around the search:
 
 1. Texts with one shingle set become one node (digest of the set).
-2. Nodes meet in blocks: bands of a MinHash signature of the set.  ``ROWS`` and ``BANDS``
-   are chosen so that two sets at exactly 0.8 share no block with probability 3e-8.
+2. Nodes meet in blocks, the inverted lists of prefixes: the ``n - ceil(0.8 n) + 1`` smallest
+   shingle hashes of a set, of which two linked sets always share one.  Without ``exact`` the
+   blocks are bands of a MinHash signature instead, fewer keys that two sets at exactly 0.8
+   do not share with probability 3e-8 (``ROWS``, ``BANDS``).
 3. A node with more than ``n - ceil(0.8 n)`` shingles that no other node in any block has
    cannot reach T with anyone and leaves.
 4. First every block's most central node is searched against the block, which joins most
@@ -36,6 +38,7 @@ from pyspark.sql import functions as F
 
 from curvelab.llm.common import THRESHOLD, fresh, mix, session, shingle_sets, text_slices, written
 from curvelab.llm.components import components
+from curvelab.scale import salted_join
 
 #: Minimum hashes per band, and bands.
 ROWS, BANDS = 3, 24
@@ -132,22 +135,33 @@ def _bands(grams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _prefixes(grams: np.ndarray, offsets: np.ndarray, threshold: float) -> Iterator[np.ndarray]:
+    """The first shingles of every non-empty sorted set: linked sets differ in fewer than these."""
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        if b > a:
+            yield grams[a : b - math.ceil(threshold * (b - a) - 1e-9) + 1].astype(np.int64)
+
+
+def _sign(threshold: float, exact: bool):
     """(id, row keys, text) to (id, row keys, n, node, bands)."""
-    for batch in batches:
-        n, nodes, keys = [], [], []
-        for first, last, data, offsets in text_slices(batch.column("text")):
-            grams, bounds = shingle_sets(data, offsets)
-            sizes = np.diff(bounds)
-            bands = iter(_bands(grams, bounds).astype(np.int64))
-            for i in range(last - first):
-                n.append(int(sizes[i]))
-                nodes.append(hashlib.blake2b(grams[bounds[i] : bounds[i + 1]].tobytes(), digest_size=16).digest() if sizes[i] else None)
-                keys.append(next(bands) if sizes[i] else None)
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:3], pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-            names=["id", "row1", "row2", "n", "node", "bands"],
-        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, nodes, keys = [], [], []
+            for first, last, data, offsets in text_slices(batch.column("text")):
+                grams, bounds = shingle_sets(data, offsets)
+                sizes = np.diff(bounds)
+                blocks = _prefixes(grams, bounds, threshold) if exact else iter(_bands(grams, bounds).astype(np.int64))
+                for i in range(last - first):
+                    n.append(int(sizes[i]))
+                    nodes.append(hashlib.blake2b(grams[bounds[i] : bounds[i + 1]].tobytes(), digest_size=16).digest() if sizes[i] else None)
+                    keys.append(next(blocks) if sizes[i] else None)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["id", "row1", "row2", "n", "node", "bands"],
+            )
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,24 +257,25 @@ def _cell(threshold: float):
 # ---------------------------------------------------------------- the join
 
 
-def link(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def link(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", exact: bool = True) -> DataFrame:
     """Component of every row under the links: id, n_shingles, component_id.
 
     Words are what stands between ASCII white space, A-Z lower-cased; a text's set are its
     distinct five-word shingles, or its whole word sequence where it has fewer words.  Two
     rows are linked when the Jaccard similarity of their sets is at least ``threshold``;
-    component_id is the smallest id reachable by links.
+    component_id is the smallest id reachable by links.  Without ``exact`` the
+    blocks are bands of minimum hashes, which may miss a pair.
 
     A null or empty text, or one without words, has no shingles and is its own component.
     Rows with a null id take part, and have a null component_id only if no row of the
     component has an id.  Equal ids and equal rows are all kept.  An empty table gives an
     empty result.  Other columns are not read.
     """
-    found = _components(docs, threshold, id_col, text_col)
+    found = _components(docs, threshold, id_col, text_col, exact)
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
-def _components(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+def _components(docs: DataFrame, threshold: float, id_col: str, text_col: str, exact: bool = True) -> DataFrame:
     """(id, row2, n, part, component_id) of every row; part is null where there are no shingles."""
     session(docs.sparkSession)
     text = F.col(f"`{text_col}`")
@@ -268,7 +283,7 @@ def _components(docs: DataFrame, threshold: float, id_col: str, text_col: str) -
         F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{id_col}`"), text).alias("row1"), F.xxhash64(text).alias("row2"), text.alias("text")
     )
     kind = rows.schema["id"].dataType.simpleString()
-    signed = written(rows.mapInArrow(_sign, f"id {kind}, row1 long, row2 long, n long, node binary, bands array<long>"), "signed")
+    signed = written(rows.mapInArrow(_sign(threshold, exact), f"id {kind}, row1 long, row2 long, n long, node binary, bands array<long>"), "signed")
     nodes = written(
         signed.filter("n > 0").groupBy("node").agg(F.min(F.struct("row1", "row2")).alias("r"), F.first("n").alias("n"), F.first("bands").alias("bands")),
         "nodes",
@@ -283,7 +298,7 @@ def _components(docs: DataFrame, threshold: float, id_col: str, text_col: str) -
         labels = components(near.unionByName(far))
     labelled = signed.select("id", "row2", "n", "node").join(labels, "node", "left").select("id", "row2", "n", F.coalesce("label", "node").alias("part"))
     worded = labelled.filter(F.col("part").isNotNull())
-    out = worded.join(worded.groupBy("part").agg(F.min("id").alias("component_id")), "part")
+    out = salted_join(worded, worded.groupBy("part").agg(F.min("id").alias("component_id")), "part", "inner")
     empty = signed.filter("n = 0").select("id", "row2", "n", F.col("node").alias("part"), F.col("id").alias("component_id"))
     return out.select(*empty.columns).unionByName(empty)
 
@@ -291,7 +306,7 @@ def _components(docs: DataFrame, threshold: float, id_col: str, text_col: str) -
 def _shared(blocks: DataFrame) -> DataFrame:
     """Blocks of two nodes or more, with their size; written."""
     sizes = blocks.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    return written(blocks.join(sizes, "key"), "blocks")
+    return written(salted_join(blocks, sizes, "key", "inner", salts=8), "blocks")
 
 
 def _fetch_sets(rows: DataFrame, nodes: DataFrame, blocks: DataFrame) -> DataFrame:
