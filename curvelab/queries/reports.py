@@ -14,6 +14,7 @@ from curvelab.operators import ingest
 from curvelab.operators import reports as RP
 from curvelab.operators import scorecard as SC
 from curvelab.operators import structures as G
+from curvelab.operators import walkforward as W
 from curvelab.queries import ctes, learning
 from curvelab.queries.evidence import _BOARD, _HOUR_TRIALS, EVIDENCE_ORDER, _board
 from curvelab.queries.learning import HOURLY
@@ -252,3 +253,52 @@ def unit_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A step of 5e-6 in the coarsest unit is 4200 * 7.8 steps of the finest.
     wrong = F.abs(back - F.col("v")) > 5e-6 * 4200 * 7.8 + 1e-9
     return settle(rows.withColumn("_t", there).groupBy("source_unit", "target_unit").agg(F.count(F.lit(1)).alias("prices"), F.count_if(wrong).alias("beyond_tolerance")))
+
+
+@query(
+    "fold_report",
+    f"""{learning._FOLDS} SELECT fold, {learning._day('0')} AS train_start, {learning._day('e + 19')} AS test_end, 30 AS validation_sessions_in_fold, 5 AS embargo_sessions, 15 AS oos_test_sessions, 30 AS lockbox_sessions, 0 AS lockbox_used_for_training, 15 AS bar_interval_minutes, 9 AS strategy_count, e - 30 AS train_sessions_in_fold FROM e""",
+)
+def fold_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The folds as they are reported, with their constants (K8)."""
+    days = views.table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("session_date"))
+    told = W.describe_windows(W.walk_forward(days))
+    return settle(told.select(
+        "fold", "train_start", "test_end", "validation_sessions_in_fold", "embargo_sessions", "oos_test_sessions", "lockbox_sessions", "lockbox_used_for_training", "bar_interval_minutes",
+        "strategy_count", "train_sessions_in_fold",
+    ))
+
+
+@query(
+    "snapshot_append",
+    """WITH e AS (SELECT user_id, ts AS time, value, event_id % 3 = 0 AS late FROM events), c AS (SELECT CAST(max(ts) AS DATE) - INTERVAL 1 MONTH AS since FROM events WHERE event_id % 3 = 0)
+      SELECT user_id, count(*) AS snapshots, strftime(min(time), '%Y-%m-%d %H:%M:%S') AS first_time, round(sum(value), 4) AS total FROM (SELECT DISTINCT * EXCLUDE late FROM e), c WHERE time >= since GROUP BY 1""",
+)
+def snapshot_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots of a second delivery after those of the first, as far back as a month reaches."""
+    rows = views.table(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").alias("time"), "value")
+    old, new = (rows.filter(test).drop("event_id") for test in (F.col("event_id") % 3 != 0, F.col("event_id") % 3 == 0))
+    since = ingest.rolling_cutoff(new.agg(F.to_date(F.max("time"))).scalar(), 1)
+    kept = ingest.append_snapshots(old, new, since)
+    return settle(kept.groupBy("user_id").agg(F.count(F.lit(1)).alias("snapshots"), F.min("time").alias("first_time"), F.sum("value").alias("total")), dp=4)
+
+
+@query(
+    "user_structures",
+    """WITH l AS (SELECT 'USR.' || p_partkey AS spread_id, p_size > 10 AS enabled, p_brand AS r1, p_size % 4 AS off, p_partkey FROM part), g AS (SELECT spread_id, p_partkey, off, unnest([1, 2, 3]) AS leg_order FROM l WHERE enabled),
+      f AS (SELECT *, CASE WHEN leg_order = 1 THEN 'HO:delivery:0:1:1:1' WHEN leg_order = 2 THEN 'CL:delivery:' || off || ':1:-1:2' ELSE 'HO:rank:0:2:1:1' END AS text FROM g WHERE leg_order < 3 OR p_partkey % 2 = 0)
+      SELECT spread_id, count(*) AS n_legs, string_agg(text, '|' ORDER BY leg_order) AS signature FROM f GROUP BY 1""",
+)
+def user_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's registry of structures with two or three legs: the enabled ones and their signatures."""
+    parts = views.table(spark, sf_dir, "part")
+    name = F.concat(F.lit("USR."), F.col("p_partkey").cast("string"))
+    library = parts.select(name.alias("spread_id"), (F.col("p_size") > 10).alias("enabled"), F.col("p_name").alias("display_name"), F.lit("User").alias("family"), F.lit("HO").alias("anchor_root"))
+    leg = lambda order, root, mode, offset, rank, sign, lots: F.struct(
+        F.lit(order).alias("leg_order"), F.lit(root).alias("root"), F.lit(mode).alias("selection_mode"), offset.cast("int").alias("delivery_offset"), F.lit(rank).alias("rank"), F.lit(sign).alias("sign"), F.lit(lots).alias("contracts")
+    )
+    zero, even = F.lit(0), F.col("p_partkey") % 2 == 0
+    two = [leg(1, "HO", "delivery", zero, 1, 1, 1), leg(2, "CL", "delivery", F.col("p_size") % 4, 1, -1, 2)]
+    legs = parts.select(name.alias("spread_id"), F.explode(F.when(even, F.array(*two, leg(3, "HO", "rank", zero, 2, 1, 1))).otherwise(F.array(*two))).alias("g")).select("spread_id", "g.*")
+    _, keyed = G.user_registry(library, legs)
+    return settle(keyed.select("spread_id", "n_legs", "signature").distinct())

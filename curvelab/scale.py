@@ -140,10 +140,6 @@ def blocked(
     return Blocked(frame, tuple(keys), halo)
 
 
-def month_bucket(ts: str) -> Column:
-    return F.date_trunc("month", F.col(ts))
-
-
 def running_total(
     df: DataFrame,
     keys: Sequence[str] | str,
