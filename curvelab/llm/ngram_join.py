@@ -8,12 +8,12 @@ binary search.
 Around the search:
 
 1. Texts with one shingle set become one node (digest of the set).
-2. Nodes meet in blocks, the inverted lists of prefixes: the ``n - ceil(0.8 n) + 1`` smallest
-   shingle hashes of a set, of which two linked sets always share one.  Without ``exact`` the
-   blocks are bands of a MinHash signature instead, fewer keys that two sets at exactly 0.8
-   do not share with probability 3e-8 (``ROWS``, ``BANDS``).
-3. A node with more than ``n - ceil(0.8 n)`` shingles that no other node in any block has
-   cannot reach T with anyone and leaves.
+2. Every text deals its smallest shingle hashes: all below ``SAMPLED`` of their range, and at
+   least its prefix, the ``n - ceil(0.8 n) + 1`` smallest.  Two linked sets share a hash of both
+   prefixes, so nodes meet in blocks of equal prefix hashes, and no pair is missed.
+3. Of the shingles below the sample's border a partner lacks ``n - ceil(0.8 n)`` at most.  A node
+   that shares fewer of them with other nodes than that leaves, and what stays is counted
+   once more over whole sets.
 4. First every block's most central node is searched against the block, which joins most
    copies with work in proportion to the block.
 5. In blocks whose nodes are not all joined by then, the nodes outside the largest
@@ -40,8 +40,8 @@ from curvelab.llm.common import THRESHOLD, fresh, mix, session, shingle_sets, te
 from curvelab.llm.components import components
 from curvelab.scale import salted_join
 
-#: Minimum hashes per band, and bands.
-ROWS, BANDS = 3, 24
+#: Share of all shingles that is compared before whole sets are.
+SAMPLED = 0.3
 #: Nodes on one side of a cell.
 SLICE = 256
 #: Shingles that one task counts at once.
@@ -116,54 +116,143 @@ class InvertedLists:
 # ---------------------------------------------------------------- passes over the texts
 
 
-def _permutations() -> tuple[np.ndarray, np.ndarray]:
-    base = mix(np.arange(1, 2 * ROWS * BANDS + 1, dtype=np.uint64))
-    return base[: ROWS * BANDS] | np.uint64(1), base[ROWS * BANDS :]
+_BORDER = np.uint64(int(SAMPLED * (1 << 64)))
+_PREFIX, _SAMPLE = 1 << 30, 1 << 29
+#: Owner of a hash that several nodes of a batch have.
+_MANY = _SAMPLE - 1
+SALTS = 16
 
 
-def _bands(grams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Band keys of every non-empty set."""
-    factors, shifts = _permutations()
-    starts = offsets[:-1][np.diff(offsets) > 0]
-    out = np.zeros((len(starts), BANDS), dtype=np.uint64)
-    if not len(starts):
-        return out
-    with np.errstate(over="ignore"):
-        for i, (factor, shift) in enumerate(zip(factors, shifts)):
-            lowest = np.minimum.reduceat(grams * factor + shift, starts)
-            out[:, i // ROWS] = mix(out[:, i // ROWS] * np.uint64(31) + mix(lowest + np.uint64(i)))
-    return out
+def _node(grams: np.ndarray) -> bytes:
+    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
-def _prefixes(grams: np.ndarray, offsets: np.ndarray, threshold: float) -> Iterator[np.ndarray]:
-    """The first shingles of every non-empty sorted set: linked sets differ in fewer than these."""
-    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-        if b > a:
-            yield grams[a : b - math.ceil(threshold * (b - a) - 1e-9) + 1].astype(np.int64)
+def _short(node: bytes) -> int:
+    """The first half of a digest, which stands for the node where blocks are found."""
+    return int.from_bytes(node[:8], "little", signed=True)
 
 
-def _sign(threshold: float, exact: bool):
-    """(id, row keys, text) to (id, row keys, n, node, bands)."""
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, row keys, text) to (id, row keys, n, shingles in the sample, node, its short form)."""
+    for batch in batches:
+        n, sampled, nodes = [], [], []
+        for first, last, data, offsets in text_slices(batch.column("text")):
+            grams, bounds = shingle_sets(data, offsets)
+            for i in range(last - first):
+                own = grams[bounds[i] : bounds[i + 1]]
+                n.append(len(own))
+                sampled.append(int(np.searchsorted(own, _BORDER)))
+                nodes.append(_node(own) if len(own) else None)
+        yield pa.RecordBatch.from_arrays(
+            [
+                *batch.columns[:3], pa.array(n, pa.int64()), pa.array(sampled, pa.int64()), pa.array(nodes, pa.binary()),
+                pa.array([None if x is None else _short(x) for x in nodes], pa.int64()),
+            ],
+            names=["id", "row1", "row2", "n", "sampled", "node", "short"],
+        )
+
+
+def _prefixes(buckets: int, threshold: float):
+    """Texts to rows (bucket, nodes, keys, owners): the smallest shingle hashes dealt out by another hash.
+
+    ``nodes`` are short forms, ``keys`` 32 bits of the other hash beside its bucket, ``owners`` places
+    in ``nodes`` with a mark for hashes of the prefix and one for those of the sample.  Equal
+    sets of a batch are dealt once.  A hash that several nodes of the batch have is dealt once and
+    owned by ``_MANY``; its owners go to one of ``SALTS`` buckets beside, so that a frequent hash
+    costs its bucket one entry a batch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, nodes, keys = [], [], []
+            nodes, parts, marks = [], [], []
+            seen: set[int] = set()
             for first, last, data, offsets in text_slices(batch.column("text")):
                 grams, bounds = shingle_sets(data, offsets)
-                sizes = np.diff(bounds)
-                blocks = _prefixes(grams, bounds, threshold) if exact else iter(_bands(grams, bounds).astype(np.int64))
                 for i in range(last - first):
-                    n.append(int(sizes[i]))
-                    nodes.append(hashlib.blake2b(grams[bounds[i] : bounds[i + 1]].tobytes(), digest_size=16).digest() if sizes[i] else None)
-                    keys.append(next(blocks) if sizes[i] else None)
+                    own = grams[bounds[i] : bounds[i + 1]]
+                    if not len(own) or (short := _short(_node(own))) in seen:
+                        continue
+                    seen.add(short)
+                    prefix, sampled = len(own) - math.ceil(threshold * len(own) - 1e-9) + 1, int(np.searchsorted(own, _BORDER))
+                    size = max(prefix, sampled)
+                    mark = np.zeros(size, np.int32)
+                    mark[:prefix] |= _PREFIX
+                    mark[:sampled] |= _SAMPLE
+                    marks.append(mark | len(nodes))
+                    parts.append(own[:size])
+                    nodes.append(short)
+            if not nodes:
+                continue
+            mixed, owners = mix(np.concatenate(parts) ^ np.uint64(0xA5A5)), np.concatenate(marks)
+            keys = ((mixed % np.uint64(buckets)) << np.uint64(32)) | (mixed >> np.uint64(32))
+            order = np.argsort(keys, kind="stable")
+            keys, owners = keys[order], owners[order]
+            begins = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            size = np.diff(np.append(begins, len(keys)))
+            common = np.repeat(size, size) > 1
+            names, out = np.array(nodes, np.int64), []
+            salt = 1 + nodes[0] % SALTS
+            own = np.where(size > 1, (np.bitwise_or.reduceat(owners, begins) & ~_MANY) | _MANY, owners[begins]).astype(np.int32)
+            for base, k, o in ((0, keys[begins], own), (salt * buckets, keys[common], owners[common])):
+                cuts = np.searchsorted(k >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+                for b in np.flatnonzero(np.diff(cuts)).tolist():
+                    out.append((base + b, *_entry(names, k[cuts[b] : cuts[b + 1]], o[cuts[b] : cuts[b + 1]])))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["id", "row1", "row2", "n", "node", "bands"],
+                [pa.array(column, kind) for column, kind in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))],
+                names=["bucket", "nodes", "keys", "owners"],
             )
 
     return run
 
 
+def _entry(names: np.ndarray, keys: np.ndarray, owners: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Keys and owners with the names that these use, as bytes."""
+    place = owners & _MANY
+    used = np.unique(place[place != _MANY])
+    renamed = np.where(place == _MANY, _MANY, np.searchsorted(used, place))
+    return names[used].tobytes(), keys.astype(np.uint32).tobytes(), ((owners & ~_MANY) | renamed).astype(np.int32).tobytes()
+
+
+def _meet(buckets: int):
+    """(short, shared): sampled hashes that a node has in common with others; (short, key): prefix hashes that other prefixes have."""
+
+    def run(group: pa.Table) -> pa.Table:
+        bucket = group.column("bucket")[0].as_py()
+        names = [np.frombuffer(x, np.int64) for x in group.column("nodes").to_pylist()]
+        marks = [np.frombuffer(x, np.int32) for x in group.column("owners").to_pylist()]
+        keys = np.concatenate([np.frombuffer(x, np.uint32) for x in group.column("keys").to_pylist()]).astype(np.uint64)
+        shorts, number = np.unique(np.concatenate(names), return_inverse=True)
+        bases = np.concatenate(([0], np.cumsum([len(x) for x in names])))
+        number = np.append(number, len(shorts))
+        place = np.concatenate([np.where((m & _MANY) == _MANY, bases[-1], (m & _MANY) + base) for m, base in zip(marks, bases)])
+        node, mark = number[place].astype(np.uint64), np.concatenate(marks) & ~_MANY
+        # A node that came from several batches counts once.
+        both = (keys << np.uint64(32)) | node
+        order = np.argsort(both, kind="stable")
+        both, mark = both[order], mark[order]
+        once = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
+        mark, keys, node = np.bitwise_or.reduceat(mark, once), both[once] >> np.uint64(32), (both[once] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        many = node == len(shorts)
+        begins = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        size = np.diff(np.append(begins, len(keys)))
+        owned = lambda flags: np.repeat(np.add.reduceat(np.where(flags, 1 + many, 0), begins), size)
+        first, whole = (mark & _PREFIX) > 0, np.ones(len(keys), dtype=bool)
+        if bucket >= buckets:  # hashes that several nodes of one batch have
+            shared = block = whole
+        else:
+            shared, block = owned(whole) > 1, owned(first) > 1
+        counts = np.bincount(node[shared & ~many & ((mark & _SAMPLE) > 0)], minlength=len(shorts))
+        some = np.flatnonzero(counts)
+        met = np.flatnonzero(first & block & ~many)
+        return pa.table({
+            "short": pa.array(np.concatenate((shorts[some], shorts[node[met]])), pa.int64()),
+            "shared": pa.array([*counts[some].tolist(), *[None] * len(met)], pa.int64()),
+            "key": pa.array([*[None] * len(some), *((np.uint64(bucket % buckets) << np.uint64(32)) | keys[met]).astype(np.int64).tolist()], pa.int64()),
+        })
+
+    return run
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, text) to (node, n, tokens): the sorted shingle hashes as bytes."""
     for batch in batches:
@@ -257,25 +346,24 @@ def _cell(threshold: float):
 # ---------------------------------------------------------------- the join
 
 
-def link(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", exact: bool = True) -> DataFrame:
+def link(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Component of every row under the links: id, n_shingles, component_id.
 
     Words are what stands between ASCII white space, A-Z lower-cased; a text's set are its
     distinct five-word shingles, or its whole word sequence where it has fewer words.  Two
     rows are linked when the Jaccard similarity of their sets is at least ``threshold``;
-    component_id is the smallest id reachable by links.  Without ``exact`` the
-    blocks are bands of minimum hashes, which may miss a pair.
+    component_id is the smallest id reachable by links.
 
     A null or empty text, or one without words, has no shingles and is its own component.
     Rows with a null id take part, and have a null component_id only if no row of the
     component has an id.  Equal ids and equal rows are all kept.  An empty table gives an
     empty result.  Other columns are not read.
     """
-    found = _components(docs, threshold, id_col, text_col, exact)
+    found = _components(docs, threshold, id_col, text_col)
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
-def _components(docs: DataFrame, threshold: float, id_col: str, text_col: str, exact: bool = True) -> DataFrame:
+def _components(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
     """(id, row2, n, part, component_id) of every row; part is null where there are no shingles."""
     session(docs.sparkSession)
     text = F.col(f"`{text_col}`")
@@ -283,12 +371,14 @@ def _components(docs: DataFrame, threshold: float, id_col: str, text_col: str, e
         F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{id_col}`"), text).alias("row1"), F.xxhash64(text).alias("row2"), text.alias("text")
     )
     kind = rows.schema["id"].dataType.simpleString()
-    signed = written(rows.mapInArrow(_sign(threshold, exact), f"id {kind}, row1 long, row2 long, n long, node binary, bands array<long>"), "signed")
+    signed = written(rows.mapInArrow(_sign, f"id {kind}, row1 long, row2 long, n long, sampled long, node binary, short long"), "signed")
     nodes = written(
-        signed.filter("n > 0").groupBy("node").agg(F.min(F.struct("row1", "row2")).alias("r"), F.first("n").alias("n"), F.first("bands").alias("bands")),
+        signed.filter("n > 0").groupBy("node").agg(
+            F.min(F.struct("row1", "row2")).alias("r"), F.first("n").alias("n"), F.first("sampled").alias("sampled"), F.first("short").alias("short")
+        ),
         "nodes",
-    )
-    blocks = _shared(nodes.select("node", "n", F.explode("bands").alias("key")))
+    )
+    blocks = _shared(_blocks(rows, nodes, threshold))
     sets = _fetch_sets(rows, nodes, blocks)
     blocks = _shared(blocks.drop("size").join(_linkable(sets, threshold), "node", "left_semi"))
     near = written(_search(_central(blocks, threshold), sets, threshold), "near")
@@ -303,6 +393,18 @@ def _components(docs: DataFrame, threshold: float, id_col: str, text_col: str, e
     return out.select(*empty.columns).unionByName(empty)
 
 
+def _blocks(rows: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """(node, n, key) of the nodes that may have a partner, and their prefix hashes that other nodes have in theirs."""
+    lacking = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9)
+    total = nodes.agg(F.sum(F.greatest("sampled", lacking + 1))).first()[0] or 0
+    buckets = max(1, math.ceil(total / BUCKET_TOKENS))
+    dealt = rows.select("text").mapInArrow(_prefixes(buckets, threshold), "bucket long, nodes binary, keys binary, owners binary")
+    met = written(dealt.groupBy("bucket").applyInArrow(_meet(buckets), "short long, shared long, key long"), "met")
+    shared = met.filter("key IS NULL").groupBy("short").agg(F.sum("shared").alias("shared"))
+    able = nodes.join(shared, "short", "left").filter(F.coalesce("shared", F.lit(0)) >= F.col("sampled") - lacking)
+    return met.filter("key IS NOT NULL").select("short", "key").join(able.select("short", "node", "n"), "short").select("node", "n", "key")
+
+
 def _shared(blocks: DataFrame) -> DataFrame:
     """Blocks of two nodes or more, with their size; written."""
     sizes = blocks.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
