@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curvelab.functions.units import display_round
-from curvelab.scale import row_index
+from curvelab.scale import blocked, last_known, row_index
 
 # Normal multipliers of the three levels.
 LEVELS = {"p90": 1.645, "p95": 1.96, "p99": 2.576}
@@ -110,19 +110,22 @@ def change_histogram(series: DataFrame, key: str, order: str, value: str = "valu
     )
 
 
-def annualised_vol(series: DataFrame, keys: Sequence[str], day: str, price: str, rows: int = 30, minimum: int = 20) -> DataFrame:
+def annualised_vol(
+    series: DataFrame, keys: Sequence[str], day: str, price: str, rows: int = 30, minimum: int = 20, block: int = 4096
+) -> DataFrame:
     """Thirty-observation volatility a year, carried forward, filled and clipped.
 
-    ``keys`` name one contract, which bounds the partition.
+    A series of any length: windows run inside blocks, and carrying is a scan over years.
     """
-    order = Window.partitionBy(*keys).orderBy(day)
-    step = F.log(F.col(price)) - F.log(F.lag(price).over(order))
-    frame = order.rowsBetween(-(rows - 1), 0)
+    year = F.trunc(F.col(day), "year")
+    b = blocked(series, list(keys), day, year, rows, block)
+    step = F.log(F.col(price)) - F.log(F.lag(price).over(b.order))
+    frame = b.trailing(rows)
     vol = F.when(F.count("_r").over(frame) >= minimum, F.stddev_samp("_r").over(frame) * F.sqrt(F.lit(252.0)))
-    carried = F.coalesce(F.last("_vol", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.26))
+    measured = b.finish(b.frame.withColumn("_r", step).withColumn("_vol", vol)).drop("_r")
+    carried = F.coalesce("_vol", F.lit(0.26))
     return (
-        series.withColumn("_r", step)
-        .withColumn("_vol", vol)
+        last_known(measured, list(keys), day, year, "_vol")
         .withColumn("vol_30d", F.round(F.greatest(F.lit(0.05), F.least(F.lit(1.5), carried)), 5))
-        .drop("_r", "_vol")
+        .drop("_vol")
     )

@@ -186,6 +186,28 @@ def running_total(
     )
 
 
+def last_known(df: DataFrame, keys: Sequence[str] | str, order: str, bucket: Column, value: str) -> DataFrame:
+    """``value`` carried forward over its nulls, as a two-level scan.
+
+    The last value of each (key, bucket) is an aggregate, the last one before a bucket a scan
+    of that small table, and only the rest happens inside a bucket.
+    """
+    keys = _cols(keys)
+    work = df.withColumn(_BUCKET, bucket)
+    known = work.filter(F.col(value).isNotNull()).groupBy(*keys, _BUCKET).agg(F.max_by(value, order).alias("_last"))
+    places = work.select(*keys, _BUCKET).distinct().withColumn(_PLACE, _place(keys))
+    every = places.join(known.select(_place(keys), "_last"), _PLACE, "left")
+    before = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = every.select(_PLACE, F.last("_last", ignorenulls=True).over(before).alias(_BEFORE))
+    inside = Window.partitionBy(_PLACE).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        work.withColumn(_PLACE, _place(keys))
+        .join(offsets, _PLACE)
+        .withColumn(value, F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col(_BEFORE)))
+        .drop(_BUCKET, _BEFORE, _PLACE)
+    )
+
+
 def latest_by(df: DataFrame, keys: Sequence[str] | str, *order: str | Column) -> DataFrame:
     """The last row per key.  An aggregate, so rows are combined before the shuffle."""
     keys = _cols(keys)

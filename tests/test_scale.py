@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from curvelab.functions import rolling as R
 from curvelab.operators import smoothers as M
-from curvelab.scale import blocked, focus, latest_by, row_index, running_total, salted_join
+from curvelab.scale import blocked, focus, last_known, latest_by, row_index, running_total, salted_join
 
 
 @pytest.fixture(scope="module")
@@ -47,6 +47,14 @@ def test_running_total_equals_cumsum(frame, series):
     np.testing.assert_allclose(got["s"], want)
 
 
+def test_last_known_equals_a_forward_fill(frame, series):
+    gaps = frame.withColumn("y", F.when((F.dayofmonth("t") > 3) & (F.col("e") != "cold"), F.lit(None)).otherwise(F.col("y")))
+    got = last_known(gaps, "e", "t", month(), "y").toPandas().sort_values(["e", "t"])
+    plain = gaps.toPandas().sort_values(["e", "t"])
+    want = plain.groupby("e")["y"].ffill()
+    np.testing.assert_allclose(got["y"].to_numpy(dtype=float), want.to_numpy(dtype=float))
+
+
 def test_blocks_do_not_change_rolling_results(frame, series):
     b = blocked(frame, "e", "t", month(), halo=40, block=64)
     out = R.window_sums(b, b.frame, {"y": R.Track(F.col("y"), (20, 40), 4)}).withColumns(
