@@ -243,11 +243,19 @@ def _meet(buckets: int):
             shared, block = owned(whole) > 1, owned(first) > 1
         counts = np.bincount(node[shared & ~many & ((mark & _SAMPLE) > 0)], minlength=len(shorts))
         some = np.flatnonzero(counts)
+        # Hashes of the same owners are one block: its key is made of the owners where all are known here.
+        with np.errstate(over="ignore"):
+            named = np.where(first, mix(np.append(shorts, 0)[node].astype(np.uint64)), np.uint64(0))
+            owners = mix(np.bitwise_xor.reduceat(named, begins) ^ mix(np.add.reduceat(named * np.uint64(0x9E3779B97F4A7C15), begins)))
+        own = (np.uint64(bucket % buckets) << np.uint64(32)) | keys
+        apart = np.repeat(np.bitwise_or.reduceat(many, begins), size) if bucket < buckets else whole
+        key = np.where(apart, own, np.repeat(owners, size))
         met = np.flatnonzero(first & block & ~many)
+        pairs = np.unique(np.stack((node[met].astype(np.uint64), key[met]), 1), axis=0)
         return pa.table({
-            "short": pa.array(np.concatenate((shorts[some], shorts[node[met]])), pa.int64()),
-            "shared": pa.array([*counts[some].tolist(), *[None] * len(met)], pa.int64()),
-            "key": pa.array([*[None] * len(some), *((np.uint64(bucket % buckets) << np.uint64(32)) | keys[met]).astype(np.int64).tolist()], pa.int64()),
+            "short": pa.array(np.concatenate((shorts[some], shorts[pairs[:, 0].astype(np.int64)])), pa.int64()),
+            "shared": pa.array([*counts[some].tolist(), *[None] * len(pairs)], pa.int64()),
+            "key": pa.array([*[None] * len(some), *pairs[:, 1].astype(np.int64).tolist()], pa.int64()),
         })
 
     return run
@@ -402,13 +410,13 @@ def _blocks(rows: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     met = written(dealt.groupBy("bucket").applyInArrow(_meet(buckets), "short long, shared long, key long"), "met")
     shared = met.filter("key IS NULL").groupBy("short").agg(F.sum("shared").alias("shared"))
     able = nodes.join(shared, "short", "left").filter(F.coalesce("shared", F.lit(0)) >= F.col("sampled") - lacking)
-    return met.filter("key IS NOT NULL").select("short", "key").join(able.select("short", "node", "n"), "short").select("node", "n", "key")
+    return met.filter("key IS NOT NULL").select("short", "key").distinct().join(able.select("short", "node", "n"), "short").select("node", "n", "key")
 
 
 def _shared(blocks: DataFrame) -> DataFrame:
     """Blocks of two nodes or more, with their size; written."""
     sizes = blocks.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    return written(salted_join(blocks, sizes, "key", "inner", salts=8), "blocks")
+    return written(blocks.join(sizes, "key"), "blocks")
 
 
 def _fetch_sets(rows: DataFrame, nodes: DataFrame, blocks: DataFrame) -> DataFrame:
