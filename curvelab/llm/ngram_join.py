@@ -8,12 +8,14 @@ binary search.
 Around the search:
 
 1. Texts with one shingle set become one node (digest of the set).
-2. Every text deals its smallest shingle hashes: all below ``SAMPLED`` of their range, and at
-   least its prefix, the ``n - ceil(0.8 n) + 1`` smallest.  Two linked sets share a hash of both
-   prefixes, so nodes meet in blocks of equal prefix hashes, and no pair is missed.
-3. Of the shingles below the sample's border a partner lacks ``n - ceil(0.8 n)`` at most.  A node
-   that shares fewer of them with other nodes than that leaves, and what stays is counted
-   once more over whole sets.
+2. Nodes meet in blocks: bands of a MinHash signature of the set.  ``ROWS`` and ``BANDS``
+   are chosen so that two sets at exactly 0.8 share no block with probability 3e-8.  With
+   ``exact`` the blocks are prefixes, and no pair is missed: every text deals its smallest shingle
+   hashes, all below ``SAMPLED`` of their range and at least the ``n - ceil(0.8 n) + 1`` smallest, of
+   which two linked sets share one.  Of the shingles below the sample's border a partner
+   lacks ``n - ceil(0.8 n)`` at most; a node that shares fewer of them leaves.
+3. A node with more than ``n - ceil(0.8 n)`` shingles that no other node in any block has
+   cannot reach T with anyone and leaves.
 4. First every block's most central node is searched against the block, which joins most
    copies with work in proportion to the block.
 5. In blocks whose nodes are not all joined by then, the nodes outside the largest
@@ -40,7 +42,9 @@ from curvelab.llm.common import THRESHOLD, fresh, mix, session, shingle_sets, te
 from curvelab.llm.components import components
 from curvelab.scale import salted_join
 
-#: Share of all shingles that is compared before whole sets are.
+#: Minimum hashes per band, and bands.
+ROWS, BANDS = 3, 24
+#: Share of all shingles that is compared before whole sets are, where no pair may be missed.
 SAMPLED = 0.3
 #: Nodes on one side of a cell.
 SLICE = 256
@@ -123,6 +127,25 @@ _MANY = _SAMPLE - 1
 SALTS = 16
 
 
+def _permutations() -> tuple[np.ndarray, np.ndarray]:
+    base = mix(np.arange(1, 2 * ROWS * BANDS + 1, dtype=np.uint64))
+    return base[: ROWS * BANDS] | np.uint64(1), base[ROWS * BANDS :]
+
+
+def _bands(grams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Band keys of every non-empty set."""
+    factors, shifts = _permutations()
+    starts = offsets[:-1][np.diff(offsets) > 0]
+    out = np.zeros((len(starts), BANDS), dtype=np.uint64)
+    if not len(starts):
+        return out
+    with np.errstate(over="ignore"):
+        for i, (factor, shift) in enumerate(zip(factors, shifts)):
+            lowest = np.minimum.reduceat(grams * factor + shift, starts)
+            out[:, i // ROWS] = mix(out[:, i // ROWS] * np.uint64(31) + mix(lowest + np.uint64(i)))
+    return out
+
+
 def _node(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
@@ -132,24 +155,30 @@ def _short(node: bytes) -> int:
     return int.from_bytes(node[:8], "little", signed=True)
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, row keys, text) to (id, row keys, n, shingles in the sample, node, its short form)."""
-    for batch in batches:
-        n, sampled, nodes = [], [], []
-        for first, last, data, offsets in text_slices(batch.column("text")):
-            grams, bounds = shingle_sets(data, offsets)
-            for i in range(last - first):
-                own = grams[bounds[i] : bounds[i + 1]]
-                n.append(len(own))
-                sampled.append(int(np.searchsorted(own, _BORDER)))
-                nodes.append(_node(own) if len(own) else None)
-        yield pa.RecordBatch.from_arrays(
-            [
-                *batch.columns[:3], pa.array(n, pa.int64()), pa.array(sampled, pa.int64()), pa.array(nodes, pa.binary()),
-                pa.array([None if x is None else _short(x) for x in nodes], pa.int64()),
-            ],
-            names=["id", "row1", "row2", "n", "sampled", "node", "short"],
-        )
+def _sign(exact: bool):
+    """(id, row keys, text) to (id, row keys, n, shingles in the sample, node, its short form, bands)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, sampled, nodes, keys = [], [], [], []
+            for first, last, data, offsets in text_slices(batch.column("text")):
+                grams, bounds = shingle_sets(data, offsets)
+                bands = None if exact else iter(_bands(grams, bounds).astype(np.int64))
+                for i in range(last - first):
+                    own = grams[bounds[i] : bounds[i + 1]]
+                    n.append(len(own))
+                    sampled.append(int(np.searchsorted(own, _BORDER)))
+                    nodes.append(_node(own) if len(own) else None)
+                    keys.append(next(bands) if bands is not None and len(own) else None)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *batch.columns[:3], pa.array(n, pa.int64()), pa.array(sampled, pa.int64()), pa.array(nodes, pa.binary()),
+                    pa.array([None if x is None else _short(x) for x in nodes], pa.int64()), pa.array(keys, pa.list_(pa.int64())),
+                ],
+                names=["id", "row1", "row2", "n", "sampled", "node", "short", "bands"],
+            )
+
+    return run
 
 
 def _prefixes(buckets: int, threshold: float):
@@ -354,24 +383,25 @@ def _cell(threshold: float):
 # ---------------------------------------------------------------- the join
 
 
-def link(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def link(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
     """Component of every row under the links: id, n_shingles, component_id.
 
     Words are what stands between ASCII white space, A-Z lower-cased; a text's set are its
     distinct five-word shingles, or its whole word sequence where it has fewer words.  Two
     rows are linked when the Jaccard similarity of their sets is at least ``threshold``;
-    component_id is the smallest id reachable by links.
+    component_id is the smallest id reachable by links.  ``exact`` takes prefixes for blocks,
+    which miss no pair and move several times as much.
 
     A null or empty text, or one without words, has no shingles and is its own component.
     Rows with a null id take part, and have a null component_id only if no row of the
     component has an id.  Equal ids and equal rows are all kept.  An empty table gives an
     empty result.  Other columns are not read.
     """
-    found = _components(docs, threshold, id_col, text_col)
+    found = _components(docs, threshold, id_col, text_col, exact)
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
-def _components(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+def _components(docs: DataFrame, threshold: float, id_col: str, text_col: str, exact: bool = False) -> DataFrame:
     """(id, row2, n, part, component_id) of every row; part is null where there are no shingles."""
     session(docs.sparkSession)
     text = F.col(f"`{text_col}`")
@@ -379,14 +409,14 @@ def _components(docs: DataFrame, threshold: float, id_col: str, text_col: str) -
         F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{id_col}`"), text).alias("row1"), F.xxhash64(text).alias("row2"), text.alias("text")
     )
     kind = rows.schema["id"].dataType.simpleString()
-    signed = written(rows.mapInArrow(_sign, f"id {kind}, row1 long, row2 long, n long, sampled long, node binary, short long"), "signed")
+    signed = written(rows.mapInArrow(_sign(exact), f"id {kind}, row1 long, row2 long, n long, sampled long, node binary, short long, bands array<long>"), "signed")
     nodes = written(
         signed.filter("n > 0").groupBy("node").agg(
-            F.min(F.struct("row1", "row2")).alias("r"), F.first("n").alias("n"), F.first("sampled").alias("sampled"), F.first("short").alias("short")
+            F.min(F.struct("row1", "row2")).alias("r"), F.first("n").alias("n"), F.first("sampled").alias("sampled"), F.first("short").alias("short"), F.first("bands").alias("bands"),
         ),
         "nodes",
     )
-    blocks = _shared(_blocks(rows, nodes, threshold))
+    blocks = _shared(_blocks(rows, nodes, threshold) if exact else nodes.select("node", "n", F.explode("bands").alias("key")))
     sets = _fetch_sets(rows, nodes, blocks)
     blocks = _shared(blocks.drop("size").join(_linkable(sets, threshold), "node", "left_semi"))
     near = written(_search(_central(blocks, threshold), sets, threshold), "near")

@@ -110,8 +110,9 @@ def test_edges(spark, edges, edge_rows, nothing):
     assert ngram_join.representatives(edges).columns == edges.columns
 
 
-def test_exact_blocks_miss_no_pair(spark, crowd, monkeypatch):
-    """Pairs at exactly 0.8 (80 shingles shared of 100), one apart just below, and the large groups."""
+@pytest.mark.parametrize("exact", [False, True])
+def test_pairs_at_the_threshold(spark, crowd, monkeypatch, exact):
+    """Pairs at exactly 0.8 (80 shingles shared of 100), some just below, and the large groups."""
     monkeypatch.setattr(ngram_join, "SLICE", 16)
     gen = random.Random(21)
     say = lambda n: [f"{gen.randrange(10**6)}" for _ in range(n)]
@@ -121,7 +122,7 @@ def test_exact_blocks_miss_no_pair(spark, crowd, monkeypatch):
         kept = 84 if i % 2 else 83
         rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:kept] + say(94 - kept)))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in ngram_join.link(docs).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.link(docs, exact=exact).collect()}
     assert all(got[2 * i + 1] == (2 * i if i % 2 else 2 * i + 1) for i in range(200))
     docs = spark.createDataFrame(crowd, "doc_id long, text string").repartition(7)
-    assert rows_of(ngram_join.link(docs)) == sorted(brute(crowd), key=str)
+    assert rows_of(ngram_join.link(docs, exact=exact)) == sorted(brute(crowd), key=str)
