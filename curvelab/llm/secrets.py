@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from curvelab.llm.common import fresh, shared_path
 from curvelab.llm.ledger import Ledger, content_digest, distinct_contents
+from curvelab.scale import salted_join
 
 
 @dataclass(frozen=True)
@@ -114,7 +115,7 @@ def scan(
     """
     found = _findings(docs, ledger_path, rules, text_col, "_digest", "_found")
     paths = docs.select(*[F.col(f"`{k}`").alias(k) for k in keys], content_digest(F.col(f"`{text_col}`")).alias("_digest"))
-    joined = paths.join(found, "_digest", "left")
+    joined = salted_join(paths, found, "_digest")
     listed = F.transform("_found", lambda f: F.struct(f["kind"].alias("kind"), f["start"].alias("start"), f["end"].alias("end")))
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     return joined.select(*keys, F.coalesce(listed, none).alias("findings"))
