@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from curvelab.llm.common import file_digest, shared_path, tokenizer_path, utf8_bytes
 from curvelab.llm.ledger import Ledger, content_digest, distinct_contents
+from curvelab.scale import salted_join
 
 #: Words whose count a worker remembers at most.
 WORDS = 200_000
@@ -158,6 +159,6 @@ def count_tokens(
     rows = docs.select(
         F.col(f"`{id_col}`").alias(id_col), utf8_bytes(F.col(f"`{text_col}`")).alias("n_bytes"), content_digest(text).alias("_digest")
     )
-    return rows.join(counts, "_digest", "left").select(
+    return salted_join(rows, counts, "_digest", salts=8).select(
         id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
