@@ -24,6 +24,11 @@ from curvelab.llm import (
 )
 from curvelab.llm.common import table
 
+#: Five-word shingles of the texts of a table, A-Z lower-cased; of fewer words the whole sequence.
+_SHINGLES = r"""{t}_w AS (SELECT {id} AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM {t}),
+{t}_s AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM {t}_w),
+{t}_n AS (SELECT id, count(*) AS n FROM {t}_s GROUP BY 1)"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -69,12 +74,30 @@ def op4_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), inside=True)
 
 
+# Every item of the given tables has five words or more.
+ORACLES["op4_benchmark_containment"] = f"""
+WITH {_SHINGLES.format(t='documents', id='doc_id')}, {_SHINGLES.format(t='benchmark', id='item_id')}
+SELECT d.id AS doc_id, i.id AS item_id, count(*) AS shared, any_value(n) AS n_shingles, count(*) / any_value(n) AS containment
+FROM documents_s d JOIN benchmark_s i USING (g) JOIN benchmark_n ON benchmark_n.id = i.id GROUP BY d.id, i.id HAVING 100 * count(*) >= 80 * any_value(n)
+"""
+
+
 @query
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents under five-word Jaccard similarity of 0.8 or more."""
     return ngram_join.link(table(spark, sf_dir, "documents"), threshold=0.8)
 
 
+ORACLES["op8_ngram_jaccard"] = f"""
+WITH RECURSIVE {_SHINGLES.format(t='documents', id='doc_id')},
+both_ AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM documents_s a JOIN documents_s b USING (g) WHERE a.id < b.id GROUP BY ALL),
+link AS MATERIALIZED (SELECT a, b FROM both_ JOIN documents_n x ON x.id = a JOIN documents_n y ON y.id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+near AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, near.b FROM reach JOIN near ON near.a = reach.b)
+SELECT reach.a AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(reach.b) AS component_id FROM reach LEFT JOIN documents_n ON id = reach.a GROUP BY reach.a
+"""
+
+
 def remainder(n: int) -> Column:
     """CRC-32 of the document's id as text, modulo n; null where the id is null."""
     return F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(n))
