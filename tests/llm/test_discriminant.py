@@ -42,3 +42,53 @@ def test_edges(spark, edges, edge_rows, nothing):
     assert all(0 <= r["score"] <= 1 for r in rows)
     assert {r["score"] for r in discriminant.classify(edges, labels.limit(0), F.lit(True)).collect()} == {0.5}
     assert discriminant.classify(nothing, labels, F.lit(True)).count() == 0
+
+
+def _plain(text):
+    """The fourteen statistics of one text, character by character."""
+    import math
+
+    share = lambda x, floor=1e-3: math.log((min(max(x, 0), 1) + floor) / (1 - min(max(x, 0), 1) + floor))
+    data = text.encode()
+    words = data.split()
+    if not words:
+        return [0.0] * len(discriminant.STATISTICS)
+    low = [w.lower() for w in words]
+    kind = Counter()
+    for b in data:
+        c = chr(b)
+        if b in (0x20, *range(0x09, 0x0E)):
+            kind["space"] += 1
+        elif "a" <= c <= "z" or b >= 128:
+            kind["letter"] += 1
+        elif "A" <= c <= "Z":
+            kind["upper"] += 1
+        elif "0" <= c <= "9":
+            kind["digit"] += 1
+        elif c in ".,;:!?'\"()-":
+            kind["mark"] += 1
+        elif c in "#*$%&|<>":
+            kind["symbol"] += 1
+        else:
+            kind["other"] += 1
+    solid = max(len(data) - kind["space"], 1)
+    sizes = [len(w) for w in words]
+    mean = sum(sizes) / len(sizes)
+    spread = math.sqrt(max(sum(s * s for s in sizes) / len(sizes) - mean**2, 0))
+    grams = list(zip(low, low[1:], low[2:]))
+    lines = [x for x in data.split(b"\n") if x]
+    counts = Counter(data)
+    entropy = -sum(c / len(data) * math.log2(c / len(data)) for c in counts.values())
+    return [
+        math.log1p(len(words)), math.log1p(mean), math.log1p(spread), share(len(set(low)) / len(words)), share((len(grams) - len(set(grams))) / max(len(grams), 1)),
+        share((len(lines) - len(set(lines))) / max(len(lines), 1)), share(kind["symbol"] / solid), share(kind["upper"] / solid), share(kind["digit"] / solid), share(kind["mark"] / solid),
+        share(kind["letter"] / solid), share(kind["other"] / solid), math.log1p(len(words) / max(len(lines), 1)), entropy,
+    ]
+
+
+def test_statistics_equal_the_plain_ones(small, edge_rows):
+    texts = [r[1] or "" for r in (*small, *edge_rows)] + ["a\n\nb\n", "\n", "A a A a", "x", "é\x0bÉ #*$ 12", "one\ntwo\none\ntwo three"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
+    got = discriminant.statistics(data, offsets)
+    np.testing.assert_allclose(got, [_plain(t) for t in texts], rtol=1e-9, atol=1e-9)
