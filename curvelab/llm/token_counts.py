@@ -159,6 +159,6 @@ def count_tokens(
     rows = docs.select(
         F.col(f"`{id_col}`").alias(id_col), utf8_bytes(F.col(f"`{text_col}`")).alias("n_bytes"), content_digest(text).alias("_digest")
     )
-    return salted_join(rows, counts, "_digest", salts=8).select(
+    return salted_join(rows, counts, "_digest", salts=4).select(
         id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
