@@ -300,14 +300,20 @@ def merge_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "flat_curve_align",
-    f"""WITH {_CV}, f AS (SELECT * FROM cv WHERE series = '5-LOW'), y AS (SELECT DISTINCT year FROM cv WHERE series = '1-URGENT'),
-      a AS (SELECT year + 1 AS year, x, value FROM f WHERE x >= 183 UNION ALL SELECT year, x + 366, value FROM f WHERE x < 183) SELECT year, x, round(value, 4) AS value FROM a WHERE year IN (SELECT year FROM y)""",
+    f"""WITH {_CV}, y AS (SELECT DISTINCT series AS leg, year, ascii(series) - 48 AS step FROM cv), c AS (SELECT cv.*, s.b FROM cv, (VALUES (1, 1), (4, 92), (7, 183), (10, 275)) s(m, b)),
+      a AS (SELECT series AS flat, b, year + 1 AS year, x, value FROM c WHERE x >= b UNION ALL SELECT series, b, year, x + 366, value FROM c WHERE x < b AND b > 1)
+      SELECT flat, b AS boundary, year, count(*) AS points, round(sum(value), 2) AS total FROM a WHERE year IN (SELECT year FROM y WHERE leg = flat) GROUP BY ALL""",
 )
 def flat_curve_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One monthless curve cut at July into the years of one leg; ``flat_curve_align_all`` has all pairs (part of J23, X13)."""
+    """Every curve, as a monthless one, cut into its own years at four roll months."""
     rows = yearly(spark, sf_dir)
-    flat = rows.filter(F.col("series") == "5-LOW").select("year", "x", "value")
-    return settle(CV.align_flat_curve(flat, rows.filter(F.col("series") == "1-URGENT").select("year"), 7), dp=4)
+    flat = rows.select(F.col("series").alias("flat"), "year", "x", "value")
+    years = flat.select("flat", "year").distinct()
+    out = None
+    for month, boundary in ((1, 1), (4, 92), (7, 183), (10, 275)):
+        cut = CV.align_flat_curve(flat, years, month, keys=["flat"]).withColumn("boundary", F.lit(boundary))
+        out = cut if out is None else out.unionByName(cut)
+    return settle(out.groupBy("flat", "boundary", "year").agg(F.count(F.lit(1)).alias("points"), F.sum("value").alias("total")), dp=2)
 
 
 @query(

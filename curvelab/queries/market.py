@@ -254,48 +254,6 @@ def curve_back_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle(df.select("spread_id", "timestamp_utc", "roll_event", "price_change", "intraday_change", "overnight_change", "research_close", "sessions_to_risk_date"), 4, nudge=True)
 
 
-@query(
-    "structure_library",
-    """WITH r AS (SELECT DISTINCT CASE l_returnflag WHEN 'A' THEN 'HO' WHEN 'N' THEN 'CL' ELSE 'QS' END AS root FROM lineitem),
-      n AS (SELECT count(*) AS n FROM r),
-      cal AS (SELECT 'CAL.' || root || '.M' || lpad(k::VARCHAR, 2, '0') || '_M' || lpad((k + 1)::VARCHAR, 2, '0') AS spread_id,
-        '1 ' || root || '[M+0] -1 ' || root || '[M+1]' AS normalized_price_formula FROM r, range(1, 16) t(k)),
-      fly AS (SELECT 'FLY.' || root || '.M' || lpad(k::VARCHAR, 2, '0') || '_M' || lpad((k + 1)::VARCHAR, 2, '0') || '_M' || lpad((k + 2)::VARCHAR, 2, '0'),
-        '1 ' || root || '[M+0] -2 ' || root || '[M+1] +1 ' || root || '[M+2]' FROM r, range(1, 15) t(k)),
-      cdr AS (SELECT 'CDR.' || root || '.M' || lpad(k::VARCHAR, 2, '0') || '_M' || lpad((k + 1)::VARCHAR, 2, '0') || '_M' || lpad((k + 2)::VARCHAR, 2, '0') || '_M' || lpad((k + 3)::VARCHAR, 2, '0'),
-        '1 ' || root || '[M+0] -1 ' || root || '[M+1] -1 ' || root || '[M+2] +1 ' || root || '[M+3]' FROM r, range(1, 14) t(k))
-      SELECT * FROM cal UNION ALL SELECT * FROM fly UNION ALL SELECT * FROM cdr""",
-)
-def structure_library(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calendars, flies and condors of the roots seen in the bars; ``structure_library_all`` has all (part of D7, D9)."""
-    seen = views.contract_bars(spark, sf_dir).select("root").distinct()
-    one_root = [s for s in G.curve_structures() if s.family in ("Calendar", "Fly", "Condor")]
-    legs = G.leg_table(spark, one_root)
-    formulas = G.formula_table(legs.join(seen, "root", "left_semi"))
-    return settle(formulas.select("spread_id", "normalized_price_formula"))
-
-
-@query(
-    "leg_library",
-    settle_sql(
-        f"""WITH {ctes.CBARS}, {ctes.ECON}, v AS (SELECT root, sum(vol) AS seen_volume FROM cbars GROUP BY 1)
-        SELECT 'CRK.HO_CL.M01' AS spread_id, CASE root WHEN 'HO' THEN 1 ELSE 2 END AS leg_order, root, CASE root WHEN 'HO' THEN 1 ELSE -1 END AS sign, cost AS one_way_cost_usd,
-          tick AS tick_size_native, seen_volume FROM econ JOIN v USING (root) WHERE root IN ('HO', 'CL')""",
-        "spread_id, leg_order, root, sign", "one_way_cost_usd, tick_size_native, seen_volume",
-    ),
-)
-def leg_library(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Legs of one crack with root economics; ``leg_library_all`` has all structures (part of D10)."""
-    from curvelab.config import ROOTS
-
-    crack = [s for s in STRUCTURES if s.spread_id == "CRK.HO_CL.M01"]
-    library = G.leg_library(G.leg_table(spark, crack), G.structure_table(spark, crack, ROOTS), C.root_table(spark, ROOTS))
-    volume = views.contract_bars(spark, sf_dir).groupBy("root").agg(F.sum("volume_contracts").alias("seen_volume"))
-    return settle(library.join(volume, "root").select(
-        "spread_id", "leg_order", "root", "sign", "one_way_cost_usd", "tick_size_native", "seen_volume"
-    ))
-
-
 #: All templates: prefix, and root:offset:sign:contracts:weight of each leg; @ is each root.
 _LEGS = """r(root) AS (VALUES ('HO'), ('CL'), ('CO'), ('QS')),
       t(prefix, legs) AS (VALUES ('CAL.@', '@:0:1:1:1 @:1:-1:1:1'), ('FLY.@', '@:0:1:1:1 @:1:-1:2:2 @:2:1:1:1'), ('CDR.@', '@:0:1:1:1 @:1:-1:1:1 @:2:-1:1:1 @:3:1:1:1'),
@@ -351,6 +309,43 @@ def leg_library_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
+@query(
+    "structure_library",
+    f"""{CURVE_PACKS}, {_LEGS}, f AS (SELECT *, CASE WHEN sgn > 0 THEN '+' ELSE '-' END AS side FROM legs),
+      g AS (SELECT spread_id, ltrim(string_agg(side || w || ' ' || root || '[M+' || off || ']', ' ' ORDER BY ord), '+') AS normalized_price_formula FROM f GROUP BY 1),
+      n AS (SELECT spread_id, count(*) AS package_bars, strftime(min(d), '%Y-%m-%d') AS first_session, strftime(max(d), '%Y-%m-%d') AS last_session FROM pk GROUP BY 1)
+      SELECT spread_id, normalized_price_formula, coalesce(package_bars, 0) AS package_bars, first_session, last_session FROM g LEFT JOIN n USING (spread_id)""",
+)
+def structure_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every structure of the library with its formula and the package bars that four roots give it."""
+    packages = views.curve_market(spark, sf_dir).raw_packages
+    seen = packages.groupBy("spread_id").agg(F.count(F.lit(1)).alias("package_bars"), F.min("session_date").alias("first_session"), F.max("session_date").alias("last_session"))
+    formulas = G.formula_table(G.leg_table(spark, G.curve_structures())).select("spread_id", "normalized_price_formula")
+    return settle(formulas.join(seen, "spread_id", "left").withColumn("package_bars", F.coalesce("package_bars", F.lit(0))))
+
+
+@query(
+    "leg_library",
+    settle_sql(
+        f"""WITH {ctes.CURVE_BARS}, {ctes.ECON}, {_LEGS}, v AS (SELECT root, step, sum(vol) AS seen_volume FROM cbars GROUP BY ALL)
+        SELECT spread_id, ord AS leg_order, legs.root, sgn AS sign, off AS delivery_offset, cost AS one_way_cost_usd, tick AS tick_size_native, seen_volume FROM legs JOIN econ USING (root) LEFT JOIN v ON v.root = legs.root AND v.step = off""",
+        "spread_id, leg_order, root, sign, delivery_offset", "one_way_cost_usd, tick_size_native, seen_volume",
+    ),
+)
+def leg_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leg of the library with its root's economics and what was traded so many deliveries out."""
+    from curvelab.config import ROOTS
+
+    every = G.curve_structures()
+    library = G.leg_library(G.leg_table(spark, every), G.structure_table(spark, every, ROOTS), C.root_table(spark, ROOTS))
+    trade = views.curve_bars(spark, sf_dir).filter("event_type = 'TRADE'")
+    placed = trade.withColumn("delivery_offset", F.months_between("delivery_month", F.add_months(views.curve_period(F.col("session_date")), 4)).cast("int"))
+    volume = placed.groupBy("root", "delivery_offset").agg(F.sum("volume_contracts").alias("seen_volume"))
+    return settle(library.join(volume, ["root", "delivery_offset"], "left").select(
+        "spread_id", "leg_order", "root", "sign", "delivery_offset", "one_way_cost_usd", "tick_size_native", "seen_volume"
+    ))
+
+
 @query(
     "latest_legs",
     f"{PACKS}, n AS (SELECT * FROM pk WHERE d = (SELECT max(d) FROM pk)) SELECT DISTINCT unnest(string_split(roll_id, ' | ')) AS security FROM n",

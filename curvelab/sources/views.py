@@ -165,7 +165,7 @@ def contract_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CURVE_SCALE = {"HO": 503.0, "CL": 15.1, "CO": 15.1, "QS": 1.99}
 
 
-def _period(day: Column) -> Column:
+def curve_period(day: Column) -> Column:
     """The first day of the four months that a day lies in."""
     return F.add_months(F.trunc(day, "year"), (F.floor((F.month(day) - 1) / 4) * 4).cast("int"))
 
@@ -192,7 +192,7 @@ def curve_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.round(F.min(unit), 10).alias("low"), F.round(F.avg(unit), 10).alias("close"), F.sum("l_quantity").alias("volume_contracts"),
             F.count(F.lit(1)).cast("double").alias("num_events"), F.sum(F.col("l_extendedprice") / F.col("_scale")).alias("value"),
         )
-        .withColumn("delivery_month", F.add_months(F.add_months(_period(F.col("session_date")), 4), F.col("step")))
+        .withColumn("delivery_month", F.add_months(F.add_months(curve_period(F.col("session_date")), 4), F.col("step")))
         .withColumn("timestamp_utc", F.col("session_date").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("bar_slot") * 12))
     )
     code = F.substring(F.lit("FGHJKMNQUVXZ"), F.month(month), F.lit(1))
@@ -217,7 +217,7 @@ def curve_market(spark: SparkSession, sf_dir: str):
         F.max_by("close", "bar_slot").alias("close"), F.sum("volume_contracts").alias("volume_contracts"),
         (F.sum("volume_contracts") * 10 + F.sum("num_events")).alias("open_interest"),
     )
-    universe = contract_dates(trade, F.date_sub(F.add_months(_period(F.min("session_date")), 4), 1))
+    universe = contract_dates(trade, F.date_sub(F.add_months(curve_period(F.min("session_date")), 4), 1))
     return prepare(
         spark, Inputs(bars, universe, universe, daily), CURVE_STRUCTURES, Settings(),
         store=lambda label, build: stage(spark, f"curve-{label}", sf_dir, build),
