@@ -80,7 +80,7 @@ def train_model(path: str, voted: DataFrame, settings, folds: DataFrame, cap: fl
 def score_recent(bars: DataFrame, model: Model, settings, sessions: int = 80, prior: DataFrame | None = None) -> DataFrame:
     """The newest row of every structure, scored from the bars of the last ``sessions`` sessions alone."""
     days = bars.select("session_date").distinct().orderBy(F.desc("session_date")).limit(sessions)
-    recent = bars.join(F.broadcast(days), "session_date", "left_semi")
+    recent = bars.join(days, "session_date", "left_semi")
     features = seasonal.attach_seasonality(I.add_indicators(recent, settings.windows), prior)
     return X.apply_frozen_weights(X.with_expert_votes(features), model.weights, settings.learner)
 

@@ -56,6 +56,7 @@ def _pick(b, df: DataFrame, *columns: str) -> DataFrame:
     ),
 )
 def bars_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars from ticks."""
     events = views.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return settle(ingest.tumbling_bars(events, "event_type", "ts", "value", "1 hour"))
 
@@ -74,6 +75,7 @@ _Z = f"\nWITH {HBARS},\n{_Z_BODY}"
                "rolling_median, rolling_mad, robust_z"),
 )
 def robust_z(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance from the rolling median in robust deviations."""
     b, df = _priced(spark, sf_dir, ordered=True)
     return _pick(b, df, "rolling_median", "rolling_mad", "robust_z")
 
@@ -95,6 +97,7 @@ _BOLL = f"\nWITH {HBARS},\n{_BOLL_BODY}"
     ),
 )
 def bollinger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bands around the rolling mean."""
     b, df = _priced(spark, sf_dir)
     return _pick(b, df, "bollinger_mid", "bollinger_std", "bollinger_upper", "bollinger_lower", "bollinger_pct_b", "bollinger_width")
 
@@ -108,6 +111,7 @@ def bollinger(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def donchian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Channel of earlier extremes (I4)."""
     b, df = _priced(spark, sf_dir)
     return _pick(b, df, "donchian_high", "donchian_low")
 
@@ -123,6 +127,7 @@ def donchian(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def squeeze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Band width against its own low quantile."""
     b, df = _priced(spark, sf_dir, ordered=True)
     return _pick(b, df, "bollinger_width_p20", "volatility_of_volatility", "volatility_squeeze")
 
@@ -159,6 +164,7 @@ _MACD = f"\nWITH {HBARS},\n{_MACD_BODY}"
                "spread_id, timestamp_utc", "ema_fast, ema_slow, macd_line, macd_signal, macd_histogram"),
 )
 def ema_macd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exponential means and MACD."""
     b, df = _priced(spark, sf_dir)
     return _pick(b, df, "ema_fast", "ema_slow", "macd_line", "macd_signal", "macd_histogram")
 
@@ -179,6 +185,7 @@ _RSI = f"\nWITH {HBARS},\n{_RSI_BODY}"
     settle_sql(f"{_RSI} SELECT {KEYS}, rsi FROM rsi", "spread_id, timestamp_utc", "rsi"),
 )
 def rsi_wilder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wilder's RSI."""
     b, df = _priced(spark, sf_dir)
     return _pick(b, df, "rsi")
 
@@ -201,6 +208,7 @@ vv AS (SELECT *, CASE WHEN rn >= 72 THEN up0 END AS up, CASE WHEN rn >= 72 THEN
     ),
 )
 def volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Realised volatility, its halves, and efficiency."""
     b, df = _priced(spark, sf_dir)
     return _pick(b, df, "realized_vol_5d", "upside_semivol", "downside_semivol", "efficiency_ratio", "normalized_change")
 
@@ -215,6 +223,7 @@ def volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def jump_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exponential mean change and jumps against it."""
     b, df = _priced(spark, sf_dir)
     return _pick(b, df, "ewma_abs_change", "jump_score")
 
@@ -234,6 +243,7 @@ ar AS (SELECT *, CASE WHEN beta > 0 AND beta < 0.9999 THEN -ln(2) / ln(beta) END
                "spread_id, timestamp_utc", "ar1_beta, ou_half_life_bars"),
 )
 def ar1_half_life(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half-life of mean reversion."""
     b, df = _priced(spark, sf_dir)
     return _pick(b, df, "ar1_beta", "ou_half_life_bars")
 
@@ -262,6 +272,7 @@ ss AS (SELECT *, cap / nullif(expect, 0) AS relvol,
     ),
 )
 def same_slot_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Baselines of the same bar of the day."""
     df = I.same_slot_features(I.with_point_columns(views.hour_packages(spark, sf_dir)), P)
     return settle(df.select(
         "spread_id", "timestamp_utc", "expected_tod_package_volume", "relative_volume", "tod_normalized_change",
@@ -282,6 +293,7 @@ _SIGNED = "coalesce(sign(d) * bbl, 0)"
     ),
 )
 def session_vwap_obv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session VWAP and signed volume."""
     df = I.session_features(I.with_point_columns(views.hour_packages(spark, sf_dir)))
     return settle(df.select("spread_id", "timestamp_utc", "session_vwap_proxy", "obv_proxy"), dp=10)
 
@@ -312,6 +324,7 @@ def _slotted(spark: SparkSession, sf_dir: str, ordered: bool = False) -> tuple:
     ),
 )
 def flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volume momentum, trade size, impact and imbalance."""
     b, df = _slotted(spark, sf_dir)
     return _pick(b, df, "pvo", "average_trade_size_bbl_proxy", "amihud_impact_proxy", "signed_volume_imbalance_proxy",
                  "effort_vs_result", "oi_migration_1d")
@@ -347,6 +360,7 @@ st3 AS (SELECT *, CASE WHEN pn >= 60 THEN ({' + '.join(f"CASE WHEN p{k} > 0 THEN
     ),
 )
 def variance_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variance ratio, Hurst exponent, entropy and change points."""
     b, df = _slotted(spark, sf_dir)
     return _pick(b, I.structure_features(b, df, P), "variance_ratio_5", "variance_ratio_13", "hurst_exponent_proxy",
                  "permutation_entropy_3", "jump_share", "cusum_change_score", "semivariance_asymmetry")
@@ -366,6 +380,7 @@ def _corr(a: str, b: str) -> str:
     ),
 )
 def leg_relationship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlation and beta of the legs."""
     b, df = _slotted(spark, sf_dir)
     return _pick(b, I.structure_features(b, df, P), "leg_return_correlation", "lead_lag_score", "relationship_health_scope")
 
@@ -396,6 +411,7 @@ _REGIME = f"\nWITH {HBARS},\n{_REGIME_BODY}"
     ),
 )
 def regime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regime from trend, reversion and breaks."""
     b, df = _slotted(spark, sf_dir, ordered=True)
     return _pick(b, I.structure_features(b, df, P), "zero_crossing_rate", "half_life_stability", "mean_reversion_stability",
                  "change_point_alarm", "regime")
@@ -444,6 +460,7 @@ r3 AS (SELECT *, CASE WHEN tod IS NULL OR tail IS NULL OR volreg IS NULL OR stre
     ),
 )
 def risk_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tails, clusters, expansion and the risk regime."""
     rows = views.hour_packages(spark, sf_dir)
     df = I.same_slot_features(I.with_point_columns(rows), P, base=rows)
     b = I.open_blocks(df, P, base=rows, ordered=False)
@@ -462,6 +479,7 @@ def risk_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def latest_location(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Newest row per series with its place against median and channel."""
     b, df = _priced(spark, sf_dir, ordered=True)
     rows = b.finish(df).select("spread_id", "timestamp_utc", "research_close", "robust_z", "donchian_high", "donchian_low")
     return settle(latest_by(rows, "spread_id", "timestamp_utc"))
@@ -476,5 +494,6 @@ def latest_location(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def calendar_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of the calendar."""
     df = I.calendar_features(views.hour_packages(spark, sf_dir))
     return settle(df.select("spread_id", "timestamp_utc", "asof_year", "day_of_year", "calendar_month", "weekday", "eia_window"))
