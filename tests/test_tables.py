@@ -105,6 +105,15 @@ def test_promotion_needs_every_criterion(spark):
     assert Q.promotion(net, net, worse, families).first()["decision"] == "REJECT"
 
 
+def test_promotion_without_a_fold(spark):
+    folds = spark.createDataFrame([], "spread_id string, fold int, net double, mdd double")
+    compared = Q.compare_results(folds, folds, ["spread_id", "fold"], {"net": False, "mdd": True})
+    cost = spark.createDataFrame([(None, None)], "baseline double, candidate double")
+    families = spark.createDataFrame([], "family string, qualifies boolean")
+    got = Q.promotion(compared.filter("metric = 'net'"), compared.filter("metric = 'mdd'"), cost, families).first()
+    assert (got["broad_fold_net_improvement"], got["fold_drawdown_improvement"], got["family_breadth"], got["decision"]) == (False, False, False, "REJECT")
+
+
 def test_file_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, float("nan"), [1, 2])], "a int, x double, l array<int>")
     files.write_parquet(df, str(tmp_path / "t"))
