@@ -240,6 +240,19 @@ def test_budget_equals_the_greedy_walk(spark):
             assert got[i] == want
 
 
+def test_budget_takes_one_of_tied_rows(spark):
+    rows = [(1, "a", 5.0, 7)] * 3 + [(1, "a", 2.0, 9), (1, "b", 4.0, 1), (1, "b", 4.0, 2), (1, "c", 3.0, 1), (1, "d", 1.0, 1), (1, "d", 1.0, 1), (2, "a", 0.0, 1)]
+    df = spark.createDataFrame(rows, "day int, g string, score double, id int").withColumn("net", F.col("score") - 3)
+    order = [-F.col("score")]
+    want = {(1, "a", "SELECTED"): 1, (1, "a", "DUPLICATE_ALGEBRA_GROUP"): 3, (1, "b", "SELECTED"): 1, (1, "b", "DUPLICATE_ALGEBRA_GROUP"): 1, (1, "c", "SELECTED"): 1,
+            (1, "d", "DAILY_TRADE_BUDGET"): 2, (2, "a", "SELECTED"): 1}
+    done = BD.entry_budget(df, ["day"], "g", order).groupBy("day", "g", "portfolio_action").count()
+    assert {tuple(r)[:3]: r["count"] for r in done.collect()} == want
+    totals = BD.budget_totals(df, ["day"], "g", order, "net").collect()
+    assert {tuple(r)[:3]: r["trades"] for r in totals} == want
+    assert {tuple(r)[:3]: r["net_pnl_usd"] for r in totals}[1, "a", "DUPLICATE_ALGEBRA_GROUP"] == 3.0
+
+
 def _hourly(rows):
     """Two synthetic entities in the layout of package bars."""
     rng = np.random.default_rng(2)
