@@ -20,8 +20,9 @@ FLAT_CURVE_SPELLINGS = ("flat", "flatforward", "monthless", "spot")
 
 def finite(x: Column) -> Column:
     """Numeric value, or null for text that is no number, NaN and infinities."""
+    # NaN is above infinity in Spark's order.
     number = x.try_cast("double")
-    return F.when(~F.isnan(number) & (F.abs(number) < F.lit(float("inf"))), number)
+    return F.when(F.abs(number) < F.lit(float("inf")), number)
 
 
 def display_round(x: Column, places: int = 5) -> Column:
@@ -30,11 +31,10 @@ def display_round(x: Column, places: int = 5) -> Column:
 
 
 def unit_name(text: Column) -> Column:
+    # A lookup evaluates the text once; a chain of tests would clean it anew for each.
     key = F.lower(F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"\s+", ""))
-    out = F.when(F.lit(False), F.lit(""))
-    for unit, spellings in UNIT_SPELLINGS.items():
-        out = out.when(key.isin(*spellings), F.lit(unit))
-    return out.otherwise(F.lit(""))
+    names = F.create_map(*[F.lit(x) for unit, spellings in UNIT_SPELLINGS.items() for s in spellings for x in (s, unit)])
+    return F.coalesce(F.try_element_at(names, key), F.lit(""))
 
 
 def curve_mode(text: Column) -> Column:
@@ -53,12 +53,8 @@ def usd_per_gallon_factor(unit: Column, bbl_per_mt: Column | None, gal_per_bbl:
     """How many native units make one USD per gallon."""
     gal = _factor(gal_per_bbl, DEFAULT_GAL_PER_BBL)
     mt = _factor(bbl_per_mt, DEFAULT_BBL_PER_MT)
-    return (
-        F.when(unit == "cpg", F.lit(100.0))
-        .when(unit == "$/gal", F.lit(1.0))
-        .when(unit == "$/bbl", gal)
-        .when(unit == "$/MT", gal * mt)
-    )
+    place = F.nullif(F.array_position(F.array(*[F.lit(u) for u in UNITS]), unit), F.lit(0)).cast("int")
+    return F.try_element_at(F.array(F.lit(100.0), F.lit(1.0), gal, gal * mt), place)
 
 
 def convert(
