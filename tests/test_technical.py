@@ -15,6 +15,7 @@ from curvelab.operators import board as BD
 from curvelab.operators import experts as X
 from curvelab.operators import ledger as L
 from curvelab.operators import packages as P
+from curvelab.operators import scorecard as SC
 from curvelab.operators import structures as G
 from curvelab.operators import walkforward as W
 
@@ -253,6 +254,20 @@ def test_budget_takes_one_of_tied_rows(spark):
     assert {tuple(r)[:3]: r["net_pnl_usd"] for r in totals}[1, "a", "DUPLICATE_ALGEBRA_GROUP"] == 3.0
 
 
+def test_scorecards_read_trades_once(spark, tmp_path):
+    from curvelab.sources import views
+    from tests.conftest import SMALL
+
+    path = str(tmp_path / "trades")
+    views.phased_trades(spark, SMALL).write.parquet(path)
+    trades = spark.read.parquet(path)
+    window = [F.lit(d).cast("date") for d in ("1999-01-01", "2000-12-31")]
+    recent = SC.recent_metrics(SC.selected_trades(trades, SC.best_strategies(SC.scorecard(trades, 10)), *window))
+    for told in (SC.scorecard(trades, 10), SC.fold_metrics(trades), recent):
+        assert not [f for f in told.inputFiles() if path in f]
+    assert SC.scorecard(trades, 10).agg(F.sum("lockbox_trades")).first()[0] == trades.filter("phase = 'LOCKBOX'").count()
+
+
 def _hourly(rows):
     """Two synthetic entities in the layout of package bars."""
     rng = np.random.default_rng(2)
