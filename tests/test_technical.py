@@ -284,6 +284,26 @@ def _hourly(rows):
     return pd.concat(frames, ignore_index=True)
 
 
+def test_trials_of_the_same_trades_stand_by_name(spark):
+    """Evidence that differs in the last bits only is a tie; a difference in the tail of the probability is none."""
+    rows = [
+        ("click", "REGIME_ENSEMBLE", "VALIDATED", 0.27750862065049370, 2 / 3, 14.652574227008424, 35635.000000000007, 5),
+        ("click", "ADAPTIVE_EXPERT_MIX", "VALIDATED", 0.27750862065049364, 2 / 3, 14.652574227008422, 35635.0, 5),
+        ("view", "REGIME_ENSEMBLE", "RESEARCH_ONLY", 4.4e-26, 0.5, 1e-17, -1e-12, 2),
+        ("view", "ADAPTIVE_EXPERT_MIX", "RESEARCH_ONLY", 4.4e-26, 0.5, -1e-17, 0.0, 2),
+        ("view", "FLOW_DIVERGENCE", "RESEARCH_ONLY", 4.5e-26, 0.0, -3.0, -5.0, 1),
+        ("view", "TREND_BREAKOUT", "RESEARCH_ONLY", None, 1.0, 1.0, 1.0, 1),
+    ]
+    score = spark.createDataFrame(
+        rows, "spread_id string, strategy_id string, status string, deflated_sharpe_probability double, profitable_fold_share double,"
+        " daily_sharpe double, net_pnl_usd double, oos_trades long",
+    )
+    ranked = SC.rank_trials(score).orderBy("spread_id", "evidence_rank").collect()
+    assert [r["strategy_id"] for r in ranked] == [
+        "ADAPTIVE_EXPERT_MIX", "REGIME_ENSEMBLE", "FLOW_DIVERGENCE", "ADAPTIVE_EXPERT_MIX", "REGIME_ENSEMBLE", "TREND_BREAKOUT",
+    ]
+
+
 def test_indicators_are_causal_and_isolated(spark):
     from curvelab.operators.indicators import Windows, add_indicators
 
