@@ -18,6 +18,8 @@ from curvelab.operators import packages as P
 from curvelab.operators import scorecard as SC
 from curvelab.operators import structures as G
 from curvelab.operators import walkforward as W
+from curvelab.sources import views
+from tests.conftest import SMALL
 
 
 def _rolls(spark, rolls):
@@ -304,6 +306,14 @@ def test_trials_of_the_same_trades_stand_by_name(spark):
     ]
 
 
+@pytest.mark.parametrize("view", [views.contract_bars, views.curve_bars])
+def test_bars_do_not_sort_line_items(spark, view):
+    """What reads the line items ahead of the shuffle is a hash aggregate."""
+    plan = view.__wrapped__(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    read = plan[plan.rindex("Exchange"):]
+    assert "Scan parquet" in read and "HashAggregate" in read and "Sort" not in read
+
+
 def test_indicators_are_causal_and_isolated(spark):
     from curvelab.operators.indicators import Windows, add_indicators
 
