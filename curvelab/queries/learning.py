@@ -43,12 +43,13 @@ def hour_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def build() -> DataFrame:
         pairs = F.create_map(*[F.lit(x) for series, brand in _HISTORY.items() for x in (brand, series)])
-        history = _seasonal_input(spark, sf_dir).withColumns(
+        bars = stage(spark, "history-bars", sf_dir, lambda: views.brand_days(spark, sf_dir, *_HISTORY.values()))
+        history = _seasonal_moves(bars).withColumns(
             {"spread_id": F.element_at(pairs, F.col("spread_id")), "spread_close": F.col("spread_close") * _HISTORY_SCALE, "price_change": F.col("price_change") * _HISTORY_SCALE}
         )
         own = views.hour_packages(spark, sf_dir).groupBy("spread_id", "session_date").agg(F.max_by("spread_close", "timestamp_utc").alias("spread_close"))
         sessions = _placed(own.withColumn("price_change", F.lit(None).cast("double")))
-        rows = history.filter(F.col("spread_id").isNotNull()).unionByName(sessions)
+        rows = history.unionByName(sessions)
         return seasonal.seasonality(rows).join(sessions.select(F.year("session_date").alias("asof_year")).distinct(), "asof_year", "left_semi")
 
     return stage(spark, "hour-prior", sf_dir, build)
@@ -71,7 +72,10 @@ def hour_voted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _seasonal_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily brand series with its change and a distance to the quarter end."""
-    bars = views.day_bars(spark, sf_dir)
+    return _seasonal_moves(views.day_bars(spark, sf_dir))
+
+
+def _seasonal_moves(bars: DataFrame) -> DataFrame:
     b = blocked(bars, "entity", "session_date", F.trunc("session_date", "year"), halo=1)
     moved = b.finish(b.frame.withColumn("price_change", F.col("close") - F.lag("close").over(b.order)))
     return _placed(moved.select(F.col("entity").alias("spread_id"), "session_date", F.col("close").alias("spread_close"), "price_change"))

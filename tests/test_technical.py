@@ -18,6 +18,7 @@ from curvelab.operators import packages as P
 from curvelab.operators import scorecard as SC
 from curvelab.operators import structures as G
 from curvelab.operators import walkforward as W
+from curvelab.queries import learning
 from curvelab.sources import views
 from tests.conftest import SMALL
 
@@ -314,6 +315,18 @@ def test_bars_do_not_sort_line_items(spark, view):
     assert "Scan parquet" in read and "HashAggregate" in read and "Sort" not in read
 
 
+def test_history_is_built_from_its_brands_only(spark, monkeypatch):
+    """The hourly prior reads no daily bars of other brands, and those it reads are the same."""
+    kept = []
+    monkeypatch.setattr(learning, "stage", lambda s, label, folder, build: kept.append((label, build())) or kept[-1][1])
+    learning.hour_prior(spark, SMALL)
+    bars = dict(kept)["history-bars"]
+    brands = list(learning._HISTORY.values())
+    every = views.day_bars(spark, SMALL).filter(F.col("entity").isin(brands))
+    rounded = lambda df: sorted((r[0], r[1], round(r[2], 6), r[3]) for r in df.select("entity", "session_date", "close", "volume").collect())
+    assert rounded(bars) == rounded(every) and bars.select("entity").distinct().count() > 1
+
+
 def test_indicators_are_causal_and_isolated(spark):
     from curvelab.operators.indicators import Windows, add_indicators
 
