@@ -7,6 +7,10 @@ doubled and the half that applies the filter is left-anti joined to its failing
 Removals are the survivors' left-semi join to the failing rows of each filter not yet
 applied.  All these joins are placed by row once.  Orders, steps and sums over orders are
 read off the counts per (part, prefix, filter).
+
+No table that grows with the input is broadcast: Spark takes a stored table for as large as
+its compressed files, and a salted one for as large as before it was repeated, while the
+driver would hold many times that.
 """
 
 from __future__ import annotations
@@ -65,6 +69,11 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     return rows.mapInArrow(_measures, MEASURES.format(id=kind))
 
 
+def _sorted(df: DataFrame) -> DataFrame:
+    """Joined by a sort-merge join, however small Spark takes it for."""
+    return df.hint("merge")
+
+
 def repeats(rows: DataFrame) -> DataFrame:
     """Rows whose text a smaller id has too.
 
@@ -72,7 +81,7 @@ def repeats(rows: DataFrame) -> DataFrame:
     several tasks to be compared with it.
     """
     firsts = rows.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return salted_join(rows.select("row", "digest", "id"), firsts, "digest", "inner").filter("id > first").select("row")
+    return salted_join(rows.select("row", "digest", "id"), _sorted(firsts), "digest", "inner").filter("id > first").select("row")
 
 
 def text_filters(rows: DataFrame) -> dict[str, DataFrame]:
@@ -94,14 +103,14 @@ def removals(rows: DataFrame, failing: Mapping[str, DataFrame], marked: Mapping[
     """
     names = list(failing)
     tagged = union_all([f.select("row", F.lit(name).alias("filter")) for name, f in failing.items()])
-    some = rows.join(tagged.select("row"), "row", "left_semi").select("row", "part", F.lit(0).alias("prefix"))
+    some = rows.join(_sorted(tagged.select("row")), "row", "left_semi").select("row", "part", F.lit(0).alias("prefix"))
     for name, ids in marked.items():
-        some = some.join(ids.select("row", F.lit(1).alias(f"is_{name}")), "row", "left")
+        some = some.join(_sorted(ids.select("row", F.lit(1).alias(f"is_{name}"))), "row", "left")
     alive = some
     for name in names:
         bit = _bit(names, name)
         both = alive.withColumn("prefix", F.explode(F.array(F.col("prefix"), F.col("prefix") + bit)))
-        a, b = both.alias("a"), failing[name].select("row").alias("b")
+        a, b = both.alias("a"), _sorted(failing[name].select("row")).alias("b")
         applies = F.col("a.prefix").bitwiseAND(F.lit(bit)) != 0
         alive = a.join(b, (F.col("a.row") == F.col("b.row")) & applies, "left_anti")
     still = F.filter(
@@ -109,7 +118,7 @@ def removals(rows: DataFrame, failing: Mapping[str, DataFrame], marked: Mapping[
         lambda f: F.col("prefix").bitwiseAND(f["bit"]) == 0,
     )
     ahead = alive.withColumn("_f", F.explode(still)).withColumn("filter", F.col("_f.filter")).drop("_f")
-    removed = ahead.join(tagged, ["row", "filter"], "left_semi")
+    removed = ahead.join(_sorted(tagged), ["row", "filter"], "left_semi")
     return removed.groupBy("part", "prefix", "filter").agg(
         F.count(F.lit(1)).alias("removed"), *[F.count(f"is_{name}").alias(name) for name in marked]
     )
@@ -157,7 +166,7 @@ def by_order(parts: DataFrame, cells: DataFrame, names: Sequence[str], marks: Se
     full = (1 << len(names)) - 1
     alone = F.create_map(*[x for name in names for x in (F.lit(name), count(f"{full - _bit(names, name)}{name}"))])
     every = F.create_map(*[x for name in names for x in (F.lit(name), count(f"0{name}"))])
-    per_part = parts.join(told, "part", "left").withColumns({"_alone": alone, "_every": every, "_shapley": _shapley(names, count)})
+    per_part = parts.join(_sorted(told), "part", "left").withColumns({"_alone": alone, "_every": every, "_shapley": _shapley(names, count)})
     steps = per_part.withColumn("_s", F.explode(_orders(names)))
     name = F.col("_s.filter")
     gone = F.aggregate("_s.so_far", F.lit(0).cast("long"), lambda a, c: a + count(c))
@@ -190,7 +199,7 @@ def audit(
     marked = {}
     for name, holds in (("good", "quality = 1"), ("toxic", "toxic = 1")):
         ids = labels.filter(holds).select(key).distinct()
-        marked[name] = written(salted_join(rows.select("row", "id"), ids, "id", "left_semi").select("row"), name)
+        marked[name] = written(salted_join(rows.select("row", "id"), _sorted(ids), "id", "left_semi").select("row"), name)
     cells = written(removals(rows.select("row", "part"), failing, marked), "cells")
     parts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("total"))
     return by_order(parts, cells, list(failing), list(marked))

@@ -84,6 +84,30 @@ def test_any_filters(spark):
     assert got == {(0, "x"): (3, 1), (0, "y"): (2, 1), (1, "y"): (1, 1), (2, "x"): (2, 1)}
 
 
+def test_no_table_that_grows_is_broadcast(spark, monkeypatch):
+    plans = {}
+
+    def ran(df, label):
+        df.collect()
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+
+    def written(df, label, write=audit.written):
+        ran(df, label)
+        return write(df, label)
+
+    monkeypatch.setattr(audit, "written", written)
+    texts = ["few words", "w " * 60, "A $ B", " ".join(f"w{k}" for k in range(60)), " ".join(f"A{k}#" for k in range(60))]
+    rows = [(i, texts[i % 5] + " x" * (i % 3), None, f"s{i % 2}", 0) for i in range(40)]
+    labels = [(i, i % 2, i % 3) for i in range(50)]
+    told = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = audit.audit(spark.createDataFrame(rows, DOCS), told)
+    ran(out, "out")
+    assert found(out) == brute(rows, labels)
+    joins = {label: plan.partition("== Initial Plan ==")[0].count("SortMergeJoin") for label, plan in plans.items()}
+    assert {label: n for label, n in joins.items() if n} == {"fails-e": 1, "good": 1, "toxic": 1, "cells": 9, "out": 1}
+    assert not [label for label, plan in plans.items() if "Broadcast" in plan]
+
+
 def test_words_are_read_whole():
     text = ("w " * 60_000 + "last").encode()
     assert audit.measure(text) == (False, True, False, False)
